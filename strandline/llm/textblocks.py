@@ -28,6 +28,7 @@ from .storage import Scratch, shuffle_partitions
 #: A block holds at least one text and about this many bytes; more when the corpus is large.
 MIN_BLOCK, MAX_BLOCK, BLOCKS = 4 << 20, 512 << 20, 400
 PIECE = 4 << 20
+MAX_TEXTS = 1 << 22
 BLOCK_SCHEMA = "block long, n_texts int, digests binary, copies binary, lens binary, pieces array<binary>"
 
 
@@ -59,7 +60,7 @@ def _packer(size: int):
         from pyspark import TaskContext
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        block = TaskContext.get().partitionId() << 24
+        block = TaskContext.get().partitionId() << 16
         digests, copies, lens, pieces, piece, held, total = [], [], [], [], [], 0, 0
 
         def close_piece():
@@ -86,7 +87,7 @@ def _packer(size: int):
                 total += len(raw)
                 if held >= PIECE:
                     close_piece()
-                if total >= size:
+                if total >= size or len(lens) >= MAX_TEXTS:
                     close_piece()
                     yield row()
                     block += 1
