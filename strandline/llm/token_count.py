@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import prepare
-from .wordhash import BASE_B, U, _coefficients, mix
+from .wordhash import hash_segments, ragged
 
 #: Code points that \s matches (the White_Space property); fixed values.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -155,10 +155,7 @@ class ByteBpe:
     def pre_token_counts(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token, given as byte ranges."""
         length = end - start
-        at = np.cumsum(length) - length
-        offset = np.arange(len(raw)) - np.repeat(at, length)
-        h = np.add.reduceat((raw.astype(np.uint64) + U(1)) * _coefficients(int(length.max()))[offset], at)
-        h = mix(h + length.astype(np.uint64) * BASE_B)
+        h = hash_segments(raw, start)
         keys, example, inverse = np.unique(h, return_index=True, return_inverse=True)
         counts = np.empty(len(keys), dtype=np.int64)
         i = np.searchsorted(self.known, keys)
@@ -169,13 +166,11 @@ class ByteBpe:
         new = example[~old]
         if len(new):
             n = length[new]
-            take = np.repeat(start[new] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            counts[~old] = self.merge(self.byte_id[raw[take]], n)
+            counts[~old] = self.merge(self.byte_id[raw[ragged(start[new], n)]], n)
             if len(self.known) + len(new) > self.cache_size:
                 self.known, self.known_n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-            both, both_n = np.concatenate([self.known, keys[~old]]), np.concatenate([self.known_n, counts[~old]])
-            order = np.argsort(both, kind="stable")
-            self.known, self.known_n = both[order], both_n[order]
+            at = np.searchsorted(self.known, keys[~old])
+            self.known, self.known_n = np.insert(self.known, at, keys[~old]), np.insert(self.known_n, at, counts[~old])
         return counts[inverse]
 
     def count(self, texts: list[str]) -> np.ndarray:

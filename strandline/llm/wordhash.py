@@ -94,3 +94,18 @@ class Words:
         total = np.zeros(self.n + 1, dtype=np.uint64)
         np.cumsum(h * up[: self.n], out=total[1:])
         return mix((total[at + size] - total[at]) * down[at])
+
+
+def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices start[0] .. start[0] + n[0] - 1, start[1] .. and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def hash_segments(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of ``buf`` that begins at ``start``; the last ends with ``buf``."""
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    length = np.diff(np.append(start, len(buf)))
+    offset = np.arange(len(buf)) - np.repeat(start, length)
+    h = np.add.reduceat((buf.astype(np.uint64) + U(1)) * _coefficients(int(length.max()))[offset], start)
+    return mix(h + length.astype(np.uint64) * BASE_B)
