@@ -9,6 +9,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Everything but ASCII letters, digits and the bytes of other characters.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 U = np.uint64
 BASE_A = U(0x9E3779B97F4A7C15)
@@ -58,10 +60,10 @@ class Words:
     byte offsets. ``first[t] .. first[t + 1]`` are the words of text ``t``.
     """
 
-    def __init__(self, buf: np.ndarray, text_start: np.ndarray, fold_case: bool = False):
+    def __init__(self, buf: np.ndarray, text_start: np.ndarray, fold_case: bool = False, between: np.ndarray = _SPACE):
         if fold_case:
             buf = _LOWER[buf]
-        word = ~_SPACE[buf]
+        word = ~between[buf]
         edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
