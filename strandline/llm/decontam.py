@@ -6,7 +6,8 @@ similarity is the weighted Jaccard of their ``shingle``-word shingles, the weigh
 the number of occurrences; words are runs of letters and digits, ASCII case folded.
 
 1. A window needs 8/9 of its shingles in common with the item to reach 0.8, so windows
-   with fewer shingles that occur in any item at all cannot match and get no fingerprint.
+   with fewer shingles that occur in any item of their size cannot match and get no
+   fingerprint.
 2. The others get a 64-bit SimHash. Items are indexed by size and by ``RADIUS + 1``
    blocks of their fingerprint: two fingerprints within the radius agree on at least one
    block, so the lookup returns all items of that size within the radius.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import prepare
-from .wordhash import PUNCTUATION, U, Words
+from .wordhash import PUNCTUATION, U, Words, ragged
 
 RADIUS, BITS = 20, 64
 ITEMS, CHARS = 20_000, 32 << 20
@@ -70,7 +71,6 @@ class Index:
         self.cuts = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
         w = _words([t.encode() for t in texts])
         found = []
-        sizes = set()
         for i, n in enumerate(w.n_words):
             if n < shingle:
                 continue
@@ -80,11 +80,13 @@ class Index:
             self.ids.append(ids[i])
             self.bags.append(Counter(h.tolist()))
             self.prints.append(int(simhash(h[None, :])[0]))
-            sizes.add(int(n))
             for b, value in enumerate(self._values(self.prints[k])):
                 self.blocks.setdefault((int(n), b, value), []).append(k)
-        self.sizes = sorted(sizes)
-        self.known = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        owner = np.repeat([len(f) + shingle - 1 for f in found], [len(f) for f in found]) if found else np.zeros(0, np.int64)
+        pairs = np.unique(np.rec.fromarrays([every, owner], names="h,n"))
+        self.known, self.size_at, self.size_n = np.unique(pairs["h"], return_index=True, return_counts=True)
+        self.size_of = pairs["n"]  # the sizes of the items that have known shingle i: size_at[i] and on
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[(self.known >> U(BITS - _TABLE_BITS)).astype(np.int64)] = True
 
@@ -104,24 +106,30 @@ class Index:
         h = w.windows(self.shingle, at)
         may = np.flatnonzero(self.table[(h >> U(BITS - _TABLE_BITS)).astype(np.int64)])
         i = np.minimum(np.searchsorted(self.known, h[may]), len(self.known) - 1)
-        may = may[self.known[i] == h[may]]
+        hit = self.known[i] == h[may]
+        may, i = may[hit], i[hit]
         texts_hit = np.unique(w.text_of[at[may]])
         out = []
         for t in texts_hit:
             lo = np.searchsorted(at, w.first[t])
             hi = np.searchsorted(at, w.first[t + 1])
-            hits = np.zeros(hi - lo + 1, dtype=np.int64)
-            hits[may[np.searchsorted(may, lo) : np.searchsorted(may, hi)] - lo + 1] = 1
-            out += [(int(t), *row) for row in self._in_text(h[lo:hi], np.cumsum(hits))]
+            own = slice(np.searchsorted(may, lo), np.searchsorted(may, hi))
+            out += [(int(t), *row) for row in self._in_text(h[lo:hi], may[own] - lo, i[own])]
         return out
 
-    def _in_text(self, h: np.ndarray, hits: np.ndarray) -> list[tuple[object, int, int, float]]:
+    def _in_text(self, h: np.ndarray, place: np.ndarray, known: np.ndarray) -> list[tuple[object, int, int, float]]:
         best: dict[int, tuple[float, int, int]] = {}
         share = 2 * self.threshold / (1 + self.threshold)
-        for size in self.sizes:
+        n = self.size_n[known]
+        sizes, place = self.size_of[ragged(self.size_at[known], n)], np.repeat(place, n)
+        for size in np.unique(sizes).tolist():
             m = size - self.shingle + 1
-            if m > len(h) or hits[-1] < share * m:
+            own = place[sizes == size]
+            if m > len(h) or len(own) < share * m - 1e-9:
                 continue
+            hits = np.zeros(len(h) + 1, dtype=np.int64)
+            hits[own + 1] = 1
+            hits = np.cumsum(hits)
             starts = np.flatnonzero(hits[m:] - hits[:-m] >= share * m - 1e-9)
             for part in np.array_split(starts, max(1, len(starts) * m >> 20)):
                 windows = h[part[:, None] + np.arange(m)]
