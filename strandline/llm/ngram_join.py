@@ -229,6 +229,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return joined.withColumn("component_id", F.when(n == 0, F.col(doc_id)).otherwise(F.col("component_id"))).withColumn("n_shingles", n)
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with the lowest id of each component only.
+
+    Rows that repeat an id and its text count once. Rows without an id stay only where
+    their whole component has none.
+    """
+    found = near_duplicates(docs, doc_id, text, scratch=scratch)
+    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(*docs.columns)
+    again = kept.select(doc_id).groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    # texts are shuffled only where some id repeats
+    return kept.dropDuplicates([doc_id, text]) if again else kept
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
