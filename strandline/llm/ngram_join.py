@@ -36,6 +36,7 @@ from .storage import Scratch
 from .wordhash import BASE_A, BASE_B, U, Words, mix
 
 _STRENGTHS = 16
+THRESHOLD = 0.8
 
 
 def band_ends(limit: int) -> np.ndarray:
@@ -106,7 +107,7 @@ def _signed(block: tb.Block, shingle: int):
 
 
 _FILTER = U(0xFFFFFFFFFFFF0000)  # the six bytes that a request carries
-TEXT_SCHEMA = "tid long, digest binary, n_shingles long, sigs array<long>, shingles array<long>"
+TEXT_SCHEMA = "tid long, digest binary, n_shingles long, centre double, sigs array<long>, shingles array<long>"
 
 
 def signed_texts(scratch: Scratch, docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -133,27 +134,27 @@ def signed_texts(scratch: Scratch, docs: DataFrame, text: str, shingle: int) ->
                 order = np.argsort(who, kind="stable")
                 what = what[order].view(np.int64)
                 n_sigs = np.bincount(who, minlength=n)
+                centre = n_sigs / np.maximum(1, np.bincount(owner, minlength=n))
                 size = np.bincount(text_of, minlength=n)
                 keep = (n_sigs > 0)[text_of]
                 ids = np.arange(first, first + n)
                 offsets = lambda c: pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((block.id << 24) + ids, pa.int64()), pa.array([block.digests[k] for k in ids], pa.binary()), pa.array(size, pa.int64()),
+                    [pa.array((block.id << 24) + ids, pa.int64()), pa.array([block.digests[k] for k in ids], pa.binary()), pa.array(size, pa.int64()), pa.array(centre, pa.float64()),
                      pa.ListArray.from_arrays(offsets(n_sigs), pa.array(what)), pa.ListArray.from_arrays(offsets(size * (n_sigs > 0)), pa.array(h[keep].view(np.int64)))],
-                    ["tid", "digest", "n_shingles", "sigs", "shingles"],
+                    ["tid", "digest", "n_shingles", "centre", "sigs", "shingles"],
                 )
 
     bits = scratch.table(tb.answers(corpus.blocks.mapInArrow(ask, tb.REQUEST_SCHEMA)), "bits")
     return scratch.table(tb.with_answers(corpus, bits).mapInArrow(shared, TEXT_SCHEMA), "texts")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by exact comparison of their sets."""
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of intersection and union of their sets."""
     x = sets.select(F.col("tid").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("tid").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(x, "a").join(y, "b").where(F.size("sa") * 5 >= F.size("sb") * 4).where(F.size("sb") * 5 >= F.size("sa") * 4)
-    return joined.select("a", "b", both.alias("inter"), (F.size("sa") + F.size("sb") - both).alias("union")).where("100 * inter >= 80 * union")
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
+    return joined.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("union"))
 
 
 def components(scratch: Scratch, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -174,6 +175,17 @@ def components(scratch: Scratch, nodes: DataFrame, links: DataFrame, name: str)
             return labels
 
 
+def _pair(x: str, y: str):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _unresolved(scratch: Scratch, rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """The rows of groups whose members still lie in several components."""
+    rest = scratch.table(rows.join(labels, "tid").select("sig", "tid", "centre", "far", "comp"), f"rest-{turn}")
+    mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    return scratch.table(rest.join(mixed, "sig"), f"members-{turn + 1}")
+
+
 def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
@@ -184,29 +196,33 @@ def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: S
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     texts = signed_texts(scratch, docs, text, shingle)
     sets = texts.where(F.size("sigs") > 0).select("tid", "shingles")
-    rows = texts.select("tid", F.explode("sigs").alias("sig"))
+    rows = texts.select("tid", "centre", F.explode("sigs").alias("sig"))
+    pick = F.max(F.struct("centre", (-F.col("tid")).alias("minus"))).alias("r")
     # groups with the same members are one group
-    stats = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("tid").cast("decimal(20,0)")).alias("s"), F.min("tid").alias("rep")).where("n > 1")
-    kept = scratch.table(stats.groupBy("n", "s", "rep").agg(F.min("sig").alias("sig")).select("sig"), "groups")
-    active = scratch.table(rows.join(kept, "sig").select("sig", "tid", F.col("tid").alias("comp")), "members-0")
-    labels = None
-    found = None
-    classes, turn = 1, 0
-    while active.limit(1).count():
+    stats = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("tid").cast("decimal(20,0)")).alias("s"), pick).where("n > 1").select("sig", "n", "s", (-F.col("r.minus")).alias("rep"))
+    reps = scratch.table(stats.groupBy("n", "s", "rep").agg(F.min("sig").alias("sig")).select("sig", "rep"), "reps-0")
+    active = scratch.table(rows.join(reps, "sig").where("tid <> rep").select("sig", "tid", "centre", "rep", *_pair("tid", "rep")), "members-0")
+    # the first round compares all members with the one of which most signatures are shared
+    pivots = scratch.table(_compare(active.select("a", "b").distinct(), sets), "pivots")
+    linked = pivots.where("100 * inter >= 80 * union")
+    found, labels, classes, turn = linked, None, 1, 0
+    if linked.limit(1).count() or active.limit(1).count():
+        labels = components(scratch, sets.select("tid", F.col("tid").alias("comp")), linked, "comp-0")
+    far = active.join(pivots, ["a", "b"]).select("sig", "tid", "centre", (1 - F.col("inter") / F.col("union")).alias("far"))
+    active = _unresolved(scratch, far, labels, 0) if labels is not None else None
+    while active is not None and active.limit(1).count():
+        turn += 1
         cls = F.pmod(F.xxhash64("tid"), F.lit(classes))
-        reps = active.groupBy("sig", cls.alias("cls")).agg(F.min(F.struct("tid", "comp")).alias("r")).select("sig", F.col("r.tid").alias("rep"), F.col("r.comp").alias("rep_comp"))
+        best = F.max(F.struct("centre", (-F.col("tid")).alias("minus"), "comp", "far")).alias("r")
+        reps = active.groupBy("sig", cls.alias("cls")).agg(best).select("sig", (-F.col("r.minus")).alias("rep"), F.col("r.comp").alias("rep_comp"), F.col("r.far").alias("rep_far"))
         reps = scratch.table(reps, f"reps-{turn}")
-        pairs = active.join(reps, "sig").where("tid <> rep and comp <> rep_comp").select(F.least("tid", "rep").alias("a"), F.greatest("tid", "rep").alias("b")).distinct()
-        new = scratch.table(_verify(pairs, sets), f"links-{turn}")
-        found = new if found is None else found.unionByName(new)
-        nodes = sets.select("tid", F.col("tid").alias("comp")) if labels is None else labels
-        labels = components(scratch, nodes, new, f"comp-{turn}")
-        rest = active.select("sig", "tid").join(reps.select("sig", F.col("rep").alias("tid")), ["sig", "tid"], "left_anti").join(labels, "tid")
-        rest = scratch.table(rest.select("sig", "tid", "comp"), f"rest-{turn}")
-        mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        mixed = scratch.table(mixed, f"mixed-{turn}")
-        turn += 1
-        active = scratch.table(rest.join(mixed, "sig"), f"members-{turn}")
+        # Jaccard distance is a metric: by their distances from the first member some pairs are too far apart
+        near = active.join(reps, "sig").where(f"tid <> rep and comp <> rep_comp and abs(far - rep_far) <= {1 - THRESHOLD + 1e-9}")
+        new = scratch.table(_compare(near.select(*_pair("tid", "rep")).distinct(), sets).where("100 * inter >= 80 * union"), f"links-{turn}")
+        found = found.unionByName(new)
+        labels = components(scratch, labels, new, f"comp-{turn}")
+        left = active.select("sig", "tid", "centre", "far").join(reps.select("sig", F.col("rep").alias("tid")), ["sig", "tid"], "left_anti")
+        active = _unresolved(scratch, left, labels, turn)
         classes = min(64, classes * 2)
     members = texts.select("tid", "digest", "n_shingles")
     if labels is None:
