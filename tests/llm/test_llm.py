@@ -1,0 +1,309 @@
+"""The ten operators on small fixtures: brute force, round trips, held-out accuracy and edge cases."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import decontam, license_scan, ngram_join, pii, quality_rules, secret_scan, sp_codec, substring_dedup, textblocks, token_count, url_filter
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, block long"
+
+
+def corpus(seed=1):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)] + ["é1", "THE", "the,", "x\x1cy", "\x85"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\t"]) for _ in range(n))
+    base, passage = text(220), text(60)
+    texts = [None, "", " \n\t", "one two", "One Two", "a b c d e", base, base, base.replace("w7 ", "q7 "), base.upper()]
+    texts += [text(40) + passage + text(40) for _ in range(4)] + [passage] + [text(rng.randint(1, 150)) for _ in range(20)]
+    near = base.split(" ")
+    texts += [" ".join(w if rng.random() > 0.01 else "zz" for w in near) for _ in range(6)]
+    texts.append(text(9000))
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[6], (None, base, None, None, None), (None, None, None, None, None)]
+    return [(*r, "clash", 7) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+def result(df, *cols):
+    return Counter(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_substring_dedup_brute_force(docs):
+    rows = corpus()
+    seen = Counter()
+    words = [WORD.findall(r[1] or "") for r in rows]
+    for w in words:
+        seen.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    want = Counter()
+    for r, w in zip(rows, words, strict=True):
+        gone = set()
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        want[r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
+    found = substring_dedup.per_document(docs.withColumnRenamed("digest", "own"), substring_dedup.dedup_texts(docs))
+    got = result(found.select("doc_id", F.coalesce("n_words", F.lit(0)), F.coalesce("n_removed", F.lit(0)), F.coalesce("kept_text", F.lit(""))), "*")
+    assert got == want
+
+
+def sets_of(rows):
+    out = []
+    for r in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or ""))
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def test_ngram_join_brute_force(docs):
+    rows = corpus()
+    sets = sets_of(rows)
+    comp = list(range(len(rows)))
+    root = lambda i: i if comp[i] == i else root(comp[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                comp[root(i)] = root(j)
+    low = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            low[root(i)].append(r[0])
+    want = Counter((r[0], len(s), min(low[root(i)], default=None) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
+    assert result(ngram_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == want
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter({r[0]: 1 for r, (_, _, c) in zip(rows, [(0, 0, k[2]) for k in [(r[0], 0, min(low[root(i)], default=None) if sets[i] else r[0]) for i, r in enumerate(rows)]], strict=True) if r[0] is not None and r[0] == c})
+
+
+def test_partenum_signatures_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for n in [1, 2, 3, 4, 5, 8, 13, 40, 150, 700]:
+        sets = []
+        for _ in range(6):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            for cut in range(0, n // 5 + 2):
+                b = np.concatenate([a[: max(1, n - cut)], rng.integers(0, 2**63, int(rng.integers(0, 2 + n // 9))).astype(np.uint64)])
+                sets += [np.unique(a), np.unique(b)]
+        text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        owner, sig = ngram_join.signatures(text, np.concatenate(sets), len(sets))
+        own = [set(sig[owner == i].tolist()) for i in range(len(sets))]
+        for i in range(0, len(sets), 2):
+            a, b = set(sets[i].tolist()), set(sets[i + 1].tolist())
+            if 100 * len(a & b) >= 80 * len(a | b):
+                assert own[i] & own[i + 1]
+
+
+def test_requests_round_trip():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) << np.uint64(1))
+    batch = textblocks.request_batch(0, 3, 7, keys, None, np.zeros(1000, bool), width=8).to_pydict()
+    back = np.concatenate([textblocks._unplanes(k, n, 8) for k, n in zip(batch["keys"], batch["n"], strict=True)])
+    assert (back == keys).all()
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    text = lambda n: [f"v{rng.randint(0, 400)}" for _ in range(n)]
+    items = [text(n) for n in (5, 12, 30, 55)] + [["too", "short"]]
+    rows = []
+    for i in range(40):
+        item = items[i % 4]
+        copy = list(item)
+        if i % 8 >= 4:
+            copy[-1] = "other"
+        rows.append((i, " ".join(text(50) + (copy if i < 32 else []) + text(30)).upper().replace(" ", ", ")))
+    rows += [(100, None), (101, ""), (102, " ".join(items[2])), (102, " ".join(items[2])), (103, "too short")]
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    want = Counter()
+    for d, t in rows:
+        w = (t or "").lower().replace(",", "").split()
+        for k, item in enumerate(items[:4]):
+            a = bag(item)
+            if any(sum((a & (b := bag(w[s : s + len(item)]))).values()) >= 0.8 * sum((a | b).values()) for s in range(len(w) - len(item) + 1)):
+                want[d, k] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(9, None)], "item_id long, text string")
+    assert result(decontam.find_leaks(docs, bench), "doc_id", "item_id") == want
+    clean = {r.doc_id for r in decontam.drop_leaked(docs, bench).collect()}
+    assert clean == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_multi_index_returns_all_within_radius():
+    rng = random.Random(3)
+    index = decontam.Index(list(range(60)), [" ".join(f"u{rng.randint(0, 99)}" for _ in range(20)) for _ in range(60)])
+    for _ in range(200):
+        f = index.prints[rng.randrange(60)] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 30)))
+        assert index.within_radius(20, f) == [k for k, p in enumerate(index.prints) if (p ^ f).bit_count() <= decontam.RADIUS]
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    out = []
+    for k, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            digits = [c for c in m.group() if c in "0123456789"]
+            ok = {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn("".join(digits)), "phone": 10 <= len(digits) <= 15}[k]
+            if ok:
+                out.append((k, m.start(), m.end()))
+    return sorted(out, key=lambda x: (x[1], pii.BASE.index(x[0])))
+
+
+def test_pii_base_spans_equal_the_patterns():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("a@.-+ 0123456789()_é@..++--  4242") for _ in range(rng.randint(0, 60))) for _ in range(8000)]
+    texts += ["4242 4242 4242 4242 4242-4242-4242-4242", "000255.1.2.3 256.1.1.1 1.2.3.4.5.6.7.8.9", "x@y.zz@q.rr, a@b.c_d@e.fg"]
+    for t in texts:
+        assert [s for s in pii.find(t) if s[0] in pii.BASE] == base_spans(t)
+    added = {k for k, _, _ in pii.find("IBAN: DE89 3704 0044 0532 0130 00, acct 12345678, http://u:p@ex.org/x")}
+    assert {"iban", "account", "address"} <= added
+    assert not [s for s in pii.find("IBAN: DE88 3704 0044 0532 0130 00") if s[0] == "iban"]
+
+
+def test_pii_scan_and_mask(spark):
+    docs = spark.createDataFrame([(1, "é me@ex.org now", 5), (2, None, 5), (2, "", 5)], "doc_id long, text string, pii_spans long")
+    out = {(r.doc_id, r.text): [tuple(s) for s in r.pii_spans] for r in pii.scan(docs, masked="text").collect()}
+    assert out == {(1, "é [EMAIL] now"): [("email", 2, 11)], (2, None): [], (2, ""): []}
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, rng = Tokenizer.from_file(path), random.Random(5)
+    texts = ["".join(rng.choice("aB3 \n\t'srevltd .,!-é日本😀 　\x1c\x85½'’  <|endoftext|>") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", " 's 'll x'll x've're aaaaaaaaaa'''s", "", "a" * 5000, " " * 500 + "x"]
+    model = token_count.ByteBpe(path, cache_size=200)
+    got = [n for i in range(0, len(texts), 300) for n in model.count(texts[i : i + 300])]
+    assert got == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    docs = spark.createDataFrame([(1, None, 3), (2, "", 4), (3, "é é", 5)], "doc_id long, text string, n_tokens long")
+    assert result(token_count.count_tokens(docs, path, limit=2), "doc_id", "n_bytes", "n_tokens", "over_limit") == Counter([(1, 0, 0, False), (2, 0, 0, False), (3, 5, len(lib.encode("é é").ids), len(lib.encode("é é").ids) > 2)])
+
+
+def test_sentencepiece_parity_and_round_trip(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(6)
+    texts = ["".join(rng.choice("aeiou thn  \n\té日😀<s></s><0x0A>.,!0123456789\x00́") for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["", " ", "  ", "x" * 3000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(-1, None, "x")], "doc_id long, text string, parity string")
+    got = {r.doc_id: r for r in sp_codec.encode(docs, path, verify=True).collect()}
+    assert got[-1].ids is None and got[-1].parity is None
+    assert all(got[i].ids == lib.encode(t) and got[i].round_trip and got[i].parity for i, t in enumerate(texts))
+    back = sp_codec.decode(sp_codec.encode(docs, path).select("doc_id", "ids"), path)
+    assert {r.doc_id: r.text for r in back.collect()} == {**dict(enumerate(texts)), -1: None}
+
+
+def test_unigram_model_parity():
+    import sentencepiece
+
+    def field(n, kind, body):
+        def varint(x):
+            out = b""
+            while x > 127:
+                out, x = out + bytes([x & 127 | 128]), x >> 7
+            return out + bytes([x])
+
+        return varint(n << 3 | kind) + (varint(len(body)) + body if kind == 2 else varint(body) if kind == 0 else body)
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), ("▁", -2.0, 1), ("▁a", -2.5, 1), ("ab", -3.0, 1), ("a", -3.5, 1), ("b", -3.6, 1), ("abc", -4.0, 1), ("c", -5.0, 1)]
+    raw = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, k)) for p, s, k in pieces)
+    raw += field(2, 2, field(3, 0, 1) + field(35, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+    lib, mine = sentencepiece.SentencePieceProcessor(model_proto=raw), sp_codec.build(sp_codec.Model.parse(raw))
+    for t in ["abc ab a", "cab  bac", "é abc", "aaa bbb ccc"]:
+        assert mine.encode(t, add_special_tokens=False).ids == lib.encode(t)
+
+
+def test_secret_forest_held_out():
+    forest = secret_scan.train(secret_scan.synthetic_findings(1500))
+    held = secret_scan.synthetic_findings(800, seed=77)
+    x = np.array([secret_scan.describe(v, b[-40:], a[:40], p, s) for v, b, a, p, s, _ in held])
+    assert ((forest.score(x) >= 0.5) == np.array([r[5] for r in held])).mean() > 0.97
+
+
+def test_secret_scan_rows(spark):
+    forest = secret_scan.train(secret_scan.synthetic_findings(1500))
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    docs = spark.createDataFrame([(1, f'the token = "{token}" here', "src1"), (2, f"see commit {token} for it", None), (3, None, "s"), (4, "", "s")], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in secret_scan.scan(docs, forest).collect()}
+    assert set(out) == {1, 2} and out[1].value == token and (out[1].start, out[1].is_secret, out[2].is_secret) == (13, True, False)
+
+
+def test_quality_rules_edges(spark):
+    line = "common boilerplate line that every page of this host repeats"
+    rows = [(i, f"{line}\n" + " ".join(f"t{i}x{k}" for k in range(40)), "h") for i in range(30)] + [(90, line, "h"), (91, None, "h"), (92, "", None), (93, "a b " * 60, "h"), (94, f"{line}\n{line}\n" + " ".join(f"u{k}" for k in range(80)), None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, n_words int, kept string")
+    out = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert all(out[i].kept and out[i].n_line_words == 10 for i in range(30))
+    assert not any(out[i].kept for i in (90, 91, 92, 93)) and out[94].kept
+    assert (out[94].n_dup_lines, out[94].n_repeat_words, out[93].base_failed) == (1, 20, True)
+    kept = {r.doc_id: r for r in quality_rules.clean(docs).collect()}
+    assert set(kept) == {*range(30), 94} and line not in kept[0].text and kept[94].text.count(line) == 2
+
+
+def test_license_scan_brute_force(spark):
+    rng = random.Random(8)
+    texts = [None, "", "Released under the MIT License.", "x\n\nThis work is licensed under the GNU General Public License, version 3.\n" + "é y " * 50]
+    for _ in range(60):
+        body = rng.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, len(body) // 6)):
+            body[rng.randrange(len(body))] = rng.choice(["foo", "bar", "License,"])
+        texts.append("intro line\n" + rng.choice([" ", "\n"]).join(body) + "\n\nend of it")
+    want = Counter()
+    sets = [(n, set(license_scan.template_bigrams(t))) for n, t in license_scan.TEMPLATES]
+    for i, t in enumerate(texts):
+        paragraphs = re.split("\n[ \t\r]*\n", t or "")
+        units = [("line", k, u) for k, u in enumerate((t or "").split("\n"))]
+        units += [("paragraph", k, u) for k, u in enumerate(paragraphs) if len(paragraphs) > 1 and "\n" in u.strip()]
+        units += [("text", 0, t)] if t and "\n" in t.strip() else []
+        for unit, k, u in units:
+            w = re.findall("[a-z0-9]+", u.lower())
+            a = {f"{x} {y}" for x, y in zip(w, w[1:], strict=False)}
+            score, _, name = max((2 * len(a & b) / (len(a) + len(b)), -j, n) for j, (n, b) in enumerate(sets))
+            if score >= 0.8:
+                want[i, unit, k, name] += 1
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, dice string")
+    assert result(license_scan.scan(docs), "doc_id", "unit", "unit_no", "license") == want
+
+
+def test_url_rules_and_mining(spark):
+    urls = ["http://a.NET/x", "http://a.net", "https://www.example.net/en/1", "http://example.com/de/", "http://notexample.com/de/", "http://b.org/fr/x?q=1", None, "no scheme", "http:///p"]
+    pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)] + [(50, "http://spam.example.org/win/9?x=1", "r")], "page_id long, url string, rule string")
+    labelled = spark.createDataFrame([(f"http://spam.example.org/win/{i}", True) for i in range(10)] + [(f"http://ok.example.org/read/{i}", False) for i in range(30)], "url string, bad boolean")
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, labelled).collect()}
+    assert out[0] == ("a.net", "/x", "net/", "block") and out[1] == ("a.net", "", None, "allow")
+    assert out[2][2:] == ("example.net/en/", "allow") and out[3][2:] == ("example.com/de/", "block") and out[4][2] is None
+    assert out[5][1:] == ("/fr/x", "org/fr/", "allow") and out[6] == ("", "", None, "allow") == out[7] and out[8] == ("", "/p", None, "allow")
+    assert out[50][2:] == (None, "block")
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert ngram_join.near_duplicates(none).count() == 0
+    assert substring_dedup.dedup_texts(none).count() == 0
+    assert quality_rules.judge(none).count() == 0 and quality_rules.clean(none).count() == 0
+    assert license_scan.scan(none).count() == 0 and pii.scan(none).count() == 0 and token_count.count_tokens(none, path).count() == 0
+    assert decontam.find_leaks(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(pages, spark.createDataFrame([], "url string, bad boolean")).count() == 0
+
+
+def test_pipeline_small(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    ids = [r.doc_id for r in out.select("doc_id", "parity", "round_trip").where("parity").collect()]
+    assert len(ids) == len(set(ids)) > 50
