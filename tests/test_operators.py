@@ -1,0 +1,92 @@
+"""Operators on small hand-made ledgers."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from strandline.functions import scalars as sc
+from strandline.operators import evidence, intervals, records, selection
+from strandline.plans import audit
+from strandline.sources import adapters
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_queue_prefers_the_window(spark):
+    times, starts = [5.0, 5.04, 5.20, 5.48, 5.8, 6.2, 6.8, 7.1], [0, 0, 2, 3, 3, 5, 6, 7]
+    frames = spark.createDataFrame([("v", n, t, s) for n, (t, s) in enumerate(zip(times, starts, strict=True))], "source_id string, frame_no long, time_s double, exact_start long")
+    requests = frames.select("source_id", "frame_no", F.lit("r").alias("reason"))
+    found = selection.candidates(requests, frames)
+    assert found.count() == 6
+    first = selection.queue(found, frames, 6.0, 6.9, 3).orderBy("position").collect()
+    assert [r.frame_no for r in first] == [5, 6, 0]
+    narrow = selection.queue(found, frames, 5.03, 5.05, 1).collect()[0]
+    assert (narrow.frame_no, narrow.matched) == (0, [1])
+
+
+def test_display_boundaries(spark):
+    data = [(5.0, None), (5.0, 0.5), (4.0, 4.0), (None, None), (6.0, 0.0), (6.0, None), (7.0, 0.0)]
+    frames = spark.createDataFrame([("v", n, t, d) for n, (t, d) in enumerate(data)], "source_id string, frame_no long, time_s double, duration double")
+    spans = {r.frame_no: (r.time_s, r.end_s) for r in intervals.display_spans(frames).collect()}
+    assert spans == {0: (5.0, 5.0), 1: (5.0, 5.5), 2: (4.0, 8.0), 4: (6.0, 6.0), 5: (6.0, 7.0), 6: (7.0, 7.0)}
+
+
+def test_align_equals_brute_force(spark):
+    rng = random.Random(3)
+    spans = [("v", i, t := round(rng.uniform(0, 60), 1), round(t + rng.choice([0, 0, 1.5, 9]), 1)) for i in range(200)]
+    cues = [("v", i, a := round(rng.uniform(0, 60), 1), round(a + rng.choice([0.5, 3, 12]), 1)) for i in range(80)]
+    got = rows(intervals.align(spark.createDataFrame(cues, "source_id string, cue long, a double, b double"), spark.createDataFrame(spans, "source_id string, frame_no long, time_s double, end_s double"), 4.0), "cue", "frame_no")
+    want = sorted((c, n) for _, c, a, b in cues for _, n, t, e in spans if t < b and (e > a or (e == a and e == t)))
+    assert got == want
+
+
+def test_union_and_complement(spark):
+    spans = spark.createDataFrame([("v", 0, 3), ("v", 4, 5), ("v", 9, 9), ("v", 2, 4)], "k string, start long, end long")
+    merged = intervals.union(spans, ["k"])
+    assert rows(merged, "start", "end") == [(0, 5), (9, 9)]
+    bounds = spark.createDataFrame([("v", 0, 12), ("w", 1, 2)], "k string, lo long, hi long")
+    assert rows(intervals.complement(merged, bounds, ["k"]), "k", "start", "end") == [("v", 6, 8), ("v", 10, 12), ("w", 1, 2)]
+
+
+def test_layer_audit_reports_gap_overlap_and_false_merge(spark):
+    frames = spark.createDataFrame([("v", n, n // 4 * 4) for n in range(12)], "source_id string, frame_no long, exact_start long")
+    entry = "source_id string, id string, start_frame long, end_frame long, merge string, reason string, disposition string"
+    entries = spark.createDataFrame([("v", "a", 0, 5, "exact", "x", "context"), ("v", "b", 5, 8, "approximate", " ", "uncertain")], entry)
+    codes = [r.code for r in audit.layers(entries, frames).collect()]
+    assert sorted(codes) == ["false_exact_merge", "interval_gap", "interval_overlap", "interval_uncertain", "merge_reason_missing"]
+
+
+def test_retirement_rules(spark):
+    retired = spark.createDataFrame([("v", "S1", ["S9"], ["why"])], "source_id string, id string, replacement_step_ids array<string>, uncertainties array<string>")
+    steps = spark.createDataFrame([("v", "S2", ["why"])], "source_id string, id string, uncertainties array<string>")
+    issues = spark.createDataFrame([("v", "I1", ["S1"], True)], "source_id string, issue_id string, step_ids array<string>, open boolean")
+    assert rows(records.retirement_violations(retired, steps, issues), "code") == [("issue_dangling",), ("replacement_missing",), ("uncertainty_lost",)]
+
+
+def test_crop_chain(spark):
+    assets = spark.createDataFrame([("v", "f", "full", None, None), ("v", "c", "crop", "f", [10, 10, 50, 50]), ("v", "d", "crop", "c", [5, 5, 20, 20]), ("v", "bad", "crop", "c", [5, 5, 99, 20])], "source_id string, id string, kind string, parent_id string, crop array<int>")
+    assert rows(evidence.crop_regions(assets), "id", "x0", "y0", "x1", "y1") == [("c", 10, 10, 50, 50), ("d", 15, 15, 30, 30)]
+
+
+def test_srt_and_clock(spark):
+    srt = "1\n00:00:01,500 --> 00:00:02,000\nhello\nthere\n\n2\n01:00:00,000 --> 01:00:01,250\nbye"
+    cues = adapters.srt_cues(spark.createDataFrame([("v", srt)], "source_id string, text string"))
+    assert rows(cues, "start_time", "end_time", "text_original") == [(1.5, 2.0, "hello\nthere"), (3600.0, 3601.25, "bye")]
+    one = spark.range(1).select(sc.clock_format(F.lit(-3661.0625)).alias("a"), sc.clock_format(F.lit(59.9996)).alias("b")).first()
+    assert tuple(one) == ("-01:01:01.062", "01:00.000")
+
+
+def test_streaming_equals_batch(spark, tmp_path):
+    from strandline.operators.frames import runs
+    from strandline.streaming import streaming_runs
+
+    digests = "aabbbacca"
+    frames = spark.createDataFrame([("v", n, d, float(n)) for n, d in enumerate(digests)], "source_id string, frame_no long, digest string, time_s double").coalesce(1)
+    frames.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
+    q = streaming_runs(stream, 3.0).writeStream.format("memory").queryName("runs_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows(spark.table("runs_out"), "frame_no", "exact_start") == rows(runs(frames), "frame_no", "exact_start")
+    assert rows(spark.table("runs_out").where("anchor"), "frame_no") == rows(selection.anchors(frames, 3.0), "frame_no")
