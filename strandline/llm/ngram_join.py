@@ -36,7 +36,8 @@ from .storage import Scratch
 from .wordhash import BASE_A, BASE_B, U, Words, mix
 
 _STRENGTHS = 16
-THRESHOLD = 0.8
+#: Words of 64 bits in the presence bitmap of a set; a power of two.
+BITMAP = 32
 
 
 def band_ends(limit: int) -> np.ndarray:
@@ -107,7 +108,7 @@ def _signed(block: tb.Block, shingle: int):
 
 
 _FILTER = U(0xFFFFFFFFFFFF0000)  # the six bytes that a request carries
-TEXT_SCHEMA = "tid long, digest binary, n_shingles long, centre double, sigs array<long>, shingles array<long>"
+TEXT_SCHEMA = "tid long, digest binary, n_shingles long, centre double, sigs array<long>, bits array<long>, shingles array<long>"
 
 
 def signed_texts(scratch: Scratch, docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -137,24 +138,38 @@ def signed_texts(scratch: Scratch, docs: DataFrame, text: str, shingle: int) ->
                 centre = n_sigs / np.maximum(1, np.bincount(owner, minlength=n))
                 size = np.bincount(text_of, minlength=n)
                 keep = (n_sigs > 0)[text_of]
+                bits = np.zeros((n, BITMAP), dtype=np.uint64)
+                slot = h >> U(64 - (BITMAP * 64 - 1).bit_length())
+                np.bitwise_or.at(bits, (text_of, (slot >> U(6)).astype(np.int64)), U(1) << (slot & U(63)))
+                bits = bits[n_sigs > 0].reshape(-1).view(np.int64)
                 ids = np.arange(first, first + n)
                 offsets = lambda c: pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((block.id << 24) + ids, pa.int64()), pa.array([block.digests[k] for k in ids], pa.binary()), pa.array(size, pa.int64()), pa.array(centre, pa.float64()),
-                     pa.ListArray.from_arrays(offsets(n_sigs), pa.array(what)), pa.ListArray.from_arrays(offsets(size * (n_sigs > 0)), pa.array(h[keep].view(np.int64)))],
-                    ["tid", "digest", "n_shingles", "centre", "sigs", "shingles"],
+                     pa.ListArray.from_arrays(offsets(n_sigs), pa.array(what)), pa.ListArray.from_arrays(offsets(BITMAP * (n_sigs > 0)), pa.array(bits)), pa.ListArray.from_arrays(offsets(size * (n_sigs > 0)), pa.array(h[keep].view(np.int64)))],
+                    ["tid", "digest", "n_shingles", "centre", "sigs", "bits", "shingles"],
                 )
 
     bits = scratch.table(tb.answers(corpus.blocks.mapInArrow(ask, tb.REQUEST_SCHEMA)), "bits")
     return scratch.table(tb.with_answers(corpus, bits).mapInArrow(shared, TEXT_SCHEMA), "texts")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of intersection and union of their sets."""
-    x = sets.select(F.col("tid").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("tid").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
-    return joined.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("union"))
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, with the sizes of intersection and union.
+
+    A bitmap bit that one set has and the other lacks is an element that only the first
+    has, which bounds the intersection from above; whole sets meet only where the bound
+    leaves a link possible.
+    """
+    x = sets.select(F.col("tid").alias("a"), F.size("shingles").alias("na"), F.col("bits").alias("ba"))
+    y = sets.select(F.col("tid").alias("b"), F.size("shingles").alias("nb"), F.col("bits").alias("bb"))
+    only = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, c: s + c)
+    most = F.least(F.col("na") - only("ba", "bb"), F.col("nb") - only("bb", "ba"))
+    may = pairs.join(x, "a").join(y, "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    sa = sets.select(F.col("tid").alias("a"), F.col("shingles").alias("sa"))
+    sb = sets.select(F.col("tid").alias("b"), F.col("shingles").alias("sb"))
+    joined = may.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
+    return joined.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("union")).where("100 * inter >= 80 * union")
 
 
 def components(scratch: Scratch, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -181,7 +196,7 @@ def _pair(x: str, y: str):
 
 def _unresolved(scratch: Scratch, rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """The rows of groups whose members still lie in several components."""
-    rest = scratch.table(rows.join(labels, "tid").select("sig", "tid", "centre", "far", "comp"), f"rest-{turn}")
+    rest = scratch.table(rows.join(labels, "tid").select("sig", "tid", "centre", "comp"), f"rest-{turn}")
     mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     return scratch.table(rest.join(mixed, "sig"), f"members-{turn + 1}")
 
@@ -195,7 +210,7 @@ def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: S
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     texts = signed_texts(scratch, docs, text, shingle)
-    sets = texts.where(F.size("sigs") > 0).select("tid", "shingles")
+    sets = texts.where(F.size("sigs") > 0).select("tid", "bits", "shingles")
     rows = texts.select("tid", "centre", F.explode("sigs").alias("sig"))
     pick = F.max(F.struct("centre", (-F.col("tid")).alias("minus"))).alias("r")
     # groups with the same members are one group
@@ -203,27 +218,24 @@ def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: S
     reps = scratch.table(stats.groupBy("n", "s", "rep").agg(F.min("sig").alias("sig")).select("sig", "rep"), "reps-0")
     active = scratch.table(rows.join(reps, "sig").where("tid <> rep").select("sig", "tid", "centre", "rep", *_pair("tid", "rep")), "members-0")
     # the first round compares all members with the one of which most signatures are shared
-    pivots = scratch.table(_compare(active.select("a", "b").distinct(), sets), "pivots")
-    linked = pivots.where("100 * inter >= 80 * union")
-    found, labels, classes, turn = linked, None, 1, 0
-    if linked.limit(1).count() or active.limit(1).count():
-        labels = components(scratch, sets.select("tid", F.col("tid").alias("comp")), linked, "comp-0")
-    far = active.join(pivots, ["a", "b"]).select("sig", "tid", "centre", (1 - F.col("inter") / F.col("union")).alias("far"))
-    active = _unresolved(scratch, far, labels, 0) if labels is not None else None
-    while active is not None and active.limit(1).count():
+    found = scratch.table(_links(active.select("a", "b").distinct(), sets), "links-0")
+    labels, classes, turn, more = None, 1, 0, active.limit(1).count()
+    if more:
+        labels = components(scratch, sets.select("tid", F.col("tid").alias("comp")), found, "comp-0")
+        active = _unresolved(scratch, active.select("sig", "tid", "centre"), labels, 0)
+    while more and active.limit(1).count():
         turn += 1
         cls = F.pmod(F.xxhash64("tid"), F.lit(classes))
-        best = F.max(F.struct("centre", (-F.col("tid")).alias("minus"), "comp", "far")).alias("r")
-        reps = active.groupBy("sig", cls.alias("cls")).agg(best).select("sig", (-F.col("r.minus")).alias("rep"), F.col("r.comp").alias("rep_comp"), F.col("r.far").alias("rep_far"))
+        best = F.max(F.struct("centre", (-F.col("tid")).alias("minus"), "comp")).alias("r")
+        reps = active.groupBy("sig", cls.alias("cls")).agg(best).select("sig", (-F.col("r.minus")).alias("rep"), F.col("r.comp").alias("rep_comp"))
         reps = scratch.table(reps, f"reps-{turn}")
-        # Jaccard distance is a metric: by their distances from the first member some pairs are too far apart
-        near = active.join(reps, "sig").where(f"tid <> rep and comp <> rep_comp and abs(far - rep_far) <= {1 - THRESHOLD + 1e-9}")
-        new = scratch.table(_compare(near.select(*_pair("tid", "rep")).distinct(), sets).where("100 * inter >= 80 * union"), f"links-{turn}")
+        near = active.join(reps, "sig").where("tid <> rep and comp <> rep_comp").select(*_pair("tid", "rep")).distinct()
+        new = scratch.table(_links(near, sets), f"links-{turn}")
         found = found.unionByName(new)
         labels = components(scratch, labels, new, f"comp-{turn}")
-        left = active.select("sig", "tid", "centre", "far").join(reps.select("sig", F.col("rep").alias("tid")), ["sig", "tid"], "left_anti")
+        left = active.select("sig", "tid", "centre").join(reps.select("sig", F.col("rep").alias("tid")), ["sig", "tid"], "left_anti")
         active = _unresolved(scratch, left, labels, turn)
-        classes = min(64, classes * 2)
+        classes = min(1024, classes * 4)
     members = texts.select("tid", "digest", "n_shingles")
     if labels is None:
         empty = docs.sparkSession.createDataFrame([], "a long, b long, inter int, union int")
