@@ -13,11 +13,17 @@ two linked sets the one with the larger q has an agreeing part that both sign, s
 link is lost, and parts with one chance shingle need not be signed.
 
 Signatures of the whole corpus are counted by the request/answer protocol of
-``textblocks``. Members of a shared signature are then verified against one
-representative (later rounds: several), components are formed, and a group takes part in
-further rounds only while its untested members lie in different components. A large
-group of copies therefore costs one comparison per member, and no link between
-components is left untested.
+``textblocks``. Two passes then find all links that components need:
+
+1. Every member of a shared signature meets the group's most central member. A large
+   group of near copies is thus joined with one comparison for each member.
+2. Groups whose members still lie in several components are searched: each member
+   outside the group's largest component meets all members of other components. Units
+   of this search hold at most ``TILE`` searching and ``TILE`` searched members.
+
+Both passes compare parity sketches before sets: bit i is the parity of the number of
+elements hashed to i, so sketches differ in at most as many bits as sets in elements.
+Whole sets move only for pairs that the sketches leave, and are compared exactly.
 
 Defined results: null or wordless texts have 0 shingles and link with nothing; fewer than
 ``shingle`` words form one shingle; rows with the same text are one class; the component
@@ -32,12 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .storage import Scratch
+from .storage import Scratch, shuffle_partitions
 from .wordhash import BASE_A, BASE_B, U, Words, mix
 
 _STRENGTHS = 16
-#: Words of 64 bits in the presence bitmap of a set; a power of two.
-BITMAP = 32
+#: Largest sketch of a set in bits; larger sets are pruned less.
+SKETCH_BITS = 1 << 14
+#: Members on each side of a unit of the second pass.
+TILE = 1024
+#: Words of 64 bits that the second pass compares at once.
+_AT_ONCE = 1 << 21
 
 
 def band_ends(limit: int) -> np.ndarray:
@@ -95,6 +105,19 @@ def signatures(text: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarra
     return np.concatenate(out_text), np.concatenate(out_sig)
 
 
+def sketches(text: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, all words) of parity sketches with 2 to 4 bits for an element.
+
+    The number of words is a power of two; xor of its halves is the sketch of half the size.
+    """
+    size = np.bincount(text, minlength=n_texts)
+    words = np.minimum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(64, 2 * size))).astype(np.int64)) >> 6
+    base = np.cumsum(words) - words
+    slot = (mix(h + BASE_A) & (words[text].astype(U) * U(64) - U(1))).astype(np.int64)
+    bits = np.bincount((base[text] << 6) + slot, minlength=int(words.sum()) << 6).astype(np.uint8) & 1
+    return words, np.packbits(bits, bitorder="little").view("<u8")
+
+
 def _signed(block: tb.Block, shingle: int):
     """Per piece (first text, texts, set texts, set hashes, signing texts, count); and all signatures."""
     pieces, sigs = [], []
@@ -108,7 +131,7 @@ def _signed(block: tb.Block, shingle: int):
 
 
 _FILTER = U(0xFFFFFFFFFFFF0000)  # the six bytes that a request carries
-TEXT_SCHEMA = "tid long, digest binary, n_shingles long, centre double, sigs array<long>, bits array<long>, shingles array<long>"
+TEXT_SCHEMA = "tid long, digest binary, n_shingles long, centre double, sigs array<long>, sketch array<long>, shingles array<long>"
 
 
 def signed_texts(scratch: Scratch, docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -138,40 +161,115 @@ def signed_texts(scratch: Scratch, docs: DataFrame, text: str, shingle: int) ->
                 centre = n_sigs / np.maximum(1, np.bincount(owner, minlength=n))
                 size = np.bincount(text_of, minlength=n)
                 keep = (n_sigs > 0)[text_of]
-                bits = np.zeros((n, BITMAP), dtype=np.uint64)
-                slot = h >> U(64 - (BITMAP * 64 - 1).bit_length())
-                np.bitwise_or.at(bits, (text_of, (slot >> U(6)).astype(np.int64)), U(1) << (slot & U(63)))
-                bits = bits[n_sigs > 0].reshape(-1).view(np.int64)
+                words, sketch = sketches(text_of[keep], h[keep], n)
+                sketch = sketch[np.repeat(n_sigs > 0, words)].view(np.int64)
                 ids = np.arange(first, first + n)
                 offsets = lambda c: pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((block.id << 24) + ids, pa.int64()), pa.array([block.digests[k] for k in ids], pa.binary()), pa.array(size, pa.int64()), pa.array(centre, pa.float64()),
-                     pa.ListArray.from_arrays(offsets(n_sigs), pa.array(what)), pa.ListArray.from_arrays(offsets(BITMAP * (n_sigs > 0)), pa.array(bits)), pa.ListArray.from_arrays(offsets(size * (n_sigs > 0)), pa.array(h[keep].view(np.int64)))],
-                    ["tid", "digest", "n_shingles", "centre", "sigs", "bits", "shingles"],
+                     pa.ListArray.from_arrays(offsets(n_sigs), pa.array(what)), pa.ListArray.from_arrays(offsets(words * (n_sigs > 0)), pa.array(sketch)), pa.ListArray.from_arrays(offsets(size * (n_sigs > 0)), pa.array(h[keep].view(np.int64)))],
+                    ["tid", "digest", "n_shingles", "centre", "sigs", "sketch", "shingles"],
                 )
 
     bits = scratch.table(tb.answers(corpus.blocks.mapInArrow(ask, tb.REQUEST_SCHEMA)), "bits")
-    return scratch.table(tb.with_answers(corpus, bits).mapInArrow(shared, TEXT_SCHEMA), "texts")
+    texts = scratch.table(tb.with_answers(corpus, bits).mapInArrow(shared, TEXT_SCHEMA), "texts")
+    scratch.drop("blocks")
+    return texts
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave a link possible."""
+    x = sets.select(F.col("tid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    y = sets.select(F.col("tid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    xor = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
+    half = lambda p: (F.size(p) / 2).cast("int")
+    fold = lambda p, q: F.when(F.size(p) > F.size(q), xor(F.slice(p, 1, half(p)), F.slice(p, half(p) + 1, half(p)))).otherwise(F.col(p))
+    differ = F.aggregate(xor("fa", "fb"), F.lit(0), lambda s, w: s + F.bit_count(w))
+    both = pairs.join(x, "a").join(y, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return both.select("a", "b", "na", "nb", fold("sa", "sb").alias("fa"), fold("sb", "sa").alias("fb")).where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, with the sizes of intersection and union.
+    """The pairs (a, b) that link, with the sizes of intersection and union."""
 
-    A bitmap bit that one set has and the other lacks is an element that only the first
-    has, which bounds the intersection from above; whole sets meet only where the bound
-    leaves a link possible.
-    """
-    x = sets.select(F.col("tid").alias("a"), F.size("shingles").alias("na"), F.col("bits").alias("ba"))
-    y = sets.select(F.col("tid").alias("b"), F.size("shingles").alias("nb"), F.col("bits").alias("bb"))
-    only = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, c: s + c)
-    most = F.least(F.col("na") - only("ba", "bb"), F.col("nb") - only("bb", "ba"))
-    may = pairs.join(x, "a").join(y, "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-    sa = sets.select(F.col("tid").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("tid").alias("b"), F.col("shingles").alias("sb"))
-    joined = may.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
+    def of(end: str, name: str) -> DataFrame:  # the semi-join is broadcast where small, else it shares the join's partitioning
+        return sets.join(pairs.select(F.col(end).alias("tid")).distinct(), "tid", "left_semi").select(F.col("tid").alias(end), F.col("shingles").alias(name))
+
+    joined = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
     return joined.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("union")).where("100 * inter >= 80 * union")
 
 
+def _close(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: list[np.ndarray], query: np.ndarray, target: np.ndarray):
+    """(a, b) of a unit's searching and searched members that sketches leave, in different components."""
+    words = min(len(s) for s in sketch)
+    m = np.stack([s if len(s) == words else s[:words] ^ s[words : 2 * words] for s in sketch])
+    qs, ts = np.flatnonzero(query), np.flatnonzero(target)
+    step = max(1, _AT_ONCE // (words * max(1, len(ts))))
+    out = []
+    for i in range(0, len(qs), step):
+        q = qs[i : i + step]
+        differ = np.bitwise_count(m[q][:, None, :] ^ m[ts][None, :, :]).sum(axis=2, dtype=np.int64)
+        x, y = np.nonzero((9 * differ <= size[q][:, None] + size[ts][None, :]) & (comp[q][:, None] != comp[ts][None, :]))
+        out.append(np.stack([ids[q[x]], ids[ts[y]]]))
+    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return np.unique(np.sort(pairs, axis=0), axis=1)
+
+
+def _search(batches):
+    """Pairs of each unit; the rows of a unit follow each other."""
+    names = ("sig", "u", "v", "tid", "comp", "n_shingles", "query", "target")
+    held: list[tuple] = []  # parts of the unit that the last batch left open
+
+    def close(parts):
+        cols = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+        a, b = _close(cols[0], cols[1], cols[2], [s for p in parts for s in p[5]], cols[3], cols[4])
+        return a, b
+
+    def out(found):
+        a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    last = None
+    for batch in batches:
+        col = {n: batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in names}
+        lists = batch.column(batch.schema.names.index("sketch"))
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        n = batch.num_rows
+        new = np.ones(n, dtype=bool)
+        new[1:] = (col["sig"][1:] != col["sig"][:-1]) | (col["u"][1:] != col["u"][:-1]) | (col["v"][1:] != col["v"][:-1])
+        begins, found = np.flatnonzero(new), []
+        for lo, hi in zip(begins, np.append(begins[1:], n), strict=True):
+            key = (col["sig"][lo], col["u"][lo], col["v"][lo])
+            if held and key != last:
+                found.append(close(held))
+                held = []
+            last = key
+            held.append((*(col[c][lo:hi] for c in ("tid", "comp", "n_shingles", "query", "target")), [values[at[i] : at[i + 1]].copy() for i in range(lo, hi)]))
+        if found:
+            yield out(found)
+    if held:
+        yield out([close(held)])
+
+
+def _units(rows: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of groups whose members lie in several components, dealt to units of bounded size."""
+    rest = scratch.table(rows.join(labels, "tid").select("sig", "tid", "comp"), "labelled")
+    per_comp = rest.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per_comp.groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
+    mixed = mixed.select("sig", F.col("most.comp").alias("main"), tiles(F.col("n") - F.col("most.n")).alias("us"), tiles(F.col("n")).alias("vs"))
+    query = F.col("comp") != F.col("main")
+    part = lambda k: F.pmod(F.xxhash64("tid"), k).cast("int")
+    unit = lambda u, v, q, t: F.struct(u.alias("u"), v.alias("v"), q.alias("query"), t.alias("target"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    upto = lambda k: F.sequence(zero, k - 1)
+    asks = F.when(query, F.transform(upto(F.col("vs")), lambda v: unit(part(F.col("us")), v, yes, no)))
+    asked = F.transform(upto(F.col("us")), lambda u: unit(u, part(F.col("vs")), no, yes))
+    dealt = F.when((F.col("us") == 1) & (F.col("vs") == 1), F.array(unit(zero, zero, query, yes))).otherwise(F.concat(F.coalesce(asks, F.slice(asked, 1, 0)), asked))
+    spread = rest.join(mixed, "sig").select("sig", "tid", "comp", F.explode(dealt).alias("x")).select("sig", "tid", "comp", "x.*")
+    return spread.join(sets.select("tid", "n_shingles", "sketch"), "tid")
+
+
 def components(scratch: Scratch, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """(tid, comp): the smallest node reachable; label propagation with shortcuts."""
     both = scratch.table(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"{name}-edges")
@@ -194,13 +292,6 @@ def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _unresolved(scratch: Scratch, rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """The rows of groups whose members still lie in several components."""
-    rest = scratch.table(rows.join(labels, "tid").select("sig", "tid", "centre", "comp"), f"rest-{turn}")
-    mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    return scratch.table(rest.join(mixed, "sig"), f"members-{turn + 1}")
-
-
 def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
@@ -210,32 +301,26 @@ def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: S
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     texts = signed_texts(scratch, docs, text, shingle)
-    sets = texts.where(F.size("sigs") > 0).select("tid", "bits", "shingles")
+    sets = texts.where(F.size("sigs") > 0).select("tid", "n_shingles", "sketch", "shingles")
     rows = texts.select("tid", "centre", F.explode("sigs").alias("sig"))
     pick = F.max(F.struct("centre", (-F.col("tid")).alias("minus"))).alias("r")
     # groups with the same members are one group
     stats = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("tid").cast("decimal(20,0)")).alias("s"), pick).where("n > 1").select("sig", "n", "s", (-F.col("r.minus")).alias("rep"))
-    reps = scratch.table(stats.groupBy("n", "s", "rep").agg(F.min("sig").alias("sig")).select("sig", "rep"), "reps-0")
-    active = scratch.table(rows.join(reps, "sig").where("tid <> rep").select("sig", "tid", "centre", "rep", *_pair("tid", "rep")), "members-0")
-    # the first round compares all members with the one of which most signatures are shared
-    found = scratch.table(_links(active.select("a", "b").distinct(), sets), "links-0")
-    labels, classes, turn, more = None, 1, 0, active.limit(1).count()
-    if more:
+    reps = scratch.table(stats.groupBy("n", "s", "rep").agg(F.min("sig").alias("sig")).select("sig", "rep"), "groups")
+    rows = scratch.table(rows.join(reps, "sig").select("sig", "tid", "rep"), "members")
+    labels = found = None
+    if rows.limit(1).count():
+        first = scratch.table(_near(rows.where("tid <> rep").select(*_pair("tid", "rep")).distinct(), sets), "pairs-0")
+        found = scratch.table(_links(first, sets), "links-0")
         labels = components(scratch, sets.select("tid", F.col("tid").alias("comp")), found, "comp-0")
-        active = _unresolved(scratch, active.select("sig", "tid", "centre"), labels, 0)
-    while more and active.limit(1).count():
-        turn += 1
-        cls = F.pmod(F.xxhash64("tid"), F.lit(classes))
-        best = F.max(F.struct("centre", (-F.col("tid")).alias("minus"), "comp")).alias("r")
-        reps = active.groupBy("sig", cls.alias("cls")).agg(best).select("sig", (-F.col("r.minus")).alias("rep"), F.col("r.comp").alias("rep_comp"))
-        reps = scratch.table(reps, f"reps-{turn}")
-        near = active.join(reps, "sig").where("tid <> rep and comp <> rep_comp").select(*_pair("tid", "rep")).distinct()
-        new = scratch.table(_links(near, sets), f"links-{turn}")
-        found = found.unionByName(new)
-        labels = components(scratch, labels, new, f"comp-{turn}")
-        left = active.select("sig", "tid", "centre").join(reps.select("sig", F.col("rep").alias("tid")), ["sig", "tid"], "left_anti")
-        active = _unresolved(scratch, left, labels, turn)
-        classes = min(1024, classes * 4)
+        units = _units(rows, labels, sets, scratch)
+        units = units.repartition(shuffle_partitions(docs.sparkSession), "sig", "u", "v").sortWithinPartitions("sig", "u", "v")
+        second = scratch.table(units.mapInArrow(_search, "a long, b long").distinct(), "pairs-1")
+        if second.limit(1).count():
+            new = scratch.table(_links(second, sets), "links-1")
+            found = found.unionByName(new)
+            if new.limit(1).count():
+                labels = components(scratch, labels, new, "comp-1")
     members = texts.select("tid", "digest", "n_shingles")
     if labels is None:
         empty = docs.sparkSession.createDataFrame([], "a long, b long, inter int, union int")
