@@ -307,3 +307,25 @@ def test_pipeline_small(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     ids = [r.doc_id for r in out.select("doc_id", "parity", "round_trip").where("parity").collect()]
     assert len(ids) == len(set(ids)) > 50
+
+
+def test_sketches_bound_differences_and_units_find_all():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 7, 60, 400):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for cut in range(0, n // 3 + 1, max(1, n // 12)):
+            sets.append(np.unique(np.concatenate([base[: n - cut], rng.integers(0, 2**63, cut // 2 + 1).astype(np.uint64)])))
+    text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    words, flat = ngram_join.sketches(text, np.concatenate(sets), len(sets))
+    sketch = np.split(flat, np.cumsum(words)[:-1])
+    size, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    found = set()
+    for n in (1, 2, 4, 8, 16):  # a unit's sketches differ in length by a factor of 2 at most
+        at = np.flatnonzero((words == n) | (words == 2 * n))
+        if len(at):
+            all_of = np.ones(len(at), dtype=bool)
+            found |= set(zip(*ngram_join._close(ids[at], ids[at], size[at], [sketch[i] for i in at], all_of, all_of).tolist(), strict=True))
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * both(i, j) >= 80 * (size[i] + size[j] - both(i, j))}
+    assert links and links <= found
