@@ -329,3 +329,18 @@ def test_sketches_bound_differences_and_units_find_all():
             found |= set(zip(*ngram_join._close(ids[at], ids[at], size[at], [sketch[i] for i in at], all_of, all_of).tolist(), strict=True))
     links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * both(i, j) >= 80 * (size[i] + size[j] - both(i, j))}
     assert links and links <= found
+
+
+def test_split_units_meet_all_pairs_of_different_components(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 2)
+    comp = [0] * 6 + [6, 6, 8, 9, 9]
+    rows = spark.createDataFrame([(1, t) for t in range(11)], "sig long, tid long")
+    labels = spark.createDataFrame(list(enumerate(comp)), "tid long, comp long")
+    sets = spark.createDataFrame([(t, 1, [t]) for t in range(11)], "tid long, n_shingles long, sketch array<long>")
+    got = ngram_join._units(rows, labels, sets, ngram_join.Scratch(spark, "test")).collect()
+    units = defaultdict(list)
+    for r in got:
+        units[r.u, r.v].append(r)
+    assert len(units) > 1 and max(sum(r.query for r in u) for u in units.values()) < 5
+    met = {frozenset((x.tid, y.tid)) for u in units.values() for x in u for y in u if x.query and y.target and x.comp != y.comp}
+    assert met == {frozenset((i, j)) for i in range(11) for j in range(i) if comp[i] != comp[j]}
