@@ -8,9 +8,8 @@ that any rule matches is blocked.
 
 Tokens: host name, each domain suffix of two or more labels, first labels, path segments
 without digits, file endings, query keys, scheme and fragment presence. Training uses all
-labelled rows. Each rule holds at most ``MAX_TOKENS`` tokens; a rule whose tokens include
-those of another matches nothing more, so longer rules would change no verdict unless
-only they are confident.
+labelled rows. Rules may hold any number of tokens: a long one can be confident where
+none of its parts is.
 
 Defined results: null urls, or urls without ``://``, have empty host and path and no
 tokens; they are allowed. Null labels are not bad.
@@ -28,7 +27,7 @@ from .storage import Scratch
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-MIN_COUNT, MIN_SHARE, MIN_CONFIDENCE, MAX_TOKENS = 5, 0.002, 0.6, 3
+MIN_COUNT, MIN_SHARE, MIN_CONFIDENCE = 5, 0.002, 0.6
 _HOST_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -82,8 +81,7 @@ def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN
     found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=0.0).fit(items).freqItemsets
     bad = found.where(F.array_contains("items", mark)).select(F.array_sort(F.array_remove("items", mark)).alias("tokens"), F.col("freq").alias("bad"))
     every = found.where(~F.array_contains("items", mark)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    size = F.size("tokens")
-    return bad.join(every, "tokens").where((size >= 1) & (size <= MAX_TOKENS) & (F.col("bad") / F.col("n") >= min_confidence))
+    return bad.join(every, "tokens").where((F.size("tokens") >= 1) & (F.col("bad") / F.col("n") >= min_confidence))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -289,6 +290,26 @@ def test_url_rules_and_mining(spark):
     assert out[50][2:] == (None, "block")
 
 
+def test_url_rules_of_any_length(spark):
+    rng = random.Random(12)
+    rows = [(list("abcde"), True)] * 6 + [([t for t in "abcde" if t != x], False) for x in "abcde" for _ in range(10)]
+    rows += [(sorted(rng.sample("uvwxyz", rng.randint(1, 6))), rng.random() < 0.5) for _ in range(80)]
+    n, bad = Counter(), Counter()
+    for t, b in rows:
+        for size in range(1, len(t) + 1):
+            for c in combinations(t, size):
+                n[c] += 1
+                bad[c] += b
+    want = {c: (bad[c], n[c]) for c in n if bad[c] >= 5 and bad[c] >= 0.6 * n[c]}
+    assert tuple("abcde") in want and not any(len(c) < 5 and set(c) < set("abcde") for c in want)
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    assert {tuple(r.tokens): (r.bad, r.n) for r in url_filter.mine(labelled).collect()} == want
+    good = [f"http://{h}.example.org/{p}?{q}=1" for h, p, q in (("spam", "win", "id"), ("spam", "read", "ref"), ("ok", "win", "ref"))]
+    seen = spark.createDataFrame([("http://spam.example.org/win?ref=1", True)] * 6 + [(u, False) for u in good for _ in range(10)], "url string, bad boolean")
+    pages = spark.createDataFrame([(0, "http://spam.example.org/win?ref=2"), *enumerate(good, 1)], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, seen).collect()} == {0: "block", 1: "allow", 2: "allow", 3: "allow"}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = public_tokenizers.path("byte_bpe_50k.json")
