@@ -1,13 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup,
 exact weighted-shingle verification.
 
-A document is compared with an item of n words through its windows of n words. The
-similarity is the weighted Jaccard of their ``shingle``-word shingles, the weight being
+A document is compared with an item of n words through its windows of n words, or as a
+whole if it has fewer. The similarity is the weighted Jaccard of their ``shingle``-word shingles, the weight being
 the number of occurrences; words are runs of letters and digits, ASCII case folded.
 
-1. A window needs 8/9 of its shingles in common with the item to reach 0.8, so windows
-   with fewer shingles that occur in any item of their size cannot match and get no
-   fingerprint.
+1. A window of full size needs 8/9 of its shingles in common with the item to reach 0.8
+   (a shorter text 4/9 of both counts together), so windows with fewer shingles that
+   occur in any item of that size cannot match and get no fingerprint.
 2. The others get a 64-bit SimHash. Items are indexed by size and by ``RADIUS + 1``
    blocks of their fingerprint: two fingerprints within the radius agree on at least one
    block, so the lookup returns all items of that size within the radius.
@@ -119,27 +119,29 @@ class Index:
 
     def _in_text(self, h: np.ndarray, place: np.ndarray, known: np.ndarray) -> list[tuple[object, int, int, float]]:
         best: dict[int, tuple[float, int, int]] = {}
-        share = 2 * self.threshold / (1 + self.threshold)
+        share = self.threshold / (1 + self.threshold)
         n = self.size_n[known]
         sizes, place = self.size_of[ragged(self.size_at[known], n)], np.repeat(place, n)
         for size in np.unique(sizes).tolist():
             m = size - self.shingle + 1
             own = place[sizes == size]
-            if m > len(h) or len(own) < share * m - 1e-9:
+            width = min(m, len(h))  # a text shorter than the item is its own window
+            least = max(share * (m + width), self.threshold * m) - 1e-9
+            if len(own) < least:
                 continue
             hits = np.zeros(len(h) + 1, dtype=np.int64)
             hits[own + 1] = 1
             hits = np.cumsum(hits)
-            starts = np.flatnonzero(hits[m:] - hits[:-m] >= share * m - 1e-9)
-            for part in np.array_split(starts, max(1, len(starts) * m >> 20)):
-                windows = h[part[:, None] + np.arange(m)]
+            starts = np.flatnonzero(hits[width:] - hits[:-width] >= least)
+            for part in np.array_split(starts, max(1, len(starts) * width >> 20)):
+                windows = h[part[:, None] + np.arange(width)]
                 for s, row, fp in zip(part.tolist(), windows, simhash(windows).tolist(), strict=True):
                     near = self.within_radius(size, fp)
                     bag = Counter(row.tolist()) if near else None
                     for k in near:
                         score = similarity(bag, self.bags[k])
                         if score >= self.threshold and score > best.get(k, (0.0,))[0]:
-                            best[k] = (score, s, size)
+                            best[k] = (score, s, width + self.shingle - 1)
         return [(self.ids[k], s, n, score) for k, (score, s, n) in sorted(best.items())]
 
 

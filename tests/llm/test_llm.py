@@ -138,6 +138,27 @@ def test_decontamination(spark):
     assert clean == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(9)
+    items = [[f"v{rng.randint(0, 400)}" for _ in range(n)] for n in (14, 30, 55)]
+    texts = [item[a : len(item) - b] for item in items for a in range(8) for b in range(8)]
+    texts += [[*t[:20], "other", *t[21:]] for t in texts]
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    want = {}
+    for d, w in enumerate(texts):
+        for k, item in enumerate(items):
+            a, n = bag(item), min(len(w), len(item))
+            score, s = max((sum((a & (b := bag(w[s : s + n]))).values()) / sum((a | b).values()), -s) for s in range(len(w) - n + 1))
+            if score >= 0.8:
+                want[d, k] = (-s, n, round(score, 9))
+    assert sum(len(texts[d]) < len(items[k]) for d, k in want) > 50
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, round(r.similarity, 9)) for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == want
+    assert {r.doc_id for r in decontam.drop_leaked(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_multi_index_returns_all_within_radius():
     rng = random.Random(3)
     index = decontam.Index(list(range(60)), [" ".join(f"u{rng.randint(0, 99)}" for _ in range(20)) for _ in range(60)])
