@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are values assigned with ``=`` or ``:`` and long runs of key characters that
-hold a digit. Each gets features of its length, character classes and transitions,
+hold a digit, whole whatever their length. Each gets features of its length, character classes and transitions,
 dictionary coverage, its path (the document's source) and the words before and after it.
 A random forest trained on labelled findings scores them; a finding is a candidate with
 at least half of the votes.
@@ -33,8 +33,8 @@ from .storage import prepare
 MAX_TRAIN = 20_000
 CONTEXT = 40
 
-_ASSIGNED = re.compile(r"[=:][\x20\t]*[\"'`]?([^\s\"'`,;<>(){}|]{8,512})")
-_RUN = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{20,512}(?![A-Za-z0-9_+/=.-])")
+_ASSIGNED = re.compile(r"[=:][\x20\t]*[\"'`]?([^\s\"'`,;<>(){}|]{8,})")
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{20,}(?![A-Za-z0-9_+/=.-])")
 _WORD = re.compile(r"[a-z]+")
 
 CUE_WORDS = frozenset("token secret password passwd pwd key apikey auth authorization bearer credential credentials private access signing".split())

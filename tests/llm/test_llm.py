@@ -263,6 +263,17 @@ def test_secret_scan_rows(spark):
     assert set(out) == {1, 2} and out[1].value == token and (out[1].start, out[1].is_secret, out[2].is_secret) == (13, True, False)
 
 
+def test_secret_candidates_of_any_length(spark):
+    rng = random.Random(10)
+    for n in (512, 513, 750, 9000):
+        key = "".join(rng.choice("abcdefXYZ0189+/") for _ in range(n - 1)) + "7"
+        assert secret_scan.candidates(f"see {key} here") == [(4, 4 + n, False)]
+        assert secret_scan.candidates(f'token = "{key}" here') == [(9, 9 + n, True)]
+    forest = secret_scan.train(secret_scan.synthetic_findings(1500))
+    docs = spark.createDataFrame([(1, f"see {key} here", "src1"), (2, f'token = "{key}" here', "src1")], "doc_id long, text string, source string")
+    assert result(secret_scan.scan(docs, forest), "doc_id", "start", "end", "value") == Counter([(1, 4, 9004, key), (2, 9, 9009, key)])
+
+
 def test_quality_rules_edges(spark):
     line = "common boilerplate line that every page of this host repeats"
     rows = [(i, f"{line}\n" + " ".join(f"t{i}x{k}" for k in range(40)), "h") for i in range(30)] + [(90, line, "h"), (91, None, "h"), (92, "", None), (93, "a b " * 60, "h"), (94, f"{line}\n{line}\n" + " ".join(f"u{k}" for k in range(80)), None)]
