@@ -1,7 +1,8 @@
 """Licence scan by Dice coefficient over word bigrams; DataFrame functions only.
 
-A unit is a line, a paragraph (lines up to a blank one) or a whole text. Units and
-templates are normalised to runs of ASCII letters and digits, letters lower-cased, and compared by
+A unit is a line, a paragraph (lines up to a blank one), a whole text or, with ``runs`` as
+in the query, a run of neighbouring lines, across blank ones too. Units and templates are
+normalised to runs of ASCII letters and digits, letters lower-cased, and compared by
 
     dice = 2 * |A & B| / (|A| + |B|)
 
@@ -10,11 +11,17 @@ units of t / (2 - t) * n to (2 - t) / t * n bigrams, which prunes templates per
 only units that share one of any ``n - ceil(t / (2 - t) * n) + 1`` of its bigrams. These
 are chosen to have few words in common; texts and lines without such a word are passed
 over before they are cut into words.
-No pruning step loses a match. The plan is one narrow pass: templates are literals.
+No pruning step loses a match. The plan is two narrow passes, one for runs: templates are
+literals. Runs are cut only from texts that share ``t / (2 - t)`` of a template's bigrams,
+begin in lines with bigrams of such templates (without its first line another run does no
+worse) and grow until they have too many bigrams.
 
 Defined results: null or empty texts give no row; a unit matches its best template, ties
 go to the template named first; repeated rows each give their matches; a paragraph or
-text that is a single line is reported as a line only.
+text that is a single line is reported as a line only. Of overlapping runs and lines of
+one licence the best counts (then the one with more bigrams, the shorter, the first); one
+inside a better one of any licence is passed over. A run (unit ``lines``, numbered by its
+first line) is reported unless its paragraph or the text matches that licence.
 """
 
 from __future__ import annotations
@@ -143,8 +150,67 @@ def _longs(bigrams: list[str]) -> str:
     return f"array({', '.join(f'{bigram_hash(b)}L' for b in bigrams)})".replace("-9223372036854775808L", "bigint(-9223372036854775808)")
 
 
-def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without text, one row per matching unit: unit, unit_no, license, dice."""
+def _runs(may: DataFrame, own: list[str], known: Column, every: Column, best, threshold: float) -> DataFrame:
+    """``own`` and __m (unit, unit_no, license, dice) of the runs of lines. ``may``: own, __text."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    distinct = lambda words: F.array_distinct(_bigrams(words))
+    # generators, so that each step is computed once and only for the texts that are left
+    step = lambda df, value, keep, name: df.select(*own, *(c for c in df.columns if c not in own), F.explode(F.filter(F.array(value), keep)).alias(name))
+
+    def shared(b: Column) -> Column:
+        hits = F.array_intersect(b, every)
+        near = lambda h: F.filter(known, lambda t: F.size(F.array_intersect(h, t["bigrams"])) >= t["n"] * low - 1e-9)
+        return _let(hits, lambda h: F.struct(b.alias("all"), h.alias("hits"), near(h).alias("near")))
+
+    texts = may.where(F.contains(F.trim("__text", F.lit("\n \t\r")), F.lit("\n")))
+    texts = step(texts, _let(distinct(_words(F.col("__text"))), shared), lambda d: F.size(d["near"]) > 0, "__d")
+    lines = F.transform(F.split("__text", "\n"), lambda x, k: F.struct(k.cast("long").alias("no"), _words(x).alias("words"), (F.trim(x, F.lit(" \t\r")) == "").alias("blank")))
+    texts = step(texts, lines, lambda x: F.lit(True), "__lines")
+    texts = step(texts, F.filter("__lines", lambda x: F.size(x["words"]) > 0), lambda p: F.size(p) > 1, "__p")
+    parts, near = F.col("__p"), F.col("__d.near")
+    most = F.array_max(F.transform(near, lambda t: t["n"])) * high + 1e-9
+    kind = "array<struct<first:bigint,last:bigint,n:int,dice:double,license:string>>"
+
+    def from_line(start: Column) -> Column:
+        """The matching runs that begin in a line, the line itself among them."""
+
+        def grow(state: Column, line: Column) -> Column:
+            def score(b: Column) -> Column:
+                run = lambda m: F.struct(start["no"].alias("first"), line["no"].alias("last"), F.size(b).alias("n"), m["dice"].alias("dice"), m["license"].alias("license"))
+                new = F.transform(F.filter(F.array(best(b, near)), lambda m: m["dice"] >= threshold), run)
+                return F.struct(F.slice(line["words"], -1, 1).alias("tail"), b.alias("set"), F.concat(state["out"], new).alias("out"))
+
+            grown = F.array_distinct(F.concat(state["set"], _bigrams(F.concat(state["tail"], line["words"]))))
+            return F.when(F.size(state["set"]) > most, state).otherwise(_let(grown, score))
+
+        zero = F.struct(F.array().cast("array<string>").alias("tail"), F.array().cast("array<bigint>").alias("set"), F.array().cast(kind).alias("out"))
+        return F.aggregate(F.filter(parts, lambda x: x["no"] >= start["no"]), zero, grow, lambda state: state["out"])
+
+    after = lambda k: F.coalesce(F.slice(F.get(parts, k + 1)["words"], 1, 1), F.array().cast("array<string>"))
+    starts = F.filter(parts, lambda x, k: F.arrays_overlap(_bigrams(F.concat(x["words"], after(k))), F.col("__d.hits")))
+    texts = step(texts, F.flatten(F.transform(starts, from_line)), lambda c: F.exists(c, lambda r: r["last"] > r["first"]), "__c")
+    ranked = F.array_sort(F.transform("__c", lambda r: F.struct((-r["dice"]).alias("by"), (-r["n"]).alias("size"), (r["last"] - r["first"]).alias("length"), r["first"].alias("first"), r["last"].alias("last"), r["license"].alias("license"))))
+
+    def keep(kept: Column, r: Column) -> Column:
+        overlaps = lambda o: (o["license"] == r["license"]) & (o["first"] <= r["last"]) & (r["first"] <= o["last"])
+        taken = F.exists(kept, lambda o: overlaps(o) | ((o["first"] <= r["first"]) & (r["last"] <= o["last"])))
+        return F.when(taken, kept).otherwise(F.array_append(kept, r))
+
+    none = F.array().cast("array<struct<by:double,size:int,length:bigint,first:bigint,last:bigint,license:string>>")
+    texts = step(texts, F.aggregate(ranked, none, keep), lambda c: F.exists(c, lambda r: r["length"] > 0), "__k")
+    texts = texts.select(*own, "__d", "__lines", F.explode("__k").alias("__r")).where("__r.length > 0")
+    r = F.col("__r")
+    blanks = F.transform(F.filter("__lines", lambda x: x["blank"]), lambda x: x["no"])
+    begin = F.coalesce(F.array_max(F.filter(blanks, lambda b: b < r["first"])), F.lit(-1))
+    end = F.coalesce(F.array_min(F.filter(blanks, lambda b: b > r["first"])), F.size("__lines").cast("long"))
+    paragraph = _let(F.struct(begin.alias("begin"), end.alias("end")), lambda p: F.when(r["last"] < p["end"], F.flatten(F.transform(F.filter("__lines", lambda x: (x["no"] > p["begin"]) & (x["no"] < p["end"])), lambda x: x["words"]))))
+    same = lambda m: F.coalesce((m["dice"] >= threshold) & (m["license"] == r["license"]), F.lit(False))
+    whole = F.exists(F.array(F.col("__d.all"), distinct(paragraph)), lambda b: same(best(b, known)))
+    return texts.where(~whole).select(*own, F.struct(F.lit("lines").alias("unit"), r["first"].alias("unit_no"), r["license"].alias("license"), (-r["by"]).alias("dice")).alias("__m"))
+
+
+def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, runs: bool = False) -> DataFrame:
+    """``docs`` without text, one row per matching unit: unit, unit_no, license, dice; runs of lines only with ``runs``."""
     templates = TEMPLATES if templates is None else templates
     sets = [(name, template_bigrams(body)) for name, body in templates]
     sets = [(name, b) for name, b in sets if b]
@@ -170,22 +236,26 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
     unit = may.select(*own, F.explode(units).alias("__u")).where(may_match(F.col("__u.body")))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
 
-    def best(b: Column) -> Column:
+    def best(b: Column, among: Column) -> Column:
         n = F.size(b)
         # size bounds first, the intersection only for templates that are left
-        near = F.filter(known, lambda t: (n >= t["n"] * low - 1e-9) & (n <= t["n"] * high + 1e-9))
+        near = F.filter(among, lambda t: (n >= t["n"] * low - 1e-9) & (n <= t["n"] * high + 1e-9))
         scored = F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect(b, t["bigrams"])) / (n + t["n"])).alias("dice"), (-t["no"]).alias("order"), t["name"].alias("license")))
         return F.when(F.arrays_overlap(b, anchor), F.array_max(scored))
 
-    top = _let(F.array_distinct(_bigrams(_words(F.col("__u.body")))), best)
+    top = _let(F.array_distinct(_bigrams(_words(F.col("__u.body")))), lambda b: best(b, known))
     # a generator, so that the match is computed once and then filtered
     matched = unit.select(*own, "__u", F.explode(F.filter(F.array(top), lambda m: m["dice"] >= threshold)).alias("__m"))
-    return matched.select(*own, F.col("__u.unit").alias("unit"), F.col("__u.unit_no").alias("unit_no"), F.col("__m.license").alias("license"), F.col("__m.dice").alias("dice"))
+    single = matched.select(*own, F.col("__u.unit").alias("unit"), F.col("__u.unit_no").alias("unit_no"), F.col("__m.license").alias("license"), F.col("__m.dice").alias("dice"))
+    if not runs:
+        return single
+    every = F.expr(_longs(sorted({b for _, bigrams in sets for b in bigrams})))
+    return single.unionByName(_runs(may, own, known, every, best, threshold).select(*own, "__m.*"))
 
 
 def op1_license_scan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs).withColumn("dice", F.round("dice", 6))
+    return scan(docs, runs=True).withColumn("dice", F.round("dice", 6))
 
 
 def op1_sql() -> str:

@@ -311,6 +311,53 @@ def test_license_scan_brute_force(spark):
     assert result(license_scan.scan(docs), "doc_id", "unit", "unit_no", "license") == want
 
 
+def test_license_scan_notices_over_several_paragraphs(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"p{rng.randint(0, 99)}" for _ in range(n))
+    body = {n: t for n, t in reversed(license_scan.TEMPLATES)}
+    gpl, apache, bsd = body["GPL-3.0-or-later"], body["Apache-2.0"], body["BSD-3-Clause"]
+    gpl = gpl.replace(" This program is distributed", "\n\nThis program is distributed")
+    apache = apache.replace(" Unless", "\n \t\nUnless").replace(" You may obtain", "\n\nYou may obtain")
+    wrapped = "\n".join(" ".join(bsd.split()[k : k + 9]) for k in range(0, len(bsd.split()), 9))
+    texts = [f"{prose(100)}\n\n{gpl}\n\n{prose(100)}", f"{prose(60)}\n{prose(60)}\n\n{apache}\n\n{prose(60)}", f"{prose(90)}\n{wrapped}\n{prose(90)}", gpl, f"{prose(90)}\n\n{wrapped}\n\n{prose(90)}", f"{prose(20)}\n{prose(20)}"]
+    texts.append(f"{prose(9)}\n\n{gpl}\n\n{prose(200)}\n\n{gpl}\n\n{prose(200)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.unit, r.unit_no, r.license, round(r.dice, 3)) for r in license_scan.scan(docs, runs=True).collect()}
+    lines = {(0, 2, "GPL-3.0-or-later"), (1, 3, "Apache-2.0"), (2, 1, "BSD-3-Clause"), (6, 2, "GPL-3.0-or-later"), (6, 8, "GPL-3.0-or-later")}
+    assert {(d, k, n) for d, u, k, n, s in got if u == "lines" and s == 1} == lines == {(d, k, n) for d, u, k, n, _ in got if u == "lines"}
+    assert {(3, "text", 0, "GPL-3.0-or-later", 1.0), (4, "paragraph", 1, "BSD-3-Clause", 1.0)} <= got
+
+
+def test_license_scan_runs_brute_force(spark):
+    rng = random.Random(13)
+    sets = [set(license_scan.template_bigrams(t)) for _, t in license_scan.TEMPLATES]
+    prose = lambda n: " ".join(rng.choice(["of the", "license", "p1", "p2", "p3", "this work is"]) for _ in range(n))
+    texts = []
+    for _ in range(40):
+        body = rng.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, len(body) // 8)):
+            body[rng.randrange(len(body))] = rng.choice(["foo", "bar", "License,"])
+        cut = max(1, len(body) // 6)
+        pieces = [" ".join(body[k : k + cut]) + rng.choice(["\n", "\n\n", "\n--\n", " "]) for k in range(0, len(body), cut)]
+        texts.append(f"{prose(9)}\n" * rng.randint(0, 2) + prose(70) + rng.choice(["\n", "\n\n"]) + "".join(pieces) + f"\n{prose(3)}\n{prose(70)}")
+    want = {}
+    for d, t in enumerate(texts):
+        lines, scores = [re.findall("[a-z0-9]+", x.lower()) for x in t.split("\n")], [0.0]
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                w = [x for line in lines[i : j + 1] for x in line]
+                a = {f"{x} {y}" for x, y in zip(w, w[1:], strict=False)}
+                scores += [2 * len(a & b) / (len(a) + len(b)) for b in sets]
+        if max(scores) >= 0.8:
+            want[d] = round(max(scores), 9)
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), runs=True).collect():
+        got[r.doc_id] = max(got.get(r.doc_id, 0), round(r.dice, 9))
+    assert len(want) > 25 and got.keys() == want.keys()
+    # a run inside a matching paragraph or text of its licence is left to that unit
+    assert sum(got[d] == want[d] for d in want) > 0.9 * len(want)
+
+
 def test_url_rules_and_mining(spark):
     urls = ["http://a.NET/x", "http://a.net", "https://www.example.net/en/1", "http://example.com/de/", "http://notexample.com/de/", "http://b.org/fr/x?q=1", None, "no scheme", "http:///p"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)] + [(50, "http://spam.example.org/win/9?x=1", "r")], "page_id long, url string, rule string")
