@@ -3,8 +3,10 @@
 An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, plus signs,
 digits, URL schemes and identifier cues. From each anchor a deterministic local parser
 expands to the boundaries of an email address, IP address, card or phone number
-(``BASE`` kinds), and of an address with credentials or an IP host, an IBAN, or an
-account number behind its cue (added kinds), and validates what it found.
+(``BASE`` kinds), and of an address with credentials or an IP host or the number of a
+``tel:`` link, an IBAN, or an account or passport number behind its cue (added kinds), and
+validates what it found. Schemes and cues are found in any ASCII case. An IBAN without its
+cue must be in upper case and have its country's length.
 
 Base kinds, leftmost and non-overlapping per kind, failing matches dropped, no retries:
 
@@ -32,10 +34,16 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "iban", "account")
 KINDS = BASE + ADDED
 
-#: Identifier cues in lower case; found also capitalised and in upper case.
+#: Identifier cues in lower case; found in any case.
 CUES = ("account number", "account no", "account:", "acct", "customer number", "customer id", "passport no", "passport number", "ssn")
-SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "tel:")
+#: The address behind ``mailto:`` is found by its at-sign.
+SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
 _IBAN_CUE = "iban"
+#: Length of an IBAN by country.
+_IBAN_SIZE = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 "
+    "KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +54,8 @@ _RUN = re.compile(r"[0-9]+")
 _URL_USER = re.compile(r"(?:https?|ftp|sftp|ssh)://([A-Za-z0-9._~%!$&'()*+,;=:-]+@)?(\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9.-]+)(?::[0-9]{1,5})?(?:/[^\s\"'<>|]*)?", re.I)
 _IBAN = re.compile(r"[\x20:.#=-]{0,4}([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})")
 _ACCOUNT = re.compile(r"[\x20:.#=-]{0,4}(?:is\x20)?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
+_PASSPORT = re.compile(r"[\x20:.#=-]{1,4}(?:is\x20)?((?:[A-Z]{1,2}\x20)?(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,12})(?![A-Za-z0-9])")
+_TEL = re.compile(r"([0-9(][0-9().-]*[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +99,27 @@ def _iban(text: str, end_of_cue: int) -> tuple[int, int] | None:
     return None
 
 
+def _bare_iban(text: str, at: int) -> tuple[int, int] | None:
+    """The IBAN whose first digit is at ``at``, without a cue."""
+    s, left = at - 2, _IBAN_SIZE.get(text[at - 2 : at], 0)
+    if not left or (s and text[s - 1].isalnum()):
+        return None
+    e = s
+    while left and e < len(text):
+        if "0" <= text[e] <= "9" or "A" <= text[e] <= "Z":
+            left -= 1
+        elif text[e] != " " or text[e - 1] == " ":
+            return None
+        e += 1
+    body = text[s:e]
+    return None if left or (e < len(text) and text[e].isalnum()) or not body.replace(" ", "")[2:4].isdigit() or not iban_ok(body) else (s, e)
+
+
+def _account(text: str, end_of_cue: int, passport: bool) -> tuple[int, int] | None:
+    found = [m.span(1) for p in ((_ACCOUNT, _PASSPORT) if passport else (_ACCOUNT,)) if (m := p.match(text, end_of_cue))]
+    return max(found, key=lambda x: x[1], default=None)
+
+
 def automaton():
     import ahocorasick
 
@@ -97,14 +128,12 @@ def automaton():
         a.add_word(c, ("digit", 1))
     a.add_word("@", ("at", 1))
     a.add_word("+", ("plus", 1))
-    for s in SCHEMES[:5]:
-        for v in {s, s.upper(), s.capitalize()}:
-            a.add_word(v, ("scheme", len(v)))
+    for s in SCHEMES:
+        a.add_word(s, ("scheme", len(s)))
+    a.add_word("tel:", ("tel", 4))
     for c in CUES:
-        for v in {c, c.upper(), c.capitalize()}:
-            a.add_word(v, ("cue", len(v)))
-    for v in ("iban", "IBAN", "Iban"):
-        a.add_word(v, ("iban", 4))
+        a.add_word(c, ("passport" if c.startswith("passport") else "cue", len(c)))
+    a.add_word(_IBAN_CUE, ("iban", 4))
     a.make_automaton()
     return a
 
@@ -119,9 +148,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
         _AUTOMATON = automaton()
     out: list[tuple[str, int, int]] = []
     email_end = ip_end = card_end = phone_end = url_end = account_end = 0
-    for last, (what, size) in _AUTOMATON.iter(text):
+    folded = text.lower() if text.isascii() else text.translate(_LOWER)
+    for last, (what, size) in _AUTOMATON.iter(folded):
         at = last - size + 1
         if what == "digit":
+            if at > 1 and at - 2 >= account_end and "A" <= text[at - 1] <= "Z" and (span := _bare_iban(text, at)):
+                out.append(("iban", *span))
+                account_end = span[1]
             if at >= ip_end:
                 chain = _IP_CHAIN.match(text, at)
                 ip_end = chain.end()
@@ -153,9 +186,12 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if last + 1 >= account_end and (span := _iban(text, last + 1)):
                 out.append(("iban", *span))
                 account_end = span[1]
-        elif last + 1 >= account_end and not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
-            out.append(("account", m.start(1), m.end(1)))
-            account_end = m.end(1)
+        elif what == "tel":
+            if not (at and text[at - 1].isalnum()) and (m := _TEL.match(text, last + 1)) and 7 <= sum(c.isdigit() for c in m.group(1)) <= 15:
+                out.append(("address", *m.span(1)))
+        elif last + 1 >= account_end and not (at and text[at - 1].isalnum()) and (span := _account(text, last + 1, what == "passport")):
+            out.append(("account", *span))
+            account_end = span[1]
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return out
 

@@ -194,6 +194,16 @@ def test_pii_base_spans_equal_the_patterns():
     assert not [s for s in pii.find("IBAN: DE88 3704 0044 0532 0130 00") if s[0] == "iban"]
 
 
+def test_pii_cues_in_any_case_and_ibans_without_cue():
+    spans = lambda t: [(k, t[s:e]) for k, s, e in pii.find(t) if k in pii.ADDED]
+    assert spans("Account Number: 12345678, Customer ID: 1234567, aCCt 7654321") == [("account", "12345678"), ("account", "1234567"), ("account", "7654321")]
+    assert spans("İ Passport No. C01X00T47, PASSPORT NUMBER: AB 1234567, passport number 123 456 789") == [("account", "C01X00T47"), ("account", "AB 1234567"), ("account", "123 456 789")]
+    assert spans("pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432.") == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]
+    assert spans("iBaN DE89370400440532013000") == [("iban", "DE89370400440532013000")]
+    assert spans("HtTp://u:p@ex.org/x tel:030-1234567 (Tel:5551234567)") == [("address", "HtTp://u:p@ex.org/x"), ("address", "030-1234567"), ("address", "5551234567")]
+    assert spans("DE88370400440532013000 xDE89370400440532013000 DE893704004405320130001 hotel:12345678 passport number required, passport nothing12345") == []
+
+
 def test_pii_scan_and_mask(spark):
     docs = spark.createDataFrame([(1, "é me@ex.org now", 5), (2, None, 5), (2, "", 5)], "doc_id long, text string, pii_spans long")
     out = {(r.doc_id, r.text): [tuple(s) for s in r.pii_spans] for r in pii.scan(docs, masked="text").collect()}
