@@ -41,20 +41,27 @@ def coarse_reviewed(entries: DataFrame, viewed: DataFrame, run_frames: DataFrame
     return hit.groupBy("source_id", "id", "two").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.when(F.col("two"), 2).otherwise(1)).select("source_id", "id")
 
 
-def crop_regions(assets: DataFrame, depth: int = 8) -> DataFrame:
-    """(source_id, id, x0, y0, x1, y1) of crops in source coordinates; chains deeper than ``depth``, cycles and bad boxes fail closed."""
+def crop_regions(assets: DataFrame) -> DataFrame:
+    """(source_id, id, x0, y0, x1, y1) of crops in source coordinates; cycles and bad boxes fail closed.
+
+    One round for each level of the deepest chain; what is left after it is checkpointed.
+    """
     box = lambda i: F.col("crop")[i]
     crops = assets.where("kind = 'crop'").where((F.size("crop") == 4) & (box(0) >= 0) & (box(1) >= 0) & (box(0) < box(2)) & (box(1) < box(3)))
     step = crops.select("source_id", "id", "parent_id", *(box(i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
     full = assets.where("kind = 'full'").select("source_id", F.col("id").alias("parent_id"))
     parents = step.select("source_id", F.col("id").alias("parent_id"), F.col("parent_id").alias("up"), F.col("x0").alias("px"), F.col("y0").alias("py"), F.col("x1").alias("qx"), F.col("y1").alias("qy"))
-    out, rest = None, step
-    for _ in range(depth):
-        done = rest.join(full, ["source_id", "parent_id"], "left_semi").drop("parent_id")
+    shared = assets.sparkSession.sparkContext.getCheckpointDir() is not None
+    out, rest = None, step.withColumn("passed", F.array("id"))
+    while True:
+        done = rest.join(full, ["source_id", "parent_id"], "left_semi").drop("parent_id", "passed")
         out = done if out is None else out.unionByName(done)
-        up = rest.join(parents, ["source_id", "parent_id"]).where("px + x1 <= qx and py + y1 <= qy")
-        rest = up.select("source_id", "id", F.col("up").alias("parent_id"), (F.col("px") + F.col("x0")).alias("x0"), (F.col("py") + F.col("y0")).alias("y0"), (F.col("px") + F.col("x1")).alias("x1"), (F.col("py") + F.col("y1")).alias("y1"))
-    return out
+        up = rest.where(~F.array_contains("passed", F.col("parent_id"))).join(parents, ["source_id", "parent_id"]).where("px + x1 <= qx and py + y1 <= qy")
+        passed = F.array_append("passed", F.col("parent_id")).alias("passed")
+        up = up.select("source_id", "id", F.col("up").alias("parent_id"), (F.col("px") + F.col("x0")).alias("x0"), (F.col("py") + F.col("y0")).alias("y0"), (F.col("px") + F.col("x1")).alias("x1"), (F.col("py") + F.col("y1")).alias("y1"), passed)
+        rest = up.checkpoint() if shared else up.localCheckpoint()
+        if rest.isEmpty():
+            return out
 
 
 def coverage_counts(spans: DataFrame, run_frames: DataFrame) -> DataFrame:

@@ -70,6 +70,15 @@ def test_crop_chain(spark):
     assert rows(evidence.crop_regions(assets), "id", "x0", "y0", "x1", "y1") == [("c", 10, 10, 50, 50), ("d", 15, 15, 30, 30)]
 
 
+def test_crop_chains_of_any_depth(spark):
+    chain = [("v", f"c{k}", "crop", f"c{k - 1}" if k else "f", [1, 2, 200 - 3 * k, 200 - 3 * k]) for k in range(13)]
+    loop = [("v", f"l{k}", "crop", f"l{(k + 1) % 3}", [0, 0, 9, 9]) for k in range(3)] + [("v", "tail", "crop", "l0", [0, 0, 5, 5]), ("v", "self", "crop", "self", [0, 0, 9, 9])]
+    assets = spark.createDataFrame([("v", "f", "full", None, None), *chain, *loop], "source_id string, id string, kind string, parent_id string, crop array<int>")
+    want = sorted((f"c{k}", k + 1, 2 * k + 2, 200 - 2 * k, 200 - k) for k in range(13))
+    assert rows(evidence.crop_regions(assets), "id", "x0", "y0", "x1", "y1") == want
+
+
+
 def test_srt_and_clock(spark):
     srt = "1\n00:00:01,500 --> 00:00:02,000\nhello\nthere\n\n2\n01:00:00,000 --> 01:00:01,250\nbye"
     cues = adapters.srt_cues(spark.createDataFrame([("v", srt)], "source_id string, text string"))
