@@ -6,7 +6,9 @@ and the driver can see; so a lost executor costs a re-read, never a re-run of th
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,13 +17,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-#: Rows per Arrow batch: texts may be long, so batches are kept short.
-ARROW_ROWS = 256
+#: Bytes per Arrow batch: texts may be long, so batches are bounded by size, not by rows.
+ARROW_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to Python workers and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Ship this package to Python workers and keep Arrow batches small.
+
+    Plans read the batch size when they run, which may be after the operator returned; so a
+    larger size of the session is lowered, and a smaller one left alone.
+    """
+    held = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(held, "64m")) <= ARROW_BYTES:
+        spark.conf.set(held, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -31,14 +39,25 @@ def prepare(spark: SparkSession) -> None:
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
+        atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
         spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
 
 
+def _bytes(size: str) -> int:
+    """A setting such as ``64m`` or ``67108864b`` in bytes."""
+    size = size.strip().lower().removesuffix("b")
+    unit = "kmgt".find(size[-1:]) + 1 if size[-1:].isalpha() else 0
+    return int(size[:-1] if unit else size) << 10 * unit
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's checkpoint folder; a folder of our own only where none is set and
+    all tasks run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/strandline-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -61,11 +80,12 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing will read again."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing will read again."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

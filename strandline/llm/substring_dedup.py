@@ -130,7 +130,8 @@ def _result(block: tb.Block, first: int, raw: bytes, starts: np.ndarray, w: Word
 
 
 def per_document(docs: DataFrame, results: DataFrame, text: str = "text") -> DataFrame:
-    """Every document with the row of its text; the key column is dropped again."""
+    """Every document with the row of its text; columns of ``docs`` named like a result give way to it."""
+    docs = docs.drop(*(c for c in results.columns if c not in ("digest", text)))
     keyed = docs.withColumn("__digest", tb.text_key(text))
     return keyed.join(results.withColumnRenamed("digest", "__key"), F.col("__digest") == F.col("__key"), "left").drop("__digest", "__key")
 
