@@ -6,11 +6,15 @@ Two texts link when the Jaccard similarity of their distinct ``shingle``-word sh
 
 Method. Sizes fall into bands whose ends differ by a factor of 1.25, so linked sets lie in
 the same or in neighbouring bands; a set joins one instance for each such pair of bands.
-An instance splits the shingle domain into n >= k + 1 parts, k the most that two of its
-sets may differ. Sets that differ in d elements agree on at least n - d parts. Of its
-parts a set signs those with at least q shingles, q as large as leaves d + 1 of them; of
-two linked sets the one with the larger q has an agreeing part that both sign, so no
-link is lost, and parts with one chance shingle need not be signed.
+Let k be the most that two sets of an instance may differ. The instance splits the shingle
+domain into k // 2 + 1 first-level parts, so that two of its linked sets differ by at most
+one element in some part, and each of these into three second-level parts. Signatures are
+the subsets of two of the three: the one differing element spoils two subsets, and the two
+sets share the third. Sets that differ in d elements spoil a bounded number of all subsets,
+so a set need not sign all: it signs those with at least q shingles, q as large as leaves
+one more than d elements can spoil. Of two linked sets the one with the larger q has an
+unspoilt subset that both sign, so no link is lost, and subsets with one chance shingle
+need not be signed.
 
 Signatures of the whole corpus are counted by the request/answer protocol of
 ``textblocks``. Two passes then find all links that components need:
@@ -42,6 +46,10 @@ from .storage import Scratch, shuffle_partitions
 from .wordhash import BASE_A, BASE_B, U, Words, mix
 
 _STRENGTHS = 16
+#: Second-level parts of a first-level part; a signature leaves one of them out.
+SECONDS = 3
+#: A key with more than 1 / HOT of a join's rows is dealt to several tasks.
+HOT = 1000
 #: Largest sketch of a set in bits; larger sets are pruned less.
 SKETCH_BITS = 1 << 14
 #: Members on each side of a unit of the second pass.
@@ -75,7 +83,7 @@ def shingle_sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(text: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of all parts that the sets sign."""
+    """(text, signature) of all subsets of parts that the sets sign."""
     size = np.bincount(text, minlength=n_texts)
     ends = band_ends(int(size.max(initial=1)))
     own = np.searchsorted(ends, size)
@@ -83,25 +91,30 @@ def signatures(text: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarra
     for step in (0, 1):  # with smaller or equal bands, then with the next larger one
         instance = own + step
         most = ends[instance]
-        k = 2 * most // 9
-        parts = np.where(size > 0, k + 1 + k // 8, 0)
+        firsts = np.where(size > 0, (2 * most // 9) // 2 + 1, 0)
         differ = (size + np.minimum(size * 5 // 4, most)) // 9
-        base = np.cumsum(parts) - parts
-        total = int(parts.sum())
+        # one element spoils two subsets of its part, a second one there the third
+        spoilt = 2 * np.minimum(differ, firsts) + np.maximum(differ - firsts, 0)
+        cells = firsts * SECONDS
+        base = np.cumsum(cells) - cells
+        total = int(cells.sum())
         salt = mix((instance.astype(U) + U(1)) * BASE_A)
-        at = ((mix(h ^ salt[text]) >> U(32)) * parts[text].astype(U)) >> U(32)
+        at = ((mix(h ^ salt[text]) >> U(32)) * cells[text].astype(U)) >> U(32)
         seg = base[text] + at.astype(np.int64)
-        strength = np.minimum(np.bincount(seg, minlength=total), _STRENGTHS - 1)
+        count = np.bincount(seg, minlength=total)
         sums = np.zeros(total, dtype=np.uint64)
         np.add.at(sums, seg, mix(h + BASE_B))
-        owner = np.repeat(np.arange(n_texts), parts)
+        # the subset that leaves out each cell of its first-level part
+        rest = lambda x: (x.reshape(-1, SECONDS).sum(axis=1, dtype=x.dtype)[:, None] - x.reshape(-1, SECONDS)).reshape(-1)
+        strength = np.minimum(rest(count), _STRENGTHS - 1)
+        owner = np.repeat(np.arange(n_texts), cells)
         counts = np.bincount(owner * _STRENGTHS + strength, minlength=n_texts * _STRENGTHS).reshape(n_texts, _STRENGTHS)
         at_least = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
-        q = (at_least >= (differ + 1)[:, None]).sum(axis=1) - 1
+        q = (at_least >= (spoilt + 1)[:, None]).sum(axis=1) - 1
         signed = np.flatnonzero(strength >= q[owner])
-        part = signed - base[owner[signed]]
+        left_out = signed - base[owner[signed]]
         out_text.append(owner[signed])
-        out_sig.append(mix(sums[signed] + mix(salt[owner[signed]] + part.astype(U))))
+        out_sig.append(mix(rest(sums)[signed] + mix(salt[owner[signed]] + left_out.astype(U))))
     return np.concatenate(out_text), np.concatenate(out_sig)
 
 
@@ -177,6 +190,28 @@ def signed_texts(scratch: Scratch, docs: DataFrame, text: str, shingle: int) ->
     return texts
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, deal: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each ``key``), hot keys split by ``deal``.
+
+    Keys with more than 1 / ``HOT`` of the rows get a salt for each such share. There are
+    fewer than ``HOT`` of them, which bounds what is broadcast, and ``table`` repeats their
+    rows fewer than 2 * ``HOT`` times. ``hot``: what ``hot_keys`` gave for these rows.
+    """
+    hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)
+    salts = F.when(F.col(key).isNull(), HOT).otherwise(F.coalesce("__salts", F.lit(1)))  # null keys match nothing
+    salt = F.pmod(F.xxhash64(deal), salts).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
+    copies = table.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)).cast("int") - 1))).drop("__salts")
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, __salts) of the keys with more than 1 / ``HOT`` of the rows; read from files, so cheap to repeat."""
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total)
+    return counts.select(key, F.ceil(F.col("n") * HOT / F.lit(max(1, total))).alias("__salts"))
+
+
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches leave a link possible."""
     x = sets.select(F.col("tid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
@@ -185,7 +220,7 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     half = lambda p: (F.size(p) / 2).cast("int")
     fold = lambda p, q: F.when(F.size(p) > F.size(q), xor(F.slice(p, 1, half(p)), F.slice(p, half(p) + 1, half(p)))).otherwise(F.col(p))
     differ = F.aggregate(xor("fa", "fb"), F.lit(0), lambda s, w: s + F.bit_count(w))
-    both = pairs.join(x, "a").join(y, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    both = spread_join(spread_join(pairs, x, "a", "b", hot=hot_keys(pairs, "a")), y, "b", "a", hot=hot_keys(pairs, "b")).where("5 * least(na, nb) >= 4 * greatest(na, nb)")
     return both.select("a", "b", "na", "nb", fold("sa", "sb").alias("fa"), fold("sb", "sa").alias("fb")).where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
 
 
@@ -195,7 +230,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def of(end: str, name: str) -> DataFrame:  # the semi-join is broadcast where small, else it shares the join's partitioning
         return sets.join(pairs.select(F.col(end).alias("tid")).distinct(), "tid", "left_semi").select(F.col("tid").alias(end), F.col("shingles").alias(name))
 
-    joined = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
+    joined = spread_join(spread_join(pairs, of("a", "sa"), "a", "b"), of("b", "sb"), "b", "a", hot=hot_keys(pairs, "b")).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
     return joined.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("union")).where("100 * inter >= 80 * union")
 
 
@@ -273,17 +308,19 @@ def _units(rows: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch
 def components(scratch: Scratch, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """(tid, comp): the smallest node reachable; label propagation with shortcuts."""
     both = scratch.table(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"{name}-edges")
+    hubs = hot_keys(both, "v")
     labels, step = scratch.table(nodes.select("tid", "comp"), f"{name}-0"), 0
     while True:
         step += 1
-        near = both.join(labels, both.v == labels.tid).groupBy("u").agg(F.min("comp").alias("low"))
-        better = labels.join(near, labels.tid == near.u, "left").select("tid", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
+        near = spread_join(both, labels.select(F.col("tid").alias("v"), "comp"), "v", "u", hot=hubs).groupBy("u").agg(F.min("comp").alias("low"))
+        better = scratch.table(labels.join(near, labels.tid == near.u, "left").select("tid", F.col("comp").alias("old"), F.least("comp", "low").alias("comp")), f"{name}-near-{step}")
         # the label of a label: a component's old label moves as a whole
-        moved = better.where("comp < old").groupBy(F.col("old").alias("was")).agg(F.min("comp").alias("to"))
-        jumped = better.join(moved, better.comp == moved.was, "left").select("tid", "old", F.least("comp", "to").alias("comp"))
+        moved = better.where("comp < old").groupBy(F.col("old").alias("comp")).agg(F.min("comp").alias("to"))
+        jumped = spread_join(better, moved, "comp", "tid", "left").select("tid", "old", F.least("comp", "to").alias("comp"))
         table = scratch.table(jumped, f"{name}-{step}")
         changed = table.where("comp < old").limit(1).count()
         labels = table.select("tid", "comp")
+        scratch.drop(f"{name}-near-{step}", f"{name}-{step - 1}")
         if not changed:
             return labels
 
@@ -306,11 +343,14 @@ def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: S
     pick = F.max(F.struct("centre", (-F.col("tid")).alias("minus"))).alias("r")
     # groups with the same members are one group
     stats = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("tid").cast("decimal(20,0)")).alias("s"), pick).where("n > 1").select("sig", "n", "s", (-F.col("r.minus")).alias("rep"))
-    reps = scratch.table(stats.groupBy("n", "s", "rep").agg(F.min("sig").alias("sig")).select("sig", "rep"), "groups")
-    rows = scratch.table(rows.join(reps, "sig").select("sig", "tid", "rep"), "members")
+    reps = scratch.table(stats.groupBy("n", "s", "rep").agg(F.min("sig").alias("sig")).select("sig", "rep", "n"), "groups")
+    total = reps.agg(F.sum("n")).first()[0] or 1
+    hot = reps.where(F.col("n") * HOT > total).select("sig", F.ceil(F.col("n") * HOT / F.lit(total)).alias("__salts"))
+    rows = scratch.table(spread_join(rows, reps.select("sig", "rep"), "sig", "tid", hot=hot).select("sig", "tid", "rep"), "members")
     labels = found = None
     if rows.limit(1).count():
-        first = scratch.table(_near(rows.where("tid <> rep").select(*_pair("tid", "rep")).distinct(), sets), "pairs-0")
+        met = scratch.table(rows.where("tid <> rep").select(*_pair("tid", "rep")).distinct(), "met")
+        first = scratch.table(_near(met, sets), "pairs-0")
         found = scratch.table(_links(first, sets), "links-0")
         labels = components(scratch, sets.select("tid", F.col("tid").alias("comp")), found, "comp-0")
         units = _units(rows, labels, sets, scratch)
@@ -329,27 +369,32 @@ def join_texts(docs: DataFrame, text: str = "text", shingle: int = 5, scratch: S
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with n_shingles and component_id."""
+    """``docs`` with n_shingles and component_id, which replace columns of these names."""
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
+    docs = docs.drop(*({"n_shingles", "component_id"} - {doc_id, text}))
     members, _ = join_texts(docs, text, shingle, scratch)
-    first = docs.where(F.col(text).isNotNull()).groupBy(tb.text_key(text).alias("digest")).agg(F.min(doc_id).alias("first"))
-    texts = scratch.table(members.join(first, "digest").select("digest", "n_shingles", "comp", "first"), "classes")
+    first = docs.where(F.col(text).isNotNull()).groupBy(tb.text_key(text).alias("digest")).agg(F.min(doc_id).alias("first"), F.count(F.lit(1)).alias("copies"))
+    texts = scratch.table(members.join(first, "digest").select("digest", "n_shingles", "comp", "first", "copies"), "classes")
+    total = texts.agg(F.sum("copies")).first()[0] or 1
+    copied = texts.where(F.col("copies") * HOT > total).select(F.col("digest").alias("__digest"), F.ceil(F.col("copies") * HOT / F.lit(total)).alias("__salts"))
     lowest = texts.groupBy("comp").agg(F.min("first").alias("component_id"))
-    per_text = texts.join(lowest, "comp").select(F.col("digest").alias("__key"), "n_shingles", "component_id")
+    per_text = spread_join(texts, lowest, "comp", "digest").select(F.col("digest").alias("__digest"), "n_shingles", "component_id")
     keyed = docs.withColumn("__digest", tb.text_key(text))
-    joined = keyed.join(per_text, F.col("__digest") == F.col("__key"), "left").drop("__digest", "__key")
+    joined = spread_join(keyed, per_text, "__digest", doc_id, "left", copied).drop("__digest")
     n = F.coalesce("n_shingles", F.lit(0)).cast("long")
     return joined.withColumn("component_id", F.when(n == 0, F.col(doc_id)).otherwise(F.col("component_id"))).withColumn("n_shingles", n)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with the lowest id of each component only.
+    """``docs`` with the lowest id of each component only; all its columns as they were.
 
     Rows that repeat an id and its text count once. Rows without an id stay only where
     their whole component has none.
     """
-    found = near_duplicates(docs, doc_id, text, scratch=scratch)
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("n_shingles", "component_id")}
+    found = near_duplicates(docs.withColumnsRenamed(own), own.get(doc_id, doc_id), own.get(text, text), scratch=scratch)
+    kept = found.where(F.col(own.get(doc_id, doc_id)).eqNullSafe(F.col("component_id"))).drop("n_shingles", "component_id")
+    kept = kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
     again = kept.select(doc_id).groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     # texts are shuffled only where some id repeats
     return kept.dropDuplicates([doc_id, text]) if again else kept

@@ -53,7 +53,9 @@ def test_substring_dedup_brute_force(docs):
             if seen[tuple(w[i : i + 35])] > 1:
                 gone.update(range(i, i + 35))
         want[r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
-    found = substring_dedup.per_document(docs.withColumnRenamed("digest", "own"), substring_dedup.dedup_texts(docs))
+    clashing = docs.withColumns({"n_words": F.lit("own"), "kept_text": F.lit(3), "N_Removed": F.lit(0)})
+    found = substring_dedup.per_document(clashing, substring_dedup.dedup_texts(docs))
+    assert found.columns.count("n_words") == 1 and "digest" in found.columns
     got = result(found.select("doc_id", F.coalesce("n_words", F.lit(0)), F.coalesce("n_removed", F.lit(0)), F.coalesce("kept_text", F.lit(""))), "*")
     assert got == want
 
@@ -81,8 +83,10 @@ def test_ngram_join_brute_force(docs):
             low[root(i)].append(r[0])
     want = Counter((r[0], len(s), min(low[root(i)], default=None) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
     assert result(ngram_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == want
-    kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns
+    clashing = docs.withColumns({"n_shingles": F.lit("own"), "component_id": F.lit(7)})
+    assert result(ngram_join.near_duplicates(clashing), "doc_id", "n_shingles", "component_id") == want
+    kept = ngram_join.keep_one(clashing)
+    assert kept.columns == clashing.columns and {(r.n_shingles, r.component_id) for r in kept.collect()} == {("own", 7)}
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter({r[0]: 1 for r, (_, _, c) in zip(rows, [(0, 0, k[2]) for k in [(r[0], 0, min(low[root(i)], default=None) if sets[i] else r[0]) for i, r in enumerate(rows)]], strict=True) if r[0] is not None and r[0] == c})
 
 
@@ -104,6 +108,26 @@ def test_partenum_signatures_lose_no_pair():
                 assert own[i] & own[i + 1]
 
 
+def test_request_rows_grow_with_the_input():
+    for n_bytes in (1, 1 << 20, 30 << 30, 10**14):
+        size = int(min(textblocks.MAX_BLOCK, max(textblocks.MIN_BLOCK, n_bytes // textblocks.BLOCKS)))
+        parts = textblocks.cut_parts(n_bytes, size, 200)
+        assert 1 <= parts <= size // textblocks.ROW and parts * (n_bytes // size + 1) <= n_bytes // textblocks.ROW + parts
+    assert textblocks.cut_parts(10**14, 512 << 20, 10**7) == 131_072
+
+
+def test_answers_in_narrow_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    blocks = [np.unique(rng.integers(0, 300, 200).astype(np.uint64) << np.uint64(40)) for _ in range(5)]
+    count = Counter(int(k) for b in blocks for k in b)
+    rows = [r for i, b in enumerate(blocks) for r in textblocks.request_batch(0, i, 1, b, None, np.zeros(len(b), bool), width=8).to_pylist()]
+    requests = spark.createDataFrame([tuple(r.values()) for r in rows], textblocks.REQUEST_SCHEMA)
+    for at_once in (1 << 21, 37, 1):
+        monkeypatch.setattr(textblocks, "SORTED", at_once)
+        got = {r.block: np.unpackbits(np.frombuffer(r.bits, np.uint8), count=len(blocks[r.block])) for r in textblocks.answers(requests, width=8).collect()}
+        assert all([count[int(k)] > 1 for k in b] == got[i].astype(bool).tolist() for i, b in enumerate(blocks))
+
+
 def test_requests_round_trip():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) << np.uint64(1))
     batch = textblocks.request_batch(0, 3, 7, keys, None, np.zeros(1000, bool), width=8).to_pydict()
@@ -441,6 +465,15 @@ def test_sketches_bound_differences_and_units_find_all():
     assert links and links <= found
 
 
+def test_spread_join_equals_a_join(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1), (None, -2)], "k long, i long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 3000, 2)] + [(1, "hub")], "k long, v string")
+    for how in ("inner", "left"):
+        assert result(ngram_join.spread_join(rows, table, "k", "i", how), "k", "i", "v") == result(rows.join(table, "k", how), "k", "i", "v")
+    hot = ngram_join.hot_keys(rows, "k").collect()
+    assert [r.k for r in hot] == [1] and hot[0]["__salts"] > 600
+
+
 def test_split_units_meet_all_pairs_of_different_components(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 2)
     comp = [0] * 6 + [6, 6, 8, 9, 9]
