@@ -3,14 +3,19 @@
 Texts of a batch are cut into pre-tokens with array operations over code points, the
 distinct pre-tokens become ragged symbol arrays, and each step applies to every sequence
 its lowest-rank pair at all its places at once, until no pair has a rank. What survives
-is counted; a text's count is the sum over its pre-tokens and special tokens.
-
-Defined results: null and empty texts have 0 bytes and 0 tokens. Special strings inside
-texts count as one token each, as the tokenizer library does by default.
+is counted; a text's count is the sum over its pre-tokens and special tokens. Sequences
+of more than ``LONG`` symbols (a text without blanks is one) are linked arrays whose ranks
+are recomputed only beside a merge, so their cost does not grow with symbols times steps.
+
+Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted
+each; an empty table gives an empty one; other columns are carried along, those named like
+a result give way to it. Special strings inside texts count as one token each, as the
+tokenizer library does by default.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +33,8 @@ _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: Most code points handled at once; a longer text is a batch of its own.
 CHUNK = 1 << 20
+#: Symbols beyond which a sequence is merged as a linked array.
+LONG = 256
 NO_RANK = np.int64(1 << 40)
 
 
@@ -116,6 +123,11 @@ class ByteBpe:
         """Number of symbols left of each sequence when no pair has a rank."""
         out = lens.copy()
         seq = np.repeat(np.arange(len(lens)), lens)
+        far = lens > LONG
+        if far.any():
+            there = np.repeat(far, lens)
+            out[far] = self._merge_linked(symbols[there], lens[far])
+            symbols, seq = symbols[~there], seq[~there]
         ranks = self._ranks(symbols, seq)
         while len(symbols):
             first = np.flatnonzero(np.diff(seq, prepend=-1))
@@ -142,6 +154,60 @@ class ByteBpe:
             ranks = self._ranks(symbols, seq)
         return out
 
+    def _merge_linked(self, symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """``merge`` for long sequences: step by step the lowest rank of all, at all its places."""
+        n = len(symbols)
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lens)
+        right[ends - 1], left[ends - lens] = -1, -1
+        ranks = self._ranks(symbols, np.repeat(np.arange(len(lens)), lens))
+        waiting: dict[int, list[np.ndarray]] = {}
+        turns: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            own = ranks[places]
+            order = np.argsort(own, kind="stable")
+            order = order[: np.searchsorted(own[order], NO_RANK)]
+            if not len(order):
+                return
+            places, own = places[order], own[order]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for r, some in zip(own[np.append(0, cuts)].tolist(), np.split(places, cuts), strict=True):
+                if r in waiting:
+                    waiting[r].append(some)
+                else:
+                    waiting[r] = [some]
+                    heapq.heappush(turns, r)
+
+        wait(np.arange(n))
+        gone = np.zeros(n, dtype=bool)
+        while turns:
+            r = heapq.heappop(turns)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[ranks[at] == r]  # others were merged away or have a new neighbour since
+            if len(at) > 1:  # overlapping places (a a a): every second one of a stretch, from the left
+                apart = np.append(True, right[at[:-1]] != at[1:])
+                if not apart.all():
+                    begin = np.flatnonzero(apart)
+                    at = at[(np.arange(len(at)) - begin[np.cumsum(apart) - 1]) % 2 == 0]
+            if not len(at):
+                continue
+            eaten = right[at]
+            after = right[eaten]
+            symbols[at] = self.merged_by_rank[r]
+            right[at] = after
+            left[after[after >= 0]] = at[after >= 0]
+            gone[eaten] = True
+            ranks[eaten] = NO_RANK
+            before = left[at]
+            near = np.unique(np.concatenate([before[before >= 0], at]))
+            follow = right[near]
+            key = symbols[near] << 32 | symbols[follow]
+            i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            ranks[near] = np.where((self.pair[i] == key) & (follow >= 0), self.rank[i], NO_RANK)
+            wait(near)
+        return lens - np.add.reduceat(gone, ends - lens, dtype=np.int64)
+
     def _ranks(self, symbols: np.ndarray, seq: np.ndarray) -> np.ndarray:
         """Rank of the pair that begins at each symbol."""
         out = np.full(len(symbols), NO_RANK)
