@@ -9,10 +9,14 @@ that any rule matches is blocked.
 Tokens: host name, each domain suffix of two or more labels, first labels, path segments
 without digits, file endings, query keys, scheme and fragment presence. Training uses all
 labelled rows. Rules may hold any number of tokens: a long one can be confident where
-none of its parts is.
+none of its parts is. Rules that contain another rule are pruned, which changes no verdict.
 
 Defined results: null urls, or urls without ``://``, have empty host and path and no
-tokens; they are allowed. Null labels are not bad.
+tokens; they are allowed. Null labels are not bad. Of listed rules that fit, the longest
+text of host and path wins; among equals, that of the earlier host in code-point order.
+Repeated pages are judged each; empty tables give empty ones; without labels no rule is
+mined. Columns of the pages named like a result give way to it. Tokens of very long urls
+are all used.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .skew import spread_join
 from .storage import Scratch
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIN_COUNT, MIN_SHARE, MIN_CONFIDENCE = 5, 0.002, 0.6
+#: Up to so many rules the index is broadcast; beyond, hot tokens are dealt to several tasks.
+BROADCAST_RULES = 20_000
 _HOST_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -84,16 +91,37 @@ def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN
     return bad.join(every, "tokens").where((F.size("tokens") >= 1) & (F.col("bad") / F.col("n") >= min_confidence))
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def index_of(rules: DataFrame, uses: DataFrame) -> DataFrame:
+    """(token, rule_tokens): each rule under its rarest token. ``uses``: token, uses."""
+    keyed = rules.select("tokens", F.explode("tokens").alias("token")).join(uses, "token", "left")
+    rare = F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token"))
+    return keyed.groupBy("tokens").agg(rare.alias("k")).select(F.col("k.token").alias("token"), F.col("tokens").alias("rule_tokens"))
+
+
+def minimal(rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rules that contain no other rule: what the others match, these match too."""
+    uses = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    index = scratch.table(index_of(rules, uses), "rule-index")
+    rows = rules.select("tokens", F.explode("tokens").alias("token"))
+    held = _meet(rows, index, "tokens").where((F.size("rule_tokens") < F.size("tokens")) & (F.size(F.array_except("rule_tokens", "tokens")) == 0))
+    return rules.join(held.select("tokens").distinct(), "tokens", "left_anti")
+
+
+def _meet(rows: DataFrame, index: DataFrame, deal: str) -> DataFrame:
+    if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        return rows.join(F.broadcast(index), "token")
+    return spread_join(rows, index, "token", deal)
+
+
+def match(urls: DataFrame, rules: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``urls`` (url, tokens; distinct) that some rule matches.
 
     Each rule is indexed by its rarest token; the whole rule is then checked.
     """
+    scratch = scratch or Scratch(urls.sparkSession, "urls")
     seen = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    keyed = rules.select("tokens", F.explode("tokens").alias("token")).join(seen, "token", "left")
-    rare = F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token"))
-    index = keyed.groupBy("tokens").agg(rare.alias("k")).select(F.col("tokens").alias("rule_tokens"), F.col("k.token").alias("token"))
-    near = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    index = scratch.table(index_of(rules, seen), "index")
+    near = _meet(urls.select("url", "tokens", F.explode("tokens").alias("token")), index, "url")
     return near.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).select("url").distinct()
 
 
@@ -101,10 +129,10 @@ def judge(pages: DataFrame, labelled: DataFrame, url: str = "url", rules: list[t
     """``pages`` with host, path, rule and verdict. ``labelled``: url string, bad boolean."""
     scratch = scratch or Scratch(pages.sparkSession, "urls")
     train = scratch.table(labelled.select(tokens(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")).where(F.size("tokens") > 0), "labelled")
-    mined = scratch.table(mine(train), "rules")
+    mined = scratch.table(minimal(scratch.table(mine(train), "mined"), scratch), "rules")
     distinct = pages.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct()
     urls = scratch.table(distinct.select("url", tokens(F.col("url")).alias("tokens")), "urls")
-    blocked = scratch.table(match(urls, mined), "blocked")
+    blocked = scratch.table(match(urls, mined, scratch), "blocked")
     pages = pages.drop(*({"host", "path", "rule", "verdict"} - {url}))
     hit = blocked.select(F.col("url").alias("__blocked"))
     joined = pages.join(hit, F.col(url) == F.col("__blocked"), "left")
@@ -122,7 +150,7 @@ def op2_url_filter(spark, sf_dir):
 
 
 OP2_SQL = r"""
-WITH part AS (
+WITH RECURSIVE part AS (
   SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
 ), bits AS (
@@ -140,9 +168,8 @@ WITH part AS (
       CASE WHEN contains(url, '#') THEN ['f:fragment'] ELSE [] END)) AS t
     FROM bits WHERE host <> '')
 ), combo AS (
-  SELECT url, [t] AS c FROM tok
-  UNION ALL SELECT a.url, [a.t, b.t] FROM tok a JOIN tok b ON a.url = b.url AND a.t < b.t
-  UNION ALL SELECT a.url, [a.t, b.t, x.t] FROM tok a JOIN tok b ON a.url = b.url AND a.t < b.t JOIN tok x ON b.url = x.url AND b.t < x.t
+  SELECT url, [t] AS c, t AS top FROM tok
+  UNION ALL SELECT combo.url, list_append(combo.c, tok.t), tok.t FROM combo JOIN tok ON tok.url = combo.url AND tok.t > combo.top
 ), train AS (
   SELECT part.url, (coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM part JOIN labels ON page_id = labels.doc_id WHERE host <> ''
 ), least AS (
