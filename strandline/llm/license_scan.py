@@ -16,7 +16,8 @@ literals. Runs are cut only from texts that share ``t / (2 - t)`` of a template'
 begin in lines with bigrams of such templates (without its first line another run does no
 worse) and grow until they have too many bigrams.
 
-Defined results: null or empty texts give no row; a unit matches its best template, ties
+Defined results: null or empty texts and empty tables give no row; texts of any length are
+cut into all their units; columns named like a result give way to it; a unit matches its best template, ties
 go to the template named first; repeated rows each give their matches; a paragraph or
 text that is a single line is reported as a line only. Of overlapping runs and lines of
 one licence the best counts (then the one with more bigrams, the shorter, the first); one
@@ -60,7 +61,8 @@ _GPL = (
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
 )
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
-#: (licence, template text); fixed values.
+#: (licence, template text); fixed values. Long licences are known by their notices and by
+#: the title paragraph of their full text; ``templates`` of ``scan`` may hold whole texts too.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", f"{_MIT_GRANT} {_MIT_WARRANTY}"),
     ("MIT", _MIT_GRANT),
@@ -83,6 +85,13 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("GPL-3.0-only", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0-only", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0-only", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("AGPL-3.0-only", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
