@@ -15,11 +15,18 @@ Base kinds, leftmost and non-overlapping per kind, failing matches dropped, no r
 * card ``[0-9]([\\x20-]?[0-9])+``, 14 to 19 digits that pass the Luhn check
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 10 to 15 digits
 
-Defined results: null texts count as empty; other columns are carried along unchanged.
+A social security number behind its cue is an account with an area, group and serial that
+are given out; an address in brackets is an IPv6 address.
+
+Defined results: null and empty texts have no spans; texts of any length are searched whole;
+repeated rows give their spans each; an empty table gives an empty one. Overlapping spans
+of different kinds stay; of one start, the kinds come in the order of ``KINDS``. Other
+columns are carried along unchanged, one named ``pii_spans`` gives way to the result.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -35,7 +42,8 @@ ADDED = ("address", "iban", "account")
 KINDS = BASE + ADDED
 
 #: Identifier cues in lower case; found in any case.
-CUES = ("account number", "account no", "account:", "acct", "customer number", "customer id", "passport no", "passport number", "ssn")
+CUES = ("account number", "account no", "account:", "acct", "customer number", "customer id", "passport no", "passport number")
+_SSN_CUES = ("ssn", "social security number")
 #: The address behind ``mailto:`` is found by its at-sign.
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
 _IBAN_CUE = "iban"
@@ -55,6 +63,7 @@ _URL_USER = re.compile(r"(?:https?|ftp|sftp|ssh)://([A-Za-z0-9._~%!$&'()*+,;=:-]
 _IBAN = re.compile(r"[\x20:.#=-]{0,4}([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})")
 _ACCOUNT = re.compile(r"[\x20:.#=-]{0,4}(?:is\x20)?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
 _PASSPORT = re.compile(r"[\x20:.#=-]{1,4}(?:is\x20)?((?:[A-Z]{1,2}\x20)?(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,12})(?![A-Za-z0-9])")
+_SSN = re.compile(r"[\x20:.#=-]{0,4}(?:is\x20)?([0-9]{3}([\x20-]?)[0-9]{2}\2[0-9]{4})(?![0-9])")
 _TEL = re.compile(r"([0-9(][0-9().-]*[0-9])")
 
 
@@ -120,6 +129,21 @@ def _account(text: str, end_of_cue: int, passport: bool) -> tuple[int, int] | No
     return max(found, key=lambda x: x[1], default=None)
 
 
+def _ssn(text: str, end_of_cue: int) -> tuple[int, int] | None:
+    """Three, two and four digits, none of them zeros only, in an area that is given out."""
+    m = _SSN.match(text, end_of_cue)
+    digits = "".join(c for c in m.group(1) if c.isdigit()) if m else ""
+    return m.span(1) if m and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else None
+
+
+def _ip_host(host: str) -> bool:
+    """An IPv4 address, or an IPv6 address in brackets."""
+    try:
+        return ipaddress.IPv6Address(host[1:-1]) is not None if host[0] == "[" else ipaddress.IPv4Address(host) is not None
+    except ValueError:
+        return False
+
+
 def automaton():
     import ahocorasick
 
@@ -133,6 +157,8 @@ def automaton():
     a.add_word("tel:", ("tel", 4))
     for c in CUES:
         a.add_word(c, ("passport" if c.startswith("passport") else "cue", len(c)))
+    for c in _SSN_CUES:
+        a.add_word(c, ("ssn", len(c)))
     a.add_word(_IBAN_CUE, ("iban", 4))
     a.make_automaton()
     return a
@@ -179,8 +205,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif what == "scheme":
             if at >= url_end and (m := _URL_USER.match(text, at)):
                 url_end = m.end()
-                host = m.group(2)
-                if m.group(1) or host[0] == "[" or (re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", host) and all(int(x) < 256 for x in host.split("."))):
+                if (m.group(1) and (m.group(2)[0] != "[" or _ip_host(m.group(2)))) or _ip_host(m.group(2)):
                     out.append(("address", at, url_end))
         elif what == "iban":
             if last + 1 >= account_end and (span := _iban(text, last + 1)):
@@ -189,6 +214,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif what == "tel":
             if not (at and text[at - 1].isalnum()) and (m := _TEL.match(text, last + 1)) and 7 <= sum(c.isdigit() for c in m.group(1)) <= 15:
                 out.append(("address", *m.span(1)))
+        elif what == "ssn":
+            if last + 1 >= account_end and not (at and text[at - 1].isalnum()) and (span := _ssn(text, last + 1)):
+                out.append(("account", *span))
+                account_end = span[1]
         elif last + 1 >= account_end and not (at and text[at - 1].isalnum()) and (span := _account(text, last + 1, what == "passport")):
             out.append(("account", *span))
             account_end = span[1]

@@ -1,5 +1,6 @@
 """The ten operators on small fixtures: brute force, round trips, held-out accuracy and edge cases."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, license_scan, ngram_join, pii, quality_rules, secret_scan, sp_codec, substring_dedup, textblocks, token_count, url_filter
+from strandline.llm import decontam, license_scan, ngram_join, pii, quality_rules, secret_scan, skew, sp_codec, substring_dedup, textblocks, token_count, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, block long"
@@ -228,6 +229,15 @@ def test_pii_cues_in_any_case_and_ibans_without_cue():
     assert spans("DE88370400440532013000 xDE89370400440532013000 DE893704004405320130001 hotel:12345678 passport number required, passport nothing12345") == []
 
 
+def test_pii_numbers_and_addresses_are_validated():
+    spans = lambda t: [(k, t[s:e]) for k, s, e in pii.find(t) if k in pii.ADDED]
+    assert spans("SSN: 123-45-6789, Social Security Number 219 09 9999") == [("account", "123-45-6789"), ("account", "219 09 9999")]
+    assert spans("SSN 000-00-0000 ssn 666-12-1234 ssn 912-12-1234 ssn 123-00-1234 ssn 123-45-0000 ssn 123-456-789") == []
+    assert spans("http://[2001:db8::1]:80/x http://[:::::::]/x http://256.1.1.1/ http://u@[::zz]/ http://10.0.0.7/a") == [("address", "http://[2001:db8::1]:80/x"), ("address", "http://10.0.0.7/a")]
+    long = "x " * 200_000 + "acct 12345678 " + "y" * 100_000
+    assert spans(long) == [("account", "12345678")]
+
+
 def test_pii_scan_and_mask(spark):
     docs = spark.createDataFrame([(1, "é me@ex.org now", 5), (2, None, 5), (2, "", 5)], "doc_id long, text string, pii_spans long")
     out = {(r.doc_id, r.text): [tuple(s) for s in r.pii_spans] for r in pii.scan(docs, masked="text").collect()}
@@ -345,6 +355,21 @@ def test_license_scan_brute_force(spark):
     assert result(license_scan.scan(docs), "doc_id", "unit", "unit_no", "license") == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_license_scan_full_texts(spark):
+    wanted = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    rows = []
+    for name in wanted:
+        with open(f"/usr/share/common-licenses/{name}") as f:
+            rows.append((name, f.read()))
+    found = defaultdict(set)
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), runs=True).collect():
+        found[r.doc_id].add(r.license)
+    assert all(any(x.startswith(w) for x in found[n]) for n, w in wanted.items())
+    own = [("MPL-2.0 text", rows[5][1])]  # whole texts may be templates too
+    assert [(r.unit, r.dice) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), templates=own).collect()] == [("text", 1.0)]
+
+
 def test_license_scan_notices_over_several_paragraphs(spark):
     rng = random.Random(11)
     prose = lambda n: " ".join(f"p{rng.randint(0, 99)}" for _ in range(n))
@@ -423,6 +448,28 @@ def test_url_rules_of_any_length(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(pages, seen).collect()} == {0: "block", 1: "allow", 2: "allow", 3: "allow"}
 
 
+def test_url_rules_minimal_and_beyond_the_broadcast(spark, monkeypatch):
+    rules = spark.createDataFrame([(list(t), 5, 6) for t in ("ab", "abc", "c", "cd", "bd", "abd", "xyz")], "tokens array<string>, bad long, n long")
+    urls = spark.createDataFrame([("".join(c), sorted(c)) for k in (1, 2, 3) for c in combinations("abcdxyz", k)], "url string, tokens array<string>")
+    for most in (url_filter.BROADCAST_RULES, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+        scratch = url_filter.Scratch(spark, "test")
+        few = url_filter.minimal(rules, scratch)
+        assert {"".join(r.tokens) for r in few.collect()} == {"ab", "c", "bd", "xyz"}
+        want = {u for u, *_ in urls.collect() if any(set(r) <= set(u) for r in ("ab", "c", "bd", "xyz"))}
+        assert {r.url for r in url_filter.match(urls, few, scratch).collect()} == want == {r.url for r in url_filter.match(urls, rules, url_filter.Scratch(spark, "all")).collect()}
+
+
+def test_token_counts_of_long_words(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, rng = Tokenizer.from_file(path), random.Random(14)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "thers", "abcdefghijklmnopqrstuvwxyz", "日本語é") for n in (256, 257, 300, 1111, 20_000)]
+    texts += ["a" * 5001, "aab" * 3000, " " * 9999 + "x", "\n" * 777, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))]
+    assert token_count.ByteBpe(path).count(texts).tolist() == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -469,8 +516,8 @@ def test_spread_join_equals_a_join(spark):
     rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1), (None, -2)], "k long, i long")
     table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 3000, 2)] + [(1, "hub")], "k long, v string")
     for how in ("inner", "left"):
-        assert result(ngram_join.spread_join(rows, table, "k", "i", how), "k", "i", "v") == result(rows.join(table, "k", how), "k", "i", "v")
-    hot = ngram_join.hot_keys(rows, "k").collect()
+        assert result(skew.spread_join(rows, table, "k", "i", how), "k", "i", "v") == result(rows.join(table, "k", how), "k", "i", "v")
+    hot = skew.hot_keys(rows, "k").collect()
     assert [r.k for r in hot] == [1] and hot[0]["__salts"] > 600
 
 
