@@ -33,13 +33,25 @@ def clock_format(seconds: Column) -> Column:
     return F.concat(sign, F.when(hours > 0, F.concat(F.format_string("%02d", hours), F.lit(":"))).otherwise(F.lit("")), rest)
 
 
+#: Characters that Markdown gives a meaning; fixed values.
+MARKDOWN = "`*_[]|#"
+
+
 def escape_text(text: Column) -> Column:
-    """HTML and Markdown escapes; lines are joined with `` / ``."""
+    """Record text for Markdown: HTML escapes (quotes stay), then backslashes and Markdown
+    characters; lines are joined with `` / ``. Null reads as unknown."""
     t = text
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\\", "\\\\")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, r"([\\`*_\[\]|])", r"\\$1")
-    return F.regexp_replace(F.trim(t), r"\s*\r?\n\s*", " / ")
+    for c in MARKDOWN:
+        t = F.replace(t, F.lit(c), F.lit("\\" + c))
+    lines = F.regexp_replace(F.regexp_replace(t, "(\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029])$", ""), "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]", " / ")
+    return F.coalesce(lines, F.lit("未知"))
+
+
+def escape_flag(flag: Column) -> Column:
+    """A boolean as text; null reads as unknown."""
+    return F.when(flag.isNull(), "未知").when(flag, "是").otherwise("否")
 
 
 def asset_id(frame_no: Column) -> Column:
@@ -60,18 +72,35 @@ def range_text(ranges: Column) -> Column:
     return F.array_join(F.transform(ranges, one), "；")
 
 
-#: Texts that mean "not known"; fixed values.
-UNKNOWN_WORDS = ("", "unknown", "n/a", "none", "null", "未知", "不明")
+#: Texts that mean "not known", in lower case; fixed values.
+UNKNOWN_WORDS = ("unknown", "n/a", "null", "未知", "未展示", "待核实", "待辨认", "未记录")
 
 
 def unknown(text: Column) -> Column:
-    return text.isNull() | F.lower(F.trim(text)).isin(*UNKNOWN_WORDS)
+    """Null, the empty text, or one of the words above within blanks. (A text of blanks only is not.)"""
+    return text.isNull() | (text == "") | F.lower(F.trim(text, F.lit(" \t\n\r\f\u000b"))).isin(*UNKNOWN_WORDS)
 
 
 def nonblank(text: Column) -> Column:
     return F.coalesce(F.trim(text) != "", F.lit(False))
 
 
+def nonblank_list(items: Column) -> Column:
+    """A list with members, none of them blank."""
+    return F.coalesce((F.size(items) > 0) & F.forall(items, nonblank), F.lit(False))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text with sorted keys and no blanks; null if it does not parse. Equal numbers have one spelling."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path that stays inside its folder: no drive, no empty, dot or parent parts."""
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    return F.coalesce(nonblank(path) & ~F.contains(path, F.lit(":")) & F.forall(parts, lambda p: ~p.isin("", ".", "..")), F.lit(False))
+
+
 def distinct_nonblank(items: Column) -> Column:
     return F.coalesce(F.forall(items, nonblank) & (F.size(items) == F.size(F.array_distinct(items))), F.lit(False))
 

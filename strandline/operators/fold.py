@@ -1,0 +1,39 @@
+"""Order-dependent folds as sorted scans: one state per group, however long the group is.
+
+Rows are dealt by their group, sorted within partitions and read as Arrow batches; only the
+columns the fold needs are turned into Python values, and only the state of the open group
+is held. Groups should be the finest ones between which the state is known to start anew.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
+
+
+def scan(rows: DataFrame, groups: list[str], order: list[str], reads: list[str], start: Callable, name: str, kind: DataType) -> DataFrame:
+    """``rows`` with column ``name``: what the fold gives for each row, in order.
+
+    ``start()`` returns a function of the ``reads`` values of one row that keeps its own state.
+    """
+    rows = rows.drop(name)
+    schema = StructType([*rows.schema.fields, StructField(name, kind)])
+    arrow = to_arrow_type(kind)
+    names, n_groups = rows.columns, len(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = last = None
+        for batch in batches:
+            cols = [batch.column(names.index(c)).to_pylist() for c in (*groups, *reads)]
+            out = []
+            for values in zip(*cols, strict=True):
+                if step is None or values[:n_groups] != last:
+                    step, last = start(), values[:n_groups]
+                out.append(step(*values[n_groups:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], [*names, name])
+
+    return rows.repartition(*groups).sortWithinPartitions(*groups, *order).mapInArrow(run, schema)

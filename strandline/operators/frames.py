@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,19 +23,22 @@ def runs(frames: DataFrame) -> DataFrame:
 
 
 def anomalies(frames: DataFrame) -> DataFrame:
-    """Per source: frames without time, and times not above the last known one."""
+    """Per source: frames without a presentation time, frames without any, and times not above
+    the last known one. ``time_source`` tells the first; without it every known time counts as one."""
     before = F.last("time_s", ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, -1))
     flagged = frames.withColumn("__bad", F.col("time_s") <= before)
-    return flagged.groupBy("source_id").agg(F.count_if(F.col("time_s").isNull()).alias("missing_time"), F.count_if("__bad").alias("non_increasing"))
+    no_pts = F.col("time_source") != "pts" if "time_source" in frames.columns else F.col("time_s").isNull()
+    return flagged.groupBy("source_id").agg(F.count_if(no_pts).alias("missing_pts"), F.count_if(F.col("time_s").isNull()).alias("missing_all_time"), F.count_if("__bad").alias("non_increasing_time"))
 
 
 def states(run_frames: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """One row per run; clipped runs keep their original start."""
+    """One row per run of computed frames (with a digest); clipped runs keep their original start."""
+    run_frames = run_frames.where(F.col("digest").isNotNull())
     if start is not None:
         run_frames = run_frames.where(F.col("frame_no").between(start, end))
     return run_frames.groupBy("source_id", "exact_start").agg(
         F.min("frame_no").alias("start_frame"), F.max("frame_no").alias("end_frame"), F.min("time_s").alias("start_time"), F.max("time_s").alias("end_time"),
-        F.min("digest").alias("digest"), F.max("global_delta").alias("global_delta"), F.max("changed_fraction").alias("changed_fraction"),
+        F.min("digest").alias("digest"), F.max("global_delta").alias("global_delta"), F.max("max_local_delta").alias("local_delta"), F.max("changed_fraction").alias("changed_fraction"),
     )
 
 
@@ -43,20 +50,47 @@ def ranges(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def select_expression(ranged: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges as one filter expression in frame order."""
-    term = F.when(F.col("start") == F.col("end"), F.format_string("eq(n,%d)", "start")).otherwise(F.format_string("between(n,%d,%d)", "start", "end"))
+    """Ranges as one filter expression in frame order: terms with escaped commas, added up in
+    pairs level by level, so that the expression is a balanced tree. All levels are columns
+    of one row per key; 40 of them hold more terms than any array.
+    """
+    term = F.when(F.col("start") == F.col("end"), F.format_string("eq(n\\,%d)", "start")).otherwise(F.format_string("between(n\\,%d\\,%d)", "start", "end"))
     rows = ranged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", term.alias("t")))).alias("t"))
-    return rows.select(*keys, F.array_join(F.transform("t", lambda x: x["t"]), "+").alias("expression"))
+    pair = lambda a, i: F.when(i * 2 + 1 < F.size(a), F.concat(F.lit("("), F.get(a, i * 2), F.lit("+"), F.get(a, i * 2 + 1), F.lit(")"))).otherwise(F.get(a, i * 2))
+    halve = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / 2).cast("int") - 1), lambda i: pair(a, i))).otherwise(a)
+    level = F.reduce(F.sequence(F.lit(1), F.lit(40)), F.transform("t", lambda x: x["t"]), lambda a, _: halve(a))
+    return rows.select(*keys, F.concat(F.lit("select="), F.get(level, F.lit(0))).alias("expression"))
+
+
+def _neighbours(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """``rows`` with ``__before``, the vector of the row before; per source, or over the whole table.
+
+    Over a whole table (numeric) keys are dealt by ranges between their quantiles, so that no
+    task gets all rows, and only the last row of each range moves, to the range that follows.
+    """
+    if "source_id" in rows.columns:
+        return rows.withColumn("__before", F.lag(vector).over(W.partitionBy("source_id").orderBy(key)))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5])).first()[0] or []
+    literal = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    dealt = rows.withColumn("__part", F.size(F.filter(literal, lambda c: c < F.col(key))))
+    w = W.partitionBy("__part").orderBy(key)
+    inside = dealt.withColumns({"__before": F.lag(vector).over(w), "__first": F.row_number().over(w) == 1})
+    last = dealt.groupBy("__part").agg(F.max_by(F.struct(F.col(vector).alias("v")), key).alias("l"))
+    # at most ``n`` rows: the last vector of each range, for the next range that has rows
+    edges = last.select(F.lead("__part").over(W.orderBy("__part")).alias("__part"), F.col("l.v").alias("__edge")).where("__part is not null")
+    joined = inside.join(F.broadcast(edges), "__part", "left")
+    return joined.withColumn("__before", F.when(F.col("__first"), F.col("__edge")).otherwise(F.col("__before"))).drop("__part", "__first", "__edge")
 
 
 def vector_metrics(rows: DataFrame, key: str, vector: str, tile: int, threshold: float) -> DataFrame:
     """Change of each vector against the one before: mean, largest tile mean, count and share
     of elements at or above the threshold, and the first strongest tile. A first vector or a
     change of size gives nulls."""
-    w = W.orderBy(key) if "source_id" not in rows.columns else W.partitionBy("source_id").orderBy(key)
-    prev = F.lag(vector).over(w)
+    out = _neighbours(rows, key, vector)
+    prev = F.col("__before")
     delta = F.when(F.size(prev) == F.size(vector), F.zip_with(vector, prev, lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
-    out = rows.select(*(c for c in rows.columns if c != vector), delta.alias("d"))
+    out = out.select(*(c for c in rows.columns if c != vector), delta.alias("d"))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
     tiles = F.transform(F.sequence(F.lit(0), F.floor((F.size("d") - 1) / tile)), lambda i: F.struct(mean(F.slice("d", i * tile + 1, F.lit(tile))).alias("m"), (-i).alias("minus")))
     count = F.size(F.filter("d", lambda x: x >= threshold))
@@ -65,3 +99,69 @@ def vector_metrics(rows: DataFrame, key: str, vector: str, tile: int, threshold:
         *(c for c in out.columns if c not in ("d", "t")), F.when(F.col("d").isNotNull(), mean(F.col("d"))).alias("global_delta"), F.col("t.m").alias("max_local_delta"),
         F.when(F.col("d").isNotNull(), count).cast("long").alias("changed_elements"), F.when(F.col("d").isNotNull(), count / F.size("d")).alias("changed_fraction"), (-F.col("t.minus")).cast("long").alias("strongest_tile"),
     )
+
+
+_METRICS = "global_delta double, max_local_delta double, changed_pixels long, changed_fraction double, tiles array<struct<box:array<int>,mean_delta:double>>"
+
+
+def image_change(before: np.ndarray, now: np.ndarray, tile: int, threshold: int) -> dict | None:
+    """Change between two images (height, width, 3): per pixel the largest of its channels.
+
+    Tiles start at multiples of ``tile``; those at the edge have their true area. Of equal
+    tiles the first in rows wins. ``None`` if the sizes differ.
+    """
+    if before.shape != now.shape:
+        return None
+    delta = np.maximum(now, before) - np.minimum(now, before)  # no sign, so no wider type
+    delta = np.maximum(np.maximum(delta[..., 0], delta[..., 1]), delta[..., 2])
+    height, width = delta.shape
+    tops, lefts = range(0, height, tile), range(0, width, tile)
+    columns = np.add.reduceat(delta, list(lefts), axis=1, dtype=np.int64)
+    sums = np.add.reduceat(columns, list(tops), axis=0)
+    tall = np.array([min(tile, height - y) for y in tops])
+    wide = np.array([min(tile, width - x) for x in lefts])
+    means = sums / np.outer(tall, wide)
+    best = int(means.argmax())
+    y, x = tops[best // len(wide)], lefts[best % len(wide)]
+    changed = int((delta >= threshold).sum())
+    box = [x, y, min(width, x + tile), min(height, y + tile)]
+    return {"global_delta": float(sums.sum() / delta.size), "max_local_delta": float(means.max()), "changed_pixels": changed, "changed_fraction": changed / delta.size, "tiles": [{"box": box, "mean_delta": float(means.max())}]}
+
+
+def image_metrics(frames: DataFrame, tile: int = 32, threshold: int = 8) -> DataFrame:
+    """``frames`` (source_id, frame_no, width, height, pixels: RGB bytes in rows) with digest,
+    run start and change metrics in place of the pixels.
+
+    One sorted scan per source that holds one previous image. A first frame, or one of
+    another size, has null metrics and no tiles.
+    """
+    if tile < 1 or not 1 <= threshold <= 255:
+        raise ValueError("tile must be positive and threshold within 1..255")
+    frames = frames.select("source_id", "frame_no", "width", "height", "pixels")
+    schema = f"source_id {frames.schema['source_id'].dataType.simpleString()}, frame_no long, width int, height int, digest string, exact_start long, {_METRICS}"
+
+    def run(batches):
+        source = before = digest = start = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                size = (row["height"], row["width"], 3)
+                raw = row.pop("pixels")
+                if len(raw) != size[0] * size[1] * 3:
+                    raise ValueError(f"frame {row['frame_no']} does not have the indexed size")
+                if row["source_id"] != source:
+                    source, before, digest = row["source_id"], None, None
+                own = hashlib.sha256(f"{row['width']}x{row['height']}:rgb24:".encode() + raw).hexdigest()
+                start = row["frame_no"] if own != digest else start
+                now = np.frombuffer(raw, np.uint8).reshape(size)
+                change = None if before is None else image_change(before, now, tile, threshold)
+                empty = {"global_delta": None, "max_local_delta": None, "changed_pixels": None, "changed_fraction": None, "tiles": []}
+                out.append({**row, "digest": own, "exact_start": start, **(change or empty)})
+                before, digest = now, own
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return frames.repartition("source_id").sortWithinPartitions("source_id", "frame_no").mapInArrow(run, schema)

@@ -1,42 +1,71 @@
-"""Segmentation of states into buckets, representatives and risks."""
+"""Segmentation of states into buckets, representatives and risk clues.
+
+States come from ``frames.states``: one row per run, in ordinal order.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import fold
+
+#: Why a state begins a bucket, in the order in which reasons are tried; fixed values.
+GAP, LAYOUT, DWELL, SPAN, ORDINALS, START = "uncomputed gap", "layout/control surface change", "stable dwell exit", "context duration bound", "unknown-time ordinal context bound", "start/continuation"
 
 
 def _order():
     return W.partitionBy("source_id").orderBy("start_frame")
 
 
-def hard_breaks(states: DataFrame, layout_delta: float, stable_seconds: float) -> DataFrame:
-    """``island``: a gap of ordinals, a layout change, or a long dwell of the state before begins a new one."""
-    gap = F.col("start_frame") > F.lag("end_frame").over(_order()) + 1
-    layout = F.col("global_delta") >= layout_delta
-    dwell = F.col("start_time") - F.lag("start_time").over(_order()) >= stable_seconds
-    cut = F.when(F.coalesce(gap, F.lit(False)) | F.coalesce(layout, F.lit(False)) | F.coalesce(dwell, F.lit(False)), 1).otherwise(0)
-    first = F.lag("start_frame").over(_order()).isNull()
-    marked = states.withColumn("__cut", F.when(first, 1).otherwise(cut))
-    return marked.withColumn("island", F.sum("__cut").over(_order().rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("__cut")
+def hard_breaks(states: DataFrame, layout_delta: float = 5.0, stable_seconds: float = 0.75, layout_fraction: float = 0.12) -> DataFrame:
+    """``hard`` (reason or null) and ``island``: breaks that depend on the state before only.
+
+    A gap of ordinals; a change of layout (share or mean of changes, unknown as none); the end
+    of a state that stayed for ``stable_seconds``, where its start time is known.
+    """
+    before = lambda c: F.lag(c).over(_order())
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    reason = (
+        F.when(F.col("start_frame") != before("end_frame") + 1, GAP)
+        .when((known("changed_fraction") >= layout_fraction) | (known("global_delta") >= layout_delta), LAYOUT)
+        .when(before("end_time") - before("start_time") >= stable_seconds, DWELL)
+    )
+    marked = states.withColumn("hard", F.when(before("start_frame").isNotNull(), reason))
+    cuts = F.sum(F.col("hard").isNotNull().cast("long")).over(_order().rowsBetween(W.unboundedPreceding, 0))
+    return marked.withColumn("island", cuts + 1)
 
 
-def buckets(islands: DataFrame, max_span: float, max_ordinals: int = 1200) -> DataFrame:
-    """``bucket``: first ordinal of the state's bucket. Inside an island a state begins a new
-    bucket when it lies ``max_span`` seconds after the bucket's start, or, with unknown
-    time, ``max_ordinals`` ordinals after it."""
-    rows = islands.groupBy("source_id", "island").agg(F.array_sort(F.collect_list(F.struct("start_frame", "start_time"))).alias("s"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("f"), F.lit(None).cast("double").alias("t"), F.array().cast("array<struct<start_frame:bigint,bucket:bigint>>").alias("out"))
+def buckets(islands: DataFrame, max_span: float = 15.0, max_ordinals: int = 1200) -> DataFrame:
+    """``bucket`` (first ordinal of the state's bucket) and ``boundary_clue`` of the state.
 
-    def step(acc, x):
-        far = F.when(x["start_time"].isNull() | acc["t"].isNull(), x["start_frame"] - acc["f"] >= max_ordinals).otherwise(x["start_time"] - acc["t"] >= max_span)
-        new = acc["f"].isNull() | far
-        f, t = F.when(new, x["start_frame"]).otherwise(acc["f"]), F.when(new, x["start_time"]).otherwise(acc["t"])
-        return F.struct(f.alias("f"), t.alias("t"), F.array_append(acc["out"], F.struct(x["start_frame"].alias("start_frame"), f.alias("bucket"))).alias("out"))
+    Inside an island a state begins a new bucket when it starts ``max_span`` seconds after
+    the bucket, both times known, or, its own time unknown, ``max_ordinals`` ordinals after
+    it. The fold holds one bucket start per island, whatever its length.
+    """
 
-    placed = rows.select("source_id", F.explode(F.aggregate("s", zero, step)["out"]).alias("o")).select("source_id", "o.start_frame", "o.bucket")
-    return islands.join(placed, ["source_id", "start_frame"])
+    def start():
+        first = first_time = None
+
+        def step(frame, time, hard):
+            nonlocal first, first_time
+            reason = None
+            if first is not None:
+                if time is None:
+                    reason = ORDINALS if frame - first >= max_ordinals else None
+                elif first_time is not None and time - first_time >= max_span:
+                    reason = SPAN
+            if first is None or reason:
+                first, first_time = frame, time
+            return {"bucket": first, "boundary_clue": reason or hard or START}
+
+        return step
+
+    kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("boundary_clue", T.StringType())])
+    placed = fold.scan(islands, ["source_id", "island"], ["start_frame"], ["start_frame", "start_time", "hard"], start, "__b", kind)
+    return placed.select(*(c for c in placed.columns if c != "__b"), "__b.*")
 
 
 def retraces(bucketed: DataFrame) -> DataFrame:
@@ -45,13 +74,45 @@ def retraces(bucketed: DataFrame) -> DataFrame:
     return bucketed.withColumn("__n", F.row_number().over(w)).where("__n > 1").drop("__n")
 
 
-def representatives(bucketed: DataFrame) -> DataFrame:
-    """Per bucket: first, last, first strongest and first weakest changed state, first retrace."""
-    changed = F.col("global_delta") > 0
-    again = retraces(bucketed).groupBy("source_id", "bucket").agg(F.min("start_frame").alias("retrace"))
-    ends = bucketed.groupBy("source_id", "bucket").agg(
-        F.min("start_frame").alias("first"), F.max("end_frame").alias("last"), (-F.max(F.when(changed, F.struct("global_delta", (-F.col("start_frame")).alias("m"))))["m"]).alias("strongest"),
-        F.min(F.when(changed, F.struct("global_delta", F.col("start_frame").alias("m"))))["m"].alias("weakest"), F.count(F.lit(1)).alias("distinct_states"),
-        F.count_if(F.col("changed_fraction") < 0.01).alias("small_changes"), F.count_if(F.col("start_frame") == F.col("end_frame")).alias("one_frame_states"),
+def _listed(flag: Column) -> Column:
+    return F.array_sort(F.collect_list(F.when(flag, F.col("start_frame"))))
+
+
+def proposals(bucketed: DataFrame) -> DataFrame:
+    """One proposal per bucket: id, bounds, clue, representatives, risk clues and merge kind.
+
+    Representatives are the first and last ordinal, the first strongest and the first
+    weakest state with a local change, and the first retrace. Changed states are those with
+    a local change above 0; a small change is one of these whose share is below 0.01 (unknown
+    as 0).
+    """
+    again = F.row_number().over(W.partitionBy("source_id", "bucket", "digest").orderBy("start_frame")) > 1
+    d, at = F.col("local_delta"), F.col("start_frame")
+    changed = F.coalesce(d > 0, F.lit(False))
+    rows = bucketed.withColumn("__again", again).groupBy("source_id", "bucket").agg(
+        F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.min_by("start_time", "start_frame").alias("start_time"), F.max_by("end_time", "start_frame").alias("end_time"),
+        F.min_by("boundary_clue", "start_frame").alias("boundary_clue"), (-F.max(F.when(changed, F.struct(d, (-at).alias("m"))))["m"]).alias("strongest"),
+        F.min(F.when(changed, F.struct(d, at.alias("m"))))["m"].alias("weakest"), F.count(F.lit(1)).alias("distinct_states"),
+        _listed(changed & (F.coalesce("changed_fraction", F.lit(0.0)) < 0.01)).alias("small_change_frames"), _listed(F.col("__again")).alias("retrace_frames"),
+        _listed(at == F.col("end_frame")).alias("one_frame_states"),
     )
-    return ends.join(again, ["source_id", "bucket"], "left")
+    reps = F.array_sort(F.array_distinct(F.array_compact(F.array("start_frame", "end_frame", "strongest", "weakest", F.get("retrace_frames", F.lit(0))))))
+    return rows.select(
+        "source_id", F.format_string("P%09d", "start_frame").alias("id"), "start_frame", "end_frame", "start_time", "end_time", "boundary_clue", reps.alias("representative_frames"),
+        "distinct_states", "small_change_frames", "retrace_frames", "one_frame_states", F.when(F.col("distinct_states") == 1, "exact").otherwise("approximate_proposal").alias("merge"),
+    )
+
+
+def prepare(states: DataFrame, max_span: float = 15.0, layout_fraction: float = 0.12, stable_seconds: float = 0.75, layout_delta: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """(proposals, requests) of the whole plan: each representative is an automatic request."""
+    if not all(0 < x < float("inf") for x in (max_span, layout_fraction, stable_seconds)):
+        raise ValueError("segmentation controls must be finite and positive")
+    plan = proposals(buckets(hard_breaks(states, layout_delta, stable_seconds, layout_fraction), max_span))
+    wanted = plan.select("source_id", F.explode("representative_frames").alias("frame_no"), F.concat(F.lit("layer_overview:"), "id").alias("reason"), F.lit("automatic").alias("origin"))
+    return plan, wanted
+
+
+def plan_key(fingerprints: DataFrame, config: dict) -> DataFrame:
+    """(source_id, key): hash of configuration and index; sources whose stored key is equal need no new plan."""
+    text = ",".join(f"{k}={config[k]!r}" for k in sorted(config))
+    return fingerprints.select("source_id", F.sha2(F.concat_ws("\n", F.lit(text), "fingerprint"), 256).alias("key"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import fold, segments
+from .frames import states
 
 
 def _order():
@@ -14,17 +18,30 @@ def _order():
 def anchors(frames: DataFrame, seconds: float) -> DataFrame:
     """Greedy sampler: a frame at or after the next anchor is taken, and the anchor moves to its time + seconds.
 
-    Frames without time are skipped. After a gap of ``seconds`` the next frame is always
-    taken, so the fold runs inside the stretches between such gaps.
+    Frames without time are skipped; 0 seconds take none. After a gap of ``seconds`` the next
+    frame is always taken, so the scan starts anew in each stretch between such gaps, and
+    holds one anchor, however long a stretch is.
     """
-    timed = frames.where(F.col("time_s").isNotNull())
+    timed = frames.where(F.col("time_s").isNotNull()).select("source_id", "frame_no", "time_s")
+    if seconds <= 0:
+        return timed.select("source_id", "frame_no").limit(0)
     top = F.max("time_s").over(_order().rowsBetween(W.unboundedPreceding, -1))
-    broken = F.when(top.isNull() | (F.col("time_s") - top >= seconds), 1).otherwise(0)
-    parts = timed.select("source_id", "frame_no", "time_s", broken.alias("b")).withColumn("stretch", F.sum("b").over(_order().rowsBetween(W.unboundedPreceding, 0)))
-    grouped = parts.groupBy("source_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("frame_no", "time_s"))).alias("f"))
-    zero = F.struct(F.lit(float("-inf")).alias("next"), F.array().cast("array<bigint>").alias("taken"))
-    step = lambda acc, x: F.when(x["time_s"] >= acc["next"], F.struct((x["time_s"] + seconds).alias("next"), F.array_append(acc["taken"], x["frame_no"]).alias("taken"))).otherwise(acc)
-    return grouped.select("source_id", F.explode(F.aggregate("f", zero, step)["taken"]).alias("frame_no"))
+    broken = F.coalesce(F.col("time_s") - top >= seconds, F.lit(True)).cast("long")
+    parts = timed.withColumn("b", broken).withColumn("stretch", F.sum("b").over(_order().rowsBetween(W.unboundedPreceding, 0))).drop("b")
+
+    def start():
+        anchor = float("-inf")
+
+        def step(time):
+            nonlocal anchor
+            if time < anchor:
+                return False
+            anchor = time + seconds
+            return True
+
+        return step
+
+    return fold.scan(parts, ["source_id", "stretch"], ["frame_no"], ["time_s"], start, "taken", T.BooleanType()).where("taken").select("source_id", "frame_no")
 
 
 def first_last(frames: DataFrame) -> DataFrame:
@@ -32,14 +49,15 @@ def first_last(frames: DataFrame) -> DataFrame:
     return ends.select("source_id", F.col("lo").alias("frame_no"), F.lit("first").alias("reason")).unionByName(ends.select("source_id", F.col("hi").alias("frame_no"), F.lit("last_computed").alias("reason")))
 
 
-def change_reasons(run_frames: DataFrame, global_at: float, fraction_at: float, distinct_states: bool = True) -> DataFrame:
+def change_reasons(run_frames: DataFrame, global_at: float = 2.0, local_at: float = 0.8, pixels_at: int = 8, distinct_states: bool = True) -> DataFrame:
     """(source_id, frame_no, reason): new states, size changes, and changes at or above thresholds."""
     g = F.col("global_delta")
     reasons = F.array_compact(F.array(
         F.when((F.col("exact_start") == F.col("frame_no")) & F.lit(distinct_states), "distinct_state"),
         F.when(g.isNull() & (F.col("frame_no") > 0), "dimension_change"),
         F.when((g > 0) & (g >= global_at), "global_change"),
-        F.when((g > 0) & (F.col("changed_fraction") >= fraction_at), "pixel_change"),
+        F.when((g > 0) & (F.col("max_local_delta") >= local_at), "local_change"),
+        F.when((g > 0) & (F.col("changed_pixels") >= pixels_at), "pixel_change"),
     ))
     return run_frames.select("source_id", "frame_no", F.explode(reasons).alias("reason"))
 
@@ -69,11 +87,71 @@ def pending(found: DataFrame, views: DataFrame) -> DataFrame:
     return found.join(views.where("kind = 'full' and presentation = 'native'").select("source_id", "frame_no"), ["source_id", "frame_no"], "left_anti")
 
 
-def queue(found: DataFrame, frames: DataFrame, start: float, end: float, batch: int) -> DataFrame:
-    """First ``batch`` candidates of each source: those with a request inside the closed time range first, then by ordinal."""
+def queue(found: DataFrame, frames: DataFrame, start: float | None, end: float | None, batch: int) -> DataFrame:
+    """First ``batch`` candidates of each source: those with a request inside the closed time range first, then by ordinal.
+
+    ``matched``: the requests inside the range; ``matched_ranges``: them as ranges of
+    consecutive ordinals with the times of both ends. Without a range none is inside.
+    """
+    if batch < 1:
+        raise ValueError("batch must be positive")
+    if (start is None) != (end is None) or (start is not None and not float("-inf") < start <= end < float("inf")):
+        raise ValueError("give both ends of a range in order, or neither")
     times = frames.select("source_id", F.col("frame_no").alias("request"), "time_s")
-    hits = found.select("source_id", "frame_no", F.explode("represented_requests").alias("request")).join(times, ["source_id", "request"]).where(F.col("time_s").between(start, end))
-    inside = hits.groupBy("source_id", "frame_no").agg(F.array_sort(F.collect_list("request")).alias("matched"))
+    near = F.col("time_s").between(start, end) if start is not None else F.lit(False)
+    hits = found.select("source_id", "frame_no", F.explode("represented_requests").alias("request")).join(times, ["source_id", "request"]).where(near)
+    hits = hits.withColumn("island", F.col("request") - F.row_number().over(W.partitionBy("source_id", "frame_no").orderBy("request")))
+    one = hits.groupBy("source_id", "frame_no", "island").agg(
+        F.min("request").alias("start_frame"), F.max("request").alias("end_frame"), F.min_by("time_s", "request").alias("start_time_s"), F.max_by("time_s", "request").alias("end_time_s"), F.collect_list("request").alias("m"),
+    )
+    inside = one.groupBy("source_id", "frame_no").agg(
+        F.array_sort(F.flatten(F.collect_list("m"))).alias("matched"), F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "start_time_s", "end_time_s"))).alias("matched_ranges")
+    )
     rows = found.join(inside, ["source_id", "frame_no"], "left").withColumn("in_range", F.col("matched").isNotNull())
     w = W.partitionBy("source_id").orderBy(F.col("in_range").desc(), "frame_no")
     return rows.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= batch)
+
+
+def manifest(found: DataFrame, frames: DataFrame, assets: DataFrame, views: DataFrame, pending_only: bool = False, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Candidates with time, size, full image and whether that was seen natively, by ordinal.
+
+    A time filter leaves out frames without a time. ``views``: asset_id, frame_no, presentation.
+    """
+    full = assets.where("kind = 'full'").select("source_id", "frame_no", F.col("id").alias("asset_id"), "path")
+    seen = views.where("presentation = 'native'").join(full.select("source_id", "asset_id"), ["source_id", "asset_id"], "left_semi")
+    seen = seen.select("source_id", "frame_no", F.lit(True).alias("viewed")).distinct()
+    rows = found.join(frames.select("source_id", "frame_no", "time_s", "width", "height"), ["source_id", "frame_no"])
+    rows = rows.join(full, ["source_id", "frame_no"], "left").join(seen, ["source_id", "frame_no"], "left").withColumn("viewed", F.coalesce("viewed", F.lit(False)))
+    if pending_only:
+        rows = rows.where("not viewed")
+    if start is not None:
+        rows = rows.where(F.col("time_s") >= start)
+    return rows.where(F.col("time_s") <= end) if end is not None else rows
+
+
+#: The thresholds that a layered selection must leave as they are.
+DEFAULTS = {"anchor_seconds": 5.0, "global_at": 2.0, "local_at": 0.8, "pixels_at": 8, "context_frames": 1}
+
+
+def select(run_frames: DataFrame, mode: str = "layered", **given) -> DataFrame:
+    """Automatic requests (source_id, frame_no, reason) of the computed frames.
+
+    ``coverage`` asks for every state, ``changes`` for changes only; both add the first and
+    last frame, anchors and the neighbours of every flagged frame. ``layered`` asks for the
+    representatives of the plan and takes no thresholds.
+    """
+    p = DEFAULTS | given
+    if unknown := given.keys() - DEFAULTS.keys():
+        raise ValueError(f"unknown thresholds {sorted(unknown)}")
+    if mode == "layered":
+        if p != DEFAULTS:
+            raise ValueError("the layered mode takes no thresholds")
+        return segments.prepare(states(run_frames))[1].select("source_id", "frame_no", "reason")
+    if mode not in ("coverage", "changes"):
+        raise ValueError("mode must be layered, coverage or changes")
+    if min(p["anchor_seconds"], p["global_at"], p["local_at"], p["context_frames"]) < 0 or p["pixels_at"] < 1:
+        raise ValueError("thresholds must not be negative, pixels_at positive")
+    computed = run_frames.where(F.col("digest").isNotNull())
+    flagged = change_reasons(computed, p["global_at"], p["local_at"], p["pixels_at"], mode == "coverage")
+    timed = anchors(computed, p["anchor_seconds"]).withColumn("reason", F.lit("time_anchor"))
+    return first_last(computed).unionByName(timed).unionByName(flagged).unionByName(context(flagged, computed, p["context_frames"])).distinct()

@@ -10,18 +10,21 @@ from ..operators import intervals as iv
 from ..operators import records as rc
 from ..operators import segments as sg
 from ..operators import selection as sel
-from ..operators.evidence import coverage_counts, covered, required_sample
+from ..operators.evidence import covered, covered_length
 from ..sources import adapters as ad
+from ..sources.ledger import MAX_SPAN, STEP_BREAKS
+from ..sources.tables import staged
 
 DAY = 86_400.0
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 _FRAMES = """
-frames AS (
-  SELECT user_id AS source_id, row_number() OVER w - 1 AS frame_no, epoch_us(ts) / 1000000.0::DOUBLE AS time_s, event_type AS digest,
-    abs(value - lag(value) OVER w) AS global_delta, abs(value - lag(value) OVER w) / 500 AS changed_fraction, event_id, props
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+deltas AS (
+  SELECT *, (props->>'k')::BIGINT AS k, abs(value - lag(value) OVER w) AS delta, row_number() OVER w - 1 AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), frames AS (
+  SELECT user_id AS source_id, n AS frame_no, epoch_us(ts) / 1000000.0::DOUBLE AS time_s, event_type AS digest, delta AS global_delta, delta * (1 + k::DOUBLE / 100) AS max_local_delta,
+    floor(delta)::BIGINT AS changed_pixels, delta / 500 * (k::DOUBLE / 50) AS changed_fraction, event_id, props, k FROM deltas
 )"""
 _RUNS = (
     _FRAMES
@@ -35,16 +38,13 @@ _STATES = (
     _RUNS
     + """, states AS (
   SELECT source_id, exact_start, min(frame_no) AS start_frame, max(frame_no) AS end_frame, min(time_s) AS start_time, max(time_s) AS end_time,
-    min(digest) AS digest, max(global_delta) AS global_delta, max(changed_fraction) AS changed_fraction FROM runs GROUP BY source_id, exact_start
-)"""
-)
-_REQUESTS = (
-    _RUNS
-    + """, flagged AS (
-  SELECT source_id, frame_no, unnest(list_filter([CASE WHEN global_delta > 0 AND global_delta >= 100 THEN 'global_change' END, CASE WHEN global_delta IS NULL AND frame_no > 0 THEN 'dimension_change' END,
-    CASE WHEN global_delta > 0 AND changed_fraction >= 0.3 THEN 'pixel_change' END], lambda x: x IS NOT NULL)) AS reason FROM runs
+    min(digest) AS digest, max(global_delta) AS global_delta, max(max_local_delta) AS local_delta, max(changed_fraction) AS changed_fraction FROM runs GROUP BY source_id, exact_start
 )"""
 )
+_FLAGS = """SELECT source_id, frame_no, unnest(list_filter([CASE WHEN {distinct_states} AND exact_start = frame_no THEN 'distinct_state' END, CASE WHEN global_delta IS NULL AND frame_no > 0 THEN 'dimension_change' END,
+    CASE WHEN global_delta > 0 AND global_delta >= {g} THEN 'global_change' END, CASE WHEN global_delta > 0 AND max_local_delta >= {l} THEN 'local_change' END,
+    CASE WHEN global_delta > 0 AND changed_pixels >= {p} THEN 'pixel_change' END], lambda x: x IS NOT NULL)) AS reason FROM runs"""
+_REQUESTS = _RUNS + ", flagged AS (\n  " + _FLAGS.format(distinct_states="false", g=100, l=170, p=150) + "\n)"
 _CANDIDATES = (
     _REQUESTS
     + """, candidates AS (
@@ -54,24 +54,38 @@ _CANDIDATES = (
   SELECT source_id, frame_no FROM runs JOIN labels ON doc_id = event_id WHERE quality = 1
 )"""
 )
-_ISLANDS = (
-    _STATES
-    + """, cuts AS (
-  SELECT *, CASE WHEN lag(start_frame) OVER w IS NULL OR coalesce(start_frame > lag(end_frame) OVER w + 1, false) OR coalesce(global_delta >= 100, false)
-    OR coalesce(start_time - lag(start_time) OVER w >= 43200, false) THEN 1 ELSE 0 END AS cut FROM states WINDOW w AS (PARTITION BY source_id ORDER BY start_frame)
+
+
+def _walk(states: str, layout: float, fraction: float, dwell: float, span: float) -> str:
+    """Islands and buckets of the CTE ``states``: (island, hard), then the walk over each island."""
+    return f"""cuts AS (
+  SELECT *, CASE WHEN lag(start_frame) OVER w IS NULL THEN NULL WHEN start_frame <> lag(end_frame) OVER w + 1 THEN 'uncomputed gap'
+    WHEN coalesce(changed_fraction, 0) >= {fraction} OR coalesce(global_delta, 0) >= {layout} THEN 'layout/control surface change'
+    WHEN lag(start_time) OVER w IS NOT NULL AND lag(end_time) OVER w - lag(start_time) OVER w >= {dwell} THEN 'stable dwell exit' END AS hard
+  FROM {states} WINDOW w AS (PARTITION BY source_id ORDER BY start_frame)
 ), islands AS (
-  SELECT *, sum(cut) OVER (PARTITION BY source_id ORDER BY start_frame ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM cuts
+  SELECT *, (1 + count(hard) OVER (PARTITION BY source_id ORDER BY start_frame ROWS UNBOUNDED PRECEDING))::BIGINT AS island FROM cuts
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY source_id, island ORDER BY start_frame) AS k FROM islands
+  SELECT *, row_number() OVER (PARTITION BY source_id, island ORDER BY start_frame) AS k_in FROM islands
 ), walk AS (
-  SELECT source_id, island, k, start_frame, start_frame AS bucket, start_time AS bt FROM numbered WHERE k = 1
+  SELECT source_id, island, k_in, start_frame, start_frame AS bucket, start_time AS bt, coalesce(hard, 'start/continuation') AS boundary_clue FROM numbered WHERE k_in = 1
   UNION ALL
-  SELECT n.source_id, n.island, n.k, n.start_frame, CASE WHEN n.start_time - w.bt >= 259200 THEN n.start_frame ELSE w.bucket END, CASE WHEN n.start_time - w.bt >= 259200 THEN n.start_time ELSE w.bt END
-  FROM walk w JOIN numbered n ON n.source_id = w.source_id AND n.island = w.island AND n.k = w.k + 1
+  SELECT n.source_id, n.island, n.k_in, n.start_frame, CASE WHEN n.start_time - w.bt >= {span} THEN n.start_frame ELSE w.bucket END, CASE WHEN n.start_time - w.bt >= {span} THEN n.start_time ELSE w.bt END,
+    CASE WHEN n.start_time - w.bt >= {span} THEN 'context duration bound' ELSE 'start/continuation' END
+  FROM walk w JOIN numbered n ON n.source_id = w.source_id AND n.island = w.island AND n.k_in = w.k_in + 1
 ), bucketed AS (
-  SELECT i.*, walk.bucket FROM islands i JOIN walk USING (source_id, start_frame)
+  SELECT i.*, walk.bucket, walk.boundary_clue, row_number() OVER (PARTITION BY i.source_id, walk.bucket, i.digest ORDER BY i.start_frame) > 1 AS again FROM islands i JOIN walk USING (source_id, start_frame)
+), proposals AS (
+  SELECT source_id, 'P' || lpad(bucket::VARCHAR, 9, '0') AS id, min(start_frame) AS start_frame, max(end_frame) AS end_frame, arg_min(boundary_clue, start_frame) AS boundary_clue,
+    list_sort(list_distinct(list_filter([min(start_frame), max(end_frame), arg_max(start_frame, (local_delta, -start_frame)) FILTER (WHERE local_delta > 0), arg_min(start_frame, (local_delta, start_frame)) FILTER (WHERE local_delta > 0),
+      min(start_frame) FILTER (WHERE again)], lambda x: x IS NOT NULL))) AS reps,
+    count(*) AS distinct_states, coalesce(list(start_frame ORDER BY start_frame) FILTER (WHERE local_delta > 0 AND coalesce(changed_fraction, 0) < 0.01), []) AS small,
+    coalesce(list(start_frame ORDER BY start_frame) FILTER (WHERE again), []) AS retrace, coalesce(list(start_frame ORDER BY start_frame) FILTER (WHERE start_frame = end_frame), []) AS one
+  FROM bucketed GROUP BY source_id, bucket
 )"""
-)
+
+
+_ISLANDS = _STATES + ", " + _walk("states", 100.0, 0.25, 43_200, 259_200)
 _SPANS = """
 spans AS (
   SELECT o_custkey AS key, l_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS "start", (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + l_quantity - 1)::BIGINT AS "end"
@@ -111,16 +125,20 @@ def _states(spark, d):
 
 
 def _requests(spark, d):
-    return sel.change_reasons(_runs(spark, d), 100.0, 0.3, distinct_states=False)
+    return _flagged(_runs(spark, d))
+
+
+def _flagged(runs):
+    return sel.change_reasons(runs, 100.0, 170.0, 150, distinct_states=False)
 
 
-def _native(spark, d):
+def _seen(frames, spark, d):
     good = ad.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("event_id"))
-    return _frames(spark, d).join(good, "event_id").select("source_id", "frame_no", F.lit("full").alias("kind"), F.lit("native").alias("presentation"))
+    return frames.join(good, "event_id").select("source_id", "frame_no", F.lit("full").alias("kind"), F.lit("native").alias("presentation"))
 
 
 def _bucketed(spark, d):
-    return sg.buckets(sg.hard_breaks(_states(spark, d), 100.0, DAY / 2), 3 * DAY)
+    return sg.buckets(sg.hard_breaks(_states(spark, d), **STEP_BREAKS), MAX_SPAN)
 
 
 def _spans(spark, d):
@@ -149,20 +167,44 @@ def frm_states(spark, d):
     return _states(spark, d)
 
 
-@query(f"WITH {_FRAMES} SELECT source_id, frame_no, time_s, 'pts' AS time_source FROM frames")
+_LINES = (
+    _FRAMES
+    + """, told AS (SELECT source_id, frame_no, event_id, CASE WHEN k < 10 THEN NULL ELSE floor(time_s)::BIGINT END AS pts, CASE WHEN k < 5 THEN NULL ELSE floor(time_s)::BIGINT - 40000 * (k % 3) END AS best FROM frames)"""
+)
+
+
+def _lines(spark, d):
+    """Index lines of the frames: ``k=v|k=v`` with times that are missing for some."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    whole = F.floor("time_s").cast("long")
+    pts, best = F.when(k < 10, "N/A").otherwise(whole.cast("string")), F.when(k < 5, "").otherwise((whole - 40000 * (k % 3)).cast("string"))
+    line = F.concat(F.lit("width=640|height=360|pts_time="), pts, F.lit("|best_effort_timestamp_time="), best)
+    return _frames(spark, d).select("source_id", "frame_no", line.alias("line"))
+
+
+def _indexed(spark, d):
+    return ad.index_frames(_lines(spark, d))
+
+
+@query(f"WITH {_LINES} SELECT source_id, frame_no, coalesce(pts, best)::DOUBLE AS time_s, CASE WHEN pts IS NOT NULL THEN 'pts' WHEN best IS NOT NULL THEN 'best_effort' ELSE 'missing' END AS time_source, 640 AS width, 360 AS height FROM told")
 def frm_time(spark, d):
-    rows = _frames(spark, d)
-    t, source = sc.frame_time(F.col("time_s").cast("string"), F.lit("N/A"))
-    return rows.select("source_id", "frame_no", t.alias("time_s"), source.alias("time_source"))
+    return _indexed(spark, d).select("source_id", "frame_no", "time_s", "time_source", "width", "height")
 
 
-@query("""
-WITH f AS (SELECT user_id AS source_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 7, event_id) AS n, epoch_us(ts) AS t FROM events),
-g AS (SELECT source_id, t <= lag(t) OVER (PARTITION BY source_id ORDER BY n) AS bad FROM f)
-SELECT source_id, 0::BIGINT AS missing_time, count(*) FILTER (WHERE bad) AS non_increasing FROM g GROUP BY source_id""")
+@query(f"""WITH {_LINES}, t AS (SELECT *, coalesce(pts, best) AS t FROM told),
+g AS (SELECT *, t <= last_value(t IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM t)
+SELECT source_id, count(*) FILTER (WHERE pts IS NULL) AS missing_pts, count(*) FILTER (WHERE t IS NULL) AS missing_all_time, count(*) FILTER (WHERE bad) AS non_increasing_time FROM g GROUP BY source_id""")
 def frm_anomaly(spark, d):
-    rows = ad.table(spark, d, "events").select(F.col("user_id").alias("source_id"), (F.col("event_id") % 7 * 10**12 + F.col("event_id")).alias("frame_no"), ad.epoch_seconds("ts").alias("time_s"))
-    return fr.anomalies(rows)
+    return fr.anomalies(_indexed(spark, d))
+
+
+@query("SELECT event_id, 640 AS width, 360 AS height, CASE WHEN (props->>'k')::BIGINT < 10 THEN NULL ELSE (props->>'k') END AS pts, event_type AS name FROM events WHERE event_type <> 'view'")
+def src_kv(spark, d):
+    k = F.get_json_object("props", "$.k")
+    size = F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.lit("width=640|height=360|"))
+    line = F.concat(size, F.lit("pts="), F.when(k.cast("long") < 10, "N/A").otherwise(k), F.lit("|name="), "event_type")
+    fields = ad.key_value_lines(ad.table(spark, d, "events").select("event_id", line.alias("line")))
+    return fields.select("event_id", F.expr("cast(fields['width'] as int)").alias("width"), F.expr("cast(fields['height'] as int)").alias("height"), F.expr("fields['pts']").alias("pts"), F.expr("fields['name']").alias("name"))
 
 
 @query(f"""WITH {_FRAMES}, p AS (SELECT source_id, frame_no, frame_no - row_number() OVER (PARTITION BY source_id ORDER BY frame_no) AS g FROM frames WHERE digest = 'purchase')
@@ -171,9 +213,11 @@ def frm_ranges(spark, d):
     return fr.ranges(_frames(spark, d).where("digest = 'purchase'"), "frame_no", ["source_id"])
 
 
-@query(f"""WITH {_FRAMES}, p AS (SELECT source_id, frame_no, frame_no - row_number() OVER (PARTITION BY source_id ORDER BY frame_no) AS g FROM frames WHERE digest = 'purchase'),
-r AS (SELECT source_id, min(frame_no) AS a, max(frame_no) AS b FROM p GROUP BY source_id, g)
-SELECT source_id, string_agg(CASE WHEN a = b THEN 'eq(n,' || a || ')' ELSE 'between(n,' || a || ',' || b || ')' END, '+' ORDER BY a) AS expression FROM r GROUP BY source_id""")
+@query(f"""WITH RECURSIVE {_FRAMES}, p AS (SELECT source_id, frame_no, frame_no - row_number() OVER (PARTITION BY source_id ORDER BY frame_no) AS g FROM frames WHERE digest = 'purchase'),
+r AS (SELECT source_id, min(frame_no) AS a, max(frame_no) AS b FROM p GROUP BY source_id, g),
+t AS (SELECT source_id, list(CASE WHEN a = b THEN 'eq(n\\,' || a || ')' ELSE 'between(n\\,' || a || '\\,' || b || ')' END ORDER BY a) AS l FROM r GROUP BY source_id
+  UNION ALL SELECT source_id, [CASE WHEN 2 * i + 2 <= len(l) THEN '(' || l[2 * i + 1] || '+' || l[2 * i + 2] || ')' ELSE l[2 * i + 1] END for i in range(0, (len(l) + 1) // 2)] FROM t WHERE len(l) > 1)
+SELECT source_id, 'select=' || l[1] AS expression FROM t WHERE len(l) = 1""")
 def frm_select_expr(spark, d):
     return fr.select_expression(frm_ranges(spark, d), ["source_id"])
 
@@ -215,44 +259,86 @@ def cand_rebuild(spark, d):
 
 
 @query(f"""WITH {_CANDIDATES}, p AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM native n WHERE n.source_id = c.source_id AND n.frame_no = c.frame_no)),
-h AS (SELECT source_id, p.frame_no, list_sort(list(r)) AS matched FROM (SELECT source_id, frame_no, unnest(represented) AS r FROM p) p JOIN frames f USING (source_id) WHERE f.frame_no = p.r AND f.time_s BETWEEN 1704500000 AND 1705500000 GROUP BY source_id, p.frame_no),
-q AS (SELECT p.*, matched, row_number() OVER (PARTITION BY p.source_id ORDER BY matched IS NULL, p.frame_no) AS position FROM p LEFT JOIN h USING (source_id, frame_no))
-SELECT source_id, frame_no, matched IS NOT NULL AS in_range, position, coalesce(array_to_string(matched, ','), '') AS matched FROM q WHERE position <= 8""")
+m AS (SELECT source_id, p.frame_no, r, f.time_s, r - row_number() OVER (PARTITION BY source_id, p.frame_no ORDER BY r) AS g FROM (SELECT source_id, frame_no, unnest(represented) AS r FROM p) p JOIN frames f USING (source_id) WHERE f.frame_no = p.r AND f.time_s BETWEEN 1704500000 AND 1705500000),
+u AS (SELECT source_id, frame_no, min(r) AS a, max(r) AS b, floor(arg_min(time_s, r))::BIGINT AS s, floor(arg_max(time_s, r))::BIGINT AS e, list(r ORDER BY r) AS l FROM m GROUP BY source_id, frame_no, g),
+h AS (SELECT source_id, frame_no, flatten(list(l ORDER BY a)) AS matched, string_agg(a || '-' || b || '@' || s || '-' || e, ',' ORDER BY a) AS matched_ranges FROM u GROUP BY source_id, frame_no),
+q AS (SELECT p.*, matched, matched_ranges, row_number() OVER (PARTITION BY p.source_id ORDER BY matched IS NULL, p.frame_no) AS position FROM p LEFT JOIN h USING (source_id, frame_no))
+SELECT source_id, frame_no, matched IS NOT NULL AS in_range, position, coalesce(array_to_string(matched, ','), '') AS matched, coalesce(matched_ranges, '') AS matched_ranges FROM q WHERE position <= 8""")
 def queue(spark, d):
-    left = sel.pending(sel.candidates(_requests(spark, d), _runs(spark, d)), _native(spark, d))
-    rows = sel.queue(left, _frames(spark, d), 1704500000.0, 1705500000.0, 8)
-    return rows.select("source_id", "frame_no", "in_range", "position", F.coalesce(_text("matched"), F.lit("")).alias("matched"))
+    runs = staged(_runs(spark, d), "runs")
+    left = sel.pending(sel.candidates(_flagged(runs), runs), _seen(runs, spark, d))
+    rows = sel.queue(left, runs, 1704500000.0, 1705500000.0, 8)
+    n = lambda c: c.cast("long").cast("string")
+    span = F.transform("matched_ranges", lambda r: F.concat(n(r["start_frame"]), F.lit("-"), n(r["end_frame"]), F.lit("@"), n(r["start_time_s"]), F.lit("-"), n(r["end_time_s"])))
+    return rows.select("source_id", "frame_no", "in_range", "position", F.coalesce(_text("matched"), F.lit("")).alias("matched"), F.coalesce(F.array_join(span, ","), F.lit("")).alias("matched_ranges"))
 
 
-@query(f"""WITH {_CANDIDATES} SELECT source_id, count(*) AS candidates, count(*) FILTER (WHERE seen) AS viewed FROM (
-SELECT source_id, EXISTS (SELECT 1 FROM native n WHERE n.source_id = c.source_id AND n.frame_no = c.frame_no) AS seen FROM candidates c) GROUP BY source_id""")
+@query(f"""WITH {_CANDIDATES}, m AS (SELECT source_id, c.frame_no, array_to_string(reasons, ',') AS reasons, f.time_s, CASE WHEN f.k < 90 THEN 'f' || lpad(c.frame_no::VARCHAR, 9, '0') END AS asset_id,
+  EXISTS (SELECT 1 FROM native n WHERE n.source_id = c.source_id AND n.frame_no = c.frame_no) AND f.k < 90 AS viewed FROM candidates c JOIN frames f USING (source_id, frame_no))
+SELECT 'all' AS what, * FROM m UNION ALL SELECT 'pending', * FROM m WHERE NOT viewed AND time_s BETWEEN 1704500000 AND 1705500000""")
 def cand_manifest(spark, d):
-    seen = _native(spark, d).select("source_id", "frame_no", F.lit(True).alias("seen")).distinct()
-    found = sel.candidates(_requests(spark, d), _runs(spark, d)).join(seen, ["source_id", "frame_no"], "left")
-    return found.groupBy("source_id").agg(F.count(F.lit(1)).alias("candidates"), F.count("seen").alias("viewed"))
+    runs = staged(_runs(spark, d), "runs").withColumns({"k": F.get_json_object("props", "$.k").cast("long"), "width": F.lit(640), "height": F.lit(360)})
+    found = sel.candidates(_flagged(runs), runs)
+    assets = runs.where("k < 90").select("source_id", "frame_no", sc.asset_id(F.col("frame_no")).alias("id"), F.lit("full").alias("kind"), F.concat(F.lit("evidence/"), sc.asset_id(F.col("frame_no"))).alias("path"))
+    views = _seen(runs, spark, d).withColumn("asset_id", sc.asset_id(F.col("frame_no")))
+    show = lambda rows, what: rows.select(F.lit(what).alias("what"), "source_id", "frame_no", F.array_join("reasons", ",").alias("reasons"), "time_s", "asset_id", "viewed")
+    return show(sel.manifest(found, runs, assets, views), "all").unionByName(show(sel.manifest(found, runs, assets, views, True, 1704500000.0, 1705500000.0), "pending"))
 
 
-@query(f"WITH {_ISLANDS.replace('WITH', '').split(', numbered AS')[0]} SELECT source_id, start_frame, island FROM islands")
+@query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, start_frame, island, hard FROM islands")
 def plan_break_hard(spark, d):
-    return sg.hard_breaks(_states(spark, d), 100.0, DAY / 2).select("source_id", "start_frame", "island")
+    return sg.hard_breaks(_states(spark, d), **STEP_BREAKS).select("source_id", "start_frame", "island", "hard")
 
 
-@query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, start_frame, bucket FROM bucketed")
+@query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, start_frame, bucket, boundary_clue FROM bucketed")
 def plan_break(spark, d):
-    return _bucketed(spark, d).select("source_id", "start_frame", "bucket")
+    return _bucketed(spark, d).select("source_id", "start_frame", "bucket", "boundary_clue")
 
 
-@query(f"""WITH RECURSIVE {_ISLANDS} SELECT source_id, start_frame, bucket FROM (SELECT *, row_number() OVER (PARTITION BY source_id, bucket, digest ORDER BY start_frame) AS n FROM bucketed) WHERE n > 1""")
+@query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, start_frame, bucket FROM bucketed WHERE again")
 def plan_retrace(spark, d):
     return sg.retraces(_bucketed(spark, d)).select("source_id", "start_frame", "bucket")
 
 
-@query(f"""WITH RECURSIVE {_ISLANDS}, again AS (SELECT source_id, bucket, min(start_frame) AS retrace FROM (SELECT *, row_number() OVER (PARTITION BY source_id, bucket, digest ORDER BY start_frame) AS n FROM bucketed) WHERE n > 1 GROUP BY source_id, bucket)
-SELECT b.source_id, b.bucket, min(start_frame) AS first, max(end_frame) AS last, arg_max(start_frame, (global_delta, -start_frame)) FILTER (WHERE global_delta > 0) AS strongest,
-  arg_min(start_frame, (global_delta, start_frame)) FILTER (WHERE global_delta > 0) AS weakest, count(*) AS distinct_states, count(*) FILTER (WHERE changed_fraction < 0.01) AS small_changes,
-  count(*) FILTER (WHERE start_frame = end_frame) AS one_frame_states, any_value(retrace) AS retrace FROM bucketed b LEFT JOIN again USING (source_id, bucket) GROUP BY b.source_id, b.bucket""")
+def _plan(spark, d):
+    return sg.prepare(_states(spark, d), MAX_SPAN, **STEP_BREAKS)
+
+
+@query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, id, start_frame, end_frame, boundary_clue, array_to_string(reps, ',') AS representative_frames FROM proposals")
 def plan_reps(spark, d):
-    return sg.representatives(_bucketed(spark, d))
+    return _plan(spark, d)[0].select("source_id", "id", "start_frame", "end_frame", "boundary_clue", _text("representative_frames").alias("representative_frames"))
+
+
+@query(f"""WITH RECURSIVE {_ISLANDS} SELECT source_id, id, distinct_states, array_to_string(small, ',') AS small_change_frames, array_to_string(retrace, ',') AS retrace_frames, array_to_string(one, ',') AS one_frame_states,
+CASE WHEN distinct_states = 1 THEN 'exact' ELSE 'approximate_proposal' END AS merge FROM proposals""")
+def plan_risk(spark, d):
+    lists = [_text(c).alias(c) for c in ("small_change_frames", "retrace_frames", "one_frame_states")]
+    return _plan(spark, d)[0].select("source_id", "id", "distinct_states", *lists, "merge")
+
+
+@query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, unnest(reps) AS frame_no, 'layer_overview:' || id AS reason, 'automatic' AS origin FROM proposals")
+def plan_prepare(spark, d):
+    return _plan(spark, d)[1]
+
+
+_LAYERED = _STATES + ", " + _walk("states", 5.0, 0.12, 0.75, 15.0)
+
+
+@query(f"""WITH RECURSIVE {_LAYERED}, ends AS (SELECT source_id, min(frame_no) AS lo, max(frame_no) AS hi FROM runs GROUP BY source_id),
+anchor AS (SELECT source_id, frame_no, true AS taken, time_s + 86400 AS nxt FROM frames WHERE frame_no = 0
+  UNION ALL SELECT f.source_id, f.frame_no, f.time_s >= w.nxt, CASE WHEN f.time_s >= w.nxt THEN f.time_s + 86400 ELSE w.nxt END FROM anchor w JOIN frames f ON f.source_id = w.source_id AND f.frame_no = w.frame_no + 1),
+c1 AS ({_FLAGS.format(distinct_states="true", g=100, l=170, p=150)}), c2 AS ({_FLAGS.format(distinct_states="false", g=100, l=170, p=150)}),
+every AS (SELECT 'coverage' AS mode, * FROM c1 UNION ALL SELECT 'changes', * FROM c2),
+near AS (SELECT DISTINCT mode, source_id, frame_no AS o, unnest(range(greatest(0, frame_no - 1), frame_no + 2)) AS n FROM every)
+SELECT * FROM every UNION SELECT mode, n.source_id, n.n, 'context_of_' || o FROM near n JOIN frames f ON f.source_id = n.source_id AND f.frame_no = n.n WHERE n.n <> o
+UNION SELECT mode, source_id, unnest([lo, hi]), unnest(['first', 'last_computed']) FROM ends, (VALUES ('coverage'), ('changes')) m(mode)
+UNION SELECT mode, source_id, frame_no, 'time_anchor' FROM anchor, (VALUES ('coverage'), ('changes')) m(mode) WHERE taken
+UNION SELECT 'layered', source_id, unnest(reps), 'layer_overview:' || id FROM proposals""")
+def sel_mode(spark, d):
+    runs = staged(_runs(spark, d), "runs")
+    given = {"anchor_seconds": DAY, "global_at": 100.0, "local_at": 170.0, "pixels_at": 150}
+    one = lambda mode, **p: sel.select(runs, mode, **p).withColumn("mode", F.lit(mode))
+    return one("coverage", **given).unionByName(one("changes", **given)).unionByName(one("layered"))
 
 
 @query("""
@@ -312,7 +398,7 @@ def ivl_cue_overlap(spark, d):
 _ISSUES = (
     _SPANS
     + """, steps AS (SELECT key, l_orderkey AS step_id, min("start") AS "start", max("end") AS "end" FROM spans GROUP BY key, l_orderkey),
-issues AS (SELECT key, step_id AS issue_id, "start", "end", CASE WHEN step_id % 100 = 0 THEN [step_id] ELSE [] END AS ids FROM steps WHERE step_id % 50 = 0)"""
+issues AS (SELECT key, step_id AS issue_id, "start", "end", CASE WHEN step_id % 100 = 0 THEN [step_id] ELSE [] END AS ids FROM steps)"""
 )
 
 
@@ -320,15 +406,14 @@ issues AS (SELECT key, step_id AS issue_id, "start", "end", CASE WHEN step_id %
 def ivl_intersect_closed(spark, d):
     steps = _spans(spark, d).groupBy("key", F.col("l_orderkey").alias("step_id")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     ids = F.when(F.col("step_id") % 100 == 0, F.array("step_id")).otherwise(F.array().cast("array<bigint>"))
-    issues = steps.where("step_id % 50 = 0").select("key", F.col("step_id").alias("issue_id"), "start", "end", ids.alias("step_ids"))
+    issues = steps.select("key", F.col("step_id").alias("issue_id"), "start", "end", ids.alias("step_ids"))
     return iv.linked_steps(issues, steps, ["key"])
 
 
-@query(f"""WITH {_RUNS}, v AS (SELECT DISTINCT source_id, exact_start FROM runs WHERE frame_no % 5 = 0) SELECT source_id, frame_no FROM runs JOIN v USING (source_id, exact_start) WHERE frame_no % 3 = 0""")
+@query(f"""WITH {_RUNS}, v AS (SELECT DISTINCT source_id, exact_start FROM runs JOIN labels ON doc_id = event_id WHERE quality = 1) SELECT source_id, frame_no FROM runs JOIN v USING (source_id, exact_start)""")
 def join_state_equiv(spark, d):
     runs = _runs(spark, d)
-    keys = runs.select("source_id", "frame_no")
-    return covered(keys.where("frame_no % 3 = 0"), keys.where("frame_no % 5 = 0"), runs).select("source_id", "frame_no")
+    return covered(runs.select("source_id", "frame_no"), _seen(runs, spark, d).select("source_id", "frame_no"), runs).select("source_id", "frame_no")
 
 
 @query("""
@@ -347,15 +432,10 @@ def cont_gap(spark, d):
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def agg_unviewed(spark, d):
+def rel_not_exists(spark, d):
     return rc.missing(ad.table(spark, d, "documents").select("doc_id"), ad.table(spark, d, "labels"), ["doc_id"])
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-def unknown_evidence(spark, d):
-    return rc.missing(ad.table(spark, d, "orders").select("o_orderkey"), ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
-
-
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def rc_batch(spark, d):
     return rc.duplicate_ids(ad.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -377,8 +457,9 @@ v AS (SELECT source_id, count(DISTINCT frame_no) AS viewed_frames FROM native GR
 c AS (SELECT source_id, count(*) AS candidates, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM native n WHERE n.source_id = k.source_id AND n.frame_no = k.frame_no)) AS pending FROM candidates k GROUP BY source_id)
 SELECT source_id, frames, states, lo, hi, coalesce(viewed_frames, 0) AS viewed_frames, coalesce(candidates, 0) AS candidates, coalesce(pending, 0) AS pending, coalesce(pending, 0) = 0 AS complete FROM f LEFT JOIN v USING (source_id) LEFT JOIN c USING (source_id)""")
 def agg_status(spark, d):
-    runs, native = _runs(spark, d), _native(spark, d)
-    found = sel.candidates(sel.change_reasons(runs, 100.0, 0.3, False), runs).select("source_id", "frame_no")
+    runs = staged(_runs(spark, d), "runs")
+    native = _seen(runs, spark, d)
+    found = sel.candidates(_flagged(runs), runs).select("source_id", "frame_no")
     count = lambda df, name: df.groupBy("source_id").agg(F.count(F.lit(1)).alias(name))
     left = found.join(native.select("source_id", "frame_no"), ["source_id", "frame_no"], "left_anti")
     base = runs.groupBy("source_id").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("exact_start").alias("states"), F.min("frame_no").alias("lo"), F.max("frame_no").alias("hi"))
@@ -389,20 +470,10 @@ def agg_status(spark, d):
 
 @query(f"""WITH {_RUNS}, c AS (SELECT source_id, frame_no FROM runs WHERE digest IN ('view', 'click')), b AS (SELECT source_id, min(frame_no) AS lo, max(frame_no) AS hi FROM runs GROUP BY source_id)
 SELECT source_id, lo, hi, count(c.frame_no) AS covered, hi - lo + 1 - count(c.frame_no) AS uncovered FROM b LEFT JOIN c USING (source_id) GROUP BY source_id, lo, hi""")
-def agg_coverage(spark, d):
+def ivl_covered(spark, d):
     runs = _runs(spark, d)
     spans = runs.where("digest in ('view', 'click')").select("source_id", F.col("frame_no").alias("start"), F.col("frame_no").alias("end"))
-    return coverage_counts(spans, runs)
-
-
-@query(f"""WITH {_STATES}, e AS (SELECT source_id, max(end_frame) AS hi FROM states GROUP BY source_id), i AS (SELECT s.* FROM states s JOIN e USING (source_id) WHERE start_frame > 0 AND start_frame < hi),
-a AS (SELECT source_id, list_sort(list(start_frame)) AS l, arg_max(start_frame, (global_delta, -start_frame)) FILTER (WHERE global_delta > 0) AS s, arg_min(start_frame, (global_delta, start_frame)) FILTER (WHERE global_delta > 0) AS w FROM i GROUP BY source_id),
-p AS (SELECT source_id, s, w, l[1 + (('0x' || substr(sha256(source_id::VARCHAR), 1, 16))::UBIGINT % len(l))::BIGINT] AS p FROM a)
-SELECT source_id, array_to_string(list_sort(list_distinct([s, w, p])), ',') AS frames FROM p""")
-def agg_sample(spark, d):
-    states = _states(spark, d)
-    entries = states.groupBy("source_id").agg(F.lit(0).cast("long").alias("start_frame"), F.max("end_frame").alias("end_frame")).withColumns({"id": F.lit("all"), "scope": F.col("source_id").cast("string")})
-    return required_sample(states, entries).select("source_id", _text("frames").alias("frames"))
+    return covered_length(spans, runs)
 
 
 @query("SELECT doc_id, sha256('64x1:rgb24:' || text) AS digest FROM documents")
@@ -410,11 +481,11 @@ def frm_digest(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", sc.pixel_digest(F.lit(64), F.lit(1), F.encode("text", "UTF-8")).alias("digest"))
 
 
-@query("""SELECT n_regionkey, count(*) AS n, sha256(string_agg(n_nationkey || '|' || n_name, chr(10) ORDER BY n_nationkey)) AS inner_hash FROM nation GROUP BY n_regionkey""")
+@query(f"""WITH {_FRAMES}, b AS (SELECT source_id, frame_no // 16 AS b, sha256(string_agg(frame_no || '|' || floor(time_s)::BIGINT || '|' || digest, chr(10) ORDER BY frame_no)) AS h FROM frames GROUP BY source_id, frame_no // 16)
+SELECT source_id, sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM b GROUP BY source_id""")
 def id_index(spark, d):
-    rows = ad.table(spark, d, "nation")
-    line = F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name")
-    return rows.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("inner_hash"))
+    parts = [F.col("frame_no"), F.floor("time_s").cast("long"), F.col("digest")]
+    return rc.table_fingerprint(_frames(spark, d), ["source_id"], "frame_no", parts, 16)
 
 
 @query("""SELECT c_custkey, sha256('{"key":' || c_custkey || ',"segment":"' || c_mktsegment || '"}') AS id FROM customer""")
@@ -442,13 +513,6 @@ def set_algebra(spark, d):
     return tag(a.subtract(b), "difference").unionByName(tag(a.intersect(b), "intersection")).unionByName(tag(a.union(b).distinct(), "union"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' ELSE 'length' END AS code FROM conversations WHERE role NOT IN ('user', 'assistant')
-UNION ALL SELECT conv_id, turn, 'length' FROM conversations WHERE coalesce(length(text), 0) < 200""")
-def rc_step(spark, d):
-    rules = {"role": F.col("role").isin("user", "assistant"), "length": F.length("text") >= 200}
-    return rc.contract(ad.table(spark, d, "conversations"), rules).select("conv_id", "turn", "code")
-
-
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE (props->>'k')::BIGINT >= 50")
 def json_props(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
@@ -467,7 +531,8 @@ def sc_clock_fmt(spark, d):
     return ad.table(spark, d, "events").select("event_id", sc.clock_format(F.col("event_id") * 1234 / 1000.0).alias("clock"))
 
 
-@query(r"""SELECT page_id, regexp_replace(trim(regexp_replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '([\\`*_\[\]|])', '\\\1', 'g')), '\s*\r?\n\s*', ' / ', 'g') AS safe FROM pages""")
+@query(r"""WITH e AS (SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\') AS t FROM pages)
+SELECT page_id, coalesce(regexp_replace(regexp_replace(regexp_replace(t, '([`*_\[\]|#])', '\\\1', 'g'), '(\r\n|\n|\r)$', ''), '\r\n|\n|\r', ' / ', 'g'), '未知') AS safe FROM e""")
 def sc_escape(spark, d):
     return ad.table(spark, d, "pages").select("page_id", sc.escape_text(F.col("html")).alias("safe"))
 

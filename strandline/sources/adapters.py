@@ -21,12 +21,16 @@ def epoch_seconds(ts: Column | str) -> Column:
 
 
 def frames(events: DataFrame) -> DataFrame:
-    """Frames of each user: ordinal, seconds, digest and change against the frame before."""
+    """Frames of each user: ordinal, seconds, digest and change against the frame before.
+
+    The local change and the share of changed elements vary with the payload number ``k``.
+    """
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    delta = F.abs(F.col("value") - F.lag("value").over(w))
-    return events.select(
+    k = F.get_json_object("props", "$.k").cast("double")
+    rows = events.withColumn("delta", F.abs(F.col("value") - F.lag("value").over(w)))
+    return rows.select(
         F.col("user_id").alias("source_id"), (F.row_number().over(w) - 1).cast("long").alias("frame_no"), epoch_seconds("ts").alias("time_s"), F.col("event_type").alias("digest"),
-        delta.alias("global_delta"), (delta / 500).alias("changed_fraction"), "event_id", "props",
+        F.col("delta").alias("global_delta"), (F.col("delta") * (1 + k / 100)).alias("max_local_delta"), F.floor("delta").cast("long").alias("changed_pixels"), (F.col("delta") / 500 * (k / 50)).alias("changed_fraction"), "event_id", "props",
     )
 
 
@@ -37,6 +41,32 @@ def key_value_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.withColumn("fields", clean).where(F.col("fields")["width"].isNotNull() & F.col("fields")["height"].isNotNull())
 
 
+def index_frames(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Frames from index lines (source_id, frame_no, line), one for each presented frame.
+
+    Time texts are kept beside the time, which is the presentation time if it is finite, else
+    the best estimate; ``time_source`` tells which.
+    """
+    from ..functions.scalars import frame_time
+
+    f = lambda name: F.try_element_at("fields", F.lit(name))
+    time, source = frame_time(f("pts_time"), f("best_effort_timestamp_time"))
+    return key_value_lines(lines, line).select(
+        "source_id", "frame_no", f("pts").alias("pts"), f("pts_time").alias("pts_time"), f("best_effort_timestamp").alias("best_effort_timestamp"), f("best_effort_timestamp_time").alias("best_effort_time"),
+        time.alias("time_s"), source.alias("time_source"), f("width").cast("int").alias("width"), f("height").cast("int").alias("height"), F.coalesce(f("key_frame").cast("int"), F.lit(0)).alias("key_frame"), f("duration_time").alias("duration_time"),
+    )
+
+
+def replay_mismatches(stored: DataFrame, again: DataFrame, columns: list[str]) -> DataFrame:
+    """(source_id, frame_no) of stored frames that a second reading of the same media gives differently or not at all."""
+    keys = ["source_id", "frame_no"]
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"a.{c}"))
+    pairs = stored.alias("s").join(again.withColumn("__there", F.lit(True)).alias("a"), (F.col("s.source_id") == F.col("a.source_id")) & (F.col("s.frame_no") == F.col("a.frame_no")), "left")
+    return pairs.where(F.col("__there").isNull() | ~same).select(*(F.col(f"s.{k}") for k in keys))
+
+
 def srt_cues(texts: DataFrame, text: str = "text") -> DataFrame:
     """Cues of normalised SRT texts: pos, start_time, end_time, text_original."""
     from ..functions.scalars import clock_parse
@@ -65,14 +95,27 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
-def container_kind(content: Column | str) -> Column:
-    """Media container by its first bytes."""
+#: First four bytes, or the type of the first box, of accepted containers; fixed values.
+MATROSKA, RIFF, AVI = "1A45DFA3", "52494646", "41564920"
+MOV_BOXES = ("ftyp", "moov", "mdat", "wide", "free", "skip")
+_VTT = r"^WEBVTT([ \t]|\r?\n|$)"
+_SRT = r"^\d+\r?\n\d+:\d{2}:\d{2}[,.]\d{3}\s+-->\s+\d+:\d{2}:\d{2}[,.]\d{3}"
+
+
+def container_kind(content: Column | str, subtitles: bool = False) -> Column:
+    """Accepted container by its first bytes: matroska, avi, mov; with ``subtitles`` also webvtt and srt; else null.
+
+    A ``mov`` still has to pass ``mov_problem``.
+    """
     c = F.col(content) if isinstance(content, str) else content
     at = lambda pos, n: F.hex(F.substring(c, pos, n))
-    return (
-        F.when(at(5, 4) == "66747970", "mov").when(at(1, 4) == "1A45DFA3", "matroska").when((at(1, 4) == "52494646") & (at(9, 4) == "41564920"), "avi")
-        .when(at(1, 4) == "4F676753", "ogg").when(at(1, 8) == "89504E470D0A1A0A", "png").when(at(1, 3) == "FFD8FF", "jpeg").when(at(1, 2) == "5036", "ppm")
-    )
+    boxes = [b.encode().hex().upper() for b in MOV_BOXES]
+    kind = F.when(at(1, 4) == MATROSKA, "matroska").when((at(1, 4) == RIFF) & (at(9, 4) == AVI), "avi").when(at(5, 4).isin(*boxes), "mov")
+    if not subtitles:
+        return kind
+    head = F.decode(F.substring(c, 1, 4096), "ISO-8859-1")
+    text = F.ltrim(F.regexp_replace(head, "^\u00ef\u00bb\u00bf", ""), F.lit("\r\n \t"))
+    return kind.when(F.rlike(text, F.lit(_VTT)), "webvtt").when(F.rlike(text, F.lit(_SRT)), "srt")
 
 
 def compare_inventories(left: DataFrame, right: DataFrame) -> DataFrame:
