@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Bytes per Arrow batch: texts may be long, so batches are bounded by size, not by rows.
-ARROW_BYTES = 1 << 20
+ARROW_BYTES = 512 << 10
 
 
 def prepare(spark: SparkSession) -> None:
