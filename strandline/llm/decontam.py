@@ -17,7 +17,10 @@ The items are handled in blocks of at most ``ITEMS`` rows and ``CHARS`` characte
 bounds what is broadcast; each block is one pass over the documents.
 
 Defined results: null texts match nothing; items with fewer words than a shingle are not
-searched, since chance cannot be told from copying; repeated rows each give their row.
+searched, since chance cannot be told from copying; repeated rows each give their row; of
+windows with the best similarity the first is given. Texts and items of any length are
+searched whole; empty tables of either kind give no leak. Only ids and texts are read, so
+other columns do not matter; null ids are carried along.
 """
 
 from __future__ import annotations

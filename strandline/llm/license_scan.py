@@ -17,12 +17,13 @@ begin in lines with bigrams of such templates (without its first line another ru
 worse) and grow until they have too many bigrams.
 
 Defined results: null or empty texts and empty tables give no row; texts of any length are
-cut into all their units; columns named like a result give way to it; a unit matches its best template, ties
-go to the template named first; repeated rows each give their matches; a paragraph or
-text that is a single line is reported as a line only. Of overlapping runs and lines of
-one licence the best counts (then the one with more bigrams, the shorter, the first); one
-inside a better one of any licence is passed over. A run (unit ``lines``, numbered by its
-first line) is reported unless its paragraph or the text matches that licence.
+cut into all their units; columns named like a result give way to it; a unit matches its
+best template, ties go to the template named first; repeated rows each give their matches;
+a paragraph or text that is a single line is reported as a line only. Of overlapping runs
+and lines of one licence the best counts (then the one with more bigrams, the shorter, the
+first); one inside a better one of any licence is passed over. A run (unit ``lines``,
+numbered by its first line) is reported unless its paragraph or the text matches that
+licence.
 """
 
 from __future__ import annotations

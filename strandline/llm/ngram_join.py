@@ -31,7 +31,9 @@ Whole sets move only for pairs that the sketches leave, and are compared exactly
 
 Defined results: null or wordless texts have 0 shingles and link with nothing; fewer than
 ``shingle`` words form one shingle; rows with the same text are one class; the component
-id is the smallest non-null document id of the class' component.
+id is the smallest non-null document id of the class' component. Pairs at exactly 0.8 link.
+Texts of any length are read whole; an empty table gives an empty one. Columns named like
+a result give way to it in ``near_duplicates`` and are kept in ``keep_one``.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ host and in more than ``share`` of them. A document is depleted when removal lea
 fewer than ``min_words`` words or less than ``min_left`` of its words. Exact copies count
 as one document, so a copied document does not deplete itself.
 
-Defined results: null text counts as no words and fails; a null host is a host of its own.
+Defined results: null text counts as no words and fails; a null host is a host of its own;
+a line that stands exactly at a limit stays, as does a document. Repeated rows are judged
+each. Texts of any length are read whole; an empty table gives an empty one. Columns named
+like a result give way to it in ``judge`` and are kept in ``clean``.
 """
 
 from __future__ import annotations

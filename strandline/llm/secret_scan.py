@@ -11,7 +11,9 @@ the lowest hash of their content, where there are more). Without labelled findin
 one's own, ``synthetic_findings`` makes a labelled set from rules and a seed.
 
 Defined results: null texts have no candidates, a null path is empty; repeated rows each
-give their findings; offsets count code points.
+give their findings; offsets count code points; texts of any length are searched whole;
+an empty table gives none. A score of exactly one half is a secret. Only the id, the text
+and the path are read, so other columns do not matter; null ids are carried along.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ compared by a 96-bit hash of the word sequence.
 
 Defined results: null text counts as no words; texts shorter than a window lose nothing;
 repeated rows are two documents and so repeat each other; null ids are carried along.
+Overlapping windows remove their words once. Texts of any length are read whole; an empty
+table gives an empty one. Columns of the documents named like a result give way to it.
 """
 
 from __future__ import annotations
