@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's documents. All but the last return the
 columns of ``documents``.
+
+Defined results: documents with null or empty text fail the quality rules and go there; null
+ids, languages and sources are carried along (a null source is a host of its own). Texts of any
+length are read whole. Rows that repeat an id and its text count once from the second stage on;
+of equal and near-equal texts the lowest id stays. An empty table gives an empty one. Further
+columns are carried along, also those named like a column that an operator uses, but for
+``pii_spans``, which the fourth stage takes.
 """
 
 from __future__ import annotations
