@@ -30,7 +30,7 @@ def clock_format(seconds: Column) -> Column:
     hours, minutes = F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60
     rest = F.format_string("%02d:%02d.%03d", minutes, F.floor(ms / 1000) % 60, ms % 1000)
     sign = F.when(seconds < 0, "-").otherwise("")
-    return F.concat(sign, F.when(hours > 0, F.concat(F.format_string("%02d", hours), F.lit(":"))).otherwise(F.lit("")), rest)
+    return F.when(ms.isNotNull(), F.concat(sign, F.when(hours > 0, F.concat(F.format_string("%02d", hours), F.lit(":"))).otherwise(F.lit("")), rest))
 
 
 #: Characters that Markdown gives a meaning; fixed values.
@@ -59,6 +59,7 @@ def asset_id(frame_no: Column) -> Column:
 
 
 def crop_id(parent: Column, box: Column) -> Column:
+    """Id of a crop: its parent's id and its corners."""
     return F.concat_ws("-", parent, F.lit("crop"), F.array_join(F.transform(box, lambda x: x.cast("string")), "-"))
 
 
@@ -66,12 +67,6 @@ def anchor(step_id: Column) -> Column:
     return F.concat(F.lit("step-"), F.lower(F.hex(F.encode(step_id, "UTF-8"))))
 
 
-def range_text(ranges: Column) -> Column:
-    """``a–b；c`` of closed ranges."""
-    one = lambda r: F.when(r["start"] == r["end"], r["start"].cast("string")).otherwise(F.concat(r["start"].cast("string"), F.lit("–"), r["end"].cast("string")))
-    return F.array_join(F.transform(ranges, one), "；")
-
-
 #: Texts that mean "not known", in lower case; fixed values.
 UNKNOWN_WORDS = ("unknown", "n/a", "null", "未知", "未展示", "待核实", "待辨认", "未记录")
 
@@ -82,7 +77,8 @@ def unknown(text: Column) -> Column:
 
 
 def nonblank(text: Column) -> Column:
-    return F.coalesce(F.trim(text) != "", F.lit(False))
+    """A text with more than white space of any kind."""
+    return F.coalesce(F.rlike(text, F.lit(r"(?U)\S")), F.lit(False))
 
 
 def nonblank_list(items: Column) -> Column:

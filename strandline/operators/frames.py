@@ -1,4 +1,4 @@
-"""Ordered frame operators. All windows are per source, ordered by ordinal, never by time."""
+"""Ordered frame operators, ordered by ordinal, never by time."""
 
 from __future__ import annotations
 
@@ -10,23 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _order():
-    return W.partitionBy("source_id").orderBy("frame_no")
+from .ordered import running
 
 
 def runs(frames: DataFrame) -> DataFrame:
     """``exact_start``: first ordinal of the run of equal consecutive digests."""
-    change = F.lag("digest").over(_order()).isNull() | (F.lag("digest").over(_order()) != F.col("digest"))
-    start = F.last(F.when(change, F.col("frame_no")), ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, 0))
-    return frames.withColumn("exact_start", start)
+    told = running(frames, ["source_id"], "frame_no", ["frame_no"], __before=("last", F.struct("digest"), False))
+    change = F.col("__before.digest").isNull() | (F.col("__before.digest") != F.col("digest"))
+    return running(told, ["source_id"], "frame_no", ["frame_no"], exact_start=("last", F.when(change, F.col("frame_no")), True)).drop("__before")
 
 
 def anomalies(frames: DataFrame) -> DataFrame:
     """Per source: frames without a presentation time, frames without any, and times not above
     the last known one. ``time_source`` tells the first; without it every known time counts as one."""
-    before = F.last("time_s", ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, -1))
-    flagged = frames.withColumn("__bad", F.col("time_s") <= before)
+    flagged = running(frames, ["source_id"], "frame_no", ["frame_no"], __known=("last", F.col("time_s"), False)).withColumn("__bad", F.col("time_s") <= F.col("__known"))
     no_pts = F.col("time_source") != "pts" if "time_source" in frames.columns else F.col("time_s").isNull()
     return flagged.groupBy("source_id").agg(F.count_if(no_pts).alias("missing_pts"), F.count_if(F.col("time_s").isNull()).alias("missing_all_time"), F.count_if("__bad").alias("non_increasing_time"))
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def union(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Closed integer spans merged; adjacent spans merge too."""
-    w = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0)
-    rows = spans.select(*keys, "start", "end", new.alias("__new")).withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    # distinct spans have one order, so both passes see the same
+    reach = running(spans.select(*keys, "start", "end").distinct(), keys, "start", ["start", "end"], __reach=("max", F.col("end"), False))
+    new = (F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + 1)).cast("long")
+    rows = running(reach, keys, "start", ["start", "end"], __island=("sum", new, True))
     return rows.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
@@ -29,9 +31,9 @@ def complement(merged: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFra
 
 
 def overlaps_running(spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Spans that start at or before the largest end of all earlier ones."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return spans.withColumn("__reach", F.max("end").over(w)).where(F.col("start") <= F.col("__reach")).drop("__reach")
+    """Spans that start at or before the largest end of all earlier ones; ``order`` begins with ``start``."""
+    told = running(spans, keys, order[0], order, __reach=("max", F.col("end"), False))
+    return told.where(F.col("start") <= F.col("__reach")).drop("__reach")
 
 
 def overlaps_previous(spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -66,15 +68,63 @@ def align(cues: DataFrame, spans: DataFrame, bucket: float) -> DataFrame:
 
 def cue_overlaps(cues: DataFrame) -> DataFrame:
     """Cues that begin before the largest end of all earlier cues in input order."""
-    w = W.partitionBy("source_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    return cues.withColumn("__reach", F.max("b").over(w)).where(F.col("a") < F.col("__reach")).drop("__reach")
+    told = running(cues, ["source_id"], "pos", ["pos"], __reach=("max", F.col("b"), False))
+    return told.where(F.col("a") < F.col("__reach")).drop("__reach")
+
+
+def align_store(cues: DataFrame, frames: DataFrame, bucket: float = 60.0) -> DataFrame:
+    """Imported cues with shifted times, the ranges of frames they overlap, and warnings per source.
+
+    ``cues``: source_id, pos, begin, end, offset, text. Cues without a later end or without text
+    are refused with an error when read. Out: cue columns, start_time, end_time, frame_ranges
+    array of (start, end), alignment, warnings (sorted, distinct, of the source's whole import).
+    """
+    wrong = F.raise_error(F.format_string("source %s: cue %d", F.col("source_id").cast("string"), F.col("pos"))).cast("double")
+    sound = (F.col("end") > F.col("begin")) & ~F.isnan("begin") & ~F.isnan("end") & (F.trim("text") != "")
+    timed = cues.withColumns({"a": F.when(sound, F.col("begin") + F.col("offset")).otherwise(wrong), "b": F.col("end") + F.col("offset")})
+    spans = display_spans(frames)
+    pairs = align(timed.select("source_id", "pos", "a", "b"), spans.select("source_id", "frame_no", "time_s", "end_s"), bucket).select("source_id", "pos", "frame_no").distinct()
+    w = W.partitionBy("source_id", "pos").orderBy("frame_no")
+    runs = pairs.withColumn("g", F.col("frame_no") - F.row_number().over(w)).groupBy("source_id", "pos", "g").agg(F.min("frame_no").alias("start"), F.max("frame_no").alias("end"))
+    ranged = runs.groupBy("source_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("frame_ranges"))
+    out = timed.join(ranged, ["source_id", "pos"], "left")
+    before = W.partitionBy("source_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    own = out.select("source_id", F.array_compact(F.array(F.when(F.col("a") < F.max("b").over(before), "overlap"), F.when(F.col("frame_ranges").isNull(), "outside_index"))).alias("w"))
+    told = own.unionByName(frame_warnings(frames)).groupBy("source_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("warnings"))
+    label = F.when(F.col("frame_ranges").isNull(), "unaligned").otherwise("display_interval_overlap")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return out.join(told, "source_id").select(*cues.columns, F.col("a").alias("start_time"), F.col("b").alias("end_time"), F.coalesce("frame_ranges", empty).alias("frame_ranges"), label.alias("alignment"), "warnings")
+
+
+def frame_warnings(frames: DataFrame) -> DataFrame:
+    """(source_id, w) of frames whose time is unknown, not above the last known one, or whose display is a point."""
+    order = W.partitionBy("source_id").orderBy("frame_no")
+    before = F.last("time_s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    dur = F.coalesce("duration", F.lit(0.0)) if "duration" in frames.columns else F.lit(0.0)
+    after = F.lead("time_s").over(order)
+    t = F.col("time_s")
+    point = t.isNotNull() & ~F.coalesce(after > t, F.lit(False)) & ~F.coalesce(dur > 0, F.lit(False))
+    said = F.array_compact(F.array(F.when(t.isNull(), "unknown_frame_time"), F.when(t <= before, "non_increasing_frame_time"), F.when(point, "unknown_display_duration")))
+    return frames.select("source_id", said.alias("w")).where(F.size("w") > 0).distinct()
+
+
+#: Integers of a block of the closed range join.
+BLOCK = 1024
 
 
 def linked_steps(issues: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, issue_id, step_id): explicit step ids if there are any, else steps that intersect the issue's closed range."""
+    """(keys, issue_id, step_id): explicit step ids if there are any, else steps that intersect the issue's closed range.
+
+    Explicit ids are given even if there is no such step. Ranges meet in blocks of integers,
+    and a pair counts in the block in which its intersection begins, so work follows the
+    steps near an issue and no pair comes twice.
+    """
     explicit = issues.where(F.size("step_ids") > 0).select(*keys, "issue_id", F.explode("step_ids").alias("step_id"))
-    rest = issues.where(F.coalesce(F.size("step_ids"), F.lit(0)) <= 0).select(*keys, "issue_id", F.col("start").alias("__s"), F.col("end").alias("__e"))
-    ranged = rest.join(steps, keys).where((F.col("start") <= F.col("__e")) & (F.col("end") >= F.col("__s"))).select(*keys, "issue_id", "step_id")
+    cut = lambda c: F.floor(F.col(c) / BLOCK)
+    rest = issues.where(F.coalesce(F.size("step_ids"), F.lit(0)) <= 0).where("start <= end").select(*keys, "issue_id", F.col("start").alias("__s"), F.col("end").alias("__e"), F.explode(F.sequence(cut("start"), cut("end"))).alias("__b"))
+    dealt = steps.where("start <= end").select(*keys, "step_id", "start", "end", F.explode(F.sequence(cut("start"), cut("end"))).alias("__b"))
+    first = F.floor(F.greatest("start", "__s") / BLOCK)
+    ranged = rest.join(dealt, [*keys, "__b"]).where((F.col("start") <= F.col("__e")) & (F.col("end") >= F.col("__s")) & (F.col("__b") == first)).select(*keys, "issue_id", "step_id")
     return explicit.unionByName(ranged)
 
 

@@ -54,21 +54,6 @@ def contract(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("code", F.explode(codes))
 
 
-STEP_STATUS, ISSUE_STATUS = ("confirmed", "partial", "unresolved"), ("open", "blocked", "resolved")
-
-
-def step_rules() -> dict[str, Column]:
-    """Rules of a step record."""
-    return {
-        "id": nonblank(F.col("id")),
-        "bounds": (F.col("start_frame") >= 0) & (F.col("start_frame") <= F.col("end_frame")),
-        "status": F.col("status").isin(*STEP_STATUS),
-        "evidence": F.size("evidence") > 0,
-        "uncertainties": (F.col("status") != "confirmed") | (F.size("uncertainties") == 0),
-        "nested_evidence": F.size(F.array_except("nested_evidence", "evidence")) == 0,
-    }
-
-
 def issue_is_resolved() -> Column:
     """Resolved needs a mode with its own proof, a reviewer and a reason; anything else is open."""
     r = F.col("resolution")
@@ -85,33 +70,111 @@ def missing(rows: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(reference.select(*on), on, "left_anti")
 
 
-def retirement_violations(retired: DataFrame, steps: DataFrame, issues: DataFrame) -> DataFrame:
-    """(source_id, id, code) of retirements that must be refused.
+def explicit_links(rows: DataFrame, key: str) -> DataFrame:
+    """(source_id, key, step_id) by both spellings, ``step_ids`` and ``step_id``."""
+    ids = F.col("step_ids") if "step_id" not in rows.columns else F.array_union(F.coalesce("step_ids", F.array().cast("array<string>")), F.array_compact(F.array(F.when(nonblank(F.col("step_id")), F.col("step_id")))))
+    return rows.select("source_id", key, F.explode(ids).alias("step_id")).distinct()
 
-    ``retired``: id, replacement_step_ids, uncertainties; ``steps``: the state afterwards;
-    ``issues``: issue_id, step_ids, open.
-    """
-    after = steps.select("source_id", "id")
-    reused = retired.join(after, ["source_id", "id"], "left_semi").select("source_id", "id", F.lit("id_reused").alias("code"))
-    wanted = retired.select("source_id", F.col("id").alias("was"), F.explode("replacement_step_ids").alias("id"))
-    dangling = wanted.join(after, ["source_id", "id"], "left_anti").select("source_id", F.col("was").alias("id"), F.lit("replacement_missing").alias("code")).distinct()
-    cited = issues.select("source_id", "issue_id", "open", F.explode("step_ids").alias("id"))
-    linked = cited.join(retired.select("source_id", "id"), ["source_id", "id"], "left_semi").select("source_id", "id", F.lit("issue_dangling").alias("code")).distinct()
-    kept = steps.select("source_id", F.col("id").alias("new"), F.explode("uncertainties").alias("u"))
-    doubts = retired.select("source_id", "id", F.explode("uncertainties").alias("u"), "replacement_step_ids")
-    lost = doubts.join(kept, (doubts.source_id == kept.source_id) & (doubts.u == kept.u) & F.array_contains(doubts.replacement_step_ids, kept.new), "left_anti")
-    return reused.unionByName(dangling).unionByName(linked).unionByName(lost.select("source_id", "id", F.lit("uncertainty_lost").alias("code")).distinct())
-
-
-def open_expansions(checks: DataFrame) -> DataFrame:
-    """Expand checks that no clear, exhaustive check resolves while covering all their original states.
-
-    ``checks``: id, conclusion, method, resolves array, scope array (states at import).
+
+def _after(before: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    return before.join(new.select("source_id", key), ["source_id", key], "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def _links(issues: DataFrame, steps: DataFrame) -> DataFrame:
+    """(source_id, id, step_id): explicit links of issues if there are any, else steps their range meets."""
+    from .intervals import linked_steps
+
+    named = issues.select("source_id", F.col("id").alias("issue_id"), "step_ids", F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
+    spans = steps.select("source_id", F.col("id").alias("step_id"), F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
+    return linked_steps(named, spans, ["source_id"]).withColumnRenamed("issue_id", "id")
+
+
+def retirement_violations(requests: DataFrame, archive: DataFrame, before: dict[str, DataFrame], new: dict[str, DataFrame], retired_intervals: DataFrame | None = None, checks: DataFrame | None = None, old_intervals: DataFrame | None = None, unsound: DataFrame | None = None) -> DataFrame:
+    """(source_id, id, code) of everything for which a correction must be refused as a whole.
+
+    ``requests``: source_id, id, replacement_step_ids. ``archive``: (source_id, id) retired
+    before. ``before`` and ``new``: the tables steps, issues, intervals and coverage as they
+    are, and the batch's rows for them. ``retired_intervals``: (source_id, id) that the batch
+    retires; ``checks``: source_id, interval_id, conclusion; ``old_intervals``: intervals
+    retired earlier; ``unsound``: (source_id, id) of stored steps that break the contract.
     """
-    c = checks.alias("c")
-    done = checks.where("conclusion = 'clear' and method = 'exhaustive'").select(F.col("source_id").alias("s"), F.explode("resolves").alias("r"), F.col("scope").alias("covered")).alias("d")
-    solved = (F.col("c.source_id") == F.col("d.s")) & (F.col("c.id") == F.col("d.r")) & (F.size(F.array_except("c.scope", "d.covered")) == 0)
-    return c.where("conclusion = 'expand'").join(done, solved, "left_anti")
+    code = lambda rows, name, id_="id": rows.select("source_id", F.col(id_).alias("id"), F.lit(name).alias("code")).distinct()
+    ids = requests.select("source_id", "id")
+    keys = {"issues": "id", "intervals": "id", "coverage": "frame_no"}
+    steps_before = before["steps"]
+    steps_after = _after(steps_before, new["steps"], "id").join(ids, ["source_id", "id"], "left_anti")
+    active = steps_after.select("source_id", F.col("id").alias("step_id"))
+    gone, asked = archive.select("source_id", F.col("id").alias("step_id")), ids.withColumnRenamed("id", "step_id")
+    after = {t: _after(before[t], new[t], k) for t, k in keys.items()}
+    if retired_intervals is not None:
+        after["intervals"] = after["intervals"].join(retired_intervals.select("source_id", "id"), ["source_id", "id"], "left_anti")
+    out = [
+        code(new["steps"].select("source_id", "id").unionByName(ids).join(archive.select("source_id", "id"), ["source_id", "id"], "left_semi"), "retired_id_used_again"),
+        code(ids.join(steps_before.select("source_id", "id"), ["source_id", "id"], "left_anti"), "unknown_active_step"),
+    ]
+    some = ids.select("source_id").distinct()
+    for table, key in keys.items():
+        linked, fresh = explicit_links(after[table], key), explicit_links(new[table], key)
+        out.append(code(fresh.join(gone, ["source_id", "step_id"], "left_semi"), f"{table}_name_a_retired_step", "step_id"))
+        out.append(code(linked.join(asked, ["source_id", "step_id"], "left_semi"), f"{table}_still_name_the_step", "step_id"))
+        out.append(code(fresh.join(some, "source_id", "left_semi").join(active, ["source_id", "step_id"], "left_anti"), f"{table}_name_no_active_step", "step_id"))
+    wanted = requests.select("source_id", "id", F.explode("replacement_step_ids").alias("step_id"))
+    out.append(code(wanted.join(active, ["source_id", "step_id"], "left_anti"), "replacement_not_active"))
+    if unsound is not None:
+        out.append(code(ids.join(unsound.select("source_id", "id"), ["source_id", "id"], "left_semi"), "original_breaks_the_contract"))
+    # what was doubtful stays doubtful
+    state = lambda rows, p: rows.select("source_id", F.col("id").alias("step_id"), F.col("status").alias(f"{p}_status"), F.col("uncertainties").alias(f"{p}_doubts"))
+    renewed = wanted.join(state(steps_before, "was"), ["source_id", "step_id"]).join(state(steps_after, "now"), ["source_id", "step_id"])
+    weaker = (F.size(F.array_except("was_doubts", "now_doubts")) > 0) | ((F.col("was_status") != "confirmed") & (F.col("now_status") == "confirmed"))
+    out.append(code(renewed.where(weaker), "replacement_loses_doubts"))
+    heirs = wanted.join(state(steps_after, "now"), ["source_id", "step_id"]).groupBy("source_id", "id").agg(F.array_distinct(F.flatten(F.collect_list("now_doubts"))).alias("heir_doubts"), F.max((F.col("now_status") != "confirmed").cast("int")).alias("heir_open"))
+    own = requests.select("source_id", "id").join(steps_before.select("source_id", "id", "status", "uncertainties"), ["source_id", "id"]).join(heirs, ["source_id", "id"], "left")
+    out.append(code(own.where(F.size(F.array_except("uncertainties", F.coalesce("heir_doubts", F.array().cast("array<string>")))) > 0), "uncertainty_lost"))
+    out.append(code(own.where((F.col("status") != "confirmed") & (F.coalesce("heir_open", F.lit(0)) == 0)), "unresolved_status_lost"))
+    # open issues of the step, its replacements, or intervals and states that name these, keep content and get a replacement
+    protected = ids.select("source_id", "id", F.col("id").alias("step_id")).unionByName(wanted.join(steps_before.select("source_id", F.col("id").alias("step_id")), ["source_id", "step_id"], "left_semi").select("source_id", "id", "step_id")).distinct()
+    near = _links(before["issues"], steps_before).unionByName(explicit_links(before["issues"], "id")).distinct().withColumnRenamed("id", "issue")
+    named = protected.join(near, ["source_id", "step_id"]).select("source_id", "id", "issue")
+    past = [before["intervals"]] + ([old_intervals] if old_intervals is not None else [])
+    holders = [(explicit_links(t, "id").withColumnRenamed("id", "holder"), t.select("source_id", F.col("id").alias("holder"), F.explode("issue_ids").alias("issue"))) for t in past]
+    holders.append((explicit_links(before["coverage"], "frame_no").withColumnRenamed("frame_no", "holder"), before["coverage"].select("source_id", F.col("frame_no").alias("holder"), F.explode("issue_ids").alias("issue"))))
+    for links, doubts in holders:
+        named = named.unionByName(protected.join(links, ["source_id", "step_id"]).join(doubts, ["source_id", "holder"]).select("source_id", "id", "issue"))
+    content = lambda rows, n: rows.select("source_id", F.col("id").alias("issue"), F.sha2(F.to_json(F.struct(*(c for c in sorted(rows.columns) if c not in ("step_ids", "step_id")))), 256).alias(n))
+    open_ = before["issues"].where(~issue_is_resolved()).select("source_id", F.col("id").alias("issue"))
+    due = named.distinct().join(open_, ["source_id", "issue"], "left_semi").join(content(before["issues"], "was"), ["source_id", "issue"]).join(content(after["issues"], "now"), ["source_id", "issue"], "left")
+    links_now = _links(after["issues"], steps_after).withColumnRenamed("id", "issue")
+    explicit_now = explicit_links(after["issues"], "id").withColumnRenamed("id", "issue")
+    passed_on = due.join(wanted, ["source_id", "id"]).join(explicit_now, ["source_id", "issue", "step_id"], "left_semi").join(links_now, ["source_id", "issue", "step_id"], "left_semi").select("source_id", "id", "issue").distinct()
+    lost = lambda was, now: was.join(asked, ["source_id", "step_id"], "left_anti").join(now, ["source_id", "issue", "step_id"], "left_anti").select("source_id", "issue").distinct()
+    explicit_was = explicit_links(before["issues"], "id").withColumnRenamed("id", "issue")
+    out.append(code(due.where(~F.col("was").eqNullSafe(F.col("now"))), "open_issue_changed"))
+    out.append(code(due.join(passed_on, ["source_id", "id", "issue"], "left_anti"), "open_issue_without_replacement"))
+    out.append(code(due.join(lost(explicit_was, explicit_now).unionByName(lost(near, links_now)).distinct(), ["source_id", "issue"], "left_semi"), "open_issue_loses_links"))
+    if checks is not None:
+        anomalies = checks.where("conclusion = 'expand'").select("source_id", F.col("interval_id").alias("holder")).distinct()
+        bare = requests.where(F.size("replacement_step_ids") == 0).select("source_id", "id")
+        for links, _ in holders[:-1]:
+            out.append(code(bare.join(protected, ["source_id", "id"]).join(links, ["source_id", "step_id"]).join(anomalies, ["source_id", "holder"], "left_semi"), "expansion_needs_a_replacement"))
+    result = out[0]
+    for o in out[1:]:
+        result = result.unionByName(o)
+    return result.distinct()
+
+
+def retire(log: DataFrame, requests: DataFrame, violations: DataFrame) -> DataFrame:
+    """The change log with tombstones of the retired steps; an error if anything is violated."""
+    if found := violations.limit(20).collect():
+        raise ValueError("correction refused: " + "; ".join(f"{r.source_id}/{r.id}: {r.code}" for r in found))
+    seq = (log.agg(F.max("seq")).first()[0] or 0) + 1
+    dead = requests.select("source_id", F.lit("steps").alias("tbl"), "id", F.lit(None).cast("string").alias("payload"), F.lit(seq).cast("long").alias("seq"), F.lit("retire").alias("batch_id"), F.lit(True).alias("tombstone"))
+    return log.unionByName(dead)
+
+
+def history(log: DataFrame) -> DataFrame:
+    """Every earlier version of every record, with the batch that replaced or deleted it."""
+    w = W.partitionBy("source_id", "tbl", "id").orderBy("seq")
+    return log.withColumns({"replaced_by": F.lead("batch_id").over(w), "deleted": F.coalesce(F.lead("tombstone").over(w), F.lit(False))}).where(F.col("replaced_by").isNotNull() & ~F.col("tombstone"))
 
 
 def table_fingerprint(rows: DataFrame, keys: list[str], order: str, parts: list[Column], block: int = 10_000) -> DataFrame:
@@ -121,7 +184,3 @@ def table_fingerprint(rows: DataFrame, keys: list[str], order: str, parts: list[
     hashed = blocks.select(*keys, "b", F.sha2(F.array_join(F.transform("x", lambda v: v["l"]), "\n"), 256).alias("h"))
     whole = hashed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "h"))).alias("x"))
     return whole.select(*keys, F.sha2(F.array_join(F.transform("x", lambda v: v["h"]), "\n"), 256).alias("fingerprint"))
-
-
-def freshness(evidence_changed: Column, snapshot: Column, now: Column, valid: Column) -> Column:
-    return F.when(evidence_changed, "evidence_changed").when(~snapshot.eqNullSafe(now), "stale").when(~valid, "record_invalid").otherwise("current")

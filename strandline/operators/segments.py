@@ -11,31 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fold
+from .ordered import running
 
 #: Why a state begins a bucket, in the order in which reasons are tried; fixed values.
 GAP, LAYOUT, DWELL, SPAN, ORDINALS, START = "uncomputed gap", "layout/control surface change", "stable dwell exit", "context duration bound", "unknown-time ordinal context bound", "start/continuation"
 
 
-def _order():
-    return W.partitionBy("source_id").orderBy("start_frame")
-
-
 def hard_breaks(states: DataFrame, layout_delta: float = 5.0, stable_seconds: float = 0.75, layout_fraction: float = 0.12) -> DataFrame:
     """``hard`` (reason or null) and ``island``: breaks that depend on the state before only.
 
     A gap of ordinals; a change of layout (share or mean of changes, unknown as none); the end
     of a state that stayed for ``stable_seconds``, where its start time is known.
     """
-    before = lambda c: F.lag(c).over(_order())
+    told = running(states, ["source_id"], "start_frame", ["start_frame"], __before=("last", F.struct("start_frame", "end_frame", "start_time", "end_time"), False))
+    before = lambda c: F.col(f"__before.{c}")
     known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     reason = (
         F.when(F.col("start_frame") != before("end_frame") + 1, GAP)
         .when((known("changed_fraction") >= layout_fraction) | (known("global_delta") >= layout_delta), LAYOUT)
         .when(before("end_time") - before("start_time") >= stable_seconds, DWELL)
     )
-    marked = states.withColumn("hard", F.when(before("start_frame").isNotNull(), reason))
-    cuts = F.sum(F.col("hard").isNotNull().cast("long")).over(_order().rowsBetween(W.unboundedPreceding, 0))
-    return marked.withColumn("island", cuts + 1)
+    marked = told.withColumn("hard", F.when(F.col("__before").isNotNull(), reason)).drop("__before")
+    cuts = running(marked, ["source_id"], "start_frame", ["start_frame"], island=("sum", F.col("hard").isNotNull().cast("long"), True))
+    return cuts.withColumn("island", F.col("island") + 1)
 
 
 def buckets(islands: DataFrame, max_span: float = 15.0, max_ordinals: int = 1200) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from . import fold, segments
 from .frames import states
+from .ordered import running
 
 
 def _order():
@@ -25,9 +26,9 @@ def anchors(frames: DataFrame, seconds: float) -> DataFrame:
     timed = frames.where(F.col("time_s").isNotNull()).select("source_id", "frame_no", "time_s")
     if seconds <= 0:
         return timed.select("source_id", "frame_no").limit(0)
-    top = F.max("time_s").over(_order().rowsBetween(W.unboundedPreceding, -1))
-    broken = F.coalesce(F.col("time_s") - top >= seconds, F.lit(True)).cast("long")
-    parts = timed.withColumn("b", broken).withColumn("stretch", F.sum("b").over(_order().rowsBetween(W.unboundedPreceding, 0))).drop("b")
+    told = running(timed, ["source_id"], "frame_no", ["frame_no"], __top=("max", F.col("time_s"), False))
+    broken = F.coalesce(F.col("time_s") - F.col("__top") >= seconds, F.lit(True)).cast("long")
+    parts = running(told, ["source_id"], "frame_no", ["frame_no"], stretch=("sum", broken, True)).drop("__top")
 
     def start():
         anchor = float("-inf")

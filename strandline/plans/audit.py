@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import canonical_json, nonblank, nonblank_list
 from ..operators import records
 from ..sources.ledger import Ledger
+from ..sources.tables import staged
 
 NONE = "cast(array() as array<bigint>)"
 FACTS = {"confirmation": "confirmation_gap", "result": "result_gap"}
@@ -50,18 +51,11 @@ def requests(findings: DataFrame, prefix: str = "audit:") -> DataFrame:
 # --- what was seen ---------------------------------------------------------------------
 
 
-def valid_views(led: Ledger) -> DataFrame:
-    """Views whose asset exists with the same frame and hash, with the asset's kind."""
-    a = led.assets.select("source_id", F.col("id").alias("asset_id"), "frame_no", F.col("sha256").alias("asset_sha256"), "kind")
-    return led.views.join(a, ["source_id", "asset_id", "frame_no", "asset_sha256"])
-
-
 def cited(refs: DataFrame, led: Ledger, stage: str) -> DataFrame:
     """Findings of cited evidence that is unknown or was never validly seen. ``refs``: source_id, reference, id, frames."""
-    a = led.assets.select("source_id", "id").distinct()
-    seen = valid_views(led).select("source_id", F.col("asset_id").alias("id")).distinct()
-    unseen = refs.join(a, ["source_id", "id"], "left_semi").join(seen, ["source_id", "id"], "left_anti")
-    return union(finding(refs.join(a, ["source_id", "id"], "left_anti"), "audit_evidence_missing", "reference", F.col("frames"), stage), finding(unseen, "audit_evidence_unreviewed", "reference", F.col("frames"), stage))
+    known, seen = (t.withColumn(n, F.lit(True)) for t, n in ((led.known, "__known"), (led.seen, "__seen")))
+    told = refs.join(known, ["source_id", "id"], "left").join(seen, ["source_id", "id"], "left").where("__known is null or __seen is null")
+    return finding(told, F.when(F.col("__known").isNull(), "audit_evidence_missing").otherwise("audit_evidence_unreviewed"), "reference", F.col("frames"), stage)
 
 
 def _refs(rows: DataFrame, reference: Column, evidence: str | Column, frames: Column) -> DataFrame:
@@ -81,9 +75,9 @@ def validate(led: Ledger, sheets: DataFrame | None = None) -> DataFrame:
     bounds = steps.select("source_id", "id", F.explode(F.array("start_frame", "end_frame")).alias("frame_no"))
     proof = F.when(F.col("resolution").isNotNull(), F.coalesce("resolution.evidence", F.array().cast("array<string>")))
     refs = steps.select("source_id", F.col("id").alias("owner"), F.explode("evidence").alias("id")).unionByName(led.issues.select("source_id", F.col("id").alias("owner"), F.explode(F.array_distinct(proof)).alias("id")))
-    known = assets.select("source_id", "id").distinct()
+    known = led.known
     told = nonblank(F.col("trace_ref")) & nonblank(F.col("observation"))
-    right = valid_views(led)
+    right = led.valid_views
     seen = right.where(told).select("source_id", F.col("asset_id").alias("id")).distinct()
     parents = assets.select("source_id", F.col("id").alias("parent_id"), "frame_no")
     wrong = views.join(right.select("source_id", "id").distinct(), ["source_id", "id"], "left_anti")
@@ -133,12 +127,13 @@ def account_states(led: Ledger) -> DataFrame:
     n, end = F.col("exact_start"), F.col("end_frame")
     near = F.array(n - 1, n, F.least(n + 1, end), end, end + 1)
     joined = led.states.select("source_id", "exact_start", "end_frame").join(led.coverage.withColumnRenamed("frame_no", "exact_start"), ["source_id", "exact_start"], "left").withColumn("near", near)
+    joined = staged(joined, "accounted")
     held = joined.where("classification is not null")
     steps = led.steps.select("source_id", F.col("id").alias("step_id"), F.col("start_frame").alias("lo"), F.col("end_frame").alias("hi"))
     named = held.select("source_id", "exact_start", "end_frame", "near", F.explode("step_ids").alias("step_id"))
     doubts = held.select("source_id", "exact_start", "near", F.explode("issue_ids").alias("id"))
     run = led.frames.select("source_id", "frame_no", "exact_start")
-    own = valid_views(led).where("kind = 'full' and presentation = 'native'").join(run, ["source_id", "frame_no"]).select("source_id", F.col("asset_id").alias("id"), "exact_start", F.col("actor").alias("reviewer")).distinct()
+    own = led.valid_views.where("kind = 'full' and presentation = 'native'").join(run, ["source_id", "frame_no"]).select("source_id", F.col("asset_id").alias("id"), "exact_start", F.col("actor").alias("reviewer")).distinct()
     shown = held.select("source_id", "exact_start", "reviewer", F.explode("evidence").alias("id")).join(own, ["source_id", "id", "exact_start", "reviewer"], "left_semi").select("source_id", "exact_start")
     frames = F.col("near")
     return union(
@@ -177,11 +172,12 @@ def transitions(led: Ledger, linked: DataFrame) -> DataFrame:
     order = W.partitionBy("source_id").orderBy("start_frame", "end_frame", "id")
     a, b = F.col("start_frame"), F.col("end_frame")
     steps = led.steps.withColumns({"step_order": F.row_number().over(order), "before_end": F.lag("end_frame").over(order), "near": F.array(a - 1, a, b, b + 1)})
+    steps = staged(steps, "ordered-steps")
     frames, stage = F.col("near"), "continuity"
     t = F.col("transition")
     whole = t.isNotNull() & t["before"].isNotNull() & t["after"].isNotNull() & t["confirmation"].isNotNull() & t["result"].isNotNull()
     told = steps.where(whole)
-    every = facts(told)
+    every = staged(facts(told), "facts")
     usable = every.where("usable")
     known = usable.where("value <> 'null'")
     w = W.partitionBy("source_id", "key").orderBy("step_order", "phase")
@@ -241,7 +237,7 @@ def review_common(review: DataFrame, led: Ledger, authors: DataFrame) -> DataFra
     """Findings that reviews of both modes share. ``review``: the latest, current one of each source."""
     named = authors.select("source_id", F.col("author").alias("reviewer")).where("reviewer is not null").distinct()
     dependent = review.where("independence <> 'independent'").select("source_id", "id").unionByName(review.join(named, ["source_id", "reviewer"], "left_semi").select("source_id", "id")).distinct()
-    traced = valid_views(led).where(nonblank(F.col("trace_ref")) & nonblank(F.col("observation"))).select("source_id", F.col("asset_id").alias("ref"), F.col("actor").alias("reviewer"), F.col("trace_ref").alias("trace"))
+    traced = led.valid_views.where(nonblank(F.col("trace_ref")) & nonblank(F.col("observation"))).select("source_id", F.col("asset_id").alias("ref"), F.col("actor").alias("reviewer"), F.col("trace_ref").alias("trace"))
     real = review.select("source_id", "id", "reviewer", F.explode("evidence").alias("ref")).join(traced, ["source_id", "ref", "reviewer"]).select("source_id", "id", "trace").distinct()
     loose = review.select("source_id", "id", F.explode("tool_trace_refs").alias("trace")).join(real, ["source_id", "id", "trace"], "left_anti").select("source_id", "id").distinct()
     solved = led.issues.where(records.issue_is_resolved()).select("source_id", F.col("id").alias("issue"))
@@ -255,9 +251,9 @@ def review_common(review: DataFrame, led: Ledger, authors: DataFrame) -> DataFra
 def current_review(sources: DataFrame, reviews: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the latest review of each source if it is of the current snapshot, findings of the others)."""
     last = records.latest(reviews, ["source_id"], [F.col("recorded_at").desc(), F.col("id").desc()])
-    held = last.join(snapshots.select("source_id", F.col("snapshot").alias("now")), "source_id", "left")
+    held = staged(last.join(snapshots.select("source_id", F.col("snapshot").alias("now")), "source_id", "left"), "reviews")
     fresh = F.col("snapshot").eqNullSafe(F.col("now"))
-    missing = sources.join(last.select("source_id"), "source_id", "left_anti").withColumn("id", F.lit(None).cast("string"))
+    missing = sources.join(held.select("source_id"), "source_id", "left_anti").withColumn("id", F.lit(None).cast("string"))
     return held.where(fresh).drop("now"), union(finding(missing, "omission_review_missing", "id", stage="review"), finding(held.where(~fresh), "omission_review_stale", "id", stage="review"))
 
 
@@ -271,7 +267,7 @@ def strict_review(led: Ledger, reviews: DataFrame, snapshots: DataFrame) -> Data
     extra = checked.join(states, ["source_id", "exact_start"], "left_anti").select("source_id", "id").distinct()
     scope = extra.join(unchecked, ["source_id", "id"], "full_outer").withColumn("f", F.coalesce("f", F.expr(NONE)))
     run = led.frames.select("source_id", "frame_no", "exact_start")
-    full = valid_views(led).where("kind = 'full' and presentation = 'native'").select("source_id", F.col("asset_id").alias("ref"), F.col("actor").alias("reviewer"), "frame_no")
+    full = led.valid_views.where("kind = 'full' and presentation = 'native'").select("source_id", F.col("asset_id").alias("ref"), F.col("actor").alias("reviewer"), "frame_no")
     seen = review.select("source_id", "id", "reviewer", F.explode("evidence").alias("ref")).join(full, ["source_id", "ref", "reviewer"]).join(run, ["source_id", "frame_no"]).select("source_id", "id", "exact_start").distinct()
     n, end = F.col("exact_start"), F.col("end_frame")
     unseen = due.join(seen, ["source_id", "id", "exact_start"], "left_anti")

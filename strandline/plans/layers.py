@@ -10,6 +10,7 @@ from ..functions.scalars import nonblank_list
 from ..operators import evidence as ev
 from ..operators import intervals as iv
 from ..sources.ledger import Ledger
+from ..sources.tables import staged
 from .audit import NONE, _refs, cited, current_review, finding, operation_steps, review_common, transitions, union, unresolved_issues
 
 ROLES = ("before", "during", "after")
@@ -44,10 +45,10 @@ def step_problems(led: Ledger) -> DataFrame:
     wrong = order.where("min_before is not null and min_during is not null and min_after is not null").where("not (max_before <= min_during and max_during <= min_after)")
     code = lambda rows, name, complete=False: rows.select("source_id", "step_id", F.lit(name).alias("code"), F.lit(complete).alias("complete"))
     unsettled = with_roles.where(~F.col("status").eqNullSafe("confirmed") | (F.size("uncertainties") > 0))
-    return union(
+    return staged(union(
         code(no_roles, "operation_roles_missing"), code(undeclared, "role_evidence_not_declared"), code(empty.unionByName(unseen), "operation_native_view_missing"),
         code(placed.where("frame_no < start_frame or frame_no > end_frame"), "role_evidence_outside_step"), code(wrong, "operation_role_order"), code(unsettled, "operation_unresolved", True),
-    ).distinct()
+    ).distinct(), "step-problems")
 
 
 def fine_problems(led: Ledger) -> DataFrame:
@@ -66,18 +67,18 @@ def fine_problems(led: Ledger) -> DataFrame:
     direct = open_.select(*BY, F.explode("issue_ids").alias("issue_id")).join(issues.select("source_id", F.col("id").alias("issue_id")), ["source_id", "issue_id"], "left_semi").select(*BY)
     code = lambda rows, name, complete=False: rows.select(*BY, F.lit(name).alias("code"), F.lit(complete).alias("complete"))
     inside = named.join(steps, ["source_id", "step_id"])
-    return union(
+    return staged(union(
         code(entries.where(~begun), "operation_not_fine_reviewed"), code(open_.where("fine_status <> 'reviewed'"), "operation_not_fine_reviewed", True),
         code(doubtful.unionByName(direct), "operation_issue_unresolved", True), code(named.join(steps, ["source_id", "step_id"], "left_anti"), "interval_step_missing"),
         code(inside.where("lo < start_frame or hi > end_frame or lo > hi"), "step_outside_interval"), named.join(step_problems(led), ["source_id", "step_id"]).select(*BY, "code", "complete"),
-    ).distinct()
+    ).distinct(), "fine-problems")
 
 
 def coverage(led: Ledger) -> DataFrame:
     """Per source: lengths and ranges of coarsely reviewed, finely examined and finely reviewed
     intervals between first and last frame, distinct operation steps, approximate merges."""
     entries = led.intervals
-    coarse = ev.coarse_reviewed(entries, led.assets, led.views, led.frames)
+    coarse = staged(ev.coarse_reviewed(entries, led.assets, led.views, led.frames), "coarse")
     problems = fine_problems(led)
     spans = entries.select("source_id", "id", F.col("start_frame").alias("start"), F.col("end_frame").alias("end")).join(coarse, BY, "left_semi")
     kinds = {"coarse": spans, "fine": spans.join(problems, BY, "left_anti"), "examined": spans.join(problems.where("not complete"), BY, "left_anti")}
@@ -85,7 +86,7 @@ def coverage(led: Ledger) -> DataFrame:
     out = bounds.select("source_id")
     listed = lambda df, name: df.groupBy("source_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias(f"{name}_frames"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias(f"{name}_ranges"))
     for name, some in kinds.items():
-        merged = iv.union(some, ["source_id"])
+        merged = staged(iv.union(some, ["source_id"]), f"{name}-spans")
         gaps = iv.complement(merged, bounds, ["source_id"])
         out = out.join(listed(merged, name), "source_id", "left").join(listed(gaps, f"not_{name}"), "source_id", "left").drop(f"not_{name}_frames")
     units = entries.select("source_id", F.explode("step_ids").alias("s")).groupBy("source_id").agg(F.count_distinct("s").alias("candidate_operation_units"))
@@ -137,20 +138,24 @@ def samples(led: Ledger, checks: DataFrame) -> DataFrame:
     original states; of another interval only if that interval comes first.
     """
     entries = led.intervals
-    mapped = ev.mapping(led.frames, entries)
-    scoped = entries.join(ev.scopes(mapped, entries, led.steps), BY)
+    mapped = staged(ev.mapping(led.frames, entries), "mapped")
+    scoped = staged(entries.join(ev.scopes(mapped, entries, led.steps), BY), "scoped")
     need = scoped.select(*BY, "start_frame", "end_frame", F.col("scope_hash").alias("now")).join(ev.required_sample(mapped, scoped), BY)
     need = need.withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy("start_frame", "end_frame", "id"))).withColumnRenamed("id", "interval_id")
+    need = staged(need, "need")
     own = checks.join(need, ["source_id", "interval_id"])
     current = own.where("scope_hash = now").withColumn("targets", F.when(F.col("method") == "exhaustive", F.col("all_state_frames")).otherwise(F.col("frames")))
+    current = staged(current, "current-checks")
     seen = ev.seen_through(current.select(*BY, F.col("reviewer").alias("actor"), F.explode("evidence").alias("asset_id")), led.assets, led.views, BY, native=True, full=True)
+    seen = staged(seen, "check-views")
     lacking = ev.uncovered(current.select(*BY, F.explode("targets").alias("frame_no")), seen, led.frames, BY).select(*BY).distinct()
+    lacking = staged(lacking, "lacking")
     valid = current.where("conclusion = 'clear'").join(lacking, BY, "left_anti")
     old = checks.select("source_id", F.col("id").alias("ref"), F.col("conclusion").alias("was"), F.col("source_scope_frames").alias("prior"))
     answers = valid.select(*BY, "method", "rank", F.explode("resolves").alias("ref")).join(old, ["source_id", "ref"], "left")
     by = [*BY, "ref"]
     left = ev.uncovered(answers.select(*by, F.explode("prior").alias("frame_no")), answers.select(*by).join(seen, BY), led.frames, by).select(*by).distinct().withColumn("left", F.lit(True))
-    judged = answers.join(left, by, "left")
+    judged = staged(answers.join(left, by, "left"), "answers")
     good = F.coalesce((F.col("method") == "exhaustive") & (F.col("was") == "expand") & (F.size("prior") > 0) & F.col("left").isNull(), F.lit(False))
     closed = judged.where(good).groupBy("source_id", F.col("ref").alias("id")).agg(F.min("rank").alias("closed_at"))
     flags = own.groupBy("source_id", "interval_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("scope_hash = now")).alias("n_current"), F.count_if(F.expr("scope_hash = now and conclusion = 'expand'")).alias("n_expand"))
@@ -209,12 +214,12 @@ def layered_review(led: Ledger, reviews: DataFrame, snapshots: DataFrame) -> Dat
     """
     review, out = current_review(led.frames.select("source_id").distinct(), reviews, snapshots)
     entries = led.intervals
-    mapped = ev.mapping(led.frames, entries)
-    need = ev.required_sample(mapped, entries.join(ev.scopes(mapped, entries, led.steps), BY))
+    mapped = staged(ev.mapping(led.frames, entries), "mapped")
+    need = ev.required_sample(mapped, staged(entries.join(ev.scopes(mapped, entries, led.steps), BY), "scoped"))
     ids = entries.groupBy("source_id").agg(F.array_sort(F.collect_set("id")).alias("all_ids"))
     scope = review.join(ids, "source_id", "left").where(F.array_sort(F.array_distinct("checked_interval_ids")) != F.coalesce("all_ids", F.array().cast("array<string>")))
     who = review.select("source_id", F.col("reviewer").alias("actor"), F.explode("evidence").alias("asset_id"))
-    due = entries.join(need, BY).join(review.select("source_id"), "source_id", "left_semi")
+    due = staged(entries.join(need, BY).join(review.select("source_id"), "source_id", "left_semi"), "due")
     targets = F.when(F.col("required"), F.col("frames")).otherwise(F.expr(NONE))
 
     def lacking(frames, native):
@@ -224,6 +229,7 @@ def layered_review(led: Ledger, reviews: DataFrame, snapshots: DataFrame) -> Dat
     asked = lambda frames: due.select(*BY, F.explode(frames).alias("frame_no"))
     bad = asked(_bounds()).join(lacking(_bounds(), False), ["source_id", "frame_no"], "left_semi").select(*BY).unionByName(asked(targets).join(lacking(targets, True), ["source_id", "frame_no"], "left_semi").select(*BY)).distinct()
     roles = led.steps.select("source_id", F.col("id").alias("step_id"), F.explode(F.flatten(F.map_values("role_evidence"))).alias("asset_id")).distinct()
+    roles = staged(roles, "roles")
     wanted = due.select(*BY, F.explode("step_ids").alias("step_id")).join(roles, ["source_id", "step_id"]).join(led.assets.select("source_id", F.col("id").alias("asset_id"), "frame_no"), ["source_id", "asset_id"])
     refs = who.select("source_id", "actor", F.col("asset_id").alias("ref"))
     covered = covered_assets(wanted.select("source_id", "asset_id").distinct(), refs, led, ["source_id"])

@@ -258,7 +258,7 @@ def audit_layers(spark, d):
 
 
 def _need(led):
-    mapped = ev.mapping(led.frames, led.intervals)
+    mapped = staged(ev.mapping(led.frames, led.intervals), "mapped")
     scoped = led.intervals.join(ev.scopes(mapped, led.intervals, led.steps), ["source_id", "id"])
     return scoped.join(ev.required_sample(mapped, scoped), ["source_id", "id"])
 
@@ -342,3 +342,137 @@ def agg_summary(spark, d):
     out = audit.summary(audit.located(audit.strict(led), led.frames))
     second = lambda c, n: F.floor(c).cast("long").alias(n)
     return out.select("source_id", "findings", F.size("suggested_frames").cast("long").alias("suggested"), second("start_time", "first_second"), second("end_time", "last_second"))
+
+
+# --- reviews, snapshots ----------------------------------------------------------------
+
+_FIRST = "first AS (SELECT source_id, k AS kf FROM runs WHERE frame_no = 0)"
+_LINES = """sections AS (
+  SELECT source_id, 'frames' AS section, frame_no // 10000 AS block, lpad(frame_no::VARCHAR, 19, '0') AS key, concat_ws('|', frame_no, digest, exact_start) AS line FROM runs
+  UNION ALL SELECT source_id, 'steps', 0, id, concat_ws('|', id, start_frame, end_frame, status, coalesce(author, '\\N'), array_to_string(evidence, ','), array_to_string(uncertainties, ',')) FROM steps
+  UNION ALL SELECT source_id, 'issues', 0, id, concat_ws('|', id, frame_no, frame_no, status, 'q', array_to_string(step_ids, ','), CASE WHEN k < 20 THEN 'evidence' WHEN k < 30 THEN 'withdrawn' ELSE '\\N' END) FROM issues
+  UNION ALL SELECT source_id, 'coverage', frame_no // 10000, lpad(frame_no::VARCHAR, 19, '0'), concat_ws('|', frame_no, classification, reviewer, array_to_string(step_ids, ','), array_to_string(issue_ids, ','), fa) FROM coverage
+  UNION ALL SELECT c.source_id, 'assets', 0, c.id, concat_ws('|', c.id, coalesce(a.frame_no::VARCHAR, '\\N'), coalesce(a.kind, '\\N'), coalesce(a.sha, '\\N'), coalesce(a.parent_id, '\\N')) FROM (
+    SELECT source_id, unnest(evidence) AS id FROM steps UNION SELECT source_id, fa FROM coverage UNION SELECT source_id, fid FROM issues WHERE k < 20) c LEFT JOIN assets a ON a.source_id = c.source_id AND a.id = c.id
+)"""
+_INTERVAL_LINES = """SELECT source_id, 'intervals' AS section, 0 AS block, id AS key, concat_ws('|', id, start_frame, end_frame, disposition, merge, fine_status, 'ann', array_to_string(step_ids, ','), array_to_string(issue_ids, ','), CASE WHEN fa = fz THEN fa ELSE fa || ',' || fz END) AS line FROM intervals"""
+
+
+def _hashed(name: str, lines: str) -> str:
+    return f"""{name}_b AS (SELECT source_id, section, block, sha256(string_agg(line, chr(10) ORDER BY key, line)) AS h FROM ({lines}) GROUP BY source_id, section, block),
+{name} AS (SELECT source_id, sha256(string_agg(section || ':' || block || ':' || h, chr(10) ORDER BY section, block)) AS snapshot FROM {name}_b GROUP BY source_id)"""
+
+
+_STRICT_SNAPSHOT = _LINES + ", " + _hashed("snap", "SELECT * FROM sections")
+_CHECK_LINES = """SELECT c.source_id, 'checks' AS section, 0 AS block, c.id AS key, concat_ws('|', c.id, interval_id, scope_hash, method, conclusion, 'bob', coalesce((SELECT string_agg(ref, ',' ORDER BY n) FROM cevidence e WHERE e.source_id = c.source_id AND e.id = c.id), ''), array_to_string(resolves, ',')) AS line FROM checks c"""
+_LAYER_SNAPSHOT = _STRICT_SNAPSHOT + ", " + _hashed("more", f"{_INTERVAL_LINES} UNION ALL {_CHECK_LINES}") + ", lsnap AS (SELECT source_id, sha256(coalesce(s.snapshot, '') || chr(10) || coalesce(m.snapshot, '')) AS snapshot FROM snap s FULL JOIN more m USING (source_id))"
+
+
+@query(f"WITH RECURSIVE {LEDGER}, {_STRICT_SNAPSHOT} SELECT * FROM snap")
+def id_snapshot_strict(spark, d):
+    return idn.strict_snapshot(_ledger(spark, d))
+
+
+@query(f"WITH RECURSIVE {LEDGER}, {COARSE}, {SAMPLE}, {CHECKS}, {_LAYER_SNAPSHOT} SELECT * FROM lsnap")
+def id_snapshot_layered(spark, d):
+    led = _ledger(spark, d)
+    return idn.layered_snapshot(led, _checks(led))
+
+
+def _context(led):
+    return led.frames.select("source_id").distinct().select("source_id", F.lit("why").alias("question"), F.lit("all").alias("scope"), F.array(F.lit("lang-1")).alias("used_language_source_ids"), F.lit("go on").alias("next_action"))
+
+
+_DELIVERY = _LINES + ", " + _hashed("dsnap", f"SELECT * FROM sections WHERE section IN ('steps', 'issues') UNION ALL {_INTERVAL_LINES} UNION ALL SELECT DISTINCT source_id, 'context', 0, 'context', 'why|all|lang-1' FROM runs")
+
+
+@query(f"WITH RECURSIVE {LEDGER}, {_DELIVERY} SELECT * FROM dsnap")
+def id_snapshot_delivery(spark, d):
+    led = _ledger(spark, d)
+    return idn.delivery_snapshot(led, _context(led))
+
+
+def _reviews(led, snapshots, extra):
+    """One review per source but some; whose, how independent and how current follows from its first frame."""
+    k = F.col("k")
+    first = led.frames.where("frame_no = 0").select("source_id", "k").where("k < 90")
+    shown = led.states.where("k0 < 50").groupBy("source_id").agg(F.array_sort(F.collect_list(F.format_string("f%09d", "start_frame"))).alias("evidence"))
+    rows = first.join(snapshots, "source_id").join(shown, "source_id", "left").join(extra, "source_id", "left")
+    return rows.select(
+        "source_id", F.lit("V1").alias("id"), F.when(k < 50, "bob").otherwise("cat").alias("reviewer"), F.when(k < 70, "independent").otherwise("self_review").alias("independence"), F.when(k < 80, F.col("snapshot")).otherwise("old").alias("snapshot"),
+        F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), F.when(k < 10, F.array(F.lit("I999999999"))).otherwise(F.array().cast("array<string>")).alias("issue_ids"), F.array(F.lit("read_image#0")).alias("tool_trace_refs"),
+        F.when(k < 60, "no_additional_omissions_found").otherwise("incomplete").alias("conclusion"), F.lit(1).alias("recorded_at"), *(c for c in extra.columns if c != "source_id"),
+    )
+
+
+def _review_sql(snapshot: str, authors: str, more: str) -> str:
+    """Findings of reviews: those both modes share, then ``more``."""
+    return f"""reviews AS (
+  SELECT f.source_id, CASE WHEN kf < 50 THEN 'bob' ELSE 'cat' END AS reviewer, kf, kf < 80 AS fresh, coalesce((SELECT list({_id("f", "start_frame")} ORDER BY start_frame) FROM st WHERE st.source_id = f.source_id AND k0 < 50), []) AS evidence FROM first f JOIN {snapshot} USING (source_id) WHERE kf < 90
+), cur AS (SELECT * FROM reviews WHERE fresh),
+rcites AS (SELECT source_id, 'V1' AS reference, unnest(evidence) AS id, []::BIGINT[] AS near FROM cur),
+authors AS ({authors}),
+review AS (
+  SELECT DISTINCT source_id, 'omission_review_missing' AS code, NULL AS reference, []::BIGINT[] AS near FROM runs r WHERE NOT EXISTS (SELECT 1 FROM reviews v WHERE v.source_id = r.source_id)
+  UNION ALL SELECT source_id, 'omission_review_stale', 'V1', [] FROM reviews WHERE NOT fresh
+  UNION ALL SELECT source_id, 'reviewer_not_independent', 'V1', [] FROM cur c WHERE kf >= 70 OR EXISTS (SELECT 1 FROM authors a WHERE a.source_id = c.source_id AND a.author = c.reviewer)
+  UNION ALL {_cited("rcites")}
+  UNION ALL SELECT source_id, 'review_trace_unlinked', 'V1', [] FROM cur c WHERE NOT EXISTS (SELECT 1 FROM vv WHERE vv.source_id = c.source_id AND vv.actor = c.reviewer AND list_contains(c.evidence, vv.asset_id) AND vv.trace = 'read_image#0')
+  UNION ALL SELECT source_id, 'review_issue_unresolved', 'I999999999', [] FROM cur WHERE kf < 10
+  UNION ALL SELECT source_id, 'review_not_complete', 'V1', [] FROM cur WHERE kf >= 60
+  UNION ALL {more}
+)"""
+
+
+_STRICT_MORE = """SELECT c.source_id, 'review_scope_incomplete', 'V1', list(s.exact_start ORDER BY s.exact_start) FROM cur c JOIN st s ON s.source_id = c.source_id WHERE s.k0 >= 95 GROUP BY c.source_id
+  UNION ALL SELECT c.source_id, 'reviewer_view_missing', s.exact_start::VARCHAR, [s.exact_start - 1, s.exact_start, least(s.exact_start + 1, s.end_frame), s.end_frame, s.end_frame + 1] FROM cur c JOIN st s ON s.source_id = c.source_id
+    WHERE NOT EXISTS (SELECT 1 FROM vv JOIN runs r ON r.source_id = vv.source_id AND r.frame_no = vv.frame_no WHERE vv.source_id = c.source_id AND vv.actor = c.reviewer AND vv.kind = 'full' AND vv.presentation = 'native' AND list_contains(c.evidence, vv.asset_id) AND r.exact_start = s.exact_start)"""
+
+
+@query(f"WITH RECURSIVE {LEDGER}, {_FIRST}, {_STRICT_SNAPSHOT}, {_review_sql('snap', 'SELECT source_id, author FROM steps UNION SELECT source_id, reviewer FROM coverage', _STRICT_MORE)} {_SHOW} review")
+def audit_strict_review(spark, d):
+    led = _ledger(spark, d)
+    snapshots = staged(idn.strict_snapshot(led), "snapshots")
+    checked = led.states.groupBy("source_id").agg(F.collect_list(F.when(F.col("k0") < 95, F.col("exact_start"))).alias("checked_state_frames"))
+    return _shown(audit.strict_review(led, _reviews(led, snapshots, checked), snapshots))
+
+
+# the regions of full images are whole frames, so one of the same run covers a role's image
+_LAYER_MORE = """SELECT source_id, 'review_scope_incomplete', 'V1', [] FROM cur c WHERE EXISTS (SELECT 1 FROM intervals i WHERE i.source_id = c.source_id AND i.merge = 'none')
+  UNION ALL SELECT source_id, 'reviewer_view_missing', id, near FROM short WHERE bad
+  UNION ALL SELECT source_id, 'reviewer_fine_view_missing', id, list(DISTINCT frame_no ORDER BY frame_no) FROM wanted GROUP BY source_id, id HAVING bool_or(NOT ok)"""
+_LAYER_VIEWS = """, rseen AS (
+  SELECT DISTINCT c.source_id, r.exact_start, vv.presentation = 'native' AS native FROM cur c JOIN vv ON vv.source_id = c.source_id AND vv.actor = c.reviewer AND vv.kind = 'full' AND list_contains(c.evidence, vv.asset_id) JOIN runs r ON r.source_id = vv.source_id AND r.frame_no = vv.frame_no
+), due AS (SELECT n.*, CASE WHEN required THEN frames ELSE [] END AS targets FROM need n JOIN cur USING (source_id)),
+asked AS (SELECT source_id, id, unnest([start_frame, end_frame]) AS n, false AS native FROM due UNION ALL SELECT source_id, id, unnest(targets), true FROM due),
+blind AS (SELECT DISTINCT a.source_id, a.id FROM asked a LEFT JOIN runs r ON r.source_id = a.source_id AND r.frame_no = a.n WHERE NOT EXISTS (SELECT 1 FROM rseen s WHERE s.source_id = a.source_id AND s.exact_start = r.exact_start AND (s.native OR NOT a.native))),
+short AS (SELECT d.source_id, d.id, list_distinct(list_concat([start_frame, end_frame], targets)) AS raw, list_concat(list_distinct_ordered, []) AS near, b.id IS NOT NULL AS bad FROM (SELECT *, list_concat(CASE WHEN start_frame = end_frame THEN [start_frame] ELSE [start_frame, end_frame] END, [x for x in targets if x <> start_frame and x <> end_frame]) AS list_distinct_ordered FROM due) d LEFT JOIN blind b ON b.source_id = d.source_id AND b.id = d.id),
+rolenames AS (SELECT DISTINCT i.source_id, i.id, unnest([s.fa, s.fz]) AS ref FROM (SELECT source_id, id, unnest(step_ids) AS step_id FROM intervals) i JOIN steps s ON s.source_id = i.source_id AND s.id = i.step_id WHERE s.roles),
+wanted AS (
+  SELECT x.source_id, x.id, a.frame_no, EXISTS (SELECT 1 FROM rseen s WHERE s.source_id = x.source_id AND s.native AND s.exact_start = r.exact_start) AS ok
+  FROM rolenames x JOIN cur USING (source_id) JOIN assets a ON a.source_id = x.source_id AND a.id = x.ref JOIN runs r ON r.source_id = a.source_id AND r.frame_no = a.frame_no
+)"""
+
+
+def _with_views(sql: str) -> str:
+    """The review's CTEs with those of the layered views before its findings."""
+    return sql.replace(", []) AS evidence FROM first f", ", []) AS evidence FROM first f").replace("rcites AS", _LAYER_VIEWS[2:] + ",\nrcites AS")
+
+
+@query(f"WITH RECURSIVE {LEDGER}, {_FIRST}, {COARSE}, {SAMPLE}, {CHECKS}, {_LAYER_SNAPSHOT}, {_with_views(_review_sql('lsnap', 'SELECT source_id, author FROM steps UNION SELECT source_id, $$ann$$ FROM intervals', _LAYER_MORE))} {_SHOW} review")
+def audit_layer_review(spark, d):
+    led = _ledger(spark, d)
+    snapshots = staged(idn.layered_snapshot(led, _checks(led)), "snapshots")
+    checked = led.intervals.where("merge <> 'none'").groupBy("source_id").agg(F.collect_list("id").alias("checked_interval_ids"))
+    reviews = _reviews(led, snapshots, checked).withColumn("checked_interval_ids", F.coalesce("checked_interval_ids", F.array().cast("array<string>")))
+    return _shown(layers.layered_review(led, reviews, snapshots))
+
+
+@query(f"""WITH RECURSIVE {LEDGER}, {_FIRST}, {_DELIVERY} SELECT source_id, kf >= 80 AS stale, CASE WHEN kf < 10 THEN 'evidence_changed' WHEN kf >= 80 THEN 'stale' WHEN kf >= 60 THEN 'record_invalid' ELSE 'current' END AS freshness FROM first JOIN dsnap USING (source_id)""")
+def id_fresh(spark, d):
+    led = _ledger(spark, d)
+    snapshots = staged(idn.delivery_snapshot(led, _context(led)), "snapshots")
+    k = F.col("k")
+    kept = led.frames.where("frame_no = 0").select("source_id", "k").join(snapshots, "source_id").withColumn("snapshot", F.when(k < 80, F.col("snapshot")).otherwise("old"))
+    told = idn.stale(kept, snapshots)
+    return told.select("source_id", "stale", idn.freshness(k < 10, F.when(F.col("stale"), "old").otherwise("now"), F.lit("now"), k < 60).alias("freshness"))

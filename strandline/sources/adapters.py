@@ -5,9 +5,13 @@ Every table carries ``source_id``, so one DataFrame holds many timelines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,26 +71,59 @@ def replay_mismatches(stored: DataFrame, again: DataFrame, columns: list[str]) -
     return pairs.where(F.col("__there").isNull() | ~same).select(*(F.col(f"s.{k}") for k in keys))
 
 
-def srt_cues(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Cues of normalised SRT texts: pos, start_time, end_time, text_original."""
+_SRT_TIME = r"(\d+:\d{2}:\d{2},\d{3}) --> (\d+:\d{2}:\d{2},\d{3})"
+
+
+def srt_blocks(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Blocks of normalised SRT texts: source_id, pos, start_time, end_time, text_original, sound.
+
+    A sound block has a number, a time line and at least one line of text, each exactly so.
+    """
     from ..functions.scalars import clock_parse
 
-    body = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n?", "\n"), "^﻿", "")
-    blocks = texts.select("source_id", F.posexplode(F.split(F.trim(body), "\n[ \t]*\n\\s*")).alias("pos", "block"))
-    arrow = r"(\d+:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d+:\d{2}:\d{2}[,.]\d{3})[^\n]*\n?([\s\S]*)$"
-    cue = lambda i: F.regexp_extract("block", arrow, i)
-    out = blocks.where(F.rlike("block", F.lit(arrow)))
-    return out.select("source_id", "pos", clock_parse(cue(1)).alias("start_time"), clock_parse(cue(2)).alias("end_time"), F.trim(cue(3)).alias("text_original"))
+    body = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    blocks = texts.select("source_id", F.posexplode(F.split(F.trim(body, F.lit(" \t\n\r\f\u000b")), "\n\\s*\n")).alias("pos", "block"))
+    lines = F.split("block", "\n")
+    time = F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
+    part = lambda i: F.regexp_extract(time, f"^{_SRT_TIME}$", i)
+    sound = (F.size(lines) >= 3) & F.rlike(lines[0], F.lit(r"^\d+$")) & F.rlike(time, F.lit(f"^{_SRT_TIME}$"))
+    clock = lambda i: F.when(sound, clock_parse(part(i)))
+    said = F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
+    return blocks.select("source_id", "pos", clock(1).alias("start_time"), clock(2).alias("end_time"), F.when(sound, said).alias("text_original"), sound.alias("sound"))
 
 
-def transcript_cues(docs: DataFrame) -> DataFrame:
-    """Cues of transcripts: ``segments`` array of (start, end, text), ``time_base``, ``offset``, first frame time.
+def srt_cues(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Cues of normalised SRT texts; a text with any unsound block is refused with an error when read."""
+    blocks = srt_blocks(texts, text)
+    wrong = F.raise_error(F.format_string("source %s: unexpected subtitle block %d", F.col("source_id").cast("string"), F.col("pos")))
+    return blocks.select("source_id", "pos", F.when(F.col("sound"), F.col("start_time")).otherwise(wrong.cast("double")).alias("start_time"), "end_time", "text_original")
+
 
-    Times relative to the video get the first frame's time on top; without one they are null.
+def first_times(frames: DataFrame) -> DataFrame:
+    """(source_id, first_time): the time of each source's first frame, known or not."""
+    return frames.groupBy("source_id").agg(F.min_by("time_s", "frame_no").alias("first_time"))
+
+
+def transcript_cues(docs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Segments of transcripts: source_id, pos, begin, end, offset, text and what else they carry.
+
+    ``docs``: source_id, time_base, offset_seconds, segments array of structs. Times relative to
+    the video get its first frame's time on top; without one, or with another time base,
+    reading raises an error.
     """
-    shift = F.coalesce("offset", F.lit(0.0)) + F.when(F.col("time_base") == "video_relative", F.col("first_time")).otherwise(F.lit(0.0))
-    rows = docs.select("source_id", shift.alias("shift"), F.posexplode("segments").alias("pos", "s"))
-    return rows.select("source_id", "pos", (F.col("s.start") + F.col("shift")).alias("start_time"), (F.col("s.end") + F.col("shift")).alias("end_time"), F.col("s.text").alias("text_original"))
+    joined = docs.join(first_times(frames), "source_id", "left")
+    told = F.coalesce("offset_seconds", F.lit(0.0))
+    refuse = lambda why: F.raise_error(F.concat(F.lit("source "), F.col("source_id").cast("string"), F.lit(f": {why}"))).cast("double")
+    relative = F.when(F.col("first_time").isNull(), refuse("first frame has no time")).otherwise(told + F.col("first_time"))
+    shift = F.when(F.col("time_base") == "original", told).when(F.col("time_base") == "video_relative", relative).otherwise(refuse("unknown time base"))
+    rows = joined.select("source_id", shift.alias("offset"), F.posexplode("segments").alias("pos", "s"))
+    return rows.select("source_id", "pos", "offset", F.col("s.start").alias("begin"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
+
+
+def tracks(streams: DataFrame) -> DataFrame:
+    """Audio and subtitle streams. ``streams``: source_id, streams array of (index, codec_name, codec_type, …)."""
+    kind = lambda k: F.filter("streams", lambda s: s["codec_type"] == k)
+    return streams.select("source_id", kind("audio").alias("audio"), kind("subtitle").alias("subtitles"))
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -118,6 +155,70 @@ def container_kind(content: Column | str, subtitles: bool = False) -> Column:
     return kind.when(F.rlike(text, F.lit(_VTT)), "webvtt").when(F.rlike(text, F.lit(_SRT)), "srt")
 
 
+#: Boxes that hold boxes, and boxes that point out of the file; fixed values.
+MOV_CONTAINERS = ("moov", "trak", "mdia", "minf", "dinf", "stbl", "udta")
+MOV_FOREIGN = ("cmov", "rmra", "rmda", "rdrf", "iloc")
+MOV_DEPTH, MOV_LIMIT, MOV_REFERENCES = 16, 100_000, 4096
+
+
+def mov_problem(content: bytes) -> str | None:
+    """Why a MOV or MP4 is not self-contained, or null: walks its boxes, reads no sample data."""
+    u32 = lambda at: int.from_bytes(content[at : at + 4], "big")
+    work, seen, movie = [(0, len(content), 0, None)], 0, False
+    while work:
+        at, end, depth, references = work.pop()
+        if depth > MOV_DEPTH:
+            return "nested too deep"
+        found = 0
+        while at < end:
+            seen += 1
+            if seen > MOV_LIMIT or end - at < 8:
+                return "malformed or too many boxes"
+            size, kind, body = u32(at), content[at + 4 : at + 8].decode("latin-1"), at + 8
+            if size == 1:
+                if end - at < 16:
+                    return "incomplete box"
+                size, body = int.from_bytes(content[at + 8 : at + 16], "big"), at + 16
+            size = size or end - at
+            stop = at + size
+            if stop > end or stop < body:
+                return "box outside its parent"
+            if references is not None:
+                found += 1
+                if kind != "url " or stop - body != 4 or u32(body) != 1:
+                    return "external reference"
+            elif kind in MOV_FOREIGN:
+                return "reference or compressed movie"
+            elif kind == "dref":
+                if stop - body < 8 or u32(body) or not 1 <= u32(body + 4) <= MOV_REFERENCES:
+                    return "reference table"
+                work.append((body + 8, stop, depth, u32(body + 4)))
+            elif kind == "meta":
+                if stop - body < 4 or u32(body):
+                    return "metadata layout"
+                work.append((body + 4, stop, depth + 1, None))
+            elif kind in MOV_CONTAINERS:
+                movie = movie or kind == "moov"
+                work.append((body, stop, depth + 1, None))
+            at = stop
+        if references is not None and found != references:
+            return "reference count"
+    return None if movie else "no movie metadata"
+
+
+@F.pandas_udf(T.StringType())
+def mov_problems(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``mov_problem`` of each file; binary trees without bound are walked in Python."""
+    for series in contents:
+        yield pd.Series([None if c is None else mov_problem(bytes(c)) for c in series], dtype=object)
+
+
+def accepted_kind(content: str = "content", subtitles: bool = False) -> Column:
+    """The container's kind, null where it is not accepted or, for ``mov``, not self-contained."""
+    kind = container_kind(content, subtitles)
+    return F.when((kind != "mov") | F.when(kind == "mov", mov_problems(content)).isNull(), kind)
+
+
 def compare_inventories(left: DataFrame, right: DataFrame) -> DataFrame:
     """Per relative name: missing, extra, changed or same."""
     l, r = left.select("name", F.col("sha256").alias("l")), right.select("name", F.col("sha256").alias("r"))

@@ -7,6 +7,7 @@ is a recorded null, SQL null a missing value.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,11 @@ MAX_SPAN = 3 * 86_400.0
 
 @dataclass
 class Ledger:
-    """frames (with exact_start), states, and the authored records."""
+    """frames (with exact_start), states, and the authored records.
+
+    What all audits ask again and again is written once: which assets there are, which views are
+    valid, and which assets were seen.
+    """
 
     frames: DataFrame
     states: DataFrame
@@ -33,6 +38,22 @@ class Ledger:
     coverage: DataFrame
     intervals: DataFrame
 
+    @cached_property
+    def known(self) -> DataFrame:
+        """(source_id, id) of all assets."""
+        return staged(self.assets.select("source_id", "id").distinct(), "known")
+
+    @cached_property
+    def valid_views(self) -> DataFrame:
+        """Views whose asset exists with the same frame and hash, with the asset's kind."""
+        a = self.assets.select("source_id", F.col("id").alias("asset_id"), "frame_no", F.col("sha256").alias("asset_sha256"), "kind")
+        return staged(self.views.join(a, ["source_id", "asset_id", "frame_no", "asset_sha256"]), "valid-views")
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        """(source_id, id) of assets with a valid view."""
+        return staged(self.valid_views.select("source_id", F.col("asset_id").alias("id")).distinct(), "seen")
+
 
 def _text(template: str, n: str | Column) -> Column:
     return F.format_string(template, F.col(n) if isinstance(n, str) else n)

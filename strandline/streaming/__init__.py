@@ -7,38 +7,65 @@ stopped query resumes after the last committed batch.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def streaming_runs(frames: DataFrame, anchor_seconds: float = 0.0) -> DataFrame:
-    """frame_no, exact_start, anchor, replayed for each frame; equal to the batch operators.
+    """frame_no, exact_start, anchor, late, replayed for each frame; equal to the batch operators.
 
     A frame at or below the last ordinal is a replay: it is reported, with ``replayed``
-    true and ``exact_start`` null, and changes no state. The state holds the last
-    ordinal, digest, run start and next anchor.
+    true and ``exact_start`` null, and changes no state; ``adapters.replay_mismatches`` holds such
+    rows against what is stored. ``late``: the time is not above the last known one; such frames
+    are counted by whoever reads them, never dropped. The state holds the last ordinal, digest,
+    run start, next anchor and last time.
     """
 
     def step(key, batches, state):
-        last, digest, start, anchor = state.get if state.exists else (-1, None, -1, float("-inf"))
+        last, digest, start, anchor, time = state.get if state.exists else (-1, None, -1, float("-inf"), float("-inf"))
         out = []
         rows = pd.concat(list(batches)).sort_values("frame_no", kind="stable")
         for n, d, t in zip(rows["frame_no"], rows["digest"], rows["time_s"], strict=True):
             if n <= last:
-                out.append((key[0], int(n), None, False, True))
+                out.append((key[0], int(n), None, False, False, True))
                 continue
             if d != digest or start < 0:
                 start = int(n)
-            take = anchor_seconds > 0 and t == t and t is not None and t >= anchor
+            known = t is not None and t == t
+            late, take = known and t <= time, known and anchor_seconds > 0 and t >= anchor
             if take:
                 anchor = float(t) + anchor_seconds
+            if known:
+                time = float(t)
             last, digest = int(n), d
-            out.append((key[0], last, start, bool(take), False))
-        state.update((last, digest, start, anchor))
-        yield pd.DataFrame(out, columns=["source_id", "frame_no", "exact_start", "anchor", "replayed"]).astype({"exact_start": "Int64"})
+            out.append((key[0], last, start, bool(take), bool(late), False))
+        state.update((last, digest, start, anchor, time))
+        yield pd.DataFrame(out, columns=["source_id", "frame_no", "exact_start", "anchor", "late", "replayed"]).astype({"exact_start": "Int64"})
 
     kind = frames.schema["source_id"].dataType.simpleString()
     return frames.groupBy("source_id").applyInPandasWithState(
-        step, f"source_id {kind}, frame_no long, exact_start long, anchor boolean, replayed boolean", "last long, digest string, start long, anchor double", "append", GroupStateTimeout.NoTimeout
+        step, f"source_id {kind}, frame_no long, exact_start long, anchor boolean, late boolean, replayed boolean", "last long, digest string, start long, anchor double, time double", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def budget(index: DataFrame, computed: DataFrame, max_new: int | None = None) -> DataFrame:
+    """(source_id, frame_no, status): the frames of each source to compute now, in order.
+
+    With a budget the first ``max_new`` that are not computed; ``status`` is ``paused_budget``
+    where some remain after it, else ``complete``.
+    """
+    if max_new is not None and max_new < 1:
+        raise ValueError("max_new must be positive")
+    left = index.select("source_id", "frame_no").join(computed.select("source_id", "frame_no"), ["source_id", "frame_no"], "left_anti")
+    w = W.partitionBy("source_id")
+    rows = left.withColumns({"n": F.row_number().over(w.orderBy("frame_no")), "all": F.count(F.lit(1)).over(w)})
+    most = F.lit(max_new) if max_new is not None else F.col("all")
+    return rows.where(F.col("n") <= most).select("source_id", "frame_no", F.when(F.col("all") > most, "paused_budget").otherwise("complete").alias("status"))

@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from strandline.plans import ledger_queries  # noqa: F401
+from strandline.plans import ledger_queries, record_queries  # noqa: F401
 from strandline.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
