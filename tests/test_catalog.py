@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from strandline.plans import ledger_queries, record_queries  # noqa: F401
+from strandline.plans import ledger_queries, record_queries
 from strandline.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -30,6 +30,22 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_ledger():
+    """The stand-in ledger is built once for all queries here; a query of its own builds its own."""
+    held, build = {}, ledger_queries._ledger
+
+    def kept(spark, d):
+        if d not in held:
+            held[d] = build(spark, d)
+        return held[d]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ledger_queries, "_ledger", kept)
+        patch.setattr(record_queries, "_ledger", kept)
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, DATA)
