@@ -351,9 +351,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``docs`` with n_shingles and component_id, which replace columns of these names."""
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     docs = docs.drop(*({"n_shingles", "component_id"} - {doc_id, text}))
+    others = set(scratch.names)
     members, _ = join_texts(docs, text, shingle, scratch)
     first = docs.where(F.col(text).isNotNull()).groupBy(tb.text_key(text).alias("digest")).agg(F.min(doc_id).alias("first"), F.count(F.lit(1)).alias("copies"))
     texts = scratch.table(members.join(first, "digest").select("digest", "n_shingles", "comp", "first", "copies"), "classes")
+    scratch.drop(*(n for n in scratch.names if n not in others and n != "classes"))
     total = texts.agg(F.sum("copies")).first()[0] or 1
     copied = texts.where(F.col("copies") * HOT > total).select(F.col("digest").alias("__digest"), F.ceil(F.col("copies") * HOT / F.lit(total)).alias("__salts"))
     lowest = texts.groupBy("comp").agg(F.min("first").alias("component_id"))

@@ -70,10 +70,12 @@ class Scratch:
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back, so that what follows starts from files."""
         path = f"{self.root}/{name}"
+        self.names.append(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         schema = df.schema
         # shuffle files of the finished job go as soon as nothing refers to them
@@ -86,6 +88,7 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names = [n for n in self.names if n not in names]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
