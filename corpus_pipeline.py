@@ -63,5 +63,7 @@ def run(spark, sf_dir):
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
+            before = list(scratch.names)
             docs = scratch.table(docs, name)
+            scratch.drop(*before)  # nothing reads the stage before again
     return docs
