@@ -255,3 +255,76 @@ def parameter_findings(findings: DataFrame, parameters: DataFrame) -> DataFrame:
     """
     j = parameters.join(findings, ["source_id", "id"])
     return j.where((F.col("code") != "final_parameter_mismatch") | F.col("parameter_key").isNull() | (F.col("parameter_key") == F.col("name"))).select("source_id", "id", "name", "code")
+
+
+#: Wording of files, resolutions and follow-ups; fixed values.
+FILE_FIELDS = {"visible_name": "可见名称", "full_path": "完整路径", "role": "用途", "version": "版本", "path": "路径", "evidence": "证据", "note": "说明"}
+RESOLUTION = {"evidence": "证据确认", "withdrawn": "撤回误设问题"}
+NO_MESSAGE, MISSING_PROOF = "需核实记录和证据", "记录者查看依据待补。"
+AMBIGUOUS, UNSURE = "（旧发现的步骤引用存在歧义，候选：", "；归属待核实）"
+
+
+@F.pandas_udf(T.StringType())
+def file_fields(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """JSON of a file object with its known fields under their labels; other JSON as it is."""
+
+    def relabel(t):
+        try:
+            x = json.loads(t) if isinstance(t, str) else None
+        except ValueError:
+            return None
+        return json.dumps({FILE_FIELDS.get(k, k): v for k, v in x.items()}, ensure_ascii=False) if isinstance(x, dict) else t
+
+    for series in names:
+        yield pd.Series([relabel(t) for t in series], dtype=object)
+
+
+def file_text(item: Column) -> Column:
+    """An input or output file (JSON text or object) in words."""
+    return readable(file_fields(item))
+
+
+def finding_reason(code: Column, message: Column, candidates: Column) -> Column:
+    """Why a step is doubted; ``candidates``: ids that an ambiguous reference fits, else an empty list."""
+    said = F.concat(F.lit("`"), code, F.lit("`："), F.coalesce(F.when(message.isNotNull(), escape_text(message)), F.lit(NO_MESSAGE)))
+    listed = F.concat(F.lit(AMBIGUOUS), F.array_join(F.transform(F.array_sort(candidates), escape_text), "、"), F.lit(UNSURE))
+    return F.when(F.size(candidates) > 1, F.concat(said, listed)).otherwise(said)
+
+
+def resolution_lines(resolution: Column, paths: Column) -> Column:
+    """Lines on how an issue was closed, none if it was not. ``paths``: map of asset id to path."""
+    mode = F.coalesce(_worded(resolution["mode"], RESOLUTION), F.lit(STATUS["unresolved"]))
+    basis, proof = resolution["basis"], resolution["evidence"]
+    lines = F.array(
+        F.lit("解决依据："), F.concat(F.lit("- 结案方式："), mode, F.lit("。")), F.concat(F.lit("- 记录者："), escape_text(resolution["reviewer"]), F.lit("。")), F.concat(F.lit("- 理由："), escape_text(resolution["reason"]), F.lit("。")),
+        F.when(F.length(basis) > 0, F.concat(F.lit("- 核对依据："), escape_text(basis), F.lit("。"))), F.when(F.size(proof) > 0, F.concat(F.lit("- 结案证据："), references(proof, paths), F.lit("。"))),
+    )
+    return F.when(resolution.isNotNull(), F.array_compact(lines)).otherwise(F.array().cast("array<string>"))
+
+
+def followup_lines(issues: DataFrame, snapshots: DataFrame, assets: DataFrame, views: DataFrame) -> DataFrame:
+    """(source_id, id, n, line) on later material: the claim, its limits, and each reference with what backs it.
+
+    ``issues``: source_id, id, followup struct (claim, original_record_limit, reviewer, supplement_refs);
+    ``snapshots``: source_id, id, valid; ``assets``: source_id, id, asset_id, path; ``views``: source_id,
+    id, asset_id, actor, of valid views.
+    """
+    told = issues.where("followup is not null")
+    head = F.array(
+        F.concat(F.lit("后续主张（按审阅者记录）："), escape_text(F.col("followup.claim")), F.lit("。")), F.concat(F.lit("原片限制："), escape_text(F.col("followup.original_record_limit")), F.lit("。")),
+        F.lit("补证不补写原片过程，不计入原片的候选查看、确认动作或审阅完成度。"), F.concat(F.lit("记录者："), escape_text(F.col("followup.reviewer")), F.lit("。")),
+    )
+    top = told.select("source_id", "id", F.posexplode(head).alias("n", "line"))
+    refs = told.select("source_id", "id", F.col("followup.reviewer").alias("actor"), F.posexplode("followup.supplement_refs").alias("k", "r"))
+    refs = refs.select("source_id", "id", "actor", (F.col("k") + 4).alias("n"), F.col("r.supplement_id").alias("sid"), F.col("r.asset_id").alias("asset_id"))
+    s = snapshots.select("source_id", F.col("id").alias("sid"), "valid")
+    a = assets.select("source_id", F.col("id").alias("sid"), "asset_id", "path")
+    v = views.select("source_id", F.col("id").alias("sid"), "asset_id", "actor").distinct().withColumn("seen", F.lit(True))
+    j = refs.join(s, ["source_id", "sid"], "left").join(a, ["source_id", "sid", "asset_id"], "left").join(v, ["source_id", "sid", "asset_id", "actor"], "left")
+    sid, asset = escape_text(F.col("sid")), escape_text(F.col("asset_id"))
+    line = (
+        F.when(~F.coalesce("valid", F.lit(False)), F.concat(F.lit("- "), sid, F.lit("：补证不存在或完整性待修复，本条主张待核对。")))
+        .when(F.col("path").isNull() | F.col("seen").isNull(), F.concat(F.lit("- "), sid, F.lit(" / "), asset, F.lit("："), F.lit(MISSING_PROOF)))
+        .otherwise(F.concat(F.lit("- "), sid, F.lit(" · "), link(F.col("asset_id"), F.col("path"))))
+    )
+    return top.unionByName(j.select("source_id", "id", "n", line.alias("line")))

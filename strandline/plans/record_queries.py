@@ -546,6 +546,33 @@ def st_resume(spark, d):
     return ad.replay_mismatches(frames, again, ["time_s", "digest"])
 
 
+@query(f"SELECT event_id, n AS frame_no, 2 AS width, 1 AS height, sha256(from_hex(lpad(to_hex({_K} + n), 12, '0'))) AS digest FROM (SELECT *, unnest(range(0, 1 + {_K} // 40)) AS n FROM events)")
+def src_decode(spark, d):
+    """Streams of one to three images of two pixels."""
+    image = lambda n: F.concat(F.encode(F.lit("P6\n# c\n2 1\n255\n"), "UTF-8"), F.unhex(F.lpad(F.hex(F.col("k") + n), 12, "0")))
+    k = F.col("k")
+    stream = F.concat(image(0), F.when(k >= 40, image(1)).otherwise(F.unhex(F.lit(""))), F.when(k >= 80, image(2)).otherwise(F.unhex(F.lit(""))))
+    out = ad.ppm_frames(_events(spark, d).select(F.col("event_id").alias("source_id"), stream.alias("content")))
+    return out.select(F.col("source_id").alias("event_id"), "frame_no", "width", "height", F.sha2("pixels", 256).alias("digest"))
+
+
+@query(f"SELECT event_id, CASE WHEN {_K} < 50 THEN 1 ELSE 0 END AS audio, CASE WHEN {_K} >= 25 THEN 1 ELSE 0 END AS subtitles FROM events")
+def src_tracks(spark, d):
+    stream = lambda i, kind: F.struct(F.lit(i).alias("index"), F.lit("c").alias("codec_name"), F.lit(kind).alias("codec_type"))
+    k = F.col("k")
+    every = F.array_compact(F.array(stream(0, "video"), F.when(k < 50, stream(1, "audio")), F.when(k >= 25, stream(2, "subtitle"))))
+    out = ad.tracks(_events(spark, d).select(F.col("event_id").alias("source_id"), every.alias("streams")))
+    return out.select(F.col("source_id").alias("event_id"), F.size("audio").alias("audio"), F.size("subtitles").alias("subtitles"))
+
+
+@query(f"""WITH {_FRAMES}, t AS (SELECT source_id, frame_no, CASE WHEN k >= 10 THEN time_s END AS t, CASE WHEN k < 50 THEN k::DOUBLE ELSE 0 END AS dur FROM frames), n AS (SELECT *, lead(t) OVER (PARTITION BY source_id ORDER BY frame_no) AS nxt FROM t)
+SELECT source_id, frame_no, t AS time_s, CASE WHEN nxt > t THEN nxt WHEN dur > 0 THEN t + dur ELSE t END AS end_s FROM n WHERE t IS NOT NULL""")
+def ivl_display(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = _frames(spark, d).select("source_id", "frame_no", F.when(k >= 10, F.col("time_s")).alias("time_s"), F.when(k < 50, k.cast("double")).otherwise(0.0).alias("duration"))
+    return iv.display_spans(rows).select("source_id", "frame_no", "time_s", "end_s")
+
+
 # --- identity of files and imports -----------------------------------------------------
 
 
@@ -575,6 +602,27 @@ def id_lang_cache(spark, d):
     return idn.cache_key(sources, prints).select("source_id", "key")
 
 
+@query(f"WITH RECURSIVE {LEDGER} SELECT v.source_id, v.id FROM views v JOIN runs r USING (source_id, frame_no) WHERE v.presentation = 'overview' AND NOT (r.k < 76 AND v.source_id % 2 = 0)".replace("v.source_id % 2 = 0", "r.digest <> 'error'"))
+def bad_sheet_view(spark, d):
+    """Overview views need a member of an intact sheet: here one sheet a source, without its errors' frames."""
+    led = _ledger(spark, d)
+    shown = led.frames.where("k between 70 and 75 and digest <> 'error'").join(led.assets.where("kind = 'full'").select("source_id", "frame_no", "id", "sha256"), ["source_id", "frame_no"])
+    sheets = shown.groupBy("source_id").agg(F.collect_list(F.struct(F.col("id").alias("asset_id"), F.col("sha256").alias("source_sha256"))).alias("members")).select("source_id", F.lit("s").alias("id"), F.lit(True).alias("intact"), "members")
+    from dataclasses import replace
+
+    with_sheet = replace(led, views=led.views.withColumn("sheet_id", F.lit("s")))
+    return audit.validate(with_sheet, sheets).where("code = 'bad_sheet_view'").select("source_id", F.col("reference").alias("id"))
+
+
+@query(f"""WITH RECURSIVE {LEDGER}, first AS (SELECT source_id, k AS kf FROM runs WHERE frame_no = 0) SELECT source_id, unnest(CASE WHEN kf < 30 THEN ['record_consistency_failed'] WHEN kf < 60 THEN ['full_scan_incomplete'] WHEN kf < 70 THEN ['full_scan_incomplete', 'record_consistency_failed'] ELSE [] END) AS code FROM first""")
+def audit_gate(spark, d):
+    """The two findings that come from outside the records: they are invalid, or the scan is not complete."""
+    led = _ledger(spark, d)
+    first = led.frames.where("frame_no = 0").select("source_id", "k")
+    found = audit.strict(led, first.where("k < 30 or k between 60 and 69"), first.where("k between 30 and 69"))
+    return found.where("code in ('record_consistency_failed', 'full_scan_incomplete')").select("source_id", "code")
+
+
 # --- supplements and deliveries --------------------------------------------------------
 
 _SUPPLEMENT = ["unknown_export", "export_pending", "export_incomplete", "export_invalid", "not_independent", "unknown_or_duplicate_asset", "not_a_full_image", "unsafe_path", "not_an_image", "file_changed", "no_native_view", "unknown_frame"]
@@ -726,3 +774,42 @@ def snk_report(spark, d):
     return lines.groupBy("source_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query(f"""SELECT event_id, '可见名称：f' || k || '；用途：' || event_type || '；x：是' AS file, '`result_gap`：' || CASE WHEN k < 10 THEN '需核实记录和证据' ELSE event_type END || CASE WHEN k >= 90 THEN '（旧发现的步骤引用存在歧义，候选：a、a.b；归属待核实）' ELSE '' END AS reason,
+CASE WHEN k < 50 THEN '解决依据：/- 结案方式：证据确认。/- 记录者：b。/- 理由：r。/- 结案证据：[f1](<evidence/f1.png>)、f2（证据缺失）。' WHEN k < 90 THEN '解决依据：/- 结案方式：撤回误设问题。/- 记录者：b。/- 理由：r。/- 核对依据：\\#' || k || '。' ELSE '' END AS closed FROM (SELECT *, {_K} AS k FROM events)""")
+def report_fragments(spark, d):
+    """Files, reasons and resolutions in words."""
+    k, n = F.col("k"), F.col("k").cast("string")
+    file = F.concat(F.lit('{"visible_name": "f'), n, F.lit('", "role": "'), F.col("event_type"), F.lit('", "x": true}'))
+    many = F.when(k >= 90, F.array(F.lit("a.b"), F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    proof = F.struct(F.when(k < 50, "evidence").otherwise("withdrawn").alias("mode"), F.lit("b").alias("reviewer"), F.lit("r").alias("reason"), F.when(k >= 50, F.concat(F.lit("#"), n)).alias("basis"), F.when(k < 50, F.array(F.lit("f1"), F.lit("f2"))).otherwise(F.array().cast("array<string>")).alias("evidence"))
+    rows = _events(spark, d).withColumn("resolution", F.when(k < 90, proof))
+    paths = F.create_map(F.lit("f1"), F.lit("evidence/f1.png"))
+    return rows.select("event_id", pr.file_text(file).alias("file"), pr.finding_reason(F.lit("result_gap"), F.when(k >= 10, F.col("event_type")), many).alias("reason"), F.array_join(pr.resolution_lines(F.col("resolution"), paths), "/").alias("closed"))
+
+
+@query(f"""SELECT event_id AS id, n, line FROM (SELECT event_id, unnest([0, 1, 2, 3, 4]) AS n, unnest(['后续主张（按审阅者记录）：c' || k || '。', '原片限制：l。', '补证不补写原片过程，不计入原片的候选查看、确认动作或审阅完成度。', '记录者：bob。',
+CASE WHEN k < 20 THEN '- bad：补证不存在或完整性待修复，本条主张待核对。' WHEN k < 40 THEN '- good / f9：记录者查看依据待补。' ELSE '- good · [f1](<supplements/f1.png>)' END]) AS line FROM (SELECT event_id, {_K} AS k FROM events) WHERE k < 60)""")
+def report_followups(spark, d):
+    k = F.col("k")
+    ref = F.struct(F.when(k < 20, "bad").otherwise("good").alias("supplement_id"), F.when(k.between(20, 39), "f9").otherwise("f1").alias("asset_id"))
+    follow = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("claim"), F.lit("l").alias("original_record_limit"), F.lit("bob").alias("reviewer"), F.array(ref).alias("supplement_refs"))
+    issues = _events(spark, d).select(F.lit(1).alias("source_id"), F.col("event_id").alias("id"), F.when(k < 60, follow).alias("followup"))
+    snapshots = spark.createDataFrame([(1, "good", True), (1, "bad", False)], "source_id int, id string, valid boolean")
+    assets = spark.createDataFrame([(1, "good", "f1", "supplements/f1.png")], "source_id int, id string, asset_id string, path string")
+    views = spark.createDataFrame([(1, "good", "f1", "bob")], "source_id int, id string, asset_id string, actor string")
+    return pr.followup_lines(issues, snapshots, assets, views).select("id", "n", "line")
+
+
+@query(f"SELECT event_id, 'a → b' || {_K} AS place, '无记录' AS what, CASE WHEN {_K} < 50 THEN '输入过程未单独记录；请结合确认动作与前后画面核对，阶段参数不代表输入动作。' ELSE 't' END AS typed, event_type AS confirmed, '未知' AS expected FROM events")
+def report_actions(spark, d):
+    k = F.col("k")
+    steps = _events(spark, d).select(F.lit(1).alias("source_id"), F.col("event_id").alias("id"), F.concat(F.lit('["a", "b'), k.cast("string"), F.lit('"]')).alias("menu_path"), F.lit("[]").alias("selected_objects"), F.when(k < 50, " ").otherwise("t").alias("input_action"), F.col("event_type").alias("confirmation_action"), F.lit(None).cast("string").alias("visible_result"))
+    out = report.action_fields(steps)
+    return out.select(F.col("id").alias("event_id"), F.col("where").alias("place"), "what", "typed", "confirmed", "expected")
+
+
+@query("SELECT name, code FROM (VALUES ('A', 'final_parameter_mismatch'), ('A', 'result_gap'), ('B', 'result_gap'), ('A', 'final_parameter_mismatch2'), ('B', 'final_parameter_mismatch2')) v(name, code) WHERE code <> 'final_parameter_mismatch2'")
+def report_parameters(spark, d):
+    parameters = spark.createDataFrame([(1, "S", "A"), (1, "S", "B")], "source_id int, id string, name string")
+    findings = spark.createDataFrame([(1, "S", "final_parameter_mismatch", "A"), (1, "S", "result_gap", None)], "source_id int, id string, code string, parameter_key string")
+    return pr.parameter_findings(findings, parameters).select("name", "code")

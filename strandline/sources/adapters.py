@@ -5,9 +5,11 @@ Every table carries ``source_id``, so one DataFrame holds many timelines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,6 +157,36 @@ def container_kind(content: Column | str, subtitles: bool = False) -> Column:
     return kind.when(F.rlike(text, F.lit(_VTT)), "webvtt").when(F.rlike(text, F.lit(_SRT)), "srt")
 
 
+_PPM = re.compile(rb"P6(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+255\s")
+
+
+def ppm_frames(streams: DataFrame, content: str = "content") -> DataFrame:
+    """Frames of decoded RGB24 streams: source_id, frame_no, width, height, pixels.
+
+    A stream is images one after the other, each with its own header; one that ends within an
+    image, or holds anything else, raises an error. Frames leave one by one, so a stream's
+    images are never held twice.
+    """
+    streams = streams.select("source_id", F.col(content).alias("content"))
+    kind = streams.schema["source_id"].dataType
+    schema = T.StructType([T.StructField("source_id", kind), T.StructField("frame_no", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, whole in enumerate(batch.column(1)):
+                raw, at, n = whole.as_py() or b"", 0, 0
+                while at < len(raw):
+                    head = _PPM.match(raw, at)
+                    wide, high = (int(x) for x in head.groups()) if head else (0, 0)
+                    end = head.end() + wide * high * 3 if head else 0
+                    if not head or not wide or not high or end > len(raw):
+                        raise ValueError(f"source {batch.column(0)[i]}: no whole image at byte {at}")
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([n], pa.int64()), pa.array([wide], pa.int32()), pa.array([high], pa.int32()), pa.array([raw[head.end() : end]], pa.binary())], schema.fieldNames())
+                    at, n = end, n + 1
+
+    return streams.mapInArrow(run, schema)
+
+
 #: Boxes that hold boxes, and boxes that point out of the file; fixed values.
 MOV_CONTAINERS = ("moov", "trak", "mdia", "minf", "dinf", "stbl", "udta")
 MOV_FOREIGN = ("cmov", "rmra", "rmda", "rdrf", "iloc")
