@@ -41,9 +41,8 @@ def states(run_frames: DataFrame, start: Column | None = None, end: Column | Non
 
 def ranges(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Distinct integers as closed ranges of consecutive values."""
-    w = W.partitionBy(*keys).orderBy(value)
-    rows = values.select(*keys, value).distinct().withColumn("__island", F.col(value) - F.row_number().over(w))
-    return rows.groupBy(*keys, "__island").agg(F.min(value).alias("start"), F.max(value).alias("end")).drop("__island")
+    rows = running(values.select(*keys, value).distinct(), keys, value, [value], __n=("sum", F.lit(1), True))
+    return rows.groupBy(*keys, (F.col(value) - F.col("__n")).alias("__island")).agg(F.min(value).alias("start"), F.max(value).alias("end")).drop("__island")
 
 
 def select_expression(ranged: DataFrame, keys: list[str]) -> DataFrame:

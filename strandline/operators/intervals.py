@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import following, running
 
 
 def union(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,11 +44,11 @@ def overlaps_previous(spans: DataFrame, keys: list[str], order: list[str]) -> Da
 
 def display_spans(frames: DataFrame) -> DataFrame:
     """Display interval of each timed frame: to the next frame's time if later, else its duration, else a point."""
-    w = W.partitionBy("source_id").orderBy("frame_no")
-    after = F.lead("time_s").over(w)
+    told = following(frames, ["source_id"], "frame_no", __after=F.col("time_s"))
+    after = F.col("__after")
     dur = F.coalesce("duration", F.lit(0.0)) if "duration" in frames.columns else F.lit(0.0)
     end = F.when(after > F.col("time_s"), after).when(dur > 0, F.col("time_s") + dur).otherwise(F.col("time_s"))
-    return frames.withColumn("end_s", end).where(F.col("time_s").isNotNull())
+    return told.withColumn("end_s", end).where(F.col("time_s").isNotNull()).drop("__after")
 
 
 def align(cues: DataFrame, spans: DataFrame, bucket: float) -> DataFrame:
@@ -88,8 +88,8 @@ def align_store(cues: DataFrame, frames: DataFrame, bucket: float = 60.0) -> Dat
     runs = pairs.withColumn("g", F.col("frame_no") - F.row_number().over(w)).groupBy("source_id", "pos", "g").agg(F.min("frame_no").alias("start"), F.max("frame_no").alias("end"))
     ranged = runs.groupBy("source_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("frame_ranges"))
     out = timed.join(ranged, ["source_id", "pos"], "left")
-    before = W.partitionBy("source_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    own = out.select("source_id", F.array_compact(F.array(F.when(F.col("a") < F.max("b").over(before), "overlap"), F.when(F.col("frame_ranges").isNull(), "outside_index"))).alias("w"))
+    told = running(out, ["source_id"], "pos", ["pos"], __reach=("max", F.col("b"), False))
+    own = told.select("source_id", F.array_compact(F.array(F.when(F.col("a") < F.col("__reach"), "overlap"), F.when(F.col("frame_ranges").isNull(), "outside_index"))).alias("w"))
     told = own.unionByName(frame_warnings(frames)).groupBy("source_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("warnings"))
     label = F.when(F.col("frame_ranges").isNull(), "unaligned").otherwise("display_interval_overlap")
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -98,10 +98,10 @@ def align_store(cues: DataFrame, frames: DataFrame, bucket: float = 60.0) -> Dat
 
 def frame_warnings(frames: DataFrame) -> DataFrame:
     """(source_id, w) of frames whose time is unknown, not above the last known one, or whose display is a point."""
-    order = W.partitionBy("source_id").orderBy("frame_no")
-    before = F.last("time_s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    frames = running(frames, ["source_id"], "frame_no", ["frame_no"], __before=("last", F.col("time_s"), False))
+    frames = following(frames, ["source_id"], "frame_no", __after=F.col("time_s"))
+    before, after = F.col("__before"), F.col("__after")
     dur = F.coalesce("duration", F.lit(0.0)) if "duration" in frames.columns else F.lit(0.0)
-    after = F.lead("time_s").over(order)
     t = F.col("time_s")
     point = t.isNotNull() & ~F.coalesce(after > t, F.lit(False)) & ~F.coalesce(dur > 0, F.lit(False))
     said = F.array_compact(F.array(F.when(t.isNull(), "unknown_frame_time"), F.when(t <= before, "non_increasing_frame_time"), F.when(point, "unknown_display_duration")))

@@ -50,3 +50,10 @@ def running(rows: DataFrame, by: list[str], ordinal: str, order: list[str], **co
     joined = rows.withColumns(local).join(prefix, [*by, "__block"], "left")
     kept = [c for c in rows.columns if not c.startswith("__v_") and c != "__block" and c not in columns]
     return joined.select(*kept, *(c.alias(n) for n, c in whole.items()))
+
+
+def following(rows: DataFrame, by: list[str], ordinal: str, **columns: Column) -> DataFrame:
+    """``rows`` with name=value of the next row by ``ordinal`` (no two alike in a group); null after the last."""
+    back = rows.withColumn("__back", -F.col(ordinal))
+    told = running(back, by, "__back", ["__back"], __next=("last", F.struct(*(c.alias(n) for n, c in columns.items())), False))
+    return told.select(*(c for c in rows.columns if c not in columns), *(F.col(f"__next.{n}").alias(n) for n in columns))

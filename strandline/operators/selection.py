@@ -12,10 +12,6 @@ from .frames import states
 from .ordered import running
 
 
-def _order():
-    return W.partitionBy("source_id").orderBy("frame_no")
-
-
 def anchors(frames: DataFrame, seconds: float) -> DataFrame:
     """Greedy sampler: a frame at or after the next anchor is taken, and the anchor moves to its time + seconds.
 
@@ -72,7 +68,7 @@ def context(flagged: DataFrame, frames: DataFrame, k: int) -> DataFrame:
 
 def focus(frames: DataFrame, start: float, end: float, stride: int) -> DataFrame:
     """Every ``stride``-th frame with start <= time <= end."""
-    inside = frames.where(F.col("time_s").between(start, end)).withColumn("__n", F.row_number().over(_order()))
+    inside = running(frames.where(F.col("time_s").between(start, end)), ["source_id"], "frame_no", ["frame_no"], __n=("sum", F.lit(1), True))
     return inside.where((F.col("__n") - 1) % stride == 0).select("source_id", "frame_no")
 
 

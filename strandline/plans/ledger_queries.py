@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
 from ..operators import identity as idn
-from ..operators import intervals as iv
 from ..sources import adapters as ad
 from ..sources.ledger import Ledger, from_events
 from ..sources.tables import staged

@@ -314,3 +314,36 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert rows(spark.table("runs_out"), "frame_no", "exact_start") == rows(runs(table), "frame_no", "exact_start")
     assert rows(spark.table("runs_out").where("anchor"), "frame_no") == rows(selection.anchors(table, 3.0), "frame_no")
     assert spark.table("runs_out").where("late").count() == frames.anomalies(table).first().non_increasing_time == 2
+
+
+def test_running_values_equal_one_window(spark, monkeypatch):
+    from pyspark.sql import Window as W
+
+    from strandline.operators import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 7)
+    rng = random.Random(6)
+    data = [(s, n, rng.choice([None, rng.randint(0, 50)])) for s in "ab" for n in sorted(rng.sample(range(-60, 400), 120))]
+    table = spark.createDataFrame(data, "k string, n long, v long").repartition(3)
+    w = W.partitionBy("k").orderBy("n")
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    v = F.col("v")
+    want = table.select("k", "n", F.max(v).over(before), F.coalesce(F.sum(v).over(upto), F.lit(0)), F.last(v, True).over(before), F.last(v, True).over(upto), F.lag("v").over(w), F.lead("v").over(w))
+    got = ordered.running(table, ["k"], "n", ["n"], a=("max", v, False), b=("sum", v, True), c=("last", v, False), d=("last", v, True), e=("last", F.struct("v"), False))
+    got = ordered.following(got, ["k"], "n", f=v)
+    assert rows(got, "k", "n", "a", "b", "c", "d", "e.v", "f") == rows(want, "*")
+
+
+def test_runs_and_ranges_over_many_blocks(spark, monkeypatch):
+    from strandline.operators import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 5)
+    digests = "aaaaaaaaaaaabbbbbbbbbbbccaabbbbbbbbbbbbbbbbbbbbba"
+    table = spark.createDataFrame([("v", n, d) for n, d in enumerate(digests)], "source_id string, frame_no long, digest string")
+    want, start = [], 0
+    for n, d in enumerate(digests):
+        start = n if n == 0 or digests[n - 1] != d else start
+        want.append((n, start))
+    assert rows(frames.runs(table), "frame_no", "exact_start") == want
+    some = table.where("frame_no not in (3, 17, 18, 40)")
+    assert rows(frames.ranges(some, "frame_no", ["source_id"]), "start", "end") == [(0, 2), (4, 16), (19, 39), (41, 48)]
