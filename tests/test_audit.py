@@ -18,16 +18,7 @@ SCHEMAS = {
 }
 
 
-@pytest.fixture(autouse=True)
-def small(spark):
-    """Ledgers of a few rows: one task a stage, and no new plan after each."""
-    held = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false"}
-    old = {k: spark.conf.get(k) for k in held}
-    for k, v in held.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in old.items():
-        spark.conf.set(k, v)
+pytestmark = pytest.mark.usefixtures("small_tables")
 
 
 def f(n):
@@ -178,13 +169,14 @@ def test_plans_have_no_products_and_no_single_task(spark, name):
     """No nested loops or products, and no exchange of many rows to one partition."""
     assert ledger_queries and record_queries
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
     try:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         df = catalog.QUERIES[name](spark, DATA)
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     # the edges between ranges of vectors are one row for each range
     single = plan.count("Exchange SinglePartition")
