@@ -27,11 +27,12 @@ from .storage import Scratch, shuffle_partitions
 from .wordhash import ragged
 
 #: A block holds at least one text and about this many bytes; more when the corpus is large.
-MIN_BLOCK, MAX_BLOCK, BLOCKS = 4 << 20, 512 << 20, 400
-PIECE = 4 << 20
+MIN_BLOCK, MAX_BLOCK, BLOCKS = 4 << 20, 256 << 20, 400
+#: Bytes that are compressed together, and that are worked on at once.
+PIECE, STEP = 4 << 20, 1 << 20
 MAX_TEXTS = 1 << 22
 #: Bytes of text for which a part holds the keys, and the least for which a request row stands.
-PART, ROW = 64 << 20, 4096
+PART, ROW = 64 << 20, 2048
 #: Keys that are sorted at once when a part is answered.
 SORTED = 1 << 21
 BLOCK_SCHEMA = "block long, n_texts int, digests binary, copies binary, lens binary, pieces array<binary>"
@@ -49,7 +50,7 @@ class Corpus:
 def cut_parts(n_bytes: int, block_bytes: int, least: int) -> int:
     """Parts of the range of values. A block sends one row to each part, so there are at most
     as many parts as leave ``ROW`` bytes of its text for each: rows grow with the input, not
-    with its square. (100 TB: 200,000 blocks, 131,072 parts, 2.6e10 rows of about 1 KB.)"""
+    with its square. (100 TB: 400,000 blocks, 131,072 parts, 5e10 rows of about 0.6 KB.)"""
     return int(max(1, min(max(least, n_bytes // PART + 1), block_bytes // ROW)))
 
 
@@ -120,19 +121,21 @@ class Block:
         self.copies, self.lens = np.frombuffer(copies, "<i8"), np.frombuffer(lens, "<i8")
 
     def pieces(self) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        """(number of the first text, raw bytes, byte offset of each text)."""
+        """(number of the first text, raw bytes, byte offset of each text), about ``STEP`` bytes at a time."""
         import zstandard
 
         expand, t = zstandard.ZstdDecompressor(), 0
         for p in self.packed:
             raw = expand.decompress(p)
-            starts, at = [], 0
-            first = t
+            begin = at = 0
+            first, starts = t, []
             while at < len(raw):
-                starts.append(at)
+                starts.append(at - begin)
                 at += int(self.lens[t]) + 1
                 t += 1
-            yield first, raw, np.array(starts, dtype=np.int64)
+                if at - begin >= STEP or at >= len(raw):
+                    yield first, raw[begin:at], np.array(starts, dtype=np.int64)
+                    begin, first, starts = at, t, []
 
 
 def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.RecordBatch, int]]:

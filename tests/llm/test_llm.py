@@ -114,7 +114,7 @@ def test_request_rows_grow_with_the_input():
         size = int(min(textblocks.MAX_BLOCK, max(textblocks.MIN_BLOCK, n_bytes // textblocks.BLOCKS)))
         parts = textblocks.cut_parts(n_bytes, size, 200)
         assert 1 <= parts <= size // textblocks.ROW and parts * (n_bytes // size + 1) <= n_bytes // textblocks.ROW + parts
-    assert textblocks.cut_parts(10**14, 512 << 20, 10**7) == 131_072
+    assert textblocks.cut_parts(10**14, textblocks.MAX_BLOCK, 10**7) == 131_072
 
 
 def test_answers_in_narrow_ranges(spark, monkeypatch):
