@@ -1,4 +1,4 @@
 """Training-data operators: each is a module with a general DataFrame interface.
 
-Nothing outside this subpackage imports it.
+Nothing else in the library imports it; ``corpus_pipeline.py`` counts as a part of it.
 """

@@ -64,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of intermediate tables below the shared folder."""
+    """A folder of intermediate tables below the shared folder; it goes when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
@@ -78,6 +78,8 @@ class Scratch:
         self.names.append(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         schema = df.schema
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
         # shuffle files of the finished job go as soon as nothing refers to them
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
