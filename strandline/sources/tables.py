@@ -20,7 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: computed once, with its lineage cut."""
-    path = f"{shared_dir(df.sparkSession)}/strandline/{name}-{uuid.uuid4().hex[:12]}"
+    """``df`` written as Parquet and read back: computed once, with its lineage cut.
+
+    The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
