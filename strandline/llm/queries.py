@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, filter_audit, license_scan, ngram_join, periodic_runs, pii, quality_rules, secret_scan, sp_codec, substring_dedup, token_count, url_filter
+from . import decontam, filter_audit, language_id, license_scan, ngram_join, periodic_runs, pii, quality_rules, secret_scan, sp_codec, substring_dedup, token_count, url_filter
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_language_id": language_id.op11_language_id,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_filter_interaction_audit": filter_audit.op13_filter_interaction_audit,
     "pipeline": pipeline,
@@ -33,6 +34,7 @@ SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
+    "op11_language_id": language_id.op11_language_id,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op12_periodic_runs": periodic_runs.OP12_SQL,
     "op13_filter_interaction_audit": filter_audit.OP13_SQL,
