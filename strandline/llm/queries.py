@@ -34,8 +34,6 @@ SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
-    "op11_language_id": language_id.op11_language_id,
-    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op12_periodic_runs": periodic_runs.OP12_SQL,
     "op13_filter_interaction_audit": filter_audit.OP13_SQL,
 }
