@@ -13,8 +13,8 @@ thousands of stretches at once. The column of the padding is zero and the recurr
 constant, so the backward layer enters a short stretch with a state of exactly zero.
 
 The network is fitted on a bounded sample: at most ``PER_LANGUAGE`` stretches of each
-language and ``MAX_TRAIN`` in all, one stretch of a document, chosen by hashes over all
-documents with a label. Everything else covers every byte of every document.
+language and ``MAX_TRAIN`` in all, chosen by hashes over all documents with a label; several of one
+document only where there are fewer documents than that. Everything else covers every byte of every document.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text
 if nothing could be learned; otherwise the score is the mean probability of the language
@@ -41,7 +41,7 @@ from .storage import prepare
 STRETCH = 128
 HIDDEN = 8
 PER_LANGUAGE, MAX_TRAIN = 512, 8192
-EPOCHS, BATCH, RATE = 14, 64, 0.02
+STEPS, BATCH, RATE = 450, 64, 0.02
 UNKNOWN = "und"
 PAD = 256
 #: Bytes that are letters or parts of letters beyond ASCII.
@@ -159,25 +159,22 @@ class Network:
             grads += layer.back(rows, dh, keep)
         return value, [*grads, *dout, d.sum(axis=(0, 2)).reshape(c, 1).astype(np.float32)]
 
-    def fit(self, raw: list[bytes], lang: list[str], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Network:
-        """Adam over shuffled batches of stretches; each of ``raw`` counts with its first stretch."""
+    def fit(self, raw: list[bytes], lang: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Network:
+        """Adam over ``steps`` shuffled batches of stretches; each of ``raw`` is one stretch."""
         x, _ = stretches([r[:STRETCH].ljust(1) for r in raw])
         y = np.array([self.langs.index(v) for v in lang])
         rng, w = np.random.default_rng(seed), self.weights()
         m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-        steps, step = epochs * -(-len(y) // batch), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(y), batch):
-                some = order[at : at + batch]
-                _, grads = self.loss(np.ascontiguousarray(x[:, some]), y[some])
-                scale = min(1.0, 1.0 / (1e-9 + float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads)))))
-                step += 1
-                now = rate * (1 - 0.9 * step / steps)
-                for a, g, m1, v1 in zip(w, grads, m, v, strict=True):
-                    m1 += 0.1 * (scale * g - m1)
-                    v1 += 0.01 * ((scale * g) ** 2 - v1)
-                    a -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.99**step)) + 1e-6)
+        order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-steps * batch // len(y)))])
+        for step in range(1, steps + 1):
+            some = order[(step - 1) * batch : step * batch]
+            _, grads = self.loss(np.ascontiguousarray(x[:, some]), y[some])
+            scale = min(1.0, 1.0 / (1e-9 + float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads)))))
+            now = rate * (1 - 0.9 * step / steps)
+            for a, g, m1, v1 in zip(w, grads, m, v, strict=True):
+                m1 += 0.1 * (scale * g - m1)
+                v1 += 0.01 * ((scale * g) ** 2 - v1)
+                a -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.99**step)) + 1e-6)
         return self
 
     def _distributions(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -239,9 +236,12 @@ def training_sample(docs: DataFrame, lang: str, text: str, per_language: int = P
     take = min(per_language, most // len(n))
     counts = F.broadcast(docs.sparkSession.createDataFrame(sorted(n.items()), "lang string, n long"))
     near = own.join(counts, "lang").where(F.pmod("key", "n") < 2 * take)
+    several = F.explode(F.sequence(F.lit(1), F.ceil(2 * take / F.col("n")).cast("int")))
+    near = near.withColumn("i", several).withColumn("key", F.xxhash64("key", "i"))
     raw, last = F.col("text").cast("binary"), F.greatest(F.lit(1), F.ceil(F.octet_length("text") / STRETCH))
-    piece = F.substring(raw, (F.pmod(F.xxhash64("key"), last) * STRETCH + 1).cast("int"), F.lit(STRETCH))
-    some = near.select("lang", F.xxhash64("key", F.lit(1)).alias("key"), piece.alias("piece")).distinct()  # rows that repeat are one
+    at = (F.pmod("key", last) * STRETCH + 1).cast("int")
+    some = near.select("lang", F.xxhash64("key").alias("key"), F.substring(raw, at, F.lit(STRETCH)).alias("piece"))
+    some = some.groupBy("lang", "piece").agg(F.min("key").alias("key"))  # rows that repeat are one
     first = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("key", "piece"))).where(F.col("k") <= take)
     return [(r.lang, bytes(r.piece)) for r in first.orderBy("lang", "k").collect()]
 
