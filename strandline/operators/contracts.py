@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import nonblank
+from . import dyadic
 from .records import duplicate_ids, latest
 
 Rules = list[tuple[str, Column]]
@@ -328,13 +329,11 @@ def representative_problems(rows: DataFrame, run_frames: DataFrame) -> DataFrame
 
 def uncomputed_intervals(entries: DataFrame, frames: DataFrame) -> DataFrame:
     """(source_id, id) of intervals that include a frame that is not computed or not there."""
-    from .evidence import BLOCK
-
-    blocks = F.sequence(F.floor(F.col("start_frame") / BLOCK), F.floor(F.col("end_frame") / BLOCK))
-    asked = entries.select("source_id", "id", "start_frame", "end_frame", F.explode(blocks).alias("b"))
-    have = frames.where(F.col("digest").isNotNull()).select("source_id", "frame_no", F.floor(F.col("frame_no") / BLOCK).alias("b"))
-    n = asked.join(have, ["source_id", "b"], "left").groupBy("source_id", "id", "start_frame", "end_frame").agg(F.count_if(F.expr("frame_no between start_frame and end_frame")).alias("n"))
-    return n.where("n < end_frame - start_frame + 1").select("source_id", "id")
+    have = frames.where(F.col("digest").isNotNull()).select("source_id", "frame_no").distinct()
+    asked = entries.select("source_id", "id", "start_frame", "end_frame")
+    n = dyadic.containing(asked, have, ["source_id"], "start_frame", "end_frame", "frame_no", fine=6).groupBy("source_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    told = asked.join(n, ["source_id", "id"], "left")
+    return told.where(F.coalesce("n", F.lit(0)) < F.col("end_frame") - F.col("start_frame") + 1).select("source_id", "id")
 
 
 def changed_checks(stored: DataFrame, new: DataFrame) -> DataFrame:

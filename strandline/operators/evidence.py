@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
-from . import intervals
+from . import dyadic, intervals
 
 
 def viewed_frames(refs: DataFrame, assets: DataFrame, views: DataFrame, native: bool = False, full: bool = False) -> DataFrame:
@@ -63,21 +63,16 @@ def covered_length(spans: DataFrame, run_frames: DataFrame) -> DataFrame:
     return bounds.join(length(merged, "covered"), "source_id", "left").join(length(gaps, "uncovered"), "source_id", "left").fillna(0, ["covered", "uncovered"])
 
 
-#: Ordinals of a block; intervals and frames meet only inside blocks.
-BLOCK = 1024
-
-
 def mapping(run_frames: DataFrame, entries: DataFrame) -> DataFrame:
     """(source_id, id, exact_start, start_frame, end_frame, local_delta, digest): the states of each
     interval, clipped to it.
 
-    Intervals are dealt to blocks of ordinals and meet only the frames of these blocks, so
-    work follows the frames inside, not intervals times frames of a source.
+    Intervals meet only the frames inside them, in cells of a sixty-fourth of their size
+    (``dyadic``), so one interval over a long source is many tasks.
     """
-    blocks = F.sequence(F.floor(F.col("start_frame") / BLOCK), F.floor(F.col("end_frame") / BLOCK))
-    asked = entries.select("source_id", "id", F.col("start_frame").alias("lo"), F.col("end_frame").alias("hi"), F.explode(blocks).alias("__b"))
-    dealt = run_frames.where(F.col("digest").isNotNull()).select("source_id", "frame_no", "exact_start", "digest", "max_local_delta", F.floor(F.col("frame_no") / BLOCK).alias("__b"))
-    inside = asked.join(dealt, ["source_id", "__b"]).where("frame_no between lo and hi")
+    asked = entries.select("source_id", "id", F.col("start_frame").alias("lo"), F.col("end_frame").alias("hi"))
+    dealt = run_frames.where(F.col("digest").isNotNull()).select("source_id", "frame_no", "exact_start", "digest", "max_local_delta")
+    inside = dyadic.containing(asked, dealt, ["source_id"], "lo", "hi", "frame_no", fine=6)
     return inside.groupBy("source_id", "id", "exact_start").agg(
         F.min("frame_no").alias("start_frame"), F.max("frame_no").alias("end_frame"), F.max("max_local_delta").alias("local_delta"), F.min("digest").alias("digest")
     )

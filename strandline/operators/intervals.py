@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import dyadic
 from .ordered import following, running
 
 
@@ -51,19 +52,15 @@ def display_spans(frames: DataFrame) -> DataFrame:
     return told.withColumn("end_s", end).where(F.col("time_s").isNotNull()).drop("__after")
 
 
-def align(cues: DataFrame, spans: DataFrame, bucket: float) -> DataFrame:
+def align(cues: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs of cue [a, b) and display span [t, e): t < b and (e > a or (e = a and e = t)).
 
-    Both sides are dealt into time buckets for an equi-join; a pair is kept only in the
-    bucket in which it begins, so no distinct is needed. ``bucket`` should be of the order
-    of the longer of typical cues and spans.
+    Cues and spans meet in cells of their own sizes (``dyadic``), so neither one span over a
+    whole recording nor a wrong time makes more rows than any other.
     """
-    cut = lambda x: F.floor(x / bucket).cast("long")
-    c = cues.withColumn("__b", F.explode(F.sequence(cut(F.col("a")), cut(F.greatest("a", "b")))))
-    s = spans.withColumn("__b", F.explode(F.sequence(cut(F.col("time_s")), cut(F.greatest("time_s", "end_s")))))
+    cues, spans = cues.where("a <= b"), spans.where("time_s <= end_s")
     hit = (F.col("time_s") < F.col("b")) & ((F.col("end_s") > F.col("a")) | ((F.col("end_s") == F.col("a")) & (F.col("end_s") == F.col("time_s"))))
-    pairs = c.join(s, ["source_id", "__b"]).where(hit)
-    return pairs.where(F.col("__b") == F.greatest(cut(F.col("a")), cut(F.col("time_s")))).drop("__b")
+    return dyadic.overlapping(cues, spans, ["source_id"], ("a", "b"), ("time_s", "end_s")).where(hit)
 
 
 def cue_overlaps(cues: DataFrame) -> DataFrame:
@@ -72,32 +69,41 @@ def cue_overlaps(cues: DataFrame) -> DataFrame:
     return told.where(F.col("a") < F.col("__reach")).drop("__reach")
 
 
-def align_store(cues: DataFrame, frames: DataFrame, bucket: float = 60.0) -> DataFrame:
+def align_store(cues: DataFrame, frames: DataFrame) -> DataFrame:
     """Imported cues with shifted times, the ranges of frames they overlap, and warnings per source.
 
-    ``cues``: source_id, pos, begin, end, offset, text. Cues without a later end or without text
-    are refused with an error when read. Out: cue columns, start_time, end_time, frame_ranges
-    array of (start, end), alignment, warnings (sorted, distinct, of the source's whole import).
+    ``cues``: source_id, pos (from 0), begin, end, offset, text, and optionally key (of the import),
+    translation, language, speaker and confidence. Cues whose times are not finite, without a
+    later end or without text are refused with an error when read. Out: cue columns, id
+    (key:c1, key:c2, ...), original_start, original_end, start_time, end_time, text_original,
+    frame_ranges array of (start, end), alignment, warnings (sorted, distinct, of the whole import).
     """
+    by = ["source_id", *(["key"] if "key" in cues.columns else [])]
     wrong = F.raise_error(F.format_string("source %s: cue %d", F.col("source_id").cast("string"), F.col("pos"))).cast("double")
-    sound = (F.col("end") > F.col("begin")) & ~F.isnan("begin") & ~F.isnan("end") & (F.trim("text") != "")
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+    sound = finite("begin") & finite("end") & finite("offset") & (F.col("end") > F.col("begin")) & F.coalesce(F.trim("text") != "", F.lit(False))
     timed = cues.withColumns({"a": F.when(sound, F.col("begin") + F.col("offset")).otherwise(wrong), "b": F.col("end") + F.col("offset")})
-    spans = display_spans(frames)
-    pairs = align(timed.select("source_id", "pos", "a", "b"), spans.select("source_id", "frame_no", "time_s", "end_s"), bucket).select("source_id", "pos", "frame_no").distinct()
-    w = W.partitionBy("source_id", "pos").orderBy("frame_no")
-    runs = pairs.withColumn("g", F.col("frame_no") - F.row_number().over(w)).groupBy("source_id", "pos", "g").agg(F.min("frame_no").alias("start"), F.max("frame_no").alias("end"))
-    ranged = runs.groupBy("source_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("frame_ranges"))
-    out = timed.join(ranged, ["source_id", "pos"], "left")
-    told = running(out, ["source_id"], "pos", ["pos"], __reach=("max", F.col("b"), False))
-    own = told.select("source_id", F.array_compact(F.array(F.when(F.col("a") < F.col("__reach"), "overlap"), F.when(F.col("frame_ranges").isNull(), "outside_index"))).alias("w"))
-    told = own.unionByName(frame_warnings(frames)).groupBy("source_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("warnings"))
+    spans = display_spans(frames).select("source_id", "frame_no", "time_s", "end_s")
+    pairs = align(timed.select(*by, "pos", "a", "b"), spans).select(*by, "pos", "frame_no").distinct()
+    w = W.partitionBy(*by, "pos").orderBy("frame_no")
+    runs = pairs.withColumn("g", F.col("frame_no") - F.row_number().over(w)).groupBy(*by, "pos", "g").agg(F.min("frame_no").alias("start"), F.max("frame_no").alias("end"))
+    ranged = runs.groupBy(*by, "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("frame_ranges"))
+    out = timed.join(ranged, [*by, "pos"], "left")
+    told = running(out, by, "pos", ["pos"], __reach=("max", F.col("b"), False))
+    own = told.select(*by, F.array_compact(F.array(F.when(F.col("a") < F.col("__reach"), "overlap"), F.when(F.col("frame_ranges").isNull(), "outside_index"))).alias("w"))
+    of_frames = frame_warnings(frames).join(cues.select(*by).distinct(), "source_id").select(*by, F.array("w").alias("w")) if len(by) > 1 else frame_warnings(frames).select(*by, F.array("w").alias("w"))
+    told = own.withColumn("w", F.explode("w")).unionByName(of_frames.withColumn("w", F.explode("w"))).groupBy(*by).agg(F.array_sort(F.collect_set("w")).alias("warnings"))
     label = F.when(F.col("frame_ranges").isNull(), "unaligned").otherwise("display_interval_overlap")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return out.join(told, "source_id").select(*cues.columns, F.col("a").alias("start_time"), F.col("b").alias("end_time"), F.coalesce("frame_ranges", empty).alias("frame_ranges"), label.alias("alignment"), "warnings")
+    empty, none = F.array().cast("array<struct<start:bigint,end:bigint>>"), F.array().cast("array<string>")
+    made = {
+        "id": F.concat(F.col("key") if len(by) > 1 else F.col("source_id").cast("string"), F.lit(":c"), (F.col("pos") + 1).cast("string")), "original_start": F.col("begin"), "original_end": F.col("end"), "start_time": F.col("a"), "end_time": F.col("b"),
+        "text_original": F.col("text"), "frame_ranges": F.coalesce("frame_ranges", empty), "alignment": label, "warnings": F.coalesce("warnings", none),
+    }
+    return out.join(told, by, "left").select(*(c for c in cues.columns if c not in made), *(c.alias(n) for n, c in made.items()))
 
 
 def frame_warnings(frames: DataFrame) -> DataFrame:
-    """(source_id, w) of frames whose time is unknown, not above the last known one, or whose display is a point."""
+    """(source_id, w), each once: frames whose time is unknown, not above the last known one, or whose display is a point."""
     frames = running(frames, ["source_id"], "frame_no", ["frame_no"], __before=("last", F.col("time_s"), False))
     frames = following(frames, ["source_id"], "frame_no", __after=F.col("time_s"))
     before, after = F.col("__before"), F.col("__after")
@@ -105,27 +111,19 @@ def frame_warnings(frames: DataFrame) -> DataFrame:
     t = F.col("time_s")
     point = t.isNotNull() & ~F.coalesce(after > t, F.lit(False)) & ~F.coalesce(dur > 0, F.lit(False))
     said = F.array_compact(F.array(F.when(t.isNull(), "unknown_frame_time"), F.when(t <= before, "non_increasing_frame_time"), F.when(point, "unknown_display_duration")))
-    return frames.select("source_id", said.alias("w")).where(F.size("w") > 0).distinct()
-
-
-#: Integers of a block of the closed range join.
-BLOCK = 1024
+    return frames.select("source_id", F.explode(said).alias("w")).distinct()
 
 
 def linked_steps(issues: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, issue_id, step_id): explicit step ids if there are any, else steps that intersect the issue's closed range.
 
-    Explicit ids are given even if there is no such step. Ranges meet in blocks of integers,
-    and a pair counts in the block in which its intersection begins, so work follows the
-    steps near an issue and no pair comes twice.
+    Explicit ids are given even if there is no such step. Ranges meet in cells of their own
+    sizes (``dyadic``), so work follows the steps near an issue and no pair comes twice.
     """
     explicit = issues.where(F.size("step_ids") > 0).select(*keys, "issue_id", F.explode("step_ids").alias("step_id"))
-    cut = lambda c: F.floor(F.col(c) / BLOCK)
-    rest = issues.where(F.coalesce(F.size("step_ids"), F.lit(0)) <= 0).where("start <= end").select(*keys, "issue_id", F.col("start").alias("__s"), F.col("end").alias("__e"), F.explode(F.sequence(cut("start"), cut("end"))).alias("__b"))
-    dealt = steps.where("start <= end").select(*keys, "step_id", "start", "end", F.explode(F.sequence(cut("start"), cut("end"))).alias("__b"))
-    first = F.floor(F.greatest("start", "__s") / BLOCK)
-    ranged = rest.join(dealt, [*keys, "__b"]).where((F.col("start") <= F.col("__e")) & (F.col("end") >= F.col("__s")) & (F.col("__b") == first)).select(*keys, "issue_id", "step_id")
-    return explicit.unionByName(ranged)
+    rest = issues.where(F.coalesce(F.size("step_ids"), F.lit(0)) <= 0).select(*keys, "issue_id", F.col("start").alias("__s"), F.col("end").alias("__e"))
+    ranged = dyadic.overlapping(rest, steps.select(*keys, "step_id", "start", "end"), keys, ("__s", "__e"), ("start", "end"))
+    return explicit.unionByName(ranged.select(*keys, "issue_id", "step_id"))
 
 
 def contains(outer: list[str], inner: list[str]):

@@ -387,7 +387,7 @@ def ivl_overlap_adjacent(spark, d):
 @query(f"WITH {_CUES} SELECT c.source_id, cue, o.frame_no FROM cues c JOIN others o ON o.source_id = c.source_id AND time_s < b AND (end_s > a OR (end_s = a AND end_s = time_s))")
 def ivl_align(spark, d):
     cues, spans = _cues(spark, d)
-    return iv.align(cues.select("source_id", "cue", "a", "b"), spans, DAY / 4).select("source_id", "cue", "frame_no")
+    return iv.align(cues.select("source_id", "cue", "a", "b"), spans).select("source_id", "cue", "frame_no")
 
 
 @query(f"WITH {_CUES}, r AS (SELECT *, max(b) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cues) SELECT source_id, cue FROM r WHERE a < reach")

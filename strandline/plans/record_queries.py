@@ -468,7 +468,7 @@ def ivl_align_store(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     n = (F.row_number().over(W.partitionBy("source_id").orderBy("frame_no")) - 1).cast("long")
     cues = frames.where("digest = 'error'").select("source_id", n.alias("pos"), F.col("time_s").alias("begin"), (F.col("time_s") + 20000 * (k + 1).cast("double")).alias("end"), F.lit(100.0).alias("offset"), F.lit("x").alias("text"))
-    out = iv.align_store(cues, frames, 86_400.0)
+    out = iv.align_store(cues, frames)
     return out.select("source_id", "pos", F.array_join(F.transform("frame_ranges", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",").alias("frame_ranges"), "alignment", F.array_join("warnings", ",").alias("warnings"))
 
 

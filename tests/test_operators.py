@@ -30,10 +30,10 @@ def test_queue_prefers_the_window(spark):
             selection.queue(found, table, *wrong)
 
 
-def _alignment(spark, times, cues, offset=0.0, bucket=4.0):
+def _alignment(spark, times, cues, offset=0.0):
     table = spark.createDataFrame([("v", n, t, d) for n, (t, d) in enumerate(times)], "source_id string, frame_no long, time_s double, duration double")
     told = spark.createDataFrame([("v", i, float(a), float(b), offset, "x") for i, (a, b) in enumerate(cues)], "source_id string, pos long, begin double, end double, offset double, text string")
-    return sorted(intervals.align_store(told, table, bucket).collect(), key=lambda r: r.pos)
+    return sorted(intervals.align_store(told, table).collect(), key=lambda r: r.pos)
 
 
 def test_display_boundaries(spark):
