@@ -1,11 +1,11 @@
 """Joins of points and intervals, and of intervals, on cells whose size follows each interval.
 
-An interval lives on the level of its length: cells of 2**level, the least power of two that
+An interval lives on the level of its length: cells of 4**k, the least power of four that
 is not below the length, so it lies in at most two of them (three where rounding cuts).
 A point lies in one cell of each level that some interval lives on. So a point and an
 interval that contains it meet in exactly one cell: no pair comes twice, no cell size has
 to be chosen, and an interval of 1e8 s is two rows like any other. Rows that move: at most
-three for an interval, one for a point and level in use (levels: powers of two between the
+three for an interval, one for a point and level in use (levels: powers of four between the
 shortest and the longest length, typically a handful).
 
 ``fine`` halves the cells so many times: an interval is up to 2**fine + 2 rows then, and the
@@ -23,50 +23,58 @@ from pyspark.sql import functions as F
 
 #: The lowest level: intervals shorter than 2**LOWEST share cells of that size.
 LOWEST = -20
-_LARGEST = 1.7e308
+_LARGEST = "double('1.7e308')"
 
 
-def _inside(x: Column) -> Column:
-    return F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), x.cast("double")))
+def _finite(rows: DataFrame, *columns: str) -> list[str]:
+    """SQL of the columns as numbers whose cells can be counted: infinities become large numbers."""
+    whole = {f.name for f in rows.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    return [f"`{c}`" if c in whole else f"least(greatest(double(`{c}`), -{_LARGEST}), {_LARGEST})" for c in columns]
 
 
-def _level(lo: Column, hi: Column, fine: int) -> Column:
-    length = _inside(_inside(hi) - _inside(lo))
-    return F.greatest(F.lit(LOWEST), F.ceil(F.log2(F.greatest(length, F.lit(2.0**LOWEST)))).cast("int") - fine)
+def _level(lo: str, hi: str, fine: int) -> str:
+    """The exponent of the cells' size: length and level are known where lo <= hi."""
+    length = f"least(double({hi}) - double({lo}), {_LARGEST})"
+    return f"(greatest({LOWEST}, int(2 * ceil(log2(greatest({length}, pow(2d, {LOWEST}))) / 2))) - {fine})"
 
 
-def _cell(x: Column, level: Column) -> Column:
-    return F.floor(_inside(x) / F.pow(F.lit(2.0), level))
+def _cell(x: str, level: str) -> str:
+    return f"floor({x} / pow(2d, {level}))"
 
 
-def _home(kind: int, lo: Column, hi: Column, fine: int) -> Column:
-    """The cells of an interval."""
+def _home(kind: int, lo: str, hi: str, fine: int) -> str:
+    """The cells of an interval; ``kind`` (0 or 1) tells two joins apart that are done as one."""
     level = _level(lo, hi, fine)
-    return F.transform(F.sequence(_cell(lo, level), _cell(hi, level)), lambda c: F.struct(F.lit(kind).alias("kind"), level.alias("level"), c.alias("cell")))
+    return f"transform(sequence({_cell(lo, level)}, {_cell(hi, level)}), c -> struct({level} * 2 + {kind} as __of, c as __cell))"
 
 
-def _on(kind: int, x: Column, levels: Column) -> Column:
+def _on(kind: int, x: str, levels: str) -> str:
     """The cell of a point on each level."""
-    return F.transform(levels, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("level"), _cell(x, v).alias("cell")))
+    return f"transform({levels}, v -> struct(v * 2 + {kind} as __of, {_cell(x, 'v')} as __cell))"
+
+
+def _dealt(rows: DataFrame, cells: str) -> DataFrame:
+    """A row for each cell, which is two columns of the join's key."""
+    return rows.withColumn("__c", F.explode(F.expr(cells))).withColumns({"__of": F.col("__c.__of"), "__cell": F.col("__c.__cell")}).drop("__c", "__l")
 
 
 def _proper(rows: DataFrame, lo: str, hi: str) -> DataFrame:
-    a, b = F.col(lo), F.col(hi)
-    return rows.where((a <= b) & ~F.isnan(a.cast("double")) & ~F.isnan(b.cast("double")))
+    """Rows with lo <= hi; NaN, which is above all numbers, can only be hi."""
+    return rows.where(f"`{lo}` <= `{hi}` and not isnan(double(`{hi}`))")
 
 
 def _levels(rows: DataFrame, lo: str, hi: str, fine: int) -> Column:
     """The levels that intervals live on, one array of at most some hundred."""
-    return rows.agg(F.collect_set(_level(F.col(lo), F.col(hi), fine))).scalar()
+    return rows.agg(F.expr(f"collect_set({_level(*_finite(rows, lo, hi), fine)})")).scalar()
 
 
 def containing(intervals: DataFrame, points: DataFrame, keys: list[str], lo: str, hi: str, at: str, fine: int = 0) -> DataFrame:
     """Pairs of rows with equal ``keys`` and lo <= at <= hi, each once; other names must differ."""
-    spans = _proper(intervals, lo, hi)
+    spans, points = _proper(intervals, lo, hi), _proper(points, at, at)
     levels = _levels(spans, lo, hi, fine)
-    spans = spans.withColumn("__c", F.explode(_home(1, F.col(lo), F.col(hi), fine)))
-    placed = _proper(points, at, at).withColumn("__l", levels).withColumn("__c", F.explode(_on(1, F.col(at), F.col("__l")))).drop("__l")
-    return spans.join(placed, [*keys, "__c"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("__c")
+    spans = _dealt(spans, _home(0, *_finite(spans, lo, hi), fine))
+    placed = _dealt(points.withColumn("__l", levels), _on(0, *_finite(points, at), "__l"))
+    return spans.join(placed, [*keys, "__of", "__cell"]).where(f"`{at}` between `{lo}` and `{hi}`").drop("__of", "__cell")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], fine: int = 0) -> DataFrame:
@@ -77,9 +85,8 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str
     """
     left, right = _proper(left, *a), _proper(right, *b)
     own, other = _levels(left, *a, fine), _levels(right, *b, fine)
-    (la, ha), (lb, hb) = ([F.col(c) for c in pair] for pair in (a, b))
-    cells = lambda home, on: F.explode(F.concat(home, on))
-    asked = left.withColumn("__l", other).withColumn("__c", cells(_home(2, la, ha, fine), _on(1, la, F.col("__l")))).drop("__l")
-    dealt = right.withColumn("__l", own).withColumn("__c", cells(_home(1, lb, hb, fine), _on(2, lb, F.col("__l")))).drop("__l")
-    hit = F.when(F.col("__c.kind") == 1, la.between(lb, hb)).otherwise((lb > la) & (lb <= ha))
-    return asked.join(dealt, [*keys, "__c"]).where(hit).drop("__c")
+    (la, ha), (lb, hb) = _finite(left, *a), _finite(right, *b)
+    asked = _dealt(left.withColumn("__l", other), f"concat({_home(1, la, ha, fine)}, {_on(0, la, '__l')})")
+    dealt = _dealt(right.withColumn("__l", own), f"concat({_home(0, lb, hb, fine)}, {_on(1, lb, '__l')})")
+    first, second = f"`{a[0]}` between `{b[0]}` and `{b[1]}`", f"`{b[0]}` > `{a[0]}` and `{b[0]}` <= `{a[1]}`"
+    return asked.join(dealt, [*keys, "__of", "__cell"]).where(f"case when __of % 2 = 0 then {first} else {second} end").drop("__of", "__cell")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from . import dyadic
 from .ordered import following, running
 
@@ -83,7 +84,7 @@ def align_store(cues: DataFrame, frames: DataFrame) -> DataFrame:
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
     sound = finite("begin") & finite("end") & finite("offset") & (F.col("end") > F.col("begin")) & F.coalesce(F.trim("text") != "", F.lit(False))
     timed = cues.withColumns({"a": F.when(sound, F.col("begin") + F.col("offset")).otherwise(wrong), "b": F.col("end") + F.col("offset")})
-    spans = display_spans(frames).select("source_id", "frame_no", "time_s", "end_s")
+    spans = staged(display_spans(frames).select("source_id", "frame_no", "time_s", "end_s"), "spans")
     pairs = align(timed.select(*by, "pos", "a", "b"), spans).select(*by, "pos", "frame_no").distinct()
     w = W.partitionBy(*by, "pos").orderBy("frame_no")
     runs = pairs.withColumn("g", F.col("frame_no") - F.row_number().over(w)).groupBy(*by, "pos", "g").agg(F.min("frame_no").alias("start"), F.max("frame_no").alias("end"))

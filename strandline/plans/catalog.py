@@ -387,7 +387,7 @@ def ivl_overlap_adjacent(spark, d):
 @query(f"WITH {_CUES} SELECT c.source_id, cue, o.frame_no FROM cues c JOIN others o ON o.source_id = c.source_id AND time_s < b AND (end_s > a OR (end_s = a AND end_s = time_s))")
 def ivl_align(spark, d):
     cues, spans = _cues(spark, d)
-    return iv.align(cues.select("source_id", "cue", "a", "b"), spans).select("source_id", "cue", "frame_no")
+    return iv.align(staged(cues.select("source_id", "cue", "a", "b"), "cues"), staged(spans, "spans")).select("source_id", "cue", "frame_no")
 
 
 @query(f"WITH {_CUES}, r AS (SELECT *, max(b) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cues) SELECT source_id, cue FROM r WHERE a < reach")
@@ -404,7 +404,7 @@ issues AS (SELECT key, step_id AS issue_id, "start", "end", CASE WHEN step_id %
 
 @query(f"""WITH {_ISSUES} SELECT key, issue_id, unnest(ids) AS step_id FROM issues UNION ALL SELECT i.key, issue_id, s.step_id FROM issues i JOIN steps s ON s.key = i.key AND s."start" <= i."end" AND s."end" >= i."start" WHERE len(ids) = 0""")
 def ivl_intersect_closed(spark, d):
-    steps = _spans(spark, d).groupBy("key", F.col("l_orderkey").alias("step_id")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    steps = staged(_spans(spark, d).groupBy("key", F.col("l_orderkey").alias("step_id")).agg(F.min("start").alias("start"), F.max("end").alias("end")), "steps")
     ids = F.when(F.col("step_id") % 100 == 0, F.array("step_id")).otherwise(F.array().cast("array<bigint>"))
     issues = steps.select("key", F.col("step_id").alias("issue_id"), "start", "end", ids.alias("step_ids"))
     return iv.linked_steps(issues, steps, ["key"])
