@@ -15,7 +15,7 @@ from .catalog import _STATES, _text, _walk, query
 _id = lambda prefix, n: f"'{prefix}' || lpad(({n})::VARCHAR, 9, '0')"
 _SHA = "sha256(source_id || ':' || frame_no)"
 
-LEDGER = (
+_RECORDS = (
     _STATES
     + f""", e AS (SELECT *, {_id("f", "frame_no")} AS fid FROM runs),
 st AS (SELECT s.*, a.k AS k0, z.k AS k1, {_id("f", "s.start_frame")} AS fa, {_id("f", "s.end_frame")} AS fz FROM states s
@@ -42,7 +42,11 @@ assets AS (
     list_concat(CASE WHEN digest = 'purchase' THEN [{_id("S", "start_frame")}] ELSE [] END, CASE WHEN k0 < 5 THEN ['S000000000'] ELSE [] END) AS step_ids,
     list_concat(CASE WHEN digest = 'error' THEN [{_id("I", "start_frame")}] ELSE [] END, CASE WHEN k0 BETWEEN 10 AND 12 THEN ['I999999999'] ELSE [] END) AS issue_ids, fa, CASE WHEN k0 < 50 THEN 'ann' ELSE 'bob' END AS reviewer,
     [exact_start - 1, exact_start, least(exact_start + 1, end_frame), end_frame, end_frame + 1] AS near FROM st WHERE k0 < 85
-), """
+)"""
+)
+LEDGER = (
+    _RECORDS
+    + ", "
     + _walk("st", 100.0, 0.25, 43_200, 259_200)
     + f""", groups AS (
   SELECT source_id, bucket, max(end_frame) AS last, count(*) AS n, arg_min(k0, start_frame) AS k0, arg_min(digest, start_frame) AS digest, coalesce(list({_id("S", "start_frame")} ORDER BY start_frame) FILTER (WHERE digest = 'purchase'), []) AS within
@@ -108,17 +112,20 @@ strict AS (
 )"""
 )
 
-_INVALID = """invalid AS (
-  SELECT source_id, 'unknown_frame' AS code, id AS reference FROM (SELECT source_id, id, unnest([start_frame, end_frame]) AS n FROM steps) b WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.source_id = b.source_id AND r.frame_no = b.n)
+_INVALID = """known AS MATERIALIZED (SELECT DISTINCT source_id, id FROM assets),
+traced AS MATERIALIZED (SELECT DISTINCT source_id, asset_id AS id FROM vv WHERE trim(trace) <> ''),
+sound AS MATERIALIZED (SELECT DISTINCT source_id, id FROM vv), parents AS MATERIALIZED (SELECT DISTINCT source_id, id AS parent_id, frame_no FROM assets),
+bounds AS (SELECT source_id, id, unnest([start_frame, end_frame]) AS frame_no FROM steps),
+invalid AS (
+  SELECT source_id, 'unknown_frame' AS code, id AS reference FROM bounds ANTI JOIN runs USING (source_id, frame_no)
   UNION ALL SELECT source_id, 'missing_evidence', id FROM steps WHERE len(evidence) = 0
-  UNION ALL SELECT source_id, 'unknown_evidence', owner FROM owned o WHERE NOT known
-  UNION ALL SELECT source_id, 'unreviewed_evidence', owner FROM owned o WHERE known AND NOT EXISTS (SELECT 1 FROM vv WHERE vv.source_id = o.source_id AND vv.asset_id = o.id AND trim(vv.trace) <> '')
-  UNION ALL SELECT source_id, 'bad_view_reference', id FROM views v WHERE NOT EXISTS (SELECT 1 FROM vv WHERE vv.source_id = v.source_id AND vv.id = v.id)
+  UNION ALL SELECT source_id, 'unknown_evidence', owner FROM owned ANTI JOIN known USING (source_id, id)
+  UNION ALL SELECT source_id, 'unreviewed_evidence', owner FROM owned SEMI JOIN known USING (source_id, id) ANTI JOIN traced USING (source_id, id)
+  UNION ALL SELECT source_id, 'bad_view_reference', id FROM views ANTI JOIN sound USING (source_id, id)
   UNION ALL SELECT source_id, 'missing_view_trace', id FROM vv WHERE trim(trace) = ''
-  UNION ALL SELECT source_id, 'bad_crop_parent', id FROM assets a WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM assets p WHERE p.source_id = a.source_id AND p.id = a.parent_id AND p.frame_no = a.frame_no)
+  UNION ALL SELECT source_id, 'bad_crop_parent', id FROM (SELECT * FROM assets WHERE parent_id IS NOT NULL) ANTI JOIN parents USING (source_id, parent_id, frame_no)
 )"""
-VALIDATE = """owned AS (SELECT *, EXISTS (SELECT 1 FROM assets a WHERE a.source_id = r.source_id AND a.id = r.id) AS known FROM (
-  SELECT source_id, id AS owner, unnest(evidence) AS id FROM steps UNION ALL SELECT source_id, id, fid FROM issues WHERE k < 20) r), """ + _INVALID
+VALIDATE = """owned AS (SELECT source_id, id AS owner, unnest(evidence) AS id FROM steps UNION ALL SELECT source_id, id, fid FROM issues WHERE k < 20), """ + _INVALID
 
 # an asset's frame was seen by an actor: natively, in full, or any way
 COARSE = """mapped AS (
@@ -238,7 +245,7 @@ def _shown(findings):
 _SHOW = "SELECT source_id, code, reference, array_to_string(near, ',') AS frames FROM"
 
 
-@query(f"WITH RECURSIVE {LEDGER}, {VALIDATE} SELECT source_id, code, reference FROM invalid")
+@query(f"WITH {_RECORDS}, {VALIDATE} SELECT source_id, code, reference FROM invalid")
 def audit_validate(spark, d):
     return audit.validate(_ledger(spark, d)).select("source_id", "code", "reference")
 
