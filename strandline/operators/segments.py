@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import fold
+from . import jumps
 from .ordered import running
 
 #: Why a state begins a bucket, in the order in which reasons are tried; fixed values.
@@ -18,7 +17,7 @@ GAP, LAYOUT, DWELL, SPAN, ORDINALS, START = "uncomputed gap", "layout/control su
 
 
 def hard_breaks(states: DataFrame, layout_delta: float = 5.0, stable_seconds: float = 0.75, layout_fraction: float = 0.12) -> DataFrame:
-    """``hard`` (reason or null) and ``island``: breaks that depend on the state before only.
+    """``hard`` (reason or null): breaks that depend on the state before only.
 
     A gap of ordinals; a change of layout (share or mean of changes, unknown as none); the end
     of a state that stayed for ``stable_seconds``, where its start time is known.
@@ -31,39 +30,25 @@ def hard_breaks(states: DataFrame, layout_delta: float = 5.0, stable_seconds: fl
         .when((known("changed_fraction") >= layout_fraction) | (known("global_delta") >= layout_delta), LAYOUT)
         .when(before("end_time") - before("start_time") >= stable_seconds, DWELL)
     )
-    marked = told.withColumn("hard", F.when(F.col("__before").isNotNull(), reason)).drop("__before")
-    cuts = running(marked, ["source_id"], "start_frame", ["start_frame"], island=("sum", F.col("hard").isNotNull().cast("long"), True))
+    return told.withColumn("hard", F.when(F.col("__before").isNotNull(), reason)).drop("__before")
+
+
+def islands(broken: DataFrame) -> DataFrame:
+    """``island``: how many hard breaks there are up to a state, the source's begin counted as one."""
+    cuts = running(broken, ["source_id"], "start_frame", ["start_frame"], island=("sum", F.col("hard").isNotNull().cast("long"), True))
     return cuts.withColumn("island", F.col("island") + 1)
 
 
-def buckets(islands: DataFrame, max_span: float = 15.0, max_ordinals: int = 1200) -> DataFrame:
+def buckets(broken: DataFrame, max_span: float = 15.0, max_ordinals: int = 1200) -> DataFrame:
     """``bucket`` (first ordinal of the state's bucket) and ``boundary_clue`` of the state.
 
-    Inside an island a state begins a new bucket when it starts ``max_span`` seconds after
+    A state begins a new bucket after a hard break, when it starts ``max_span`` seconds after
     the bucket, both times known, or, its own time unknown, ``max_ordinals`` ordinals after
-    it. The fold holds one bucket start per island, whatever its length.
+    it. A source is worked on in blocks, however long it is (``jumps``).
     """
-
-    def start():
-        first = first_time = None
-
-        def step(frame, time, hard):
-            nonlocal first, first_time
-            reason = None
-            if first is not None:
-                if time is None:
-                    reason = ORDINALS if frame - first >= max_ordinals else None
-                elif first_time is not None and time - first_time >= max_span:
-                    reason = SPAN
-            if first is None or reason:
-                first, first_time = frame, time
-            return {"bucket": first, "boundary_clue": reason or hard or START}
-
-        return step
-
-    kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("boundary_clue", T.StringType())])
-    placed = fold.scan(islands, ["source_id", "island"], ["start_frame"], ["start_frame", "start_time", "hard"], start, "__b", kind)
-    return placed.select(*(c for c in placed.columns if c != "__b"), "__b.*")
+    told = jumps.starts(broken.withColumn("__hard", F.col("hard").isNotNull()), "source_id", "start_frame", "start_time", max_span, "__hard", max_ordinals)
+    clue = F.when(F.col("why") == jumps.SPAN, SPAN).when(F.col("why") == jumps.ORDINALS, ORDINALS).otherwise(F.coalesce("hard", F.lit(START)))
+    return told.select(*(c for c in told.columns if c not in ("start", "why", "__hard", "bucket", "boundary_clue")), F.col("start").alias("bucket"), clue.alias("boundary_clue"))
 
 
 def retraces(bucketed: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import fold, segments
+from . import jumps, segments
 from .frames import states
 from .ordered import running
 
@@ -15,30 +14,13 @@ from .ordered import running
 def anchors(frames: DataFrame, seconds: float) -> DataFrame:
     """Greedy sampler: a frame at or after the next anchor is taken, and the anchor moves to its time + seconds.
 
-    Frames without time are skipped; 0 seconds take none. After a gap of ``seconds`` the next
-    frame is always taken, so the scan starts anew in each stretch between such gaps, and
-    holds one anchor, however long a stretch is.
+    Frames without time are skipped; 0 seconds take none. A source is worked on in blocks,
+    however long it is (``jumps``).
     """
-    timed = frames.where(F.col("time_s").isNotNull()).select("source_id", "frame_no", "time_s")
+    timed = frames.where(F.col("time_s").isNotNull() & ~F.isnan("time_s")).select("source_id", "frame_no", "time_s")
     if seconds <= 0:
         return timed.select("source_id", "frame_no").limit(0)
-    told = running(timed, ["source_id"], "frame_no", ["frame_no"], __top=("max", F.col("time_s"), False))
-    broken = F.coalesce(F.col("time_s") - F.col("__top") >= seconds, F.lit(True)).cast("long")
-    parts = running(told, ["source_id"], "frame_no", ["frame_no"], stretch=("sum", broken, True)).drop("__top")
-
-    def start():
-        anchor = float("-inf")
-
-        def step(time):
-            nonlocal anchor
-            if time < anchor:
-                return False
-            anchor = time + seconds
-            return True
-
-        return step
-
-    return fold.scan(parts, ["source_id", "stretch"], ["frame_no"], ["time_s"], start, "taken", T.BooleanType()).where("taken").select("source_id", "frame_no")
+    return jumps.starts(timed, "source_id", "frame_no", "time_s", seconds, kind="sum").where(F.col("why") > 0).select("source_id", "frame_no")
 
 
 def first_last(frames: DataFrame) -> DataFrame:

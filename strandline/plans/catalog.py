@@ -287,7 +287,7 @@ def cand_manifest(spark, d):
 
 @query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, start_frame, island, hard FROM islands")
 def plan_break_hard(spark, d):
-    return sg.hard_breaks(_states(spark, d), **STEP_BREAKS).select("source_id", "start_frame", "island", "hard")
+    return sg.islands(sg.hard_breaks(_states(spark, d), **STEP_BREAKS)).select("source_id", "start_frame", "island", "hard")
 
 
 @query(f"WITH RECURSIVE {_ISLANDS} SELECT source_id, start_frame, bucket, boundary_clue FROM bucketed")
