@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from .ordered import running
 
 
@@ -100,6 +101,11 @@ def vector_metrics(rows: DataFrame, key: str, vector: str, tile: int, threshold:
 _METRICS = "global_delta double, max_local_delta double, changed_pixels long, changed_fraction double, tiles array<struct<box:array<int>,mean_delta:double>>"
 
 
+_NO_CHANGE = {"global_delta": None, "max_local_delta": None, "changed_pixels": None, "changed_fraction": None, "tiles": []}
+#: Ordinals of a block of images.
+IMAGES = 256
+
+
 def image_change(before: np.ndarray, now: np.ndarray, tile: int, threshold: int) -> dict | None:
     """Change between two images (height, width, 3): per pixel the largest of its channels.
 
@@ -128,36 +134,47 @@ def image_metrics(frames: DataFrame, tile: int = 32, threshold: int = 8) -> Data
     """``frames`` (source_id, frame_no, width, height, pixels: RGB bytes in rows) with digest,
     run start and change metrics in place of the pixels.
 
-    One sorted scan per source that holds one previous image. A first frame, or one of
-    another size, has null metrics and no tiles.
+    A source is dealt in blocks of ordinals, each with the last image of the block before as a
+    halo, so one long source is many tasks and each holds one previous image. Runs are stitched
+    over the digests afterwards. A first frame, or one of another size, has null metrics and
+    no tiles.
     """
     if tile < 1 or not 1 <= threshold <= 255:
         raise ValueError("tile must be positive and threshold within 1..255")
-    frames = frames.select("source_id", "frame_no", "width", "height", "pixels")
-    schema = f"source_id {frames.schema['source_id'].dataType.simpleString()}, frame_no long, width int, height int, digest string, exact_start long, {_METRICS}"
+    frames = frames.select("source_id", "frame_no", "width", "height", "pixels").withColumn("__block", F.floor(F.col("frame_no") / IMAGES))
+    # the ordinals alone tell which image each block hands on, and to which block
+    ends = frames.groupBy(F.col("source_id").alias("__of"), "__block").agg(F.max("frame_no").alias("__last"))
+    ends = ends.select("__of", "__last", F.lead("__block").over(W.partitionBy("__of").orderBy("__block")).alias("__next")).where("__next is not null")
+    halo = frames.join(ends, [F.col("source_id").eqNullSafe(F.col("__of")), F.col("frame_no") == F.col("__last")]).select("source_id", "frame_no", "width", "height", "pixels", F.col("__next").alias("__block"), F.lit(True).alias("__halo"))
+    schema = f"source_id {frames.schema['source_id'].dataType.simpleString()}, frame_no long, width int, height int, digest string, {_METRICS}"
 
     def run(batches):
-        source = before = digest = start = None
+        group = before = None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                size = (row["height"], row["width"], 3)
-                raw = row.pop("pixels")
+            small = batch.select(["source_id", "frame_no", "width", "height", "__block", "__halo"]).to_pylist()
+            pixels = batch.column("pixels")
+            for i, row in enumerate(small):
+                size, raw = (row["height"], row["width"], 3), memoryview(pixels[i].as_buffer())  # not copied
                 if len(raw) != size[0] * size[1] * 3:
                     raise ValueError(f"frame {row['frame_no']} does not have the indexed size")
-                if row["source_id"] != source:
-                    source, before, digest = row["source_id"], None, None
-                own = hashlib.sha256(f"{row['width']}x{row['height']}:rgb24:".encode() + raw).hexdigest()
-                start = row["frame_no"] if own != digest else start
+                own, is_halo = (row["source_id"], row.pop("__block")), row.pop("__halo")
+                if own != group:
+                    group, before = own, None
                 now = np.frombuffer(raw, np.uint8).reshape(size)
-                change = None if before is None else image_change(before, now, tile, threshold)
-                empty = {"global_delta": None, "max_local_delta": None, "changed_pixels": None, "changed_fraction": None, "tiles": []}
-                out.append({**row, "digest": own, "exact_start": start, **(change or empty)})
-                before, digest = now, own
+                if not is_halo:
+                    digest = hashlib.sha256(f"{row['width']}x{row['height']}:rgb24:".encode())
+                    digest.update(raw)
+                    change = None if before is None else image_change(before, now, tile, threshold)
+                    out.append({**row, "digest": digest.hexdigest(), **(change or _NO_CHANGE)})
+                before = now
+            before = None if before is None else before.copy()  # outlives the batch
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return frames.repartition("source_id").sortWithinPartitions("source_id", "frame_no").mapInArrow(run, schema)
+    dealt = frames.withColumn("__halo", F.lit(False)).unionByName(halo).repartition("source_id", "__block")
+    scanned = staged(dealt.sortWithinPartitions("source_id", "__block", "frame_no").mapInArrow(run, schema), "metrics")
+    return runs(scanned).select("source_id", "frame_no", "width", "height", "digest", "exact_start", *(c for c in scanned.columns if c in _NO_CHANGE))

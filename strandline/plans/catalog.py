@@ -355,6 +355,40 @@ def frm_metrics(spark, d):
     return m.select("vec_id", F.round("global_delta", 6).alias("global_delta"), F.round("max_local_delta", 6).alias("max_local_delta"), "changed_elements", F.round("changed_fraction", 6).alias("changed_fraction"))
 
 
+_PIXELS = """px AS (
+  SELECT label AS source_id, vec_id AS frame_no, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings
+), rgb AS (
+  SELECT source_id, frame_no, i, floor(abs(v) * 8)::BIGINT % 3 * 100 AS r, floor(abs(v) * 40)::BIGINT % 256 AS g, CASE WHEN v < 0 THEN 9 ELSE 0 END AS b FROM px
+), f AS (
+  SELECT source_id, frame_no, sha256(encode('8x8:rgb24:') || unhex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY i))) AS digest FROM rgb GROUP BY source_id, frame_no
+), l AS (
+  SELECT *, lag(frame_no) OVER w AS before, lag(digest) OVER w AS last FROM f WINDOW w AS (PARTITION BY source_id ORDER BY frame_no)
+), d AS (
+  SELECT l.source_id, l.frame_no, x.i, greatest(abs(x.r - y.r), abs(x.g - y.g), abs(x.b - y.b)) AS delta FROM l JOIN rgb x ON x.source_id = l.source_id AND x.frame_no = l.frame_no JOIN rgb y ON y.source_id = l.source_id AND y.frame_no = l.before AND y.i = x.i
+), t AS (
+  SELECT source_id, frame_no, i % 8 // 3 * 3 AS x, i // 24 * 3 AS y, avg(delta) AS m FROM d GROUP BY ALL
+), best AS (
+  SELECT source_id, frame_no, m, x, y FROM (SELECT *, row_number() OVER (PARTITION BY source_id, frame_no ORDER BY m DESC, y, x) AS k FROM t) WHERE k = 1
+), whole AS (
+  SELECT source_id, frame_no, avg(delta) AS g, count(*) FILTER (WHERE delta >= 20) AS c FROM d GROUP BY source_id, frame_no
+)"""
+
+
+@query(f"""WITH {_PIXELS} SELECT l.source_id, l.frame_no, digest, max(CASE WHEN last IS NULL OR last <> digest THEN l.frame_no END) OVER (PARTITION BY l.source_id ORDER BY l.frame_no) AS exact_start,
+round(g, 6) AS global_delta, round(m, 6) AS max_local_delta, c AS changed_pixels, round(c / 64.0::DOUBLE, 6) AS changed_fraction, CASE WHEN m IS NOT NULL THEN x || ',' || y || ',' || least(8, x + 3) || ',' || least(8, y + 3) END AS box
+FROM l LEFT JOIN whole w ON w.source_id = l.source_id AND w.frame_no = l.frame_no LEFT JOIN best b ON b.source_id = l.source_id AND b.frame_no = l.frame_no""")
+def frm_scan(spark, d):
+    rows = ad.table(spark, d, "embeddings")
+    hex2 = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    pixel = lambda v: F.concat(hex2(F.floor(F.abs(v) * 8) % 3 * 100), hex2(F.floor(F.abs(v) * 40) % 256), hex2(F.when(v < 0, 9).otherwise(0)))
+    body = F.unhex(F.array_join(F.transform("embedding", lambda v: pixel(v.cast("double"))), ""))
+    images = rows.select(F.col("label").alias("source_id"), F.col("vec_id").alias("frame_no"), F.lit(8).alias("width"), F.lit(8).alias("height"), body.alias("pixels"))
+    m = fr.image_metrics(images, 3, 20)
+    box = F.array_join(F.transform(F.get("tiles", F.lit(0))["box"], lambda x: x.cast("string")), ",")
+    six = [F.round(c, 6).alias(c) for c in ("global_delta", "max_local_delta", "changed_fraction")]
+    return m.select("source_id", "frame_no", "digest", "exact_start", *six, "changed_pixels", box.alias("box"))
+
+
 @query(f'WITH {_SPANS} SELECT key, "start", "end" FROM merged')
 def ivl_union(spark, d):
     return iv.union(_spans(spark, d), ["key"])

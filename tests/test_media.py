@@ -32,19 +32,20 @@ def told(change):
 
 
 def test_image_change_by_hand():
-    empty = np.zeros((35, 37, 3), np.uint8)
+    flat = np.full((10, 13, 3), 40, np.uint8)
     for c in range(3):
-        one = empty.copy()
-        one[34, 36, c] = 8
-        assert told(frames.image_change(empty, one, 32, 8)) == told(frames.image_change(one, empty, 32, 8)) == (8 / 1295, 8 / 15, 1, 1 / 1295, [32, 32, 37, 35])
-    before = np.array([[[0, 255, 7], [10, 10, 10], [1, 2, 3]]], np.uint8)
-    after = np.array([[[255, 0, 7], [10, 17, 10], [1, 2, 11]]], np.uint8)
-    assert told(frames.image_change(before, after, 1, 8)) == (90.0, 255.0, 2, 2 / 3, [0, 0, 1, 1])
-    assert frames.image_change(empty, before, 32, 8) is None
+        one = flat.copy()
+        one[9, 12, c] = 52  # alone in a tile of 2 x 1 pixels
+        assert told(frames.image_change(flat, one, 4, 12)) == told(frames.image_change(one, flat, 4, 12)) == (12 / 130, 12 / 2, 1, 1 / 130, [12, 8, 13, 10])
+        assert told(frames.image_change(flat, one, 4, 13))[2:4] == (0, 0.0)
+    before = np.array([[[200, 0, 0], [5, 5, 5]], [[9, 9, 9], [30, 60, 90]]], np.uint8)
+    after = np.array([[[0, 50, 100], [5, 5, 5]], [[9, 12, 9], [31, 61, 91]]], np.uint8)
+    assert told(frames.image_change(before, after, 1, 3)) == (51.0, 200.0, 2, 0.5, [0, 0, 1, 1])
+    assert frames.image_change(flat, before, 4, 12) is None
 
 
 def test_image_change_equals_the_slow_one():
-    rng = np.random.default_rng(61013)
+    rng = np.random.default_rng(17)
     for _ in range(40):
         shape = (int(rng.integers(1, 40)), int(rng.integers(1, 40)), 3)
         a, b = rng.integers(0, 256, shape, np.uint8), rng.integers(0, 256, shape, np.uint8)
@@ -77,6 +78,30 @@ def test_image_scan(spark):
         frames.image_metrics(table, 0)
 
 
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_image_scan_of_one_source_in_blocks(spark, monkeypatch, block):
+    """Blocks with the last image of the block before give what one scan gives; ordinals may have gaps."""
+    rng = random.Random(6)
+    ordinals = sorted(rng.sample(range(60), 25))
+    raws = [bytes(rng.randrange(256) for _ in range(5 * 4 * 3)) for _ in range(6)]
+    images = {n: rng.choice(raws) for n in ordinals}
+    table = spark.createDataFrame([("v", n, 5, 4, raw) for n, raw in images.items()], "source_id string, frame_no long, width int, height int, pixels binary")
+    monkeypatch.setattr(frames, "IMAGES", block)
+    got = {r.frame_no: r for r in frames.image_metrics(table, 2, 8).collect()}
+    assert sorted(got) == ordinals
+    start = before = None
+    for n in ordinals:
+        now = np.frombuffer(images[n], np.uint8).reshape(4, 5, 3)
+        start = start if before is not None and (now == before).all() else n
+        assert got[n].exact_start == start
+        if before is None:
+            assert got[n].global_delta is None and got[n].tiles == []
+        else:
+            want = slow_change(before, now, 2, 8)
+            assert (got[n].global_delta, got[n].max_local_delta, got[n].changed_pixels, got[n].changed_fraction, list(got[n].tiles[0].box)) == want
+        before = now
+
+
 def test_vector_metrics_over_ranges_equal_one_pass(spark):
     rng = np.random.default_rng(1)
     vectors = rng.random((300, 6))
