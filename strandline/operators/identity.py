@@ -107,6 +107,13 @@ def freshness(evidence_changed: Column, snapshot_: Column, now: Column, valid: C
     return F.when(evidence_changed, "evidence_changed").when(~snapshot_.eqNullSafe(now), "stale").when(~valid, "record_invalid").otherwise("current")
 
 
+def index_fingerprint(frames: DataFrame) -> DataFrame:
+    """(source_id, fingerprint) of what cues are aligned with: ordinals, times and durations."""
+    duration = "duration" if "duration" in frames.columns else F.lit(None)
+    rows = section(frames, "index", F.lpad(F.col("frame_no").cast("string"), 19, "0"), "frame_no", "time_s", duration, block=F.floor(F.col("frame_no") / BLOCK))
+    return snapshot(rows).withColumnRenamed("snapshot", "fingerprint")
+
+
 def cache_key(sources: DataFrame, fingerprints: DataFrame, version: int = 2) -> DataFrame:
     """(source_id, id, key) of language imports: the file, its offset and language, and the index it was aligned with."""
     joined = sources.join(fingerprints, "source_id")

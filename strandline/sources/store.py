@@ -1,4 +1,4 @@
-"""A ledger on disk: one change log, frames and views, and a schema version."""
+"""A ledger on disk: one change log, frames and views, and a schema version; all of it in versioned tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records
+from .versions import Versioned
 
 SCHEMA_VERSION, READABLE = 3, (1, 2, 3)
 #: Columns of the stored tables; fixed values.
@@ -17,32 +18,51 @@ TABLES = {
     "assets": "source_id string, id string, frame_no long, kind string, path string, sha256 string, parent_id string, crop array<int>, created timestamp",
     "views": "source_id string, id string, asset_id string, frame_no long, actor string, tool string, trace_ref string, observation string, asset_sha256 string, created timestamp, presentation string, sheet_id string",
     "records": "source_id string, tbl string, id string, payload string, seq long, batch_id string, tombstone boolean",
+    "languages": "source_id string, id string, kind string, path string, sha256 string, offset double, language string, time_base string, provenance string, created timestamp",
+    "cues": "source_id string, key string, pos long, id string, original_start double, original_end double, start_time double, end_time double, text_original string, translation string, language string, speaker string, confidence double, frame_ranges array<struct<start:long,end:long>>, alignment string, warnings array<string>",
 }
 
 
+def versions(spark: SparkSession, path: str) -> Versioned:
+    return Versioned(spark, path, TABLES)
+
+
 def open_ledger(spark: SparkSession, path: str, create: bool = False) -> dict[str, DataFrame]:
-    """All tables of a ledger. A new one is only made on request; versions that are not known are refused.
+    """All tables of a ledger's newest version. A new one is only made on request; schema versions
+    that are not known are refused.
 
-    Ledgers of versions 1 and 2 read as they are and keep the strict mode of review.
+    Ledgers of schema versions 1 and 2 read as they are and keep the strict mode of review; plain
+    folders of tables, as written before there were versions, are read too and stay in use.
     """
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta"))
-    if not there and not create:
-        raise FileNotFoundError(f"no ledger at {path}")
-    if not there:
-        for name, schema in TABLES.items():
-            spark.createDataFrame([], schema).write.parquet(f"{path}/{name}")
-        set_meta(spark.createDataFrame([("", "schema_version", str(SCHEMA_VERSION), 1), ("", "review_mode", '"layered"', 1)], TABLES["meta"]), path)
-    tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
+    held = versions(spark, path)
+    newest = held.latest()
+    if newest is None:
+        if not create:
+            raise FileNotFoundError(f"no ledger at {path}")
+        first = spark.createDataFrame([("", "schema_version", str(SCHEMA_VERSION), 1), ("", "review_mode", '"layered"', 1)], TABLES["meta"])
+        newest = held.commit(None, append={"meta": first})
+    tables = held.read(newest)
     version = meta(tables["meta"]).where("key = 'schema_version' and source_id = ''").first()
     if version is None or int(version.value) not in READABLE:
         raise ValueError(f"schema version {version and version.value} is not readable")
     return tables
 
 
+def typed_as(rows: DataFrame, table: str) -> DataFrame:
+    """``rows`` with the columns of a stored table; those it lacks are null."""
+    schema = rows.sparkSession.createDataFrame([], TABLES[table]).schema
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def append(rows: DataFrame, path: str, table: str) -> None:
+    """Rows added to one table of the newest version."""
+    held = versions(rows.sparkSession, path)
+    held.commit(held.latest(), append={table: typed_as(rows, table)})
+
+
 def set_meta(rows: DataFrame, path: str) -> None:
     """Append key-value rows; the one with the largest ``seq`` counts."""
-    rows.write.mode("append").parquet(f"{path}/meta")
+    append(rows, path, "meta")
 
 
 def meta(rows: DataFrame) -> DataFrame:
