@@ -6,7 +6,7 @@ Every table carries ``source_id``, so one DataFrame holds many timelines.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -128,12 +128,6 @@ def tracks(streams: DataFrame) -> DataFrame:
     return streams.select("source_id", kind("audio").alias("audio"), kind("subtitle").alias("subtitles"))
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of all files below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
-
-
 #: First four bytes, or the type of the first box, of accepted containers; fixed values.
 MATROSKA, RIFF, AVI = "1A45DFA3", "52494646", "41564920"
 MOV_BOXES = ("ftyp", "moov", "mdat", "wide", "free", "skip")
@@ -193,47 +187,51 @@ MOV_FOREIGN = ("cmov", "rmra", "rmda", "rdrf", "iloc")
 MOV_DEPTH, MOV_LIMIT, MOV_REFERENCES = 16, 100_000, 4096
 
 
-def mov_problem(content: bytes) -> str | None:
-    """Why a MOV or MP4 is not self-contained, or null: walks its boxes, reads no sample data."""
-    u32 = lambda at: int.from_bytes(content[at : at + 4], "big")
-    work, seen, movie = [(0, len(content), 0, None)], 0, False
-    while work:
-        at, end, depth, references = work.pop()
+def mov_problem(read: Callable[[int, int], bytes], length: int) -> str | None:
+    """Why a MOV or MP4 is not self-contained, or null.
+
+    ``read(at, n)`` gives bytes of the file. Spans of boxes still to be looked into are kept
+    in a list; each box costs a read of its head, sample data none.
+    """
+    number = lambda at, n=4: int.from_bytes(read(at, n), "big")
+    spans: list[tuple[int, int, int, int | None]] = [(0, length, 0, None)]  # from, to, depth, references that it must hold
+    boxes, movie = 0, False
+    while spans:
+        at, end, depth, due = spans.pop()
         if depth > MOV_DEPTH:
             return "nested too deep"
-        found = 0
+        first = boxes
         while at < end:
-            seen += 1
-            if seen > MOV_LIMIT or end - at < 8:
+            boxes += 1
+            if boxes > MOV_LIMIT or end - at < 8:
                 return "malformed or too many boxes"
-            size, kind, body = u32(at), content[at + 4 : at + 8].decode("latin-1"), at + 8
-            if size == 1:
-                if end - at < 16:
-                    return "incomplete box"
-                size, body = int.from_bytes(content[at + 8 : at + 16], "big"), at + 16
-            size = size or end - at
-            stop = at + size
-            if stop > end or stop < body:
+            head = read(at, 8)
+            size, kind, body = int.from_bytes(head[:4], "big"), head[4:].decode("latin-1"), at + 8
+            if size == 1 and end - at < 16:
+                return "incomplete box"
+            if size == 1:  # the size follows in eight bytes
+                size, body = number(at + 8, 8), at + 16
+            stop = at + size if size else end
+            if not body <= stop <= end:
                 return "box outside its parent"
-            if references is not None:
-                found += 1
-                if kind != "url " or stop - body != 4 or u32(body) != 1:
+            if due is not None:
+                if kind != "url " or stop - body != 4 or number(body) != 1:
                     return "external reference"
             elif kind in MOV_FOREIGN:
                 return "reference or compressed movie"
             elif kind == "dref":
-                if stop - body < 8 or u32(body) or not 1 <= u32(body + 4) <= MOV_REFERENCES:
+                if stop - body < 8 or number(body) or not 1 <= number(body + 4) <= MOV_REFERENCES:
                     return "reference table"
-                work.append((body + 8, stop, depth, u32(body + 4)))
+                spans.append((body + 8, stop, depth, number(body + 4)))
             elif kind == "meta":
-                if stop - body < 4 or u32(body):
+                if stop - body < 4 or number(body):
                     return "metadata layout"
-                work.append((body + 4, stop, depth + 1, None))
+                spans.append((body + 4, stop, depth + 1, None))
             elif kind in MOV_CONTAINERS:
                 movie = movie or kind == "moov"
-                work.append((body, stop, depth + 1, None))
+                spans.append((body, stop, depth + 1, None))
             at = stop
-        if references is not None and found != references:
+        if due is not None and boxes - first != due:
             return "reference count"
     return None if movie else "no movie metadata"
 
@@ -242,13 +240,7 @@ def mov_problem(content: bytes) -> str | None:
 def mov_problems(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """``mov_problem`` of each file; binary trees without bound are walked in Python."""
     for series in contents:
-        yield pd.Series([None if c is None else mov_problem(bytes(c)) for c in series], dtype=object)
-
-
-def accepted_kind(content: str = "content", subtitles: bool = False) -> Column:
-    """The container's kind, null where it is not accepted or, for ``mov``, not self-contained."""
-    kind = container_kind(content, subtitles)
-    return F.when((kind != "mov") | F.when(kind == "mov", mov_problems(content)).isNull(), kind)
+        yield pd.Series([None if c is None else mov_problem(lambda at, n, c=c: bytes(c[at : at + n]), len(c)) for c in series], dtype=object)
 
 
 def compare_inventories(left: DataFrame, right: DataFrame) -> DataFrame:
