@@ -84,10 +84,10 @@ def strict_snapshot(led, retirements: DataFrame | None = None, supplements: Data
     return snapshot(frames_section(led.frames), steps_section(led.steps), issues_section(led.issues), coverage_section(led.coverage), cited_assets_section(led.assets, refs), *more)
 
 
-def layered_snapshot(led, checks: DataFrame, language: DataFrame | None = None) -> DataFrame:
+def layered_snapshot(led, checks: DataFrame, language: DataFrame | None = None, retirements: DataFrame | None = None) -> DataFrame:
     """The strict snapshot with intervals, checks and language sources (source_id, id, sha256)."""
     more = [] if language is None else [section(language, "language", "id", "id", "sha256")]
-    return combined(strict_snapshot(led), snapshot(intervals_section(led.intervals), checks_section(checks), *more))
+    return combined(strict_snapshot(led, retirements), snapshot(intervals_section(led.intervals), checks_section(checks), *more))
 
 
 def delivery_snapshot(led, context: DataFrame) -> DataFrame:

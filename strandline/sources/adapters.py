@@ -107,7 +107,8 @@ def first_times(frames: DataFrame) -> DataFrame:
 
 
 def transcript_cues(docs: DataFrame, frames: DataFrame) -> DataFrame:
-    """Segments of transcripts: source_id, pos, begin, end, offset, text and what else they carry.
+    """Segments of transcripts: source_id, pos, begin, end, offset, text, and translation, language,
+    speaker and confidence where segments have them; a translation that is no text is refused.
 
     ``docs``: source_id, time_base, offset_seconds, segments array of structs. Times relative to
     the video get its first frame's time on top; without one, or with another time base,
@@ -119,7 +120,16 @@ def transcript_cues(docs: DataFrame, frames: DataFrame) -> DataFrame:
     relative = F.when(F.col("first_time").isNull(), refuse("first frame has no time")).otherwise(told + F.col("first_time"))
     shift = F.when(F.col("time_base") == "original", told).when(F.col("time_base") == "video_relative", relative).otherwise(refuse("unknown time base"))
     rows = joined.select("source_id", shift.alias("offset"), F.posexplode("segments").alias("pos", "s"))
-    return rows.select("source_id", "pos", "offset", F.col("s.start").alias("begin"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema["segments"].dataType.elementType.fields}
+    more = [F.col(f"s.{n}").alias(n) for n in ("language", "speaker", "confidence") if n in fields]
+    if fields.get("translation") == "variant":  # as read from JSON, where it may be anything
+        kind = F.schema_of_variant("s.translation")
+        refused = F.raise_error(F.format_string("source %s: translation of segment %d is no text", F.col("source_id").cast("string"), F.col("pos"))).cast("string")
+        text = F.when(F.col("s.translation").isNull() | (kind == "VOID"), F.lit(None)).when(kind == "STRING", F.try_variant_get("s.translation", "$", "string")).otherwise(refused)
+        more.append(text.alias("translation"))
+    elif "translation" in fields:
+        more.append(F.col("s.translation").alias("translation"))
+    return rows.select("source_id", "pos", "offset", F.col("s.start").alias("begin"), F.col("s.end").alias("end"), F.col("s.text").alias("text"), *more)
 
 
 def tracks(streams: DataFrame) -> DataFrame:

@@ -86,6 +86,10 @@ def checks(log: DataFrame) -> DataFrame:
     return rows.select("source_id", "id", *(j.text(n).alias(n) for n in ("interval_id", "reviewer", "scope_hash", "method", "conclusion")), _names("evidence").alias("evidence"), _names("resolves").alias("resolves"), frames.alias("source_scope_frames"))
 
 
+def retirements(log: DataFrame) -> DataFrame:
+    return _parsed(log, "retire_steps").select("source_id", "id", _names("replacement_step_ids").alias("replacement_step_ids"))
+
+
 def reviews(log: DataFrame, layered: bool) -> DataFrame:
     """Reviews with the batch number as the time of their recording."""
     j = _json()

@@ -1,5 +1,6 @@
 """Commands on a stored ledger, from decoded frames to a passed gate."""
 
+import hashlib
 import json
 import random
 
@@ -41,7 +42,7 @@ def test_doctor(spark):
 
 def test_scan_is_indexed_once_and_replayed(work):
     root, call = work
-    assert call("scan", "--frames", f"file://{root}/decoded") == {"frames": 12}
+    assert call("scan", "--frames", f"file://{root}/decoded") == {"frames": 12, "new": 0, "status": "complete"}
     row = call("status")["status"][0]
     assert (row["indexed_frames"], row["computed_frames"], row["full_compute_complete"], row["candidate_frames"]) == (12, 12, True, 0)
 
@@ -56,16 +57,18 @@ def test_plan_queue_views_and_gate(spark, work):
     before = call("queue", "--batch-size", 3, "--start", 1.0, "--end", 2.0)
     assert before["total_pending"] == 9 and before["batch"][0]["in_range"] and len(before["batch"]) == 3
     assert call("focus", "--start", 0, "--end", 9, "--reason", "why", "--stride", 5)["requests"] == 3
-    assets = [("v", f(n), n, "full", f"evidence/{f(n)}.png", f"h{n}") for n in range(12)]
-    schema = store.TABLES["assets"].split(", parent_id")[0]
-    whole = spark.createDataFrame([], store.TABLES["assets"])
-    whole.unionByName(spark.createDataFrame(assets, schema), allowMissingColumns=True).write.mode("append").parquet(f"file://{root}/ledger/assets")
+    (root / "ledger" / "evidence").mkdir()
+    for n in range(12):
+        (root / "ledger" / "evidence" / f"{f(n)}.png").write_bytes(b"image %d" % n)
+    hashed = lambda n: hashlib.sha256(b"image %d" % n).hexdigest()
+    assets = [("v", f(n), n, "full", f"evidence/{f(n)}.png", hashed(n)) for n in range(12)]
+    store.append(spark.createDataFrame(assets, store.TABLES["assets"].split(", parent_id")[0]), f"file://{root}/ledger", "assets")
     with pytest.raises(ValueError, match="trace"):
         call("record-view", f(0), "--source", "v", "--actor", "ann", "--tool", "view_image", "--trace", "a.png", "--observation", "x")
     states = [0, 1, 4, 5, 6, 8, 9, 10, 11]
-    views = [("v", f"{f(n)}:{a}", f(n), n, a, "read_image", f"call#{a}", "seen", f"h{n}", "native") for n in states for a in ("ann", "bob")]
+    views = [("v", f"{f(n)}:{a}", f(n), n, a, "read_image", f"call#{a}", "seen", hashed(n), "native") for n in states for a in ("ann", "bob")]
     told = spark.createDataFrame(views, "source_id string, id string, asset_id string, frame_no long, actor string, tool string, trace_ref string, observation string, asset_sha256 string, presentation string")
-    spark.createDataFrame([], store.TABLES["views"]).unionByName(told, allowMissingColumns=True).write.mode("append").parquet(f"file://{root}/ledger/views")
+    store.append(told, f"file://{root}/ledger", "views")
     assert call("queue")["total_pending"] == 0 and call("candidates", "--pending")["candidates"] == []
 
     proof = {"status": "observed", "note": "n", "evidence": [f(11)]}
