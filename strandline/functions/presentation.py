@@ -161,17 +161,24 @@ def proven(transition: Column) -> Column:
 
 
 def affected_steps(steps: DataFrame, findings: DataFrame) -> DataFrame:
-    """(source_id, id, code, reference, ambiguous) of findings that bear on single steps.
+    """(source_id, id, code, reference, parameter_key, ambiguous) of findings that bear on single steps.
 
-    A finding's reference names its step, or begins with it before a dot. Ids may hold dots
+    A finding whose ``attrs`` name its steps (step_id, previous_step, next_step) bears on these.
+    Otherwise its reference names a step, or begins with it before a dot; ids may hold dots
     too, so a reference may fit several steps; then none is certain, and all are kept.
     """
-    some = findings.where(F.col("code").isin(*STEP_CODES)).select("source_id", "code", "reference").distinct()
+    some = findings.where(F.col("code").isin(*STEP_CODES))
+    attrs = F.coalesce("attrs", F.expr("cast(map() as map<string,string>)")) if "attrs" in findings.columns else F.expr("cast(map() as map<string,string>)")
+    owners = F.array_distinct(F.array_compact(F.array(*(F.try_element_at(attrs, F.lit(n)) for n in ("step_id", "previous_step", "next_step")))))
+    some = some.select("source_id", "code", "reference", owners.alias("owners"), F.try_element_at(attrs, F.lit("parameter_key")).alias("parameter_key")).distinct()
     parts = F.split("reference", r"\.")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    hits = some.withColumn("id", F.explode(heads)).join(steps.select("source_id", "id"), ["source_id", "id"])
-    many = hits.groupBy("source_id", "code", "reference").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(many, ["source_id", "code", "reference"]).select("source_id", "id", "code", "reference", (F.col("n") > 1).alias("ambiguous"))
+    known = steps.select("source_id", "id")
+    own = some.where(F.size("owners") > 0).withColumn("id", F.explode("owners")).join(known, ["source_id", "id"]).withColumn("ambiguous", F.lit(False))
+    hits = some.where(F.size("owners") <= 0).withColumn("id", F.explode(heads)).join(known, ["source_id", "id"])
+    many = hits.groupBy("source_id", "code", "reference").agg((F.count_distinct("id") > 1).alias("ambiguous"))
+    columns = ["source_id", "id", "code", "reference", "parameter_key", "ambiguous"]
+    return own.select(*columns).unionByName(hits.join(many, ["source_id", "code", "reference"]).select(*columns)).distinct()
 
 
 def labels(steps: DataFrame, issues: DataFrame, findings: DataFrame) -> DataFrame:

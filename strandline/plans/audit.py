@@ -1,6 +1,6 @@
 """Integrity checks and the strict audit: each rule turns DataFrames into findings.
 
-Findings: source_id, code, stage, reference, frames. ``located`` adds which of the frames
+Findings: source_id, code, stage, reference, frames, attrs (map of texts). ``located`` adds which of the frames
 are computed and their time range. A source without findings passes.
 """
 
@@ -21,9 +21,12 @@ NONE = "cast(array() as array<bigint>)"
 FACTS = {"confirmation": "confirmation_gap", "result": "result_gap"}
 
 
-def finding(rows: DataFrame, code: str | Column, reference: str, frames: Column | None = None, stage: str = "records") -> DataFrame:
+def finding(rows: DataFrame, code: str | Column, reference: str, frames: Column | None = None, stage: str = "records", **attrs: str | Column) -> DataFrame:
+    """``attrs`` says more, by name: above all whose finding it is (``step_id``, ``previous_step``, ``next_step``)."""
     code = F.lit(code) if isinstance(code, str) else code
-    return rows.select("source_id", code.alias("code"), F.lit(stage).alias("stage"), F.col(reference).cast("string").alias("reference"), (F.expr(NONE) if frames is None else frames.cast("array<bigint>")).alias("frames"))
+    pairs = [x for n, v in attrs.items() for x in (F.lit(n), (F.col(v) if isinstance(v, str) else v).cast("string"))]
+    told = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.expr("cast(map() as map<string,string>)")
+    return rows.select("source_id", code.alias("code"), F.lit(stage).alias("stage"), F.col(reference).cast("string").alias("reference"), (F.expr(NONE) if frames is None else frames.cast("array<bigint>")).alias("frames"), told.alias("attrs"))
 
 
 def union(*findings: DataFrame) -> DataFrame:
@@ -52,14 +55,16 @@ def requests(findings: DataFrame, prefix: str = "audit:") -> DataFrame:
 
 
 def cited(refs: DataFrame, led: Ledger, stage: str) -> DataFrame:
-    """Findings of cited evidence that is unknown or was never validly seen. ``refs``: source_id, reference, id, frames."""
+    """Findings of cited evidence that is unknown or was never validly seen. ``refs``: source_id, reference, id, frames
+    and, where the reference belongs to a step, step_id."""
     known, seen = (t.withColumn(n, F.lit(True)) for t, n in ((led.known, "__known"), (led.seen, "__seen")))
     told = refs.join(known, ["source_id", "id"], "left").join(seen, ["source_id", "id"], "left").where("__known is null or __seen is null")
-    return finding(told, F.when(F.col("__known").isNull(), "audit_evidence_missing").otherwise("audit_evidence_unreviewed"), "reference", F.col("frames"), stage)
+    return finding(told, F.when(F.col("__known").isNull(), "audit_evidence_missing").otherwise("audit_evidence_unreviewed"), "reference", F.col("frames"), stage, **({"step_id": "step_id"} if "step_id" in refs.columns else {}))
 
 
-def _refs(rows: DataFrame, reference: Column, evidence: str | Column, frames: Column) -> DataFrame:
-    return rows.select("source_id", reference.alias("reference"), F.explode(evidence).alias("id"), frames.cast("array<bigint>").alias("frames"))
+def _refs(rows: DataFrame, reference: Column, evidence: str | Column, frames: Column, step: str | None = None) -> DataFrame:
+    owner = [F.col(step).alias("step_id")] if step else []
+    return rows.select("source_id", reference.alias("reference"), F.explode(evidence).alias("id"), frames.cast("array<bigint>").alias("frames"), *owner)
 
 
 # --- record integrity ------------------------------------------------------------------
@@ -181,28 +186,28 @@ def transitions(led: Ledger, linked: DataFrame) -> DataFrame:
     usable = every.where("usable")
     known = usable.where("value <> 'null'")
     w = W.partitionBy("source_id", "key").orderBy("step_order", "phase")
-    jumps = known.withColumns({"last_value": F.lag("value").over(w), "last_end": F.lag("end_frame").over(w)}).where("phase = 0 and last_value <> value")
+    jumps = known.withColumns({"last_value": F.lag("value").over(w), "last_end": F.lag("end_frame").over(w), "last_id": F.lag("id").over(w)}).where("phase = 0 and last_value <> value")
     final = F.try_element_at("final_parameters", F.col("key"))
     last = known.where("phase = 1").join(steps.select("source_id", "id", "final_parameters"), ["source_id", "id"]).withColumn("final", unwrapped(final))
     owner = F.concat_ws(".", "id", "phase_name", "key")
     out = [
-        finding(steps.join(linked, ["source_id", "id"], "left_anti"), "step_without_state", "id", frames, stage),
-        finding(steps.where(~nonblank(F.col("author"))), "step_author_missing", "id", frames, stage),
-        finding(steps.where(~F.col("status").eqNullSafe("confirmed") | (F.size("uncertainties") > 0)), "step_unresolved", "id", frames, stage),
-        finding(steps.where("start_frame < before_end"), "step_ranges_overlap", "id", frames, stage),
-        finding(steps.where(~whole), "step_transition_missing", "id", frames, stage),
-        *(finding(told.where(F.size(f"transition.{p}") == 0), "step_state_missing", "id", frames, stage) for p in ("before", "after")),
-        finding(every.where("not usable"), "state_fact_invalid", "id", frames, stage),
-        cited(_refs(usable, owner, "evidence", frames), led, stage),
-        finding(usable.where("value = 'null'"), "state_value_unknown", "id", frames, stage),
-        finding(jumps, "state_discontinuity", "id", F.array("last_end", "start_frame"), stage),
-        finding(last.where("final <> 'null' and final <> value"), "final_parameter_mismatch", "id", frames, stage),
+        finding(steps.join(linked, ["source_id", "id"], "left_anti"), "step_without_state", "id", frames, stage, step_id="id"),
+        finding(steps.where(~nonblank(F.col("author"))), "step_author_missing", "id", frames, stage, step_id="id"),
+        finding(steps.where(~F.col("status").eqNullSafe("confirmed") | (F.size("uncertainties") > 0)), "step_unresolved", "id", frames, stage, step_id="id"),
+        finding(steps.where("start_frame < before_end"), "step_ranges_overlap", "id", frames, stage, step_id="id"),
+        finding(steps.where(~whole), "step_transition_missing", "id", frames, stage, step_id="id"),
+        *(finding(told.where(F.size(f"transition.{p}") == 0), "step_state_missing", "id", frames, stage, step_id="id") for p in ("before", "after")),
+        finding(every.where("not usable"), "state_fact_invalid", "id", frames, stage, step_id="id"),
+        cited(_refs(usable, owner, "evidence", frames, "id"), led, stage),
+        finding(usable.where("value = 'null'"), "state_value_unknown", "id", frames, stage, step_id="id"),
+        finding(jumps, "state_discontinuity", "id", F.array("last_end", "start_frame"), stage, state_key="key", previous_step="last_id", next_step="id", previous_value="last_value", next_value="value"),
+        finding(last.where("final <> 'null' and final <> value"), "final_parameter_mismatch", "id", frames, stage, step_id="id", parameter_key="key"),
     ]
     for role, code in FACTS.items():
         item = t[role]
         fit = item["status"].isin("observed", "not_applicable") & nonblank(item["note"]) & item["evidence"].isNotNull() & F.forall(item["evidence"], nonblank) & ((item["status"] != "observed") | (F.size(item["evidence"]) > 0))
         fit = F.coalesce(fit, F.lit(False))
-        out += [finding(told.where(~fit), code, "id", frames, stage), cited(_refs(told.where(fit), F.concat_ws(".", "id", F.lit(role)), item["evidence"], frames), led, stage)]
+        out += [finding(told.where(~fit), code, "id", frames, stage, step_id="id"), cited(_refs(told.where(fit), F.concat_ws(".", "id", F.lit(role)), item["evidence"], frames, "id"), led, stage)]
     return union(*out)
 
 

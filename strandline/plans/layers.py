@@ -118,12 +118,12 @@ def intervals(led: Ledger) -> DataFrame:
         finding(gaps, "interval_gap", "start", F.array("start", "end"), "coverage"),
         finding(iv.overlaps_running(spans, ["source_id"], ["start", "end", "id"]), "interval_overlap", "id", F.array("start"), "coverage"),
         cited(_refs(entries, F.col("id"), "evidence", frames), led, "coverage"),
-        finding(entries.join(ev.coarse_reviewed(entries, led.assets, led.views, led.frames), BY, "left_anti"), "interval_overview_missing", "id", frames, "coverage"),
-        finding(several.where("merge = 'exact'"), "false_exact_merge", "id", frames, "coverage"),
-        finding(several.where("merge = 'none' and disposition <> 'operation'"), "merge_reason_missing", "id", frames, "coverage"),
+        finding(entries.join(ev.coarse_reviewed(entries, led.assets, led.views, led.frames), BY, "left_anti"), "interval_overview_missing", "id", frames, "coverage", interval_id="id"),
+        finding(several.where("merge = 'exact'"), "false_exact_merge", "id", frames, "coverage", interval_id="id"),
+        finding(several.where("merge = 'none' and disposition <> 'operation'"), "merge_reason_missing", "id", frames, "coverage", interval_id="id"),
         finding(doubts.join(known, ["source_id", "issue"], "left_anti"), "interval_issue_missing", "id", frames, "coverage"),
         finding(entries.where("disposition = 'uncertain'"), "interval_uncertain", "id", frames, "coverage"),
-        finding(problems.select(*BY, "code", "start_frame", "end_frame").distinct(), F.col("code"), "id", frames, "fine"),
+        finding(problems.select(*BY, "code", "start_frame", "end_frame").distinct(), F.col("code"), "id", frames, "fine", interval_id="id"),
         finding(refs.join(seen, by, "left_anti"), "operation_native_view_missing", "step_id", frames, "fine"),
         finding(handed, "file_handoff_state_missing", "step_id", frames, "continuity"),
     )

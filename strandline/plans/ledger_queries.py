@@ -72,7 +72,7 @@ TRANSITIONS = """rawfacts AS (
   UNION ALL SELECT source_id, id, start_frame, end_frame, step_order, near, 1, 'after', 'A.rate', (k1 // 25)::VARCHAR, fz, true FROM ordered WHERE whole
   UNION ALL SELECT source_id, id, start_frame, end_frame, step_order, near, 1, 'after', 'file:out', '1', fz, true FROM ordered WHERE whole AND k0 < 20
 ), known AS (
-  SELECT *, lag(value) OVER w AS last_value, lag(end_frame) OVER w AS last_end FROM rawfacts WHERE usable AND value <> 'null' WINDOW w AS (PARTITION BY source_id, key ORDER BY step_order, phase)
+  SELECT *, lag(value) OVER w AS last_value, lag(end_frame) OVER w AS last_end, lag(id) OVER w AS last_id FROM rawfacts WHERE usable AND value <> 'null' WINDOW w AS (PARTITION BY source_id, key ORDER BY step_order, phase)
 ), proofs AS (
   SELECT source_id, id, near, fz, unnest(['confirmation', 'result']) AS role, unnest([k0, k1]) AS kk FROM ordered WHERE whole
 ), judged AS (

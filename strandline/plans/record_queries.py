@@ -716,23 +716,26 @@ def sc_param(spark, d):
     return _events(spark, d).select("event_id", pr.parameter_value(value).alias("value"), scope.alias("scope"))
 
 
-@query("SELECT id, code, reference, ambiguous FROM (VALUES ('a', 'result_gap', 'a', false), ('a', 'state_fact_invalid', 'a.before.k', false), ('a', 'audit_evidence_missing', 'a.b.result', true), ('a.b', 'audit_evidence_missing', 'a.b.result', true)) v(id, code, reference, ambiguous)")
-def sc_affected(spark, d):
-    steps = spark.createDataFrame([(1, "a"), (1, "a.b"), (1, "c")], "source_id int, id string")
-    findings = spark.createDataFrame([(1, "result_gap", "a"), (1, "state_fact_invalid", "a.before.k"), (1, "audit_evidence_missing", "a.b.result"), (1, "interval_gap", "c"), (1, "result_gap", "ab")], "source_id int, code string, reference string")
-    return pr.affected_steps(steps, findings).select("id", "code", "reference", "ambiguous")
+_AFFECTED = ", ".join(repr(c) for c in pr.STEP_CODES)
+# a finding is its step's; a jump of a value is that of both steps it lies between
+_HITS = f"""hits AS (
+  SELECT DISTINCT f.source_id, s.id, code, reference FROM strict f JOIN steps s ON s.source_id = f.source_id AND (f.reference = s.id OR starts_with(f.reference, s.id || '.')) WHERE code IN ({_AFFECTED})
+  UNION SELECT source_id, last_id, 'state_discontinuity', id FROM known WHERE phase = 0 AND last_value <> value)"""
 
 
-_AFFECTED = ", ".join(repr(c) for c in pr.STEP_CODES)
+@query(f"WITH RECURSIVE {LEDGER}, {STRICT}, {_HITS} SELECT source_id, id, code, reference, false AS ambiguous FROM hits")
+def sc_affected(spark, d):
+    led = _ledger(spark, d)
+    return pr.affected_steps(led.steps, staged(audit.strict(led), "findings")).select("source_id", "id", "code", "reference", "ambiguous")
 
 
-@query(f"""WITH RECURSIVE {LEDGER}, {STRICT}, hit AS (SELECT DISTINCT source_id, split_part(reference, '.', 1) AS id FROM strict WHERE code IN ({_AFFECTED})),
+@query(f"""WITH RECURSIVE {LEDGER}, {STRICT}, {_HITS},
 doubt AS (SELECT DISTINCT source_id, unnest(step_ids) AS id FROM issues WHERE NOT solved UNION SELECT i.source_id, s.id FROM issues i JOIN steps s ON s.source_id = i.source_id AND i.frame_no BETWEEN s.start_frame AND s.end_frame WHERE NOT solved AND len(i.step_ids) = 0)
-SELECT source_id, id, CASE WHEN status = 'confirmed' AND (EXISTS (SELECT 1 FROM hit h WHERE h.source_id = s.source_id AND h.id = s.id) OR EXISTS (SELECT 1 FROM doubt h WHERE h.source_id = s.source_id AND h.id = s.id)) THEN '部分确认，待核实（步骤登记为已确认）'
+SELECT source_id, id, CASE WHEN status = 'confirmed' AND (EXISTS (SELECT 1 FROM hits h WHERE h.source_id = s.source_id AND h.id = s.id) OR EXISTS (SELECT 1 FROM doubt h WHERE h.source_id = s.source_id AND h.id = s.id)) THEN '部分确认，待核实（步骤登记为已确认）'
   WHEN status = 'confirmed' THEN '已确认（步骤登记）' WHEN status = 'partial' THEN '部分确认，待核实' ELSE '待核实' END AS label FROM steps s""")
 def sc_label(spark, d):
     led = _ledger(spark, d)
-    return pr.labels(led.steps, led.issues, staged(audit.strict(led).select("source_id", "code", "reference"), "findings"))
+    return pr.labels(led.steps, led.issues, staged(audit.strict(led).select("source_id", "code", "reference", "attrs"), "findings"))
 
 
 @query(f"""WITH RECURSIVE {LEDGER}, r AS (
@@ -808,8 +811,10 @@ def report_actions(spark, d):
     return out.select(F.col("id").alias("event_id"), F.col("where").alias("place"), "what", "typed", "confirmed", "expected")
 
 
-@query("SELECT name, code FROM (VALUES ('A', 'final_parameter_mismatch'), ('A', 'result_gap'), ('B', 'result_gap'), ('A', 'final_parameter_mismatch2'), ('B', 'final_parameter_mismatch2')) v(name, code) WHERE code <> 'final_parameter_mismatch2'")
+@query(f"""WITH RECURSIVE {LEDGER}, {STRICT}, {_HITS}, names AS (SELECT source_id, id, 'A.rate' AS name FROM steps WHERE whole UNION ALL SELECT source_id, id, 'file:out' FROM steps WHERE whole AND k0 < 20)
+SELECT DISTINCT source_id, id, name, code FROM hits JOIN names USING (source_id, id) WHERE code <> 'final_parameter_mismatch' OR name = 'A.rate'""")
 def report_parameters(spark, d):
-    parameters = spark.createDataFrame([(1, "S", "A"), (1, "S", "B")], "source_id int, id string, name string")
-    findings = spark.createDataFrame([(1, "S", "final_parameter_mismatch", "A"), (1, "S", "result_gap", None)], "source_id int, id string, code string, parameter_key string")
-    return pr.parameter_findings(findings, parameters).select("name", "code")
+    led = _ledger(spark, d)
+    found = pr.affected_steps(led.steps, staged(audit.strict(led), "findings")).select("source_id", "id", "code", "parameter_key")
+    names = led.steps.select("source_id", "id", F.explode(F.map_keys("transition.after")).alias("name"))
+    return pr.parameter_findings(found, names).select("source_id", "id", "name", "code").distinct()
