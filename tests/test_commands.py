@@ -118,3 +118,70 @@ def test_layers_language_and_export(work):
     assert call("transcript", f"file://{root}/t.json", "--source", "v")["cues"][0]["frame_ranges"] == [{"start": 0, "end": 0}]
     where = call("export", "--to", f"file://{root}/out")["export"].removeprefix("file://")
     assert (root / "out").exists() and where
+
+
+def test_budget_files_retirement_and_imports(spark, tmp_path):
+    """One ledger through what a ledger must refuse, remember and pin."""
+    from strandline.sources import store
+
+    rng = random.Random(1)
+    images = [("v", n, 4, 4, bytearray(rng.randrange(256) for _ in range(48)), n / 2) for n in range(6)]
+    spark.createDataFrame(images, "source_id string, frame_no long, width int, height int, pixels binary, time_s double").write.parquet(f"file://{tmp_path}/decoded")
+    path = f"file://{tmp_path}/ledger"
+    call = lambda *argv: run(spark, [argv[0], "--work", path, *map(str, argv[1:])])
+    call("create")
+    movie = tmp_path / "m.mp4"
+    movie.write_bytes(bytes.fromhex("0000000c66747970") + b"isom" + bytes.fromhex("000000086d6f6f76"))
+    with pytest.raises(ValueError, match="unsupported_media_input"):
+        call("scan", "--frames", f"file://{tmp_path}/decoded", "--media", str(tmp_path / "none.mp4"))
+    first = call("scan", "--frames", f"file://{tmp_path}/decoded", "--max-new", 4, "--media", str(movie))
+    assert (first["new"], first["status"]) == (4, "paused_budget")
+    rest = call("scan", "--frames", f"file://{tmp_path}/decoded", "--max-new", 4)
+    assert (rest["frames"], rest["new"], rest["status"]) == (3, 2, "complete")  # the last stored frame is looked at again
+    held = store.open_ledger(spark, path)
+    assert sorted(r.frame_no for r in held["frames"].collect()) == list(range(6)) and store.open_attempts(held["attempts"]).count() == 0
+    with pytest.raises(ValueError, match="replay differs"):
+        other = [(*i[:4], bytearray(48), i[5]) for i in images]
+        spark.createDataFrame(other, "source_id string, frame_no long, width int, height int, pixels binary, time_s double").write.parquet(f"file://{tmp_path}/other")
+        call("scan", "--frames", f"file://{tmp_path}/other")
+    failed = store.open_ledger(spark, path)["attempts"].where("status = 'failed'").collect()
+    assert len(failed) == 1 and "replay differs" in failed[0].error
+
+    (tmp_path / "ledger" / "evidence").mkdir()
+    image = tmp_path / "ledger" / "evidence" / "a.png"
+    image.write_bytes(b"image")
+    store.append(spark.createDataFrame([("v", f(0), 0, "full", "evidence/a.png", hashlib.sha256(b"image").hexdigest())], "source_id string, id string, frame_no long, kind string, path string, sha256 string"), path, "assets")
+    view = ("record-view", f(0), "--source", "v", "--actor", "ann", "--tool", "read_image", "--trace", "read_image#1", "--observation", "x")
+    assert call(*view)["frame_no"] == 0
+    assert call("validate")["valid"]
+    image.write_bytes(b"changed")
+    with pytest.raises(ValueError, match="missing or changed"):
+        call(*view)
+    movie.unlink()
+    assert {e["code"] for e in call("validate")["errors"]} == {"asset_hash_mismatch", "source_missing"}
+
+    call("select", "--mode", "changes")
+    assert store.review_mode(store.open_ledger(spark, path)["meta"]) == "strict"
+    call("select")
+    told = call("status")
+    assert told["review_mode"] == "layered"
+    (tmp_path / "a.srt").write_text("1\n00:00:00,300 --> 00:00:01,000\nhello\n")
+    new, again = (call("subtitles", str(tmp_path / "a.srt"), "--source", "v") for _ in range(2))
+    assert (new["cache_reused"], again["cache_reused"]) == (False, True) and new["cues"][0]["id"] == again["cues"][0]["id"] and len(again["cues"]) == 1
+    assert call("status")["snapshots"] != told["snapshots"]  # a review of before is stale
+
+    step = {
+        "id": "S1", "phase": "p", "start_frame": 0, "end_frame": 5, "software": "s", "module": "m", "menu_path": [], "selected_objects": [], "final_parameters": {}, "confirmation_action": "c", "visible_result": "v", "input_files": [], "output_files": [], "evidence": [f(0)], "uncertainties": [], "status": "confirmed", "author": "ann",
+    }
+    put = lambda name, data: (tmp_path / name).write_text(json.dumps(data)) and call("import-records", tmp_path / name, "--source", "v")
+    put("s.json", {"steps": [step]})
+    gone = {"id": "S1", "reason": "r", "reviewer": "bob", "replacement_step_ids": ["S2"]}
+    with pytest.raises(ValueError, match="replacement_not_active"):
+        put("r.json", {"retire_steps": [gone]})
+    put("r.json", {"retire_steps": [gone], "steps": [{**step, "id": "S2"}]})
+    log = store.open_ledger(spark, path)["records"]
+    from strandline.operators import contracts
+
+    assert [r.id for r in contracts.current_table(log, "steps").collect()] == ["S2"]
+    with pytest.raises(ValueError, match="retired_id_used_again"):
+        put("s.json", {"steps": [step]})
