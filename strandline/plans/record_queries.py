@@ -28,8 +28,10 @@ from .ledger_queries import _SHOW, INTERVALS, LEDGER, STRICT, _ledger
 _K = "(props->>'k')::BIGINT"
 
 
-def _events(spark, d):
-    return ad.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+def _events(spark, d, wrap: int | None = None):
+    """All events with their payload number ``k``; with ``wrap`` its remainder, which picks one of so many cases."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return ad.table(spark, d, "events").withColumn("k", k % wrap if wrap else k)
 
 
 def _pick(values: list[str], base: str):
@@ -171,9 +173,9 @@ def rc_evidence(spark, d):
 _TRACES = ["shot.PNG", "abc", "f000000001", "session://x/y.jpg", " ", "read_image#1"]
 
 
-@query("SELECT event_id, CASE WHEN k = 4 THEN 'blank' WHEN k <= 3 THEN 'trace' WHEN k = 6 THEN 'tool' END AS problem FROM (SELECT event_id, (props->>'k')::BIGINT AS k FROM events) WHERE k <= 6")
+@query(f"SELECT event_id, CASE WHEN k = 4 THEN 'blank' WHEN k <= 3 THEN 'trace' WHEN k = 6 THEN 'tool' END AS problem FROM (SELECT event_id, {_K} % 7 AS k FROM events)")
 def rc_view(spark, d):
-    rows = _events(spark, d).where("k <= 6").withColumn("trace", _pick(_TRACES, "read_image#2"))
+    rows = _events(spark, d, 7).withColumn("trace", _pick(_TRACES, "read_image#2"))
     tool = F.when(F.col("k") == 6, "eyes").otherwise("read_image")
     return rows.select("event_id", ct.view_problem(tool, F.lit("ann"), F.col("trace"), F.lit("seen"), F.lit("f000000001"), F.lit("evidence/f1.png")).alias("problem"))
 
@@ -192,22 +194,22 @@ _NAMES = ["ok-1", "CON", "lpt9", "a b", "", "-x", "x" * 65, "OK-1", "../a", "x"
 
 @query("SELECT id, code FROM (VALUES ('CON', 'unsafe'), ('lpt9', 'unsafe'), ('a b', 'unsafe'), ('', 'unsafe'), ('-x', 'unsafe'), (repeat('x', 65), 'unsafe'), ('../a', 'unsafe'), ('ok-1', 'duplicate'), ('OK-1', 'duplicate')) v(id, code)")
 def rc_supp_id(spark, d):
-    rows = _events(spark, d).where(F.col("k") < len(_NAMES)).select(F.lit(1).alias("source_id"), _pick(_NAMES, "").alias("id")).distinct()
+    rows = _events(spark, d, len(_NAMES)).select(F.lit(1).alias("source_id"), _pick(_NAMES, "").alias("id")).distinct()
     return ct.identifier_problems(rows).select("id", "code")
 
 
 _PATHS = ["a/b.png", "../a", "/etc/x", "a//b", "a/./b", "c:\\x", "a\\b", "a/..", ""]
 
 
-@query(f"SELECT event_id, {_K} IN (0, 6) AS safe FROM events WHERE {_K} < {len(_PATHS)}")
+@query(f"SELECT event_id, {_K} % {len(_PATHS)} IN (0, 6) AS safe FROM events")
 def rc_path(spark, d):
-    return _events(spark, d).where(F.col("k") < len(_PATHS)).select("event_id", sc.safe_path(_pick(_PATHS, "")).alias("safe"))
+    return _events(spark, d, len(_PATHS)).select("event_id", sc.safe_path(_pick(_PATHS, "")).alias("safe"))
 
 
-@query(f"WITH {_RUNS} SELECT source_id, frame_no FROM runs WHERE exact_start <> frame_no AND k < 50")
+@query(f"WITH {_RUNS} SELECT source_id, frame_no FROM runs WHERE exact_start <> frame_no")
 def rc_representative(spark, d):
     runs = _runs(spark, d)
-    return ct.representative_problems(runs.where(F.get_json_object("props", "$.k").cast("long") < 50), runs)
+    return ct.representative_problems(runs, runs)
 
 
 @query(f"WITH RECURSIVE {LEDGER} SELECT i.source_id, i.id FROM intervals i JOIN runs r ON r.source_id = i.source_id AND r.frame_no BETWEEN i.start_frame AND i.end_frame GROUP BY i.source_id, i.id, i.start_frame, i.end_frame HAVING count(*) < i.end_frame - i.start_frame + 1")
@@ -343,10 +345,10 @@ def agg_authors(spark, d):
     return who.groupBy("source_id").agg(F.collect_set("author").alias("a")).select("source_id", F.array_contains("a", "bob").alias("bob_wrote"), F.size("a").cast("long").alias("authors"))
 
 
-@query(f"SELECT event_id, CASE WHEN {_K} < 10 OR {_K} BETWEEN 20 AND 29 THEN NULL ELSE {_K} >= 30 END AS mismatch FROM events WHERE {_K} < 40")
+@query(f"SELECT event_id, CASE WHEN k < 10 OR k BETWEEN 20 AND 29 THEN NULL ELSE k >= 30 END AS mismatch FROM (SELECT event_id, {_K} % 40 AS k FROM events)")
 def agg_mismatch(spark, d):
     k = F.col("k")
-    rows = _events(spark, d).where("k < 40")
+    rows = _events(spark, d, 40)
     return rows.select("event_id", st.mismatch(F.when(k >= 30, F.lit(2)).otherwise(1), F.when(k < 10, F.lit(None)).otherwise(1), ~k.between(20, 29)).alias("mismatch"))
 
 
@@ -396,11 +398,13 @@ def rel_update(spark, d):
     return store.updated(ad.table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), n, ["c_custkey"], ["c_acctbal"])
 
 
-@query("SELECT 'events' AS tbl, 'payload' AS missing UNION ALL SELECT 'labels', 'actor'")
+@query("""SELECT event_type, min(event_id) AS event_id, 'payload' AS missing FROM events GROUP BY event_type UNION ALL SELECT event_type, min(event_id), 'actor' FROM events GROUP BY event_type""")
 def rel_schema_probe(spark, d):
-    wanted = {"events": ("event_id", "payload"), "labels": ("doc_id", "actor"), "pages": ("url",)}
-    rows = [(t, c) for t, names in wanted.items() for c in store.has_columns(ad.table(spark, d, t), *names)]
-    return spark.createDataFrame(rows, "tbl string, missing string")
+    """The columns that a table lacks, for the first event of each type, before and after one of them is added."""
+    rows = ad.table(spark, d, "events")
+    lacking = store.has_columns(rows, "event_id", "payload", "user_id", "actor")
+    first = rows.groupBy("event_type").agg(F.min("event_id").alias("event_id"), *(F.lit(c).alias(c) for c in lacking))
+    return first.select("event_type", "event_id", F.explode(F.array(*lacking)).alias("missing"))
 
 
 # --- sources and sinks -----------------------------------------------------------------
@@ -409,9 +413,9 @@ _HEADS = ["1A45DFA3FF", "524946460000000041564920", "000000186674797069736F6D",
 _KINDS = ["matroska", "avi", "mov", "mov", None, "webvtt", "srt", "webvtt", None]
 
 
-@query(f"SELECT event_id, {_case([repr(x) if x else None for x in _KINDS])} AS subtitles, {_case([repr(x) if x and i < 4 else None for i, x in enumerate(_KINDS)])} AS media FROM (SELECT event_id, {_K} AS k FROM events) WHERE k < {len(_KINDS)}")
+@query(f"SELECT event_id, {_case([repr(x) if x else None for x in _KINDS])} AS subtitles, {_case([repr(x) if x and i < 4 else None for i, x in enumerate(_KINDS)])} AS media FROM (SELECT event_id, {_K} % {len(_KINDS)} AS k FROM events)")
 def src_sniff(spark, d):
-    rows = _events(spark, d).where(F.col("k") < len(_HEADS)).withColumn("content", F.unhex(_pick(_HEADS, "")))
+    rows = _events(spark, d, len(_HEADS)).withColumn("content", F.unhex(_pick(_HEADS, "")))
     return rows.select("event_id", ad.container_kind("content", True).alias("subtitles"), ad.container_kind("content").alias("media"))
 
 
@@ -426,27 +430,27 @@ def _mov_files() -> list[bytes]:
     return [movie(dref(1, own)), movie(dref(1, far)), movie(dref(2, own)), box(b"ftyp", b"isom") + box(b"mdat", b"x"), movie(dref(1, own)) + box(b"cmov", b""), box(b"moov", deep), movie(dref(1, own))[:-4], box(b"moov", box(b"meta", b"\0\0\0\1")), box(b"moov", b"", 0)]
 
 
-@query(f"SELECT event_id, {_case([None, *(repr(x) for x in ('external reference', 'reference count', 'no movie metadata', 'reference or compressed movie', 'nested too deep', 'box outside its parent', 'metadata layout'))])} AS problem FROM (SELECT event_id, {_K} AS k FROM events) WHERE k < 9")
+@query(f"SELECT event_id, {_case([None, *(repr(x) for x in ('external reference', 'reference count', 'no movie metadata', 'reference or compressed movie', 'nested too deep', 'box outside its parent', 'metadata layout'))])} AS problem FROM (SELECT event_id, {_K} % 9 AS k FROM events)")
 def src_mov(spark, d):
-    rows = _events(spark, d).where("k < 9").withColumn("content", F.unhex(_pick([f.hex() for f in _mov_files()], "")))
+    rows = _events(spark, d, 9).withColumn("content", F.unhex(_pick([f.hex() for f in _mov_files()], "")))
     return rows.select("event_id", ad.mov_problems("content").alias("problem"))
 
 
-@query(f"SELECT event_id, 0 AS pos, k::DOUBLE AS start_time, k + 1.5::DOUBLE AS end_time, event_type || chr(10) || 'x' AS text_original, true AS sound FROM (SELECT *, {_K} AS k FROM events) WHERE k < 60 UNION ALL SELECT event_id, 1, NULL, NULL, NULL, false FROM events WHERE {_K} < 60")
+@query(f"SELECT event_id, 0 AS pos, k::DOUBLE AS start_time, k + 1.5::DOUBLE AS end_time, event_type || chr(10) || 'x' AS text_original, true AS sound FROM (SELECT *, {_K} AS k FROM events) UNION ALL SELECT event_id, 1, NULL, NULL, NULL, false FROM events")
 def src_srt(spark, d):
     k = F.col("k")
-    clock = lambda s: F.format_string("0:00:%02d,%03d", F.floor(s).cast("int"), ((s * 1000) % 1000).cast("int"))
-    text = F.concat(F.lit("1\r\n"), clock(k), F.lit(" --> "), F.when(k < 58, F.format_string("0:00:%02d,500", (k + 1).cast("int"))).otherwise(F.format_string("0:01:%02d,500", (k + 1 - 60).cast("int"))), F.lit("\n"), F.col("event_type"), F.lit("\nx\n\n2\nno time\nno text\n"))
-    rows = _events(spark, d).where("k < 58").unionByName(_events(spark, d).where("k in (58, 59)")).withColumn("text", F.when(k == 58, F.concat(F.lit("1\n0:00:58,000 --> 0:00:59,500\n"), F.col("event_type"), F.lit("\nx\n\n2\nno time\nno text\n"))).otherwise(text))
+    clock = lambda x, ms: F.format_string(f"0:%02d:%02d,{ms}", F.floor(x / 60).cast("int"), (x % 60).cast("int"))
+    end = F.when(k % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    rows = _events(spark, d).withColumn("text", F.concat(F.lit("1"), end, clock(k, "000"), F.lit(" --> "), clock(k + 1, "500"), end, F.col("event_type"), F.lit("\nx\n\n2\nno time\nno text\n")))
     return ad.srt_blocks(rows.withColumn("source_id", F.col("event_id"))).select(F.col("source_id").alias("event_id"), "pos", "start_time", "end_time", "text_original", "sound")
 
 
-@query(f"""WITH {_FRAMES}, first AS (SELECT source_id, floor(time_s)::DOUBLE AS t FROM frames WHERE frame_no = 0), seg AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_no) - 1 AS pos, k, digest FROM frames WHERE k < 20)
+@query(f"""WITH {_FRAMES}, first AS (SELECT source_id, floor(time_s)::DOUBLE AS t FROM frames WHERE frame_no = 0), seg AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_no) - 1 AS pos, k, digest FROM frames)
 SELECT source_id, pos, CASE WHEN source_id % 2 = 0 THEN t ELSE 0 END + 2.5 AS offset_s, k::DOUBLE AS begin_s, k + 1::DOUBLE AS end_s, digest AS text FROM seg JOIN first USING (source_id)""")
 def src_transcript(spark, d):
     frames = _frames(spark, d).withColumn("time_s", F.floor("time_s").cast("double"))
     k = F.get_json_object("props", "$.k").cast("double")
-    told = frames.withColumn("k", k).where("k < 20").groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "k", "digest"))), lambda x: F.struct(x["k"].alias("start"), (x["k"] + 1).alias("end"), x["digest"].alias("text"))).alias("segments"))
+    told = frames.withColumn("k", k).groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "k", "digest"))), lambda x: F.struct(x["k"].alias("start"), (x["k"] + 1).alias("end"), x["digest"].alias("text"))).alias("segments"))
     docs = told.select("source_id", F.when(F.col("source_id") % 2 == 0, "video_relative").otherwise("original").alias("time_base"), F.lit(2.5).alias("offset_seconds"), "segments")
     return ad.transcript_cues(docs, frames).select("source_id", "pos", F.col("offset").alias("offset_s"), F.col("begin").alias("begin_s"), F.col("end").alias("end_s"), "text")
 
@@ -505,28 +509,28 @@ def src_tree(spark, d):
     return ad.compare_inventories(pages, other).join(pages, "name").select(F.col("name").cast("long").alias("id"), "sha256", "state")
 
 
-@query(f"WITH {_FRAMES} SELECT source_id, frame_no, 'f' || lpad(frame_no::VARCHAR, 9, '0') AS asset_id, k < 50 AS verified FROM frames WHERE k < 60")
+@query(f"WITH {_FRAMES} SELECT source_id, frame_no, 'f' || lpad(frame_no::VARCHAR, 9, '0') AS asset_id, k < 50 AS verified FROM frames")
 def snk_extract(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     frames = _frames(spark, d)
     decoded = frames.withColumn("digest", F.when(k < 50, F.col("digest")).otherwise("other"))
-    return sinks.extracted(frames.where(k < 60), frames, decoded)
+    return sinks.extracted(frames, frames, decoded)
 
 
-@query(f"WITH RECURSIVE {LEDGER} SELECT source_id, id || '-crop-' || array_to_string(box, '-') AS id, frame_no, CASE WHEN kind <> 'full' THEN 'not_a_full_image' WHEN box[3] > 640 THEN 'outside' END AS problem FROM (SELECT a.source_id, a.id, a.frame_no, a.kind, [0, 0, 10 * r.k, 90] AS box FROM assets a JOIN runs r USING (source_id, frame_no) WHERE r.k > 0)")
+@query(f"WITH RECURSIVE {LEDGER} SELECT source_id, id || '-crop-' || array_to_string(box, '-') AS id, frame_no, CASE WHEN kind <> 'full' THEN 'not_a_full_image' WHEN box[3] > 640 THEN 'outside' END AS problem FROM (SELECT a.source_id, a.id, a.frame_no, a.kind, [0, 0, 10 * (r.k + 1), 90] AS box FROM assets a JOIN runs r USING (source_id, frame_no))")
 def snk_crop(spark, d):
     led = _ledger(spark, d)
-    size = led.frames.select("source_id", "frame_no", "k").where("k > 0")
-    wanted = led.assets.join(size, ["source_id", "frame_no"]).select("source_id", F.col("id").alias("asset_id"), F.array(F.lit(0), F.lit(0), (10 * F.col("k")).cast("int"), F.lit(90)).alias("box"))
+    size = led.frames.select("source_id", "frame_no", "k")
+    wanted = led.assets.join(size, ["source_id", "frame_no"]).select("source_id", F.col("id").alias("asset_id"), F.array(F.lit(0), F.lit(0), (10 * (F.col("k") + 1)).cast("int"), F.lit(90)).alias("box"))
     return sinks.crop_assets(wanted, led.assets, led.frames).select("source_id", "id", "frame_no", "problem")
 
 
-@query(f"""WITH {_FRAMES}, p AS (SELECT source_id, frame_no, least(480, 300 + 10 * k) AS w, 360.0 * least(480, 300 + 10 * k) / (300 + 10 * k) AS hh, row_number() OVER (PARTITION BY source_id ORDER BY frame_no) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS n FROM frames WHERE k < 30),
+@query(f"""WITH {_FRAMES}, p AS (SELECT source_id, frame_no, least(480, 300 + 10 * k) AS w, 360.0 * least(480, 300 + 10 * k) / (300 + 10 * k) AS hh, row_number() OVER (PARTITION BY source_id ORDER BY frame_no) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS n FROM frames),
 q AS (SELECT *, round_even(hh, 0)::BIGINT AS h, least(4, n) AS cols FROM p), c AS (SELECT *, max(h) OVER (PARTITION BY source_id) + 28 AS cell FROM q)
 SELECT source_id, frame_no, (i % cols) * 480 AS x, (i // cols) * cell + 28 AS y, w, h FROM c""")
 def snk_sheet(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    panels = _frames(spark, d).where(k < 30).select("source_id", F.lit("all").alias("sheet"), "frame_no", (300 + 10 * k).alias("width"), F.lit(360).alias("height"))
+    panels = _frames(spark, d).select("source_id", F.lit("all").alias("sheet"), "frame_no", (300 + 10 * k).alias("width"), F.lit(360).alias("height"))
     out = sinks.sheet_layout(panels)
     at = lambda c, i: F.col(c)[i].cast("long")
     return out.select("source_id", "frame_no", at("box", 0).alias("x"), at("box", 1).alias("y"), at("display_size", 0).alias("w"), at("display_size", 1).alias("h"))
@@ -628,10 +632,10 @@ def audit_gate(spark, d):
 _SUPPLEMENT = ["unknown_export", "export_pending", "export_incomplete", "export_invalid", "not_independent", "unknown_or_duplicate_asset", "not_a_full_image", "unsafe_path", "not_an_image", "file_changed", "no_native_view", "unknown_frame"]
 
 
-@query(f"SELECT event_id, {_case([repr(c) for c in _SUPPLEMENT])} AS code FROM (SELECT event_id, {_K} AS k FROM events) WHERE k < {len(_SUPPLEMENT)}")
+@query(f"SELECT event_id, {_case([repr(c) for c in _SUPPLEMENT])} AS code FROM (SELECT event_id, {_K} % {len(_SUPPLEMENT)} AS k FROM events)")
 def src_supplement(spark, d):
     """One export and one asset per event, each with the fault that its ``k`` names."""
-    e = _events(spark, d).withColumns({"source_id": F.col("user_id"), "export_id": F.col("event_id"), "h": F.sha2(F.col("event_id").cast("string"), 256)})
+    e = _events(spark, d, len(_SUPPLEMENT)).withColumns({"source_id": F.col("user_id"), "export_id": F.col("event_id"), "h": F.sha2(F.col("event_id").cast("string"), 256)})
     fault = lambda name: F.col("k") == _SUPPLEMENT.index(name)
     unless = lambda name, bad, good: F.when(fault(name), bad).otherwise(good)
     wanted = e.select("source_id", F.lit("s").alias("id"), "export_id", F.lit("f1").alias("asset_id"))
@@ -646,10 +650,10 @@ def src_supplement(spark, d):
     return out.select(F.col("source_id").alias("event_id"), "code")
 
 
-@query(f"SELECT event_id, CASE k WHEN 0 THEN 'invalid_supplement_reference' WHEN 1 THEN 'unknown_supplement' WHEN 2 THEN 'invalid_supplement' WHEN 3 THEN 'unknown_supplement_evidence' ELSE 'unreviewed_supplement_evidence' END AS code FROM (SELECT event_id, {_K} AS k FROM events) WHERE k < 5")
+@query(f"SELECT event_id, CASE k WHEN 0 THEN 'invalid_supplement_reference' WHEN 1 THEN 'unknown_supplement' WHEN 2 THEN 'invalid_supplement' WHEN 3 THEN 'unknown_supplement_evidence' ELSE 'unreviewed_supplement_evidence' END AS code FROM (SELECT event_id, {_K} % 6 AS k FROM events) WHERE k <> 5")
 def supplement_codes(spark, d):
-    k = F.col("k")
-    e = _events(spark, d)
+    k = F.col("k")  # 5: a sound reference
+    e = _events(spark, d, 6)
     refs = e.select(F.lit(1).alias("source_id"), F.col("event_id").alias("issue_id"), F.when(k == 4, "cat").otherwise("bob").alias("reviewer"), F.when(k == 0, " ").when(k == 1, "gone").when(k == 2, "bad").otherwise("good").alias("supplement_id"), F.when(k == 3, "f9").otherwise("f1").alias("asset_id"))
     state = spark.createDataFrame([(1, "good", True), (1, "bad", False)], "source_id int, id string, valid boolean")
     assets = spark.createDataFrame([(1, i, "f1", 7, "h") for i in ("good", "bad")], "source_id int, id string, asset_id string, frame_no long, sha256 string")
@@ -673,17 +677,17 @@ def delivery_checks(spark, d):
 _WORDS = ["", "unknown", " N/A ", "NULL", "none", "未知", "不明", "未展示", "待核实", "待辨认", "未记录", "0", "  "]
 
 
-@query(f"SELECT event_id, {_K} IN (0, 1, 2, 3, 5, 7, 8, 9, 10) AS is_unknown FROM events WHERE {_K} < {len(_WORDS)}")
+@query(f"SELECT event_id, {_K} % {len(_WORDS)} IN (0, 1, 2, 3, 5, 7, 8, 9, 10) AS is_unknown FROM events")
 def sc_unknown(spark, d):
-    return _events(spark, d).where(F.col("k") < len(_WORDS)).select("event_id", sc.unknown(_pick(_WORDS, "")).alias("is_unknown"))
+    return _events(spark, d, len(_WORDS)).select("event_id", sc.unknown(_pick(_WORDS, "")).alias("is_unknown"))
 
 
 _NESTED = ['{"value": 1, "evidence": []}', '{"value": null}', "[]", '["a", ["未知"]]', "0", '{"a": {"b": "ok"}}', "{broken", "{}", '"n/a"', "false"]
 
 
-@query(f"SELECT event_id, {_K} IN (1, 2, 3, 6, 7, 8) AS is_unknown FROM events WHERE {_K} < {len(_NESTED)}")
+@query(f"SELECT event_id, {_K} % {len(_NESTED)} IN (1, 2, 3, 6, 7, 8) AS is_unknown FROM events")
 def sc_unknown_value(spark, d):
-    return _events(spark, d).where(F.col("k") < len(_NESTED)).select("event_id", pr.unknown_value(_pick(_NESTED, "0")).alias("is_unknown"))
+    return _events(spark, d, len(_NESTED)).select("event_id", pr.unknown_value(_pick(_NESTED, "0")).alias("is_unknown"))
 
 
 @query(f"SELECT event_id, 'k：' || {_K} || '；type：' || event_type || '；list：' || '未记录' || '、' || '是' || '；none：' || '无记录' AS words FROM events")
@@ -698,10 +702,10 @@ def sc_link(spark, d):
 
 
 @query(f"""SELECT event_id, '源帧 ' || event_id || '；' || CASE WHEN k < 10 THEN '原始 PTS：未知' || CASE WHEN k < 5 THEN '；best-effort：未知' ELSE '；best-effort：' || k || '.500 s' END ELSE '原始 PTS：' || k || '.250 s' END
-  || '；相对视频首帧：' || CASE WHEN k < 5 THEN '未知' ELSE lpad(((k * 60) // 60)::VARCHAR, 2, '0') || ':00.000' END AS told FROM (SELECT event_id, {_K} AS k FROM events) WHERE k < 60""")
+  || '；相对视频首帧：' || CASE WHEN k < 5 THEN '未知' ELSE lpad(((k * 60) // 60)::VARCHAR, 2, '0') || ':00.000' END AS told FROM (SELECT event_id, {_K} % 60 AS k FROM events)""")
 def sc_timestamp(spark, d):
     k = F.col("k")
-    rows = _events(spark, d).where("k < 60")
+    rows = _events(spark, d, 60)
     pts, best = F.when(k < 10, "N/A").otherwise(F.concat(k.cast("string"), F.lit(".25"))), F.when(k < 5, "nan").otherwise(F.concat(k.cast("string"), F.lit(".5")))
     return rows.select("event_id", pr.timestamp(F.col("event_id"), pts, best, F.lit("best_effort"), F.when(k >= 5, k * 60.0 + 7.5), F.lit(7.5)).alias("told"))
 
@@ -764,9 +768,9 @@ def sc_summary(spark, d):
     return _events(spark, d).withColumn("c", check).select("event_id", told.alias("told"), pr.reproduction_line(F.col("c")).alias("repro"))
 
 
-@query(f"SELECT event_id, k * 60 + 7.5::DOUBLE AS seconds FROM (SELECT event_id, {_K} AS k FROM events) WHERE k < 60")
+@query(f"SELECT event_id, k * 60 + 7.5::DOUBLE AS seconds FROM (SELECT event_id, {_K} % 60 AS k FROM events)")
 def sc_clock_parse(spark, d):
-    return _events(spark, d).where("k < 60").select("event_id", sc.clock_parse(F.format_string("0:%02d:07,500", F.col("k"))).alias("seconds"))
+    return _events(spark, d, 60).select("event_id", sc.clock_parse(F.format_string("0:%02d:07,500", F.col("k"))).alias("seconds"))
 
 
 @query(f"WITH RECURSIVE {LEDGER}, {STRICT}, open_ AS (SELECT source_id, 'x' AS x FROM issues WHERE NOT solved) SELECT s.source_id, count(*) AS lines FROM (SELECT source_id FROM steps UNION ALL SELECT source_id FROM steps UNION ALL SELECT source_id FROM (SELECT source_id, unnest(evidence) FROM steps) UNION ALL SELECT source_id FROM (SELECT source_id, unnest(uncertainties) FROM steps) UNION ALL SELECT source_id FROM open_ UNION ALL SELECT source_id FROM strict) s GROUP BY s.source_id")
