@@ -476,6 +476,28 @@ def ivl_align_store(spark, d):
     return out.select("source_id", "pos", F.array_join(F.transform("frame_ranges", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",").alias("frame_ranges"), "alignment", F.array_join("warnings", ",").alias("warnings"))
 
 
+@query(f"""WITH {_CUE}, known AS (SELECT source_id, digest IN ('error', 'view') AS reused FROM frames WHERE frame_no = 0)
+SELECT source_id, pos, coalesce(ranges, '') AS frame_ranges, CASE WHEN ranges IS NULL THEN 'unaligned' ELSE 'display_interval_overlap' END AS alignment, warnings, reused AS cache_reused, pos + 1 AS number, 'en' AS language FROM own JOIN w USING (source_id) JOIN known USING (source_id)""")
+def src_subtitles(spark, d):
+    """Imports of all sources, of which those whose first event is an error or a view were stored before."""
+    from pyspark.sql import Window as W
+
+    from ..operators import language
+
+    frames = staged(_frames(spark, d), "frames")
+    k = F.get_json_object("props", "$.k").cast("long")
+    n = (F.row_number().over(W.partitionBy("source_id").orderBy("frame_no")) - 1).cast("long")
+    cues = frames.where("digest = 'error'").select("source_id", F.lit("srt").alias("id"), n.alias("pos"), F.col("time_s").alias("begin"), (F.col("time_s") + 20000 * (k + 1).cast("double")).alias("end"), F.lit("x").alias("text"))
+    ask = cues.select("source_id", "id").distinct().select("source_id", "id", F.sha2(F.col("source_id").cast("string"), 256).alias("sha256"), F.lit(100.0).alias("offset"), F.lit("en").alias("language"))
+    early = frames.where("frame_no = 0 and digest in ('error', 'view')").select("source_id")
+    nothing = spark.createDataFrame([], store.TABLES["cues"]).withColumn("source_id", F.col("source_id").cast(frames.schema["source_id"].dataType))
+    stored = language.remember(ask.join(early, "source_id", "left_semi"), cues, frames, nothing)[1]
+    told, _ = language.remember(ask, cues, frames, stored)
+    ranges = F.array_join(F.transform("frame_ranges", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
+    number = F.regexp_extract("id", ":c([0-9]+)$", 1).cast("long")
+    return told.select("source_id", "pos", ranges.alias("frame_ranges"), "alignment", F.array_join("warnings", ",").alias("warnings"), "cache_reused", number.alias("number"), "language")
+
+
 @query(f"WITH {_FRAMES} SELECT source_id, time_s AS first_time FROM frames WHERE frame_no = 0")
 def ivl_relative_base(spark, d):
     return ad.first_times(_frames(spark, d))
