@@ -188,9 +188,21 @@ def select(w: Work, a) -> dict:
 
 
 def plan(w: Work, a) -> dict:
-    proposals, asked = segments.prepare(w.led.states, a.max_span, a.layout_fraction, a.stable_seconds)
-    w.replan(staged(asked, "asked"), "layered")
-    return {"segments": _rows(proposals.orderBy("source_id", "start_frame"))}
+    """Segments and their requests; only of sources whose frames or settings changed since their last plan."""
+    config = {"max_span": a.max_span, "layout_fraction": a.layout_fraction, "stable_seconds": a.stable_seconds}
+    keys = staged(segments.plan_key(identity.plan_fingerprint(w.runs), config), "keys")
+    held = store.meta(w.tables["meta"]).where("key = 'plan_key'").select("source_id", F.col("value").alias("key"))
+    due = staged(keys.join(held, ["source_id", "key"], "left_anti"), "due")
+    proposals, asked = segments.prepare(w.led.states.join(due.select("source_id"), "source_id", "left_semi"), a.max_span, a.layout_fraction, a.stable_seconds)
+    proposals = staged(proposals, "proposals")
+    stays = lambda rows: rows.join(due.select("source_id"), "source_id", "left_anti")
+    plans = staged(stays(store.typed_as(w.tables["plans"], "plans")).unionByName(store.typed_as(proposals, "plans")), "plans")
+    told = w.noted(review_mode="layered").unionByName(due.select("source_id", F.lit("plan_key").alias("key"), F.col("key").alias("value"), F.lit(time.time_ns()).alias("seq")))
+    # selections of other modes go, and with them the requests of plans that stay are written again
+    wanted = plans.select("source_id", F.explode("representative_frames").alias("frame_no"), F.concat(F.lit("layer_overview:"), "id").alias("reason"), F.lit("automatic").alias("origin"))
+    other = w.tables["requests"].where("origin <> 'automatic'")
+    w.commit({"meta": told}, {"requests": other.unionByName(wanted), "plans": plans})
+    return {"segments": _rows(plans.orderBy("source_id", "start_frame")), "planned": due.count()}
 
 
 def focus(w: Work, a) -> dict:

@@ -34,24 +34,28 @@ def covered(targets: DataFrame, viewed: DataFrame, run_frames: DataFrame) -> Dat
 def crop_regions(assets: DataFrame) -> DataFrame:
     """(source_id, id, x0, y0, x1, y1) of crops in source coordinates; cycles and bad boxes fail closed.
 
-    One round for each level of the deepest chain; what is left after it is written to the
-    shared folder, which cuts lineage.
+    A crop fits or does not fit its parent, whatever that lies in, and its place in the source
+    is the sum of the offsets up its chain. So chains are followed by doubling: each round
+    joins every open crop with the one it points at, which is 1, 2, 4, ... parents up. A chain
+    of a thousand crops takes ten rounds; one that is still open when its rounds exceed the
+    number of crops is a cycle.
     """
     box = lambda i: F.col("crop")[i]
-    crops = assets.where("kind = 'crop'").where((F.size("crop") == 4) & (box(0) >= 0) & (box(1) >= 0) & (box(0) < box(2)) & (box(1) < box(3)))
-    step = crops.select("source_id", "id", "parent_id", *(box(i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+    sound = (F.size("crop") == 4) & (box(0) >= 0) & (box(1) >= 0) & (box(0) < box(2)) & (box(1) < box(3))
+    crops = staged(assets.where("kind = 'crop'").where(sound).select("source_id", "id", "parent_id", *(box(i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1")))), "crops")
     full = assets.where("kind = 'full'").select("source_id", F.col("id").alias("parent_id"))
-    parents = step.select("source_id", F.col("id").alias("parent_id"), F.col("parent_id").alias("up"), F.col("x0").alias("px"), F.col("y0").alias("py"), F.col("x1").alias("qx"), F.col("y1").alias("qy"))
-    out, rest = None, step.withColumn("passed", F.array("id"))
-    while True:
-        done = rest.join(full, ["source_id", "parent_id"], "left_semi").drop("parent_id", "passed")
-        out = done if out is None else out.unionByName(done)
-        up = rest.where(~F.array_contains("passed", F.col("parent_id"))).join(parents, ["source_id", "parent_id"]).where("px + x1 <= qx and py + y1 <= qy")
-        passed = F.array_append("passed", F.col("parent_id")).alias("passed")
-        up = up.select("source_id", "id", F.col("up").alias("parent_id"), (F.col("px") + F.col("x0")).alias("x0"), (F.col("py") + F.col("y0")).alias("y0"), (F.col("px") + F.col("x1")).alias("x1"), (F.col("py") + F.col("y1")).alias("y1"), passed)
-        rest = staged(up, "crops")
-        if rest.isEmpty():
-            return out
+    parents = crops.select("source_id", F.col("id").alias("parent_id"), F.col("x0").alias("dx"), F.col("y0").alias("dy"), F.col("x1").alias("qx"), F.col("y1").alias("qy"))
+    ends = crops.join(full, ["source_id", "parent_id"], "left_semi").select("source_id", "id", F.lit(None).cast("string").alias("up"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))
+    inner = crops.join(parents, ["source_id", "parent_id"]).where("dx + x1 <= qx and dy + y1 <= qy").select("source_id", "id", F.col("parent_id").alias("up"), "dx", "dy")
+    links, reach, n = staged(ends.unionByName(inner), "links"), 1, crops.count()
+    while reach < 2 * n and not links.where("up is not null").isEmpty():
+        above = links.select("source_id", F.col("id").alias("up"), F.col("up").alias("far"), F.col("dx").alias("ex"), F.col("dy").alias("ey"))
+        further = links.where("up is not null").join(above, ["source_id", "up"])  # none above: the chain breaks there
+        further = further.select("source_id", "id", F.col("far").alias("up"), (F.col("dx") + F.col("ex")).alias("dx"), (F.col("dy") + F.col("ey")).alias("dy"))
+        links, reach = staged(links.where("up is null").unionByName(further), "links"), 2 * reach
+    done = links.where("up is null").select("source_id", "id", "dx", "dy")
+    moved = lambda a, b: (F.col(a) + F.col(b)).alias(a)
+    return crops.join(done, ["source_id", "id"]).select("source_id", "id", moved("x0", "dx"), moved("y0", "dy"), moved("x1", "dx"), moved("y1", "dy"))
 
 
 def covered_length(spans: DataFrame, run_frames: DataFrame) -> DataFrame:

@@ -114,6 +114,13 @@ def index_fingerprint(frames: DataFrame) -> DataFrame:
     return snapshot(rows).withColumnRenamed("snapshot", "fingerprint")
 
 
+def plan_fingerprint(frames: DataFrame) -> DataFrame:
+    """(source_id, fingerprint) of all of a frame that a plan depends on."""
+    parts = ("frame_no", "time_s", "digest", "exact_start", "global_delta", "max_local_delta", "changed_fraction")
+    rows = section(frames, "plan", F.lpad(F.col("frame_no").cast("string"), 19, "0"), *parts, block=F.floor(F.col("frame_no") / BLOCK))
+    return snapshot(rows).withColumnRenamed("snapshot", "fingerprint")
+
+
 def cache_key(sources: DataFrame, fingerprints: DataFrame, version: int = 2) -> DataFrame:
     """(source_id, id, key) of language imports: the file, its offset and language, and the index it was aligned with."""
     joined = sources.join(fingerprints, "source_id")

@@ -18,6 +18,7 @@ TABLES = {
     "assets": "source_id string, id string, frame_no long, kind string, path string, sha256 string, parent_id string, crop array<int>, created timestamp",
     "views": "source_id string, id string, asset_id string, frame_no long, actor string, tool string, trace_ref string, observation string, asset_sha256 string, created timestamp, presentation string, sheet_id string",
     "records": "source_id string, tbl string, id string, payload string, seq long, batch_id string, tombstone boolean",
+    "plans": "source_id string, id string, start_frame long, end_frame long, start_time double, end_time double, boundary_clue string, representative_frames array<long>, distinct_states long, small_change_frames array<long>, retrace_frames array<long>, one_frame_states array<long>, merge string",
     "languages": "source_id string, id string, kind string, path string, sha256 string, offset double, language string, time_base string, provenance string, created timestamp",
     "cues": "source_id string, key string, pos long, id string, original_start double, original_end double, start_time double, end_time double, text_original string, translation string, language string, speaker string, confidence double, frame_ranges array<struct<start:long,end:long>>, alignment string, warnings array<string>",
 }

@@ -52,6 +52,8 @@ def test_plan_queue_views_and_gate(spark, work):
 
     root, call = work
     planned = call("plan")["segments"]
+    again = call("plan")
+    assert again["planned"] == 0 and again["segments"] == planned
     assert planned[0]["start_frame"] == 0 and sum(s["distinct_states"] for s in planned) == 9
     assert call("select", "--mode", "coverage")["requests"] > 9
     before = call("queue", "--batch-size", 3, "--start", 1.0, "--end", 2.0)

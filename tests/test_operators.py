@@ -208,6 +208,18 @@ def test_crop_chains_of_any_depth(spark):
     assert rows(evidence.crop_regions(assets), "id", "x0", "y0", "x1", "y1") == want
 
 
+def test_crop_chains_are_followed_by_doubling(spark, monkeypatch):
+    deep = 300
+    chain = [("v", f"c{k}", "crop", f"c{k - 1}" if k else "f", [1, 1, 2000 - 2 * k, 2000 - 2 * k]) for k in range(deep)]
+    assets = spark.createDataFrame([("v", "f", "full", None, None), *chain], "source_id string, id string, kind string, parent_id string, crop array<int>")
+    written = []
+    real = evidence.staged
+    monkeypatch.setattr(evidence, "staged", lambda df, name: written.append(name) or real(df, name))
+    got = rows(evidence.crop_regions(assets), "id", "x0", "y0", "x1", "y1")
+    assert got == sorted((f"c{k}", k + 1, k + 1, 2000 - k, 2000 - k) for k in range(deep))
+    assert written.count("links") <= 11  # 1 + log2(300)
+
+
 def test_srt_and_clock(spark):
     srt = "1\n00:00:01,500 --> 00:00:02,000\nhello\nthere\n\n2\r\n01:00:00,000 --> 01:00:01,250\nbye\n"
     cues = adapters.srt_cues(spark.createDataFrame([("v", srt)], "source_id string, text string"))
