@@ -11,14 +11,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
+from . import ordered
 from .ordered import running
 
 
 def runs(frames: DataFrame) -> DataFrame:
-    """``exact_start``: first ordinal of the run of equal consecutive digests."""
-    told = running(frames, ["source_id"], "frame_no", ["frame_no"], __before=("last", F.struct("digest"), False))
-    change = F.col("__before.digest").isNull() | (F.col("__before.digest") != F.col("digest"))
-    return running(told, ["source_id"], "frame_no", ["frame_no"], exact_start=("last", F.when(change, F.col("frame_no")), True)).drop("__before")
+    """``exact_start``: first ordinal of the run of equal consecutive digests.
+
+    Changes are found inside blocks of ordinals; a block's first row is judged by the digest
+    that the block before ends with, and a run that goes on begins where an earlier block says.
+    """
+    n, one = F.col("frame_no"), F.struct("digest")
+    differs = lambda before, now: before["digest"].isNull() | F.coalesce(before["digest"] != now["digest"], F.lit(False))
+    inside = W.partitionBy("source_id", "__block").orderBy("frame_no")
+    rows = frames.withColumn("__block", F.floor(n / ordered.BLOCK))
+    rows = rows.withColumn("__before", F.lag(one).over(inside)).withColumn("__change", F.when(F.col("__before").isNotNull() & differs(F.col("__before"), one), n))
+    rows = rows.withColumn("__start", F.last("__change", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    blocks = rows.groupBy("source_id", "__block").agg(F.min_by(one, n).alias("head"), F.max_by(one, n).alias("tail"), F.min(n).alias("lo"), F.max("__change").alias("last"))
+    along = W.partitionBy("source_id").orderBy("__block")
+    blocks = blocks.withColumn("before", F.lag("tail").over(along))
+    begins = F.when(F.col("before").isNull() | differs(F.col("before"), F.col("head")), F.col("lo"))
+    carried = F.last(F.coalesce("last", begins), ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("source_id").alias("__of"), F.col("__block").alias("__at"), F.coalesce(begins, carried).alias("__head"))
+    told = rows.join(blocks, [F.col("source_id").eqNullSafe(F.col("__of")), F.col("__block") == F.col("__at")])
+    return told.select(*(c for c in frames.columns if c != "exact_start"), F.coalesce("__start", "__head").alias("exact_start"))
 
 
 def anomalies(frames: DataFrame) -> DataFrame:

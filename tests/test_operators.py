@@ -195,6 +195,27 @@ def test_select_expression_is_balanced(spark):
     assert text == r"select=((between(n\,1\,3)+eq(n\,5))+(eq(n\,7)+between(n\,9\,10)))"
 
 
+@pytest.mark.parametrize("block", [1, 4, 1 << 16])
+def test_runs_across_blocks(spark, monkeypatch, block):
+    """A null digest changes nothing itself, but what follows it begins anew."""
+    from strandline.operators import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    rng, table, want, last = random.Random(block), [], {}, {}
+    for s in ("a", "b", None):
+        n = 0
+        for _ in range(90):
+            n += rng.choice([1, 1, 2, 9])
+            d = rng.choice(["x", "x", "y", None])
+            before = last.get(s)
+            changed = before is None or before[0] is None or (d is not None and before[0] != d)
+            last[s] = (d, n if changed else before[1])
+            want[s, n] = last[s][1]
+            table.append((s, n, d, "own"))
+    out = frames.runs(spark.createDataFrame(table, "source_id string, frame_no long, digest string, exact_start string").repartition(3))
+    assert {(r.source_id, r.frame_no): r.exact_start for r in out.collect()} == want
+
+
 def test_crop_chain(spark):
     assets = spark.createDataFrame([("v", "f", "full", None, None), ("v", "c", "crop", "f", [10, 10, 50, 50]), ("v", "d", "crop", "c", [5, 5, 20, 20]), ("v", "bad", "crop", "c", [5, 5, 99, 20])], "source_id string, id string, kind string, parent_id string, crop array<int>")
     assert rows(evidence.crop_regions(assets), "id", "x0", "y0", "x1", "y1") == [("c", 10, 10, 50, 50), ("d", 15, 15, 30, 30)]
