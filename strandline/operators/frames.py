@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from ..sources.tables import staged
 from . import ordered
 from .ordered import running
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have the package
+
 
 def runs(frames: DataFrame) -> DataFrame:
     """``exact_start``: first ordinal of the run of equal consecutive digests.

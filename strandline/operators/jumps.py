@@ -21,11 +21,13 @@ first marked row.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from pyspark.sql import types as T
 
 from ..sources.tables import staged
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have the package
+
 #: Ordinals of a block.
 BLOCK = 1 << 16
 #: Rows of finished blocks that are worked on at once.

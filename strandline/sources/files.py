@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .adapters import container_kind, mov_problem
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have the package
+
 CHUNK, HEAD = 4 << 20, 4096
 STAT = ["path", "length", "modificationTime"]
 
