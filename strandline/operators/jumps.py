@@ -127,10 +127,10 @@ def _last(levels: list[np.ndarray], end: np.ndarray, at: np.ndarray) -> np.ndarr
     return at
 
 
-def _path(levels: list[np.ndarray], end: np.ndarray, first: np.ndarray) -> np.ndarray:
+def path(nxt: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
     """All starts that follow from the ``first`` ones, these included."""
     at = first
-    for level in reversed(levels):
+    for level in reversed(_doublings(nxt, end)):
         to = level[at]
         at = np.concatenate([at, to[to < end[at]]])
     return at
@@ -279,9 +279,9 @@ def starts(rows: DataFrame, source: str, ordinal: str, time: str, span: float, m
             for g in np.flatnonzero(~opened).tolist():
                 lo, n = int(first[g]), int(sizes[g])
                 begin[g] = lo + rule.enters(frame[lo : lo + n], time[lo : lo + n], marked[lo : lo + n], int(in_frame[lo]), float(in_time[lo]))
-            path = _path(_doublings(nxt, end), end, begin[begin < first + sizes])
+            begun = path(nxt, end, begin[begin < first + sizes])
             why = np.zeros(len(frame), dtype=np.int32)
-            why[path] = np.where(marked[path], MARKED, np.where(np.isnan(time[path]), ORDINALS, SPAN))
+            why[begun] = np.where(marked[begun], MARKED, np.where(np.isnan(time[begun]), ORDINALS, SPAN))
             last = np.maximum.accumulate(np.where(why > 0, np.arange(len(frame)), -1))
             outside = last < np.repeat(first, sizes)
             start = frame[np.maximum(last, 0)]

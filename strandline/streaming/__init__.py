@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators import jumps
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -29,26 +32,34 @@ def streaming_runs(frames: DataFrame, anchor_seconds: float = 0.0) -> DataFrame:
     run start, next anchor and last time.
     """
 
+    rule = jumps.Rule(anchor_seconds, None, "sum")
+
     def step(key, batches, state):
         last, digest, start, anchor, time = state.get if state.exists else (-1, None, -1, float("-inf"), float("-inf"))
-        out = []
         rows = pd.concat(list(batches)).sort_values("frame_no", kind="stable")
-        for n, d, t in zip(rows["frame_no"], rows["digest"], rows["time_s"], strict=True):
-            if n <= last:
-                out.append((key[0], int(n), None, False, False, True))
-                continue
-            if d != digest or start < 0:
-                start = int(n)
-            known = t is not None and t == t
-            late, take = known and t <= time, known and anchor_seconds > 0 and t >= anchor
-            if take:
-                anchor = float(t) + anchor_seconds
-            if known:
-                time = float(t)
-            last, digest = int(n), d
-            out.append((key[0], last, start, bool(take), bool(late), False))
+        n, d, t = rows["frame_no"].to_numpy(np.int64), rows["digest"].to_numpy(object), rows["time_s"].to_numpy(np.float64)
+        fresh = (n > last) & np.append(True, n[1:] != n[:-1])
+        m, own, times = n[fresh], d[fresh], t[fresh]
+        starts, take, late = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=bool), np.zeros(len(n), dtype=bool)
+        if len(m):
+            change = own != np.append(np.array([digest], dtype=object), own[:-1])
+            change[0] |= start < 0
+            begun = np.maximum.accumulate(np.where(change, m, start))
+            known = ~np.isnan(times)
+            at = np.maximum.accumulate(np.where(known, np.arange(len(m)), -1))
+            before = np.append(-1, at[:-1])
+            starts[fresh], late[fresh] = begun, known & (times <= np.where(before >= 0, times[before], time))
+            first = np.flatnonzero(known & (times >= anchor))
+            if anchor_seconds > 0 and len(first):
+                end = np.full(len(m), len(m))
+                path = jumps.path(rule.next_starts(m, times, np.zeros(len(m), dtype=bool), end, len(m)), end, first[:1])
+                take[np.flatnonzero(fresh)[path]] = True
+                anchor = float(times[path.max()]) + anchor_seconds
+            last, digest, start = int(m[-1]), own[-1], int(begun[-1])
+            time = float(times[at[-1]]) if at[-1] >= 0 else time
         state.update((last, digest, start, anchor, time))
-        yield pd.DataFrame(out, columns=["source_id", "frame_no", "exact_start", "anchor", "late", "replayed"]).astype({"exact_start": "Int64"})
+        told = pd.Series(starts, dtype="Int64").where(pd.Series(fresh))
+        yield pd.DataFrame({"source_id": key[0], "frame_no": n, "exact_start": told, "anchor": take, "late": late, "replayed": ~fresh})
 
     kind = frames.schema["source_id"].dataType.simpleString()
     return frames.groupBy("source_id").applyInPandasWithState(

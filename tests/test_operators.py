@@ -349,6 +349,41 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert spark.table("runs_out").where("late").count() == frames.anomalies(table).first().non_increasing_time == 2
 
 
+def test_streaming_over_several_batches_with_replays(spark, tmp_path):
+    """Batch after batch as the rules say row after row; rows that come again change nothing."""
+    from strandline.streaming import streaming_runs
+
+    rng = random.Random(11)
+    schema = "source_id string, frame_no long, digest string, time_s double"
+    want, state, table = [], {}, []
+    for part in range(4):
+        batch = []
+        for s in ("v", "w"):
+            low = state.get(s, (-1,))[0] + 1
+            fresh = [(s, n, rng.choice("aab") if rng.random() > 0.1 else None, rng.choice([None, n / 3, n / 3, n / 3 - 2])) for n in range(low, low + rng.randint(0, 30))]
+            again = [(s, rng.randrange(low), "z", 1.0) for _ in range(3)] if low else []
+            last, digest, start, anchor, time = state.get(s, (-1, None, -1, float("-inf"), float("-inf")))
+            for _, n, d, t in sorted(fresh + again, key=lambda r: r[1]):
+                if n <= last:
+                    want.append((s, n, None, False, False, True))
+                    continue
+                start = n if d != digest or start < 0 else start
+                late, take = t is not None and t <= time, t is not None and t >= anchor
+                anchor, time = t + 1.5 if take else anchor, time if t is None else t
+                last, digest = n, d
+                want.append((s, n, start, take, late, False))
+            state[s] = (last, digest, start, anchor, time)
+            batch += fresh + again
+        table.append(batch)
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+        told = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = streaming_runs(told, 1.5).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()  # stopped and started again for each part
+    got = spark.read.parquet(str(tmp_path / "out")).select("source_id", "frame_no", "exact_start", "anchor", "late", "replayed")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_running_values_equal_one_window(spark, monkeypatch):
     from pyspark.sql import Window as W
 
