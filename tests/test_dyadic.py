@@ -103,3 +103,20 @@ def test_cues_that_cannot_be_stored(spark):
             intervals.align_store(spark.createDataFrame([("v", "lang-1", 0, begin, end, offset, text, None)], schema), frames).collect()
     (row,) = intervals.align_store(spark.createDataFrame([("v", "lang-1", 4, 0.5, 1.5, 0.25, "x", "y")], schema), frames).collect()
     assert (row.id, row.original_start, row.original_end, row.start_time, row.end_time, row.text_original, row.translation, [tuple(r) for r in row.frame_ranges], row.warnings) == ("lang-1:c5", 0.5, 1.5, 0.75, 1.75, "x", "y", [(0, 0)], ["unknown_display_duration"])
+
+
+def test_cells_are_never_broadcast(spark):
+    """Spark's guess of a size knows nothing of the rows that cells make, so a small guess must not decide."""
+    a = spark.range(50).select(F.lit("v").alias("key"), F.col("id").alias("lo"), (F.col("id") + 3).alias("hi"))
+    p = spark.range(50).select(F.lit("v").alias("key"), F.col("id").alias("at"))
+    b = a.select("key", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    for df in (dyadic.containing(a, p, ["key"], "lo", "hi", "at", 6), dyadic.overlapping(a, b, ["key"], ("lo", "hi"), ("s", "e"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_whole_numbers_have_no_cells_below_one(spark):
+    rows = spark.createDataFrame([(7, 7), (7, 9), (0, 64), (5, 4999), (0, 10**12)], "lo long, hi long")
+    home = dyadic._home(0, *dyadic._finite(rows, "lo", "hi"), 6, dyadic._whole(rows, "lo", "hi"))
+    cells = {(r.lo, r.hi): r.n for r in rows.select("lo", "hi", F.size(F.expr(home)).alias("n")).collect()}
+    assert cells[(7, 7)] == 1 and cells[(7, 9)] == 3 and max(cells.values()) <= 2**6 + 2
