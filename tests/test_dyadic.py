@@ -115,6 +115,12 @@ def test_cells_are_never_broadcast(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_uncomputed_intervals_merge_their_cells(spark):
+    frames = spark.range(50).select(F.lit("v").alias("source_id"), F.col("id").alias("frame_no"), F.lit("d").alias("digest"))
+    entries = spark.createDataFrame([("v", "a", 3, 9)], "source_id string, id string, start_frame long, end_frame long")
+    assert "SortMergeJoin" in contracts.uncomputed_intervals(entries, frames)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whole_numbers_have_no_cells_below_one(spark):
     rows = spark.createDataFrame([(7, 7), (7, 9), (0, 64), (5, 4999), (0, 10**12)], "lo long, hi long")
     home = dyadic._home(0, *dyadic._finite(rows, "lo", "hi"), 6, dyadic._whole(rows, "lo", "hi"))
