@@ -117,7 +117,7 @@ def test_cells_are_never_broadcast(spark):
 
 def test_uncomputed_intervals_merge_their_cells(spark):
     frames = spark.range(50).select(F.lit("v").alias("source_id"), F.col("id").alias("frame_no"), F.lit("d").alias("digest"))
-    entries = spark.createDataFrame([("v", "a", 3, 9)], "source_id string, id string, start_frame long, end_frame long")
+    entries = spark.range(1).select(F.lit("v").alias("source_id"), F.lit("a").alias("id"), (F.col("id") + 3).alias("start_frame"), (F.col("id") + 9).alias("end_frame"))
     assert "SortMergeJoin" in contracts.uncomputed_intervals(entries, frames)._jdf.queryExecution().executedPlan().toString()
 
 
