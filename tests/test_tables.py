@@ -33,3 +33,11 @@ def test_exploded_rows_of_a_staged_table_are_not_broadcast_on_a_guess(spark):
     assert joined.count() == 5
     joined.collect()
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_has_run_is_broadcast_up_to_a_megabyte(spark):
+    """A union of many joins holds all its broadcasts at once, so each must be small."""
+    ids = lambda n, name: staged(spark.range(n).select(F.col("id").alias("source_id"), F.format_string("f%09d", "id").alias("id")), name)
+    joined = ids(60_000, "many").join(ids(50_000, "fewer"), ["source_id", "id"])  # rows of 40 bytes
+    joined.collect()
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
