@@ -57,6 +57,17 @@ def test_a_sound_ledger_has_no_findings(spark):
     assert codes(audit.strict(led)) == [] and codes(audit.validate(led)) == [] and codes(layers.intervals(led)) == []
 
 
+def test_file_handoffs_ask_for_no_fine_review(spark, monkeypatch):
+    """They are found from steps and intervals alone, whatever the rest of the layered audit takes."""
+    data = sound()
+    data["steps"] = [(*s[:-2], ["in"], []) for s in data["steps"]]
+    led = ledger(spark, data)
+    assert codes(layers.intervals(led)) == [("file_handoff_state_missing", "S1"), ("file_handoff_state_missing", "S2")]
+    monkeypatch.setattr(layers, "fine_problems", None)
+    monkeypatch.setattr(record_queries, "_ledger", lambda *_: led)
+    assert codes(record_queries.cont_file(spark, DATA)) == [("file_handoff_state_missing", "S1"), ("file_handoff_state_missing", "S2")]
+
+
 def test_one_altered_value_breaks_continuity(spark):
     found = audit.strict(ledger(spark, sound(after="9")))
     assert codes(found) == [("state_discontinuity", "S2")]
