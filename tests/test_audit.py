@@ -68,6 +68,15 @@ def test_file_handoffs_ask_for_no_fine_review(spark, monkeypatch):
     assert codes(record_queries.cont_file(spark, DATA)) == [("file_handoff_state_missing", "S1"), ("file_handoff_state_missing", "S2")]
 
 
+def test_checks_and_their_audit_find_the_samples_once(spark, monkeypatch):
+    """Scopes and samples of the intervals are written once for a ledger, not by each that asks."""
+    made, mapping = [], layers.ev.mapping
+    monkeypatch.setattr(layers.ev, "mapping", lambda *a: made.append(a) or mapping(*a))
+    led = ledger(spark, sound())
+    layers.samples(led, ledger_queries._checks(led))
+    assert len(made) == 1
+
+
 def test_one_altered_value_breaks_continuity(spark):
     found = audit.strict(ledger(spark, sound(after="9")))
     assert codes(found) == [("state_discontinuity", "S2")]
