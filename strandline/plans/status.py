@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as fr
 from ..sources.ledger import Ledger
+from ..sources.tables import staged
 from . import layers
 from .audit import unresolved_issues
 
@@ -53,8 +54,9 @@ def status(led: Ledger, requests: DataFrame, candidates: DataFrame, sources: Dat
         count(seen, "full_image_frames"), count(led.coverage, "state_accounting_records"), count(unresolved_issues(led.issues), "unresolved_issues"),
         layers.coverage(led),
     ]
-    for rows in one:
+    for i, rows in enumerate(one, 1):  # all in one plan would run dozens of stages at once, each held by the driver
         out = out.join(rows, "source_id", "left")
+        out = staged(out, "progress") if i % 4 == 0 else out
     zeros = ["indexed_frames", "computed_frames", "candidate_requests", "candidate_frames", "candidates_pending", "visual_frames", "overview_frames", "view_events", "full_image_frames", "state_accounting_records", "unresolved_issues"]
     out = out.fillna(0, zeros)
     known = F.col("total_frames").isNotNull() & (F.col("total_frames") > 0)

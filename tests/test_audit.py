@@ -77,6 +77,16 @@ def test_checks_and_their_audit_find_the_samples_once(spark, monkeypatch):
     assert len(made) == 1
 
 
+def test_progress_is_not_one_plan_of_all_counters(spark, monkeypatch):
+    """The driver holds a plan's stages at once, so the counters are joined in groups that are written."""
+    led = ledger(spark, sound())
+    found = led.frames.select("source_id", "frame_no")
+    sources = spark.createDataFrame([("v", 8, 8, True, True)], "source_id string, declared_frames long, total_frames long, index_clean boolean, scan_clean boolean")
+    monkeypatch.setattr(status.layers, "coverage", lambda led: led.intervals.groupBy("source_id").agg(status.F.count("id").alias("approximate_merge_intervals")))
+    plan = status.status(led, found, found, sources)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 6, plan.count("Join ")
+
+
 def test_one_altered_value_breaks_continuity(spark):
     found = audit.strict(ledger(spark, sound(after="9")))
     assert codes(found) == [("state_discontinuity", "S2")]
