@@ -87,6 +87,15 @@ def test_progress_is_not_one_plan_of_all_counters(spark, monkeypatch):
     assert plan.count("Join ") <= 6, plan.count("Join ")
 
 
+def test_the_fine_review_is_no_plan_of_many_joins(spark, monkeypatch):
+    """Roles, links and steps are joined in plans of their own; the driver holds a plan's stages at once."""
+    data = sound()
+    led, plans, write = ledger(spark, data), {}, layers.staged
+    monkeypatch.setattr(layers, "staged", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")}) or write(df, name))
+    assert layers.fine_problems(led).columns == ["source_id", "id", "code", "complete"]
+    assert max(plans.values()) <= 4, plans
+
+
 def test_one_altered_value_breaks_continuity(spark):
     found = audit.strict(ledger(spark, sound(after="9")))
     assert codes(found) == [("state_discontinuity", "S2")]
